@@ -68,34 +68,40 @@ def negative_part(x: Column) -> Column:
     return F.greatest(-x, F.lit(0.0))
 
 
+def _grouped(value: Column, places: int) -> Column:
+    return F.format_number(value, places)
+
+
 def format_unit(value: Column, unit: str) -> Column:
-    """Display text of a value: days (from seconds), usd, pct, x or plain."""
+    """Display text of a value: days (from seconds), usdc, count, ratio, share or plain."""
     if unit == "days":
-        return F.concat(F.format_number(value / 86_400.0, 1), F.lit("d"))
-    if unit == "usd":
-        return F.concat(F.lit("$"), F.format_number(value, 0))
-    if unit == "pct":
-        return F.concat(F.format_number(value * 100, 1), F.lit("%"))
-    if unit == "x":
-        return F.concat(F.format_number(value, 1), F.lit("x"))
-    return F.format_number(value, 3)
-
-
-def separation_ratio(pos: Column, neg: Column) -> Column:
-    """Larger over smaller group mean where both have one sign, else NULL."""
-    big, small = F.greatest(F.abs(pos), F.abs(neg)), F.least(F.abs(pos), F.abs(neg))
-    return F.when(F.signum(pos) * F.signum(neg) > 0, ratio(big, small))
-
-
-def separation_label(pos: Column, neg: Column) -> Column:
-    """Text form of the separation: multiplier, or the reason there is none."""
-    r = separation_ratio(pos, neg)
-    sign = F.when(pos >= neg, F.lit("+")).otherwise(F.lit("-"))
+        d = value / 86_400
+        text = (
+            F.when(F.abs(d) >= 1000, _grouped(d, 0)).when(F.abs(d) >= 10, _grouped(d, 1)).otherwise(_grouped(d, 2))
+        )
+        out = F.concat(text, F.lit("d"))
+    elif unit == "usdc":
+        out = F.concat(F.lit("$"), _grouped(value, 0))
+    elif unit == "count":
+        out = _grouped(value, 1)
+    elif unit == "ratio":
+        out = F.concat(F.when(F.abs(value) >= 100, _grouped(value, 0)).otherwise(_grouped(value, 2)), F.lit("×"))
+    elif unit == "share":
+        out = F.concat(_grouped(value * 100, 1), F.lit("%"))
+    else:
+        out = _grouped(value, 3)
+    return F.when(value.isNull(), F.lit("—")).otherwise(out)
+
+
+def ratio_label(pos: Column, neg: Column) -> Column:
+    """How many times the first mean is the second, keeping the sign."""
+    r = ratio(pos, neg)
+    places = F.when((r >= 0) & (r >= 100), _grouped(r, 0)).otherwise(_grouped(r, 2))
     return (
-        F.when(pos.isNull() | neg.isNull(), F.lit("n/a"))
-        .when(r.isNotNull(), F.concat(sign, F.format_number(r, 1), F.lit("x")))
-        .when(F.signum(pos) * F.signum(neg) < 0, F.lit("opposite sign"))
-        .otherwise(F.lit("zero base"))
+        F.when(pos.isNull() | neg.isNull(), F.lit("—"))
+        .when((neg == 0) & (pos != 0), F.lit("∞"))
+        .when(neg == 0, F.lit("1.0×"))
+        .otherwise(F.concat(places, F.lit("×")))
     )
 
 
@@ -114,19 +120,18 @@ def short_key(slug: Column, limit: int = 180, keep: int = 170) -> Column:
     )
 
 
-def display_slug(slug: Column, width: int = 28) -> Column:
-    """Title text of a slug: dashes to spaces, cut to ``width``."""
-    t = F.replace(slug, F.lit("-"), F.lit(" "))
-    return F.when(F.length(t) > width, F.concat(F.substring(t, 1, width - 1), F.lit("…"))).otherwise(t)
+def slug8(slug: Column) -> Column:
+    """Key used in result file names: the slug without dashes, cut to 24 characters."""
+    return F.substring(F.replace(slug, F.lit("-"), F.lit("")), 1, 24)
 
 
-def display_wallet(wallet: Column) -> Column:
-    return F.when(F.length(wallet) > 12, F.concat(F.substring(wallet, 1, 6), F.lit("…"), F.right(wallet, F.lit(4)))).otherwise(
-        wallet
-    )
+def slug8_of_file(name: Column) -> Column:
+    """The slug key of a results file name, empty when the name has another form."""
+    return F.regexp_extract(name, r"scan_(.+?)_\d{8}_\d{6}_results", 1)
 
 
 def marker_size(amount: Column) -> Column:
+    """Marker area growing with the square root of the amount, capped."""
     return F.least(36 + 18 * F.sqrt(F.greatest(amount, F.lit(0.0))), F.lit(160.0))
 
 
@@ -136,20 +141,33 @@ def min_max_clip(x: Column, lo: Column, hi: Column) -> Column:
 
 
 def cv_scheme(text: Column) -> Column:
-    """Canonical name of a cross-validation description."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    """Short name of a cross-validation description."""
     return (
-        F.when(t.contains("stratifiedgroup"), "StratifiedGroupKFold")
-        .when(t.contains("groupkfold"), "GroupKFold")
-        .when(t.contains("timeseries") | t.contains("time"), "TimeSeriesSplit")
-        .when(t.contains("stratified"), "StratifiedKFold")
-        .when(t.contains("loo"), "LeaveOneOut")
-        .otherwise(F.when(t == "", F.lit("unknown")).otherwise(text))
+        F.when(text.isNull() | (text == ""), F.lit("(none)"))
+        .when(text.contains("StratifiedGroupKFold"), F.lit("StratifiedGroupKFold(shuffle=True)"))
+        .when(text.contains("GroupKFold"), F.lit("GroupKFold"))
+        .when(text.contains("TimeSeriesSplit"), F.lit("TimeSeriesSplit"))
+        .otherwise(F.substring(text, 1, 30))
     )
 
 
-def listed(names: Column, keep: int = 3) -> Column:
-    """First names of a list joined by commas, with the count of the rest."""
-    rest = F.size(names) - keep
-    head = F.array_join(F.slice(names, 1, keep), ", ")
-    return F.when(rest > 0, F.concat(head, F.lit(" +"), rest.cast("string"))).otherwise(head)
+def split_kind(text: Column) -> Column:
+    t = F.lower(text)
+    return (
+        F.when(t.contains("pinned"), F.lit("pinned"))
+        .when(t.contains("random by market"), F.lit("random by market (seeded)"))
+        .when(text.isNull() | (text == ""), F.lit("row-level 80/20"))
+        .otherwise(F.substring(text, 1, 30))
+    )
+
+
+def short_market(slug: Column, width: int = 30) -> Column:
+    return F.when(F.length(slug) <= width, slug).otherwise(F.concat(F.substring(slug, 1, width - 1), F.lit("...")))
+
+
+def market_list(slugs: Column, keep: int = 6) -> Column:
+    """First markets of a list joined by commas, with the count of the rest."""
+    rest = F.size(slugs) - keep
+    head = F.transform(F.slice(slugs, 1, keep), lambda s: short_market(s))
+    tail = F.concat(F.lit("(+"), rest.cast("string"), F.lit(" more)"))
+    return F.when(rest > 0, F.array_join(F.array_append(head, tail), ", ")).otherwise(F.array_join(head, ", "))
