@@ -76,7 +76,9 @@ def entry_features(ledger: DataFrame, lookups: DataFrame, facts: DataFrame, hist
     )
     e = e.join(lookups.select(MARKET, "ts", "trail_std", "trail_abs_step", "near_price"), [MARKET, "ts"], "left")
     e = e.withColumn("avg_price", F.coalesce("avg_price", "near_price"))
-    e = price_percentile(e, history, "avg_price", "entry_price_percentile")
+    # an average of equal prices may miss them by rounding, hence the 1e-12
+    e = e.withColumn("_probe", F.col("avg_price") + 1e-12)
+    e = price_percentile(e, history, "_probe", "entry_price_percentile")
     e = e.join(facts.select(MARKET, "start_ts", "end_ts", "major_move_time"), MARKET)
     a, b = F.col("start_ts"), F.col("end_ts")
     return e.select(
