@@ -133,7 +133,7 @@ def asof_join(
     cells: Cells | None = None,
 ) -> DataFrame:
     """Attach ``values`` of the as-of matching right row to every left row."""
-    index = build_index(right, by, right_on, [*values, right_on], tiebreak, cells)
+    index = build_index(right, by, right_on, list(dict.fromkeys([*values, right_on])), tiebreak, cells)
     found = lookup(left, index, by, left_on, "_h", cells)
     axis = F.col(left_on)
 

@@ -312,8 +312,8 @@ def rank_wallets(summary: DataFrame, ranking: str, top: int, by: Sequence[str] =
     keys = RANKINGS[ranking]
     df = summary
     if "abs_net_amount" in keys:
-        nets = [c for c in df.columns if c.startswith("net_") and c.endswith("_amount")]
-        df = df.withColumn("abs_net_amount", sum((F.abs(c) for c in nets[1:]), F.abs(nets[0])))
+        nets = [c for c in df.columns if c.startswith("net_") and c.endswith("_amount") and c != "net_norm_amount"]
+        df = df.withColumn("abs_net_amount", F.round(sum((F.abs(c) for c in nets[1:]), F.abs(nets[0])), 6))
     if "abs_net_norm_amount" in keys:
         df = df.withColumn("abs_net_norm_amount", F.abs("net_norm_amount"))
     w = W.partitionBy(*by).orderBy(*[F.col(k).desc() for k in keys], F.col("wallet"))

@@ -41,8 +41,9 @@ def build(sql: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({B[n]})" for n in names) + "\n" + sql
 
 
-def rounded(source: str, keys: str, doubles, places: int = 8) -> str:
-    return f"SELECT {keys}, " + ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in doubles) + f" FROM {source}"
+def rounded(source: str, keys: str, doubles, places: int = 8, counts=frozenset(), count_type: str = "bigint") -> str:
+    cols = [f"cast({c} AS {count_type}) AS {c}" if c in counts else f"round({c}, {places}) + 0.0 AS {c}" for c in doubles]
+    return f"SELECT {keys}, " + ", ".join(cols) + f" FROM {source}"
 
 
 # --------------------------------------------------------------------- inputs
@@ -443,8 +444,8 @@ Q["markout_grid"] = rounded("x_grid", KEY, PB.GRID)
 Q["fixed_markouts"] = rounded("x_fixed", KEY, PB.FIXED)
 Q["realized_features"] = rounded("x_realized", KEY, PB.REALIZED)
 Q["contrarian_features"] = rounded("x_contrarian", KEY, PB.CONTRARIAN)
-Q["extreme_features"] = rounded("x_extreme", KEY, PB.EXTREME)
-Q["day_features"] = rounded("x_days", KEY, PB.DAYS)
+Q["extreme_features"] = rounded("x_extreme", KEY, PB.EXTREME, counts=COUNTS)
+Q["day_features"] = rounded("x_days", KEY, PB.DAYS, counts=COUNTS)
 Q["adaptive_features"] = rounded("x_adaptive", KEY, PB.ADAPTIVE)
 Q["major_moves"] = rounded("x_major", "market_slug", PB.MAJOR)
 _joined = (
@@ -453,4 +454,237 @@ _joined = (
     "LEFT JOIN x_realized USING (market_slug, wallet) LEFT JOIN x_contrarian USING (market_slug, wallet) LEFT JOIN x_extreme USING (market_slug, wallet) "
     "LEFT JOIN x_days USING (market_slug, wallet) LEFT JOIN x_adaptive USING (market_slug, wallet)"
 )
-Q["behavior_vector"] = rounded(_joined, "t.market_slug, t.wallet", PB.BEHAVIOR_COLUMNS)
+Q["behavior_vector"] = rounded(_joined, "t.market_slug, t.wallet", PB.BEHAVIOR_COLUMNS, counts=COUNTS, count_type="double")
+
+
+# ------------------------------------------------------- scans, parsing, joins
+
+Q["fills_time_asset_scan"] = """
+SELECT id, "timestamp", maker, taker, "makerAssetId", "takerAssetId" FROM b_fills
+WHERE "timestamp" BETWEEN 1704500000 AND 1705500000 AND ("makerAssetId" IN ('m1-Y', 'm2-N') OR "takerAssetId" IN ('m1-Y', 'm2-N'))"""
+Q["fills_tagged_legs"] = """
+SELECT id, 'maker' AS query_side, "makerAssetId" AS queried_token_id FROM b_fills WHERE "makerAssetId" <> '0'
+UNION ALL SELECT id, 'taker', "takerAssetId" FROM b_fills WHERE "takerAssetId" <> '0'"""
+Q["fills_source_fallback"] = """
+SELECT id, market_slug, "timestamp" FROM b_fills WHERE market_slug < 'm3'
+UNION ALL SELECT id, market_slug, "timestamp" FROM (
+  SELECT *, row_number() OVER (PARTITION BY market_slug ORDER BY "timestamp" DESC, id DESC) AS rn FROM b_fills WHERE market_slug >= 'm3') WHERE rn <= 100"""
+Q["secondary_fill_mapping"] = """
+SELECT 't' || event_id || '_' || substr('asset-number-' || event_id, 1, 16) || '_' || ts AS id, ts AS "timestamp", 't' || event_id AS "transactionHash",
+  '' AS "orderHash", '0x' || repeat('0', 40) AS maker, 'w' || user_id AS taker,
+  CASE WHEN event_type = 'purchase' THEN 'asset-number-' || event_id ELSE '0' END AS "makerAssetId",
+  CASE WHEN event_type = 'purchase' THEN '0' ELSE 'asset-number-' || event_id END AS "takerAssetId",
+  CASE WHEN event_type = 'purchase' THEN tok ELSE csh END AS "makerAmountFilled", CASE WHEN event_type = 'purchase' THEN csh ELSE tok END AS "takerAmountFilled",
+  '0' AS fee, 'taker' AS query_side, 'asset-number-' || event_id AS queried_token_id
+FROM (SELECT *, cast(round_even(value * 1000000, 0) AS bigint) AS tok, cast(round_even(value * 0.25 * 1000000, 0) AS bigint) AS csh FROM b_ev)"""
+Q["market_dimension"] = """
+SELECT 'raw-' || g AS slug, CASE WHEN g % 5 = 0 THEN 'Solo' ELSE 'Yes|No' END AS outcomes,
+  CASE WHEN g % 5 = 0 THEN 'raw-' || g ELSE 'raw-' || g || '-Y' END AS yes_token_id, CASE WHEN g % 5 = 0 THEN NULL ELSE 'raw-' || g || '-N' END AS no_token_id,
+  CASE WHEN g % 3 = 0 THEN a - 3600 ELSE a END AS start_ts, CASE WHEN g % 4 = 0 THEN 1706659200 ELSE b END AS end_ts, g % 4 <> 0 AS closed,
+  cast(CASE WHEN g % 7 = 0 THEN 0 ELSE 2 END AS bigint) AS n_prices,
+  CASE WHEN g % 4 <> 0 AND g % 7 <> 0 THEN 1 END AS final_outcome
+FROM (SELECT user_id % 50 AS g, min(ts) AS a, max(ts) AS b FROM b_ev GROUP BY ALL)"""
+Q["wallet_market_order"] = """
+SELECT wallet, market_slug, min(ts) AS first_ts, arg_min(trade_id, (ts, trade_id)) AS first_trade_id, count(*) AS n_trades FROM b_yes GROUP BY wallet, market_slug"""
+Q["attached_markets"] = """
+SELECT market_slug, count(*) AS n, cast(sum("takerAmountFilled") AS bigint) AS taker_micro FROM b_fills GROUP BY market_slug"""
+B["b_act"] = """
+SELECT 'w' || user_id AS wallet, ts AS "timestamp", CASE WHEN event_type = 'error' THEN 'REDEEM' ELSE 'TRADE' END AS type, 'm' || mk AS slug,
+  CASE WHEN event_type IN ('purchase', 'signup') THEN 'BUY' ELSE 'SELL' END AS side, value AS "usdcSize", 't' || event_id AS "transactionHash" FROM b_ev"""
+Q["activity_scan"] = """
+SELECT wallet, "timestamp", slug, side, "usdcSize", "transactionHash" FROM (
+  SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY "timestamp" DESC, "transactionHash" DESC) AS rn FROM b_act WHERE type = 'REDEEM') WHERE rn <= 5"""
+B["b_tra"] = """
+SELECT 'f' || c_nationkey AS funder, 'w' || (o_custkey % 150) AS "to", o_custkey % 150 AS wno, cast(epoch(o_orderdate) AS bigint) AS ts, 'x' || o_orderkey AS tx_hash, o_orderkey AS seq
+FROM orders JOIN customer ON o_custkey = c_custkey"""
+B["b_dep"] = """
+SELECT "to" AS wallet, arg_min(funder, (ts, seq)) AS funder, min(ts) AS first_deposit_ts, arg_min(tx_hash, (ts, seq)) AS tx_hash FROM b_tra WHERE wno % 11 <> 0 GROUP BY ALL"""
+Q["first_deposits"] = "SELECT * FROM b_dep"
+B["b_lab"] = """SELECT DISTINCT 'w' || user_id AS wallet, 'm' || mk AS market_slug, cast(user_id % 7 = 0 AS integer) AS is_insider FROM b_ev"""
+B["b_feat"] = "SELECT x.*, l.is_insider FROM x_days x JOIN b_lab l USING (market_slug, wallet)"
+Q["dataset_summary"] = """
+SELECT count(*) AS n_rows, 7::bigint AS n_features, count(*) FILTER (WHERE is_insider = 1) AS n_positives, count(*) FILTER (WHERE is_insider = 0) AS n_negatives,
+  count(DISTINCT market_slug) AS n_markets, count(DISTINCT wallet) AS n_wallets FROM b_feat"""
+Q["labelled_pairs"] = "SELECT * FROM b_lab"
+Q["flagged_wallet_set"] = "SELECT DISTINCT 'w' || user_id AS wallet FROM b_ev WHERE user_id % 17 = 0"
+B["b_flag"] = "SELECT DISTINCT 'w' || user_id AS wallet FROM b_ev WHERE user_id % 17 = 0"
+Q["feature_upsert"] = """
+SELECT wallet, market_slug, cast(sum(cash_micro) AS bigint) AS volume_micro FROM b_yes WHERE wallet IN (SELECT wallet FROM b_flag) GROUP BY wallet, market_slug"""
+Q["market_replacement"] = """
+SELECT market_slug, wallet, CASE WHEN market_slug = 'm3' THEN 1 - is_insider ELSE is_insider END AS is_insider FROM b_lab"""
+Q["file_keys"] = """
+SELECT doc_id, CASE WHEN length(s) <= 180 THEN s ELSE substr(s, 1, 170) || '__' || substr(md5(s), 1, 8) END AS file_key
+FROM (SELECT doc_id, source || '-' || repeat(lang, n_chars % 120) AS s FROM documents)"""
+B["b_vol"] = """
+SELECT market_slug, wallet, cast(sum(cash_micro) AS bigint) AS volume_micro, cast(sum(token_micro) AS bigint) AS tokens_micro, count(*) AS n_trades FROM b_yes GROUP BY market_slug, wallet"""
+Q["result_slices"] = """
+SELECT wallet, market_slug, round(tokens_micro % 997 / 997, 8) + 0.0 AS pred_prob, true AS flagged, round(volume_micro / 1e6, 8) + 0.0 AS volume, n_trades
+FROM b_vol WHERE volume_micro > 100 * 1000000 AND tokens_micro % 997 / 997 >= 0.8"""
+Q["deduplicated_fills"] = """
+SELECT market_slug, count(*) + count(*) FILTER (WHERE "timestamp" % 5 = 0) AS n_provenance, count(*) AS n_id FROM b_fills GROUP BY market_slug"""
+Q["ordered_fills"] = """SELECT "timestamp", "transactionHash", "orderHash", id FROM b_fills ORDER BY 1, 2, 3, 4"""
+Q["parsed_trades"] = """
+SELECT market_slug, trade_id, ts, wallet, role, side, outcome, token_id, token_micro / 1e6 AS token_amount, cash_micro / 1e6 AS cash_amount, counterparty FROM b_trades"""
+Q["quarantined_trades"] = """
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN token_micro <= 0 OR ts % 11 = 0 THEN 'token_amount must be > 0' WHEN ts % 13 = 0 THEN 'unexpected outcome' END AS reason FROM b_trades)
+WHERE reason IS NOT NULL GROUP BY reason"""
+Q["yes_trades"] = """
+SELECT market_slug, trade_id, wallet, role, norm_side, 'Yes' AS norm_outcome, round(price, 8) + 0.0 AS price, round(norm_price, 8) + 0.0 AS norm_price,
+  round(signed_micro / 1e6, 8) + 0.0 AS signed_yes_amount FROM b_yes"""
+Q["display_trades"] = """
+SELECT market_slug, wallet, trade_id, role, side AS original_side, outcome AS original_outcome, round(norm_price, 8) + 0.0 AS yes_trade_price,
+  norm_side || '_YES' AS yes_action, round(signed_micro / 1e6, 8) + 0.0 AS signed_yes_qty FROM b_yes"""
+_H = "round(yes_price, 8) + 0.0 AS yes_price, token_id, round(token_amount, 8) + 0.0 AS token_amount, round(cash_amount, 8) + 0.0 AS cash_amount"
+Q["price_history"] = f"SELECT market_slug, trade_id, ts, {_H} FROM b_hist"
+B["b_hour"] = "SELECT * REPLACE (ts // 3600 * 3600 AS ts) FROM b_raw_hist"
+Q["hourly_history_first"] = f"""
+SELECT market_slug, ts, trade_id, {_H} FROM (SELECT *, row_number() OVER (PARTITION BY market_slug, ts ORDER BY trade_id) AS rn FROM b_hour) WHERE rn = 1"""
+Q["hourly_history_mean"] = """
+SELECT market_slug, ts, max(trade_id) AS trade_id, arg_max(token_id, trade_id) AS token_id, round(avg(yes_price), 8) + 0.0 AS yes_price,
+  round(avg(token_amount), 8) + 0.0 AS token_amount, round(avg(cash_amount), 8) + 0.0 AS cash_amount FROM b_hour GROUP BY market_slug, ts"""
+Q["history_yes_only"] = f"SELECT market_slug, trade_id, ts, {_H} FROM b_hour WHERE token_id LIKE '%-Y'"
+Q["prepared_history"] = """
+SELECT 'm' || event_id % 8 AS market_slug, event_id AS ts, value AS yes_price FROM events WHERE event_id % 10 <> 0 AND event_id % 9 <> 0"""
+Q["market_volume"] = """
+SELECT market_slug, ts, round(cash / 1e6, 8) + 0.0 AS cash_amount, round(token / 1e6, 8) + 0.0 AS token_amount, CASE WHEN is_no THEN 'NO' ELSE 'YES' END AS outcome,
+  round(CASE WHEN token > 0 THEN CASE WHEN is_no THEN 1 - cash / token ELSE cash / token END END, 8) + 0.0 AS yes_price FROM b_ev4"""
+Q["wallet_ledger"] = "SELECT market_slug, wallet, trade_id, role, seq, inventory, inventory_before FROM b_ledger"
+Q["plot_window"] = "SELECT market_slug, ts, round(yes_price, 8) + 0.0 AS yes_price FROM b_hist WHERE ts BETWEEN 1704400000 AND 1704800000"
+B["b_top"] = "SELECT *, row_number() OVER (PARTITION BY market_slug ORDER BY volume_micro DESC, wallet) AS rank FROM b_vol"
+Q["top_volume_report"] = """
+SELECT market_slug, wallet, round(volume_micro / 1e6, 8) + 0.0 AS volume, n_trades, rank FROM b_top WHERE rank <= 20 AND volume_micro > 100 * 1000000"""
+Q["feature_subset"] = """
+SELECT market_slug, wallet, round(buy_markout_mean_300s, 8) + 0.0 AS buy_markout_mean_300s, round(path_alignment, 8) + 0.0 AS path_alignment, n_distinct_active_days
+FROM x_position LEFT JOIN x_fixed USING (market_slug, wallet) LEFT JOIN x_days USING (market_slug, wallet)"""
+Q["model_matrix"] = """
+SELECT wallet, market_slug, cast(n_distinct_active_days AS double) + 0.0 AS n_distinct_active_days, cast(NULL AS double) AS no_such_feature,
+  round(active_day_frac, 8) + 0.0 AS active_day_frac FROM x_days"""
+Q["selected_wallet_trades"] = """
+SELECT replace(wallet, 'w', 'W') AS requested_wallet, wallet, market_slug, trade_id, role, side, token_micro / 1e6 AS token_amount FROM b_trades
+WHERE wallet IN (SELECT 'w' || user_id FROM b_ev WHERE user_id % 25 = 0)"""
+Q["active_candidates"] = """
+SELECT wallet, market_slug, n_trades FROM b_vol WHERE n_trades > 15 AND wallet NOT IN (SELECT wallet FROM b_flag)"""
+_S = ", ".join(
+    f"count(*) FILTER (WHERE side = '{s}' AND outcome = '{o}') AS {s}_{o}, coalesce(sum(token_micro) FILTER (WHERE side = '{s}' AND outcome = '{o}'), 0) AS {s}_{o}_m"
+    for s in ("BUY", "SELL") for o in ("Yes", "No")
+)
+B["b_sum"] = f"SELECT market_slug, wallet, count(*) AS n_trades, {_S} FROM b_yes GROUP BY market_slug, wallet"
+_all = [f"{s}_{o}" for s in ("BUY", "SELL") for o in ("Yes", "No")]
+B["b_wsum"] = (
+    "SELECT market_slug, wallet, n_trades, " + ", ".join(_all) + ", " + ", ".join(f"{c}_m / 1e6 AS {c}_amount" for c in _all)
+    + f", {' + '.join(_all)} AS total_activity, ({' + '.join(c + '_m' for c in _all)}) / 1e6 AS total_amount, "
+    + ", ".join(f"(BUY_{o}_m - SELL_{o}_m) / 1e6 AS net_{o}_amount, (BUY_{o}_m + SELL_{o}_m) / 1e6 AS gross_{o}_amount" for o in ("Yes", "No"))
+    + " FROM b_sum"
+)
+_SUMD = [f"{c}_amount" for c in _all] + ["total_amount"] + [f"{k}_{o}_amount" for o in ("Yes", "No") for k in ("net", "gross")]
+Q["wallet_summary"] = rounded("b_wsum", "market_slug, wallet, n_trades, total_activity, " + ", ".join(_all), _SUMD)
+B["b_bin"] = """
+SELECT market_slug, wallet, n_trades, BUY_Yes + SELL_No AS BUY_Yes_norm, SELL_Yes + BUY_No AS SELL_Yes_norm,
+  (BUY_Yes_m + SELL_No_m) / 1e6 AS BUY_Yes_norm_amount, (SELL_Yes_m + BUY_No_m) / 1e6 AS SELL_Yes_norm_amount,
+  least(BUY_Yes + SELL_No, SELL_Yes + BUY_No) AS min_side, n_trades AS total_activity_norm,
+  least(BUY_Yes_m + SELL_No_m, SELL_Yes_m + BUY_No_m) / 1e6 AS min_side_amount,
+  (BUY_Yes_m + SELL_No_m + SELL_Yes_m + BUY_No_m) / 1e6 AS total_activity_norm_amount, (BUY_Yes_m + SELL_No_m - SELL_Yes_m - BUY_No_m) / 1e6 AS net_norm_amount FROM b_sum"""
+Q["binary_summary"] = rounded("b_bin", "market_slug, wallet, n_trades, BUY_Yes_norm, SELL_Yes_norm, min_side, total_activity_norm",
+                              ["BUY_Yes_norm_amount", "SELL_Yes_norm_amount", "min_side_amount", "total_activity_norm_amount", "net_norm_amount"])
+_RK = {
+    "total": "total_activity DESC", "total_amount": "total_amount DESC, total_activity DESC",
+    "abs_net_amount": "round(abs(net_Yes_amount) + abs(net_No_amount), 6) DESC, total_amount DESC", "min_norm": "min_side DESC, total_activity_norm DESC",
+    "total_norm": "total_activity_norm DESC, min_side DESC", "total_norm_amount": "round(total_activity_norm_amount, 6) DESC, total_activity_norm DESC",
+    "abs_net_norm_amount": "round(abs(net_norm_amount), 6) DESC, total_activity_norm_amount DESC",
+}
+Q["wallet_rankings"] = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{n}' AS ranking, market_slug, wallet, row_number() OVER (PARTITION BY market_slug ORDER BY {o}, wallet) AS rank "
+    f"FROM b_wsum JOIN b_bin USING (market_slug, wallet)) WHERE rank <= 10" for n, o in _RK.items()
+)
+Q["top_wallets"] = """
+SELECT market_slug, wallet, volume_micro, rank, round(net_Yes_amount, 8) + 0.0 AS net_Yes_amount, round(gross_Yes_amount, 8) + 0.0 AS gross_Yes_amount,
+  round(net_No_amount, 8) + 0.0 AS net_No_amount, round(gross_No_amount, 8) + 0.0 AS gross_No_amount
+FROM b_top JOIN b_wsum USING (market_slug, wallet) WHERE rank <= 20"""
+B["b_probe"] = "SELECT 'm' || ((mk + 3) % 8) AS market_slug, event_id, ts FROM b_ev"
+B["b_near"] = """
+SELECT p.market_slug, p.event_id, p.ts, b.ts AS b_ts, b.yes_price AS b_p, f.ts AS f_ts, f.yes_price AS f_p,
+  b.ts IS NOT NULL AND (f.ts IS NULL OR p.ts - b.ts <= f.ts - p.ts) AS use_b
+FROM b_probe p ASOF LEFT JOIN b_hist b ON p.market_slug = b.market_slug AND p.ts >= b.ts
+ASOF LEFT JOIN b_hist f ON p.market_slug = f.market_slug AND p.ts <= f.ts"""
+B["b_near2"] = """SELECT event_id, ts, CASE WHEN use_b THEN b_ts ELSE f_ts END AS h_ts, CASE WHEN use_b THEN b_p ELSE f_p END AS h_p FROM b_near"""
+Q["nearest_history"] = "SELECT event_id, h_ts AS history_ts, round(h_p, 8) + 0.0 AS history_yes_price FROM b_near2"
+Q["nearest_history_within"] = """
+SELECT event_id, CASE WHEN abs(h_ts - ts) <= 300 THEN h_ts END AS history_ts, CASE WHEN abs(h_ts - ts) <= 300 THEN round(h_p, 8) + 0.0 END AS history_yes_price FROM b_near2"""
+Q["price_at_or_after"] = """
+SELECT p.event_id, round(coalesce(h.yes_price, s.last_price), 8) + 0.0 AS yes_price FROM (SELECT *, ts + 86400 AS at_ FROM b_probe) p
+ASOF LEFT JOIN b_hist h ON p.market_slug = h.market_slug AND p.at_ <= h.ts JOIN b_series s ON s.market_slug = p.market_slug"""
+Q["price_at_or_before"] = """
+SELECT p.event_id, round(coalesce(h.yes_price, s.first_price), 8) + 0.0 AS yes_price FROM (SELECT *, ts - 86400 AS at_ FROM b_probe) p
+ASOF LEFT JOIN b_hist h ON p.market_slug = h.market_slug AND p.at_ >= h.ts JOIN b_series s ON s.market_slug = p.market_slug"""
+Q["trailing_windows"] = """
+SELECT market_slug, ts, round(slope * 21600, 6) + 0.0 AS trend_move, round(trail_std, 8) + 0.0 AS trail_std, round(trail_abs_step, 8) + 0.0 AS trail_abs_step FROM b_trail"""
+Q["realized_matches"] = """
+SELECT market_slug, wallet, CASE WHEN entry_sign = 1 THEN 'BUY' ELSE 'SELL' END AS entry_side, e_id AS entry_trade_id, e_role AS entry_role_no, x_id AS exit_trade_id,
+  x_role AS exit_role_no, hi - lo AS qty_micro, round(pnl, 8) + 0.0 AS raw_realized_pnl_per_token FROM b_seg WHERE matched"""
+Q["open_lots"] = """
+SELECT market_slug, wallet, e_id AS trade_id, e_role AS role_no, entry_sign * (hi - lo) AS signed_qty_micro, round(e_p, 8) + 0.0 AS price FROM b_seg WHERE NOT matched"""
+Q["lot_table"] = (
+    "SELECT market_slug, wallet, trade_id, role_no, entry_time, round(entry_price, 8) + 0.0 AS entry_price, original_micro, remaining_micro, side_sign, "
+    + ", ".join(map(derisk_name, DERISK_THRESHOLDS)) + " FROM b_lots"
+)
+Q["lot_close_events"] = """
+SELECT c.market_slug, c.wallet, l.trade_id AS lot_trade_id, l.role_no AS lot_role_no, c.x_ts AS time, round(c.x_p, 8) + 0.0 AS price, round(c.qty / 1e6, 8) + 0.0 AS tokens,
+  round((l.original_micro - c.cum) / 1e6, 8) + 0.0 AS remaining_after FROM b_closing c JOIN b_lot0 l USING (market_slug, wallet, e_seq)"""
+Q["lot_intervals"] = """
+SELECT market_slug, wallet, e_seq AS from_seq, x_seq AS until_seq, round(entry_sign * (hi - lo) / 1e6, 8) + 0.0 AS qty, round(e_p, 8) + 0.0 AS price FROM b_seg"""
+B["b_eff"] = """
+SELECT market_slug, wallet, e_seq AS seq, entry_sign * (hi - lo) * e_p AS dc, 0.0 AS dp FROM b_seg
+UNION ALL SELECT market_slug, wallet, x_seq, -entry_sign * (hi - lo) * e_p, (hi - lo) * pnl FROM b_seg WHERE matched"""
+B["b_eff2"] = "SELECT market_slug, wallet, seq, sum(dc) AS dc, sum(dp) AS dp FROM b_eff GROUP BY ALL"
+B["b_tl"] = """
+SELECT l.*, coalesce(dp, 0) AS dp, sum(coalesce(dc, 0)) OVER w AS cost, sum(coalesce(dp, 0)) OVER w AS pnl FROM b_ledger l LEFT JOIN b_eff2 USING (market_slug, wallet, seq)
+WINDOW w AS (PARTITION BY l.market_slug, l.wallet ORDER BY seq)"""
+Q["pnl_timeline"] = """
+SELECT market_slug, wallet, trade_id, role_no, round(dp / 1e6, 6) + 0.0 AS realized_pnl_this_trade, round(pnl / 1e6, 6) + 0.0 AS cumulative_realized_pnl,
+  round(inventory / 1e6, 6) + 0.0 AS position_qty, CASE WHEN inventory = 0 THEN 0.0 ELSE round(cost / 1e6, 6) + 0.0 END AS position_cost_basis,
+  CASE WHEN inventory <> 0 THEN round(cost / inventory, 6) + 0.0 END AS avg_entry_price FROM b_tl"""
+Q["lot_markouts"] = (
+    "SELECT market_slug, wallet, trade_id, role_no, entry_time, w AS remaining_micro, held, "
+    + ", ".join(f"round(mv{i}, 8) + 0.0 AS mv{i}" for i in range(5)) + " FROM b_lotmv"
+)
+Q["price_lookups"] = "SELECT market_slug, ts, " + ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in ("price_at", "fut0", "fut4", "past0", "past4", "fix300", "fix86400")) + " FROM b_lk"
+B["b_mid"] = """
+SELECT p.market_slug, p.ts, CASE WHEN b.ts IS NOT NULL AND (f.ts IS NULL OR p.ts - b.ts <= f.ts - p.ts) THEN b.yes_price ELSE f.yes_price END AS price
+FROM (SELECT slug AS market_slug, (start_ts + end_ts) // 2 AS ts FROM b_mk) p ASOF LEFT JOIN b_hist b ON p.market_slug = b.market_slug AND p.ts >= b.ts
+ASOF LEFT JOIN b_hist f ON p.market_slug = f.market_slug AND p.ts <= f.ts"""
+Q["given_move_times"] = "SELECT market_slug, ts AS major_move_time, round(price, 8) + 0.0 AS major_move_start_price FROM b_mid"
+Q["terminal_spikes"] = "SELECT * FROM b_spike"
+Q["market_facts"] = rounded("b_dims", "market_slug, outcome, h_start, h_end, h_rows", ["price_min", "price_max", "last_price", "p10", "p25", "p75", "p90"])
+Q["price_changes"] = "SELECT market_slug, ts, round(ret, 8) + 0.0 AS ret FROM b_step"
+Q["step_series"] = """
+SELECT market_slug, ts AS from_ts, lead(ts) OVER (PARTITION BY market_slug ORDER BY ts) AS until_ts, round(yes_price, 8) + 0.0 AS yes_price FROM b_hist"""
+Q["entry_markers"] = """
+SELECT wallet, market_slug, trade_id, role, ts, round(norm_price, 8) + 0.0 AS norm_price FROM (
+  SELECT *, row_number() OVER (PARTITION BY wallet, market_slug ORDER BY ts, trade_id, role) AS rn FROM b_yes) WHERE rn = 1"""
+Q["market_concentration"] = """
+SELECT wallet, round(sum(v * v) / (sum(v) * sum(v)), 8) + 0.0 AS hhi FROM (SELECT wallet, market_slug, cast(sum(cash_micro) AS double) AS v FROM b_yes GROUP BY ALL) GROUP BY wallet"""
+B["b_ynear"] = """
+SELECT p.*, CASE WHEN b.ts IS NOT NULL AND (f.ts IS NULL OR p.ts - b.ts <= f.ts - p.ts) THEN b.yes_price ELSE f.yes_price END AS h_p
+FROM b_yes p ASOF LEFT JOIN b_hist b ON p.market_slug = b.market_slug AND p.ts >= b.ts ASOF LEFT JOIN b_hist f ON p.market_slug = f.market_slug AND p.ts <= f.ts"""
+Q["plot_trades"] = """
+SELECT y.wallet, y.market_slug, y.trade_id, y.role, t.rank, round(h_p, 8) + 0.0 AS history_yes_price, round(least(36 + 18 * sqrt(token_micro / 1e6), 160), 8) + 0.0 AS marker_size
+FROM b_ynear y JOIN b_top t ON t.market_slug = y.market_slug AND t.wallet = y.wallet WHERE t.rank <= 5"""
+Q["plot_limits"] = """
+SELECT market_slug, round(min(p) - (max(p) - min(p)) * 0.05, 8) + 0.0 AS y_min, round(max(p) + (max(p) - min(p)) * 0.05, 8) + 0.0 AS y_max
+FROM (SELECT market_slug, yes_price AS p FROM b_hist UNION ALL SELECT market_slug, h_p FROM b_ynear) GROUP BY market_slug"""
+Q["display_scalars"] = """
+SELECT c_custkey, CASE WHEN length(s) <= 30 THEN s ELSE substr(s, 1, 29) || '...' END AS short_market, substr(replace(s, '-', ''), 1, 24) AS slug8,
+  round(1 / (1 + exp(-(-2.0 * (v / 10000) + 0.5))), 8) AS calibrated, round(1 - 1 / (1 + exp(-(-2.0 * (v / 10000) + 0.5))), 8) AS calibrated_rev,
+  round(CASE WHEN v / 10000 > 0 THEN least(1 / pow(v / 10000, 1.5), 8) ELSE 8 END, 8) AS weight, round(greatest(0.0, least(1.0, v / 5000)), 8) AS clipped,
+  round(least(36 + 18 * sqrt(greatest(v, 0)), 160), 8) AS marker, c_mktsegment AS file_slug
+FROM (SELECT c_custkey, c_mktsegment, c_acctbal AS v, 'will-' || c_name || '-of-' || c_mktsegment AS s FROM customer)"""
+Q["unit_labels"] = """
+SELECT c_custkey, '$' || format('{:,}', v) AS usdc, format('{:,.1f}', v::double) AS n,
+  CASE WHEN k = 0 AND v <> 0 THEN '∞' WHEN k = 0 THEN '1.0×' WHEN v / k >= 100 THEN format('{:,.0f}', v / k) || '×' ELSE format('{:,.2f}', v / k) || '×' END AS ratio
+FROM (SELECT c_custkey, cast(floor(c_acctbal) AS bigint) AS v, c_custkey % 3 AS k FROM customer)"""
+Q["scheme_labels"] = """
+SELECT o_custkey, CASE WHEN t = '' THEN '(none)' WHEN t LIKE 'Strat%' THEN 'StratifiedGroupKFold(shuffle=True)' WHEN t LIKE 'Group%' THEN 'GroupKFold' ELSE substr(t, 1, 30) END AS scheme,
+  CASE WHEN t = '' THEN 'row-level 80/20' WHEN t LIKE 'Pinned%' THEN 'pinned' ELSE substr(t, 1, 30) END AS kind,
+  array_to_string(ms[1:2], ', ') || CASE WHEN len(ms) > 2 THEN ', (+' || (len(ms) - 2) || ' more)' ELSE '' END AS markets
+FROM (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS ms, max(CASE o_orderkey % 4 WHEN 0 THEN 'StratifiedGroupKFold by market' WHEN 1 THEN 'GroupKFold, 5' WHEN 2 THEN ''
+  ELSE 'Pinned market ' || o_orderpriority || ' and some more words' END) AS t FROM orders GROUP BY o_custkey)"""
