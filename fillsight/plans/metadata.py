@@ -186,7 +186,7 @@ def metadata_features(
         "median_bet_size_usdc": F.coalesce("median_bet_size_usdc", zero),
         "total_bet_size_usdc": F.coalesce("total_bet_size_usdc", zero),
         "n_wallets_same_funder": dbl(F.col("n_siblings")),
-        "n_other_wallets_same_funder": dbl(F.greatest(F.col("n_siblings") - 1, F.lit(0))),
+        "n_other_wallets_same_funder": F.when(F.col("n_siblings").isNotNull(), dbl(F.greatest(F.col("n_siblings") - 1, F.lit(0)))),
         "herfindahl_index_markets": F.when(vol > 0, ratio(F.col("r_vol_sq"), vol * vol)).otherwise(zero),
         "is_first_market": dbl(((F.col("r_n_trade_markets") == 1) & here).cast("int")),
         "time_since_first_deposit_to_first_trade_seconds": dbl(age),

@@ -2,7 +2,7 @@
 
 
 def all_queries():
-    from registry import core, trades  # noqa: F401
+    from registry import core, models, trades  # noqa: F401
 
     return dict(core.QUERIES)
 

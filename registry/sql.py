@@ -688,3 +688,258 @@ SELECT o_custkey, CASE WHEN t = '' THEN '(none)' WHEN t LIKE 'Strat%' THEN 'Stra
   array_to_string(ms[1:2], ', ') || CASE WHEN len(ms) > 2 THEN ', (+' || (len(ms) - 2) || ' more)' ELSE '' END AS markets
 FROM (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS ms, max(CASE o_orderkey % 4 WHEN 0 THEN 'StratifiedGroupKFold by market' WHEN 1 THEN 'GroupKFold, 5' WHEN 2 THEN ''
   ELSE 'Pinned market ' || o_orderpriority || ' and some more words' END) AS t FROM orders GROUP BY o_custkey)"""
+
+# ------------------------------------------------------------------- metadata
+
+B["b_wpairs"] = """
+SELECT DISTINCT wallet, slug AS market_slug FROM b_act UNION ALL SELECT DISTINCT wallet, 'm-unknown' FROM b_act WHERE slug = 'm0'"""
+B["b_am"] = """
+SELECT *, cast(round("usdcSize" * 1e6) AS bigint) AS u, CASE WHEN type = 'TRADE' AND side = 'BUY' THEN -1 WHEN type = 'TRADE' AND side <> 'SELL' THEN 0 ELSE 1 END AS sg FROM b_act"""
+B["b_life"] = """
+SELECT wallet, slug AS market_slug, min("timestamp") AS as_of_ts, sum(u) AS mv FROM b_am WHERE type = 'TRADE' GROUP BY wallet, slug"""
+B["b_pre"] = """
+SELECT p.wallet, p.market_slug, a.slug, sum(u) FILTER (WHERE a.type = 'TRADE') AS v, count(*) FILTER (WHERE a.type = 'TRADE') AS k, sum(u * sg) AS pnl
+FROM b_life p JOIN b_am a ON a.wallet = p.wallet AND a."timestamp" <= p.as_of_ts GROUP BY p.wallet, p.market_slug, a.slug"""
+B["b_pre2"] = """
+SELECT wallet, market_slug, count(*) FILTER (WHERE k > 0) AS n_tm, count(*) FILTER (WHERE pnl > 0) / count(*) AS winrate,
+  sum(cast(v AS double) * v) / nullif(cast(sum(v) AS double) * sum(v), 0) AS hhi,
+  CASE WHEN count(*) >= 2 AND stddev_pop(pnl) > 1e-6 THEN avg(pnl) / stddev_pop(pnl) END AS sharpe FROM b_pre GROUP BY wallet, market_slug"""
+B["b_size"] = """
+SELECT wallet, sum(u) / count(*) / 1e6 AS a, median("usdcSize") AS m, sum(u) / 1e6 AS t, cast(sum(u) AS bigint) AS tot FROM b_am WHERE type = 'TRADE' GROUP BY wallet"""
+B["b_recip"] = """
+SELECT funder, "to", min(ts) AS ts, max(CASE WHEN "to" IN (SELECT wallet FROM b_flag) THEN 1 ELSE 0 END) AS hit FROM b_tra GROUP BY ALL"""
+B["b_meta"] = """
+SELECT p.wallet, p.market_slug, l.as_of_ts, CASE WHEN l.as_of_ts IS NOT NULL THEN d.funder END AS funder, CASE WHEN l.as_of_ts IS NOT NULL THEN d.first_deposit_ts END AS first_deposit_ts,
+  CASE WHEN l.as_of_ts IS NULL THEN 'no TRADE activity on market' END AS error,
+  cast(q.n_tm AS double) AS n_markets_traded, cast(l.as_of_ts - d.first_deposit_ts AS double) AS wallet_age_seconds, cast(l.as_of_ts - m.start_ts AS double) AS market_age_seconds,
+  (l.as_of_ts - d.first_deposit_ts) / greatest(l.as_of_ts - m.start_ts, 1) AS wallet_to_market_age_ratio,
+  cast(l.as_of_ts - d.first_deposit_ts - (l.as_of_ts - m.start_ts) AS double) AS wallet_minus_market_age_seconds,
+  q.winrate, CASE WHEN l.as_of_ts IS NOT NULL THEN s.a END AS avg_bet_size_usdc, CASE WHEN l.as_of_ts IS NOT NULL THEN s.m END AS median_bet_size_usdc,
+  CASE WHEN l.as_of_ts IS NOT NULL THEN s.t END AS total_bet_size_usdc,
+  CASE WHEN d.funder IS NOT NULL THEN (SELECT cast(count(*) AS double) FROM b_recip r WHERE r.funder = d.funder AND r.ts <= l.as_of_ts) END AS n_wallets_same_funder,
+  CASE WHEN d.funder IS NOT NULL THEN (SELECT cast(greatest(count(*) - 1, 0) AS double) FROM b_recip r WHERE r.funder = d.funder AND r.ts <= l.as_of_ts) END AS n_other_wallets_same_funder,
+  CASE WHEN l.as_of_ts IS NOT NULL THEN coalesce(q.hhi, 0) END AS herfindahl_index_markets,
+  CASE WHEN l.as_of_ts IS NOT NULL THEN cast(q.n_tm = 1 AS double) END AS is_first_market,
+  cast(l.as_of_ts - d.first_deposit_ts AS double) AS time_since_first_deposit_to_first_trade_seconds, l.mv / s.tot AS lifetime_volume_share_on_market, q.sharpe AS pnl_sharpe,
+  CASE WHEN d.funder IS NOT NULL THEN (SELECT cast(coalesce(sum(hit), 0) AS double) FROM b_recip r WHERE r.funder = d.funder AND r.ts <= l.as_of_ts) END AS funder_flagged_wallet_count
+FROM b_wpairs p LEFT JOIN b_life l USING (wallet, market_slug) LEFT JOIN b_pre2 q USING (wallet, market_slug) LEFT JOIN b_mk m ON m.slug = p.market_slug
+LEFT JOIN b_dep d ON d.wallet = p.wallet AND l.as_of_ts IS NOT NULL LEFT JOIN b_size s ON s.wallet = p.wallet"""
+Q["metadata_features"] = rounded("b_meta", "wallet, market_slug, as_of_ts, funder, first_deposit_ts, error", METADATA_COLUMNS)
+Q["wallet_market_pnl"] = "SELECT wallet, slug AS market_slug, round(sum(u * sg) / 1e6, 8) + 0.0 AS pnl FROM b_am GROUP BY wallet, slug"
+Q["first_trade_times"] = "SELECT wallet, market_slug, min(ts) AS as_of_ts FROM b_yes GROUP BY wallet, market_slug"
+B["b_points"] = "SELECT DISTINCT funder, ts + 86400 AS as_of_ts FROM b_tra"
+Q["funder_siblings"] = """
+SELECT p.funder, p.as_of_ts, CASE WHEN max(c.n) <= (SELECT CASE WHEN count(*) > 1000 THEN 60 ELSE 5 END FROM customer) THEN count(r.ts) END AS n_siblings,
+  CASE WHEN max(c.n) <= (SELECT CASE WHEN count(*) > 1000 THEN 60 ELSE 5 END FROM customer) THEN cast(coalesce(sum(r.hit), 0) AS bigint) END AS n_flagged_siblings
+FROM b_points p LEFT JOIN b_recip r ON r.funder = p.funder AND r.ts <= p.as_of_ts JOIN (SELECT funder, count(*) AS n FROM b_recip GROUP BY funder) c ON c.funder = p.funder
+GROUP BY p.funder, p.as_of_ts"""
+B["b_tlp"] = """
+SELECT p.wallet, p.ts, a.slug, sum(u) FILTER (WHERE a.type = 'TRADE') AS v, count(*) FILTER (WHERE a.type = 'TRADE') AS k, sum(u * sg) AS pnl
+FROM (SELECT DISTINCT wallet, "timestamp" AS ts FROM b_am) p JOIN b_am a ON a.wallet = p.wallet AND a."timestamp" <= p.ts GROUP BY p.wallet, p.ts, a.slug"""
+Q["wallet_timeline"] = """
+SELECT wallet, ts, count(*) FILTER (WHERE k > 0) AS n_trade_markets, count(*) AS n_markets, count(*) FILTER (WHERE pnl > 0) AS n_winning,
+  cast(coalesce(sum(v), 0) AS bigint) AS vol, cast(sum(pnl) AS bigint) AS pnl FROM b_tlp GROUP BY wallet, ts"""
+Q["wallet_bet_sizes"] = """
+SELECT wallet, round(a, 8) + 0.0 AS avg_bet_size_usdc, round(m, 8) + 0.0 AS median_bet_size_usdc, round(t, 8) + 0.0 AS total_bet_size_usdc, tot AS lifetime_micro FROM b_size"""
+
+# ------------------------------------------------------------------- datasets
+
+B["b_pos"] = "SELECT wallet, market_slug FROM b_lab WHERE is_insider = 1"
+Q["strict_join"] = """
+SELECT wallet, market_slug, round(active_day_frac, 8) + 0.0 AS active_day_frac, round(net_tokens, 8) + 0.0 AS net_tokens FROM x_days JOIN x_position USING (wallet, market_slug)"""
+Q["labelled_features"] = "SELECT wallet, market_slug, round(active_day_frac, 8) + 0.0 AS active_day_frac, is_insider FROM b_feat"
+Q["unlabelled_count"] = "SELECT count(*) AS dropped FROM x_days x WHERE NOT EXISTS (SELECT 1 FROM b_lab l WHERE l.wallet = x.wallet AND l.market_slug = x.market_slug)"
+Q["positive_presence"] = """
+SELECT p.wallet, p.market_slug, v.wallet IS NOT NULL AS present FROM (SELECT * FROM b_pos UNION ALL SELECT wallet, 'm-unknown' FROM b_flag) p LEFT JOIN b_vol v USING (wallet, market_slug)"""
+Q["known_wallet_exclusion"] = "SELECT wallet, market_slug, volume_micro FROM b_vol WHERE wallet NOT IN (SELECT wallet FROM b_pos)"
+Q["unmatched_keys"] = "SELECT wallet, market_slug FROM x_days EXCEPT ALL SELECT wallet, market_slug FROM b_lab"
+Q["ragged_union"] = """
+SELECT wallet, market_slug, n_distinct_active_days, NULL::bigint AS n_distinct_buy_days FROM x_days WHERE market_slug = 'm1'
+UNION ALL SELECT wallet, market_slug, NULL, n_distinct_buy_days FROM x_days WHERE market_slug = 'm2'"""
+Q["stacked_labels"] = """
+SELECT wallet, market_slug, n_distinct_active_days, cast(wallet IN (SELECT wallet FROM b_flag) AS integer) AS is_insider, 'scan' AS origin FROM x_days
+WHERE market_slug < 'm4' OR wallet IN (SELECT wallet FROM b_flag)"""
+Q["volume_floor"] = """
+SELECT market_slug, count(*) AS n_pos, round(quantile_cont(volume_micro / 1e6, 0.25), 8) + 0.0 AS volume_floor FROM b_vol JOIN b_pos USING (wallet, market_slug) GROUP BY market_slug"""
+B["b_cls"] = "SELECT market_slug, is_insider, count(*) AS n FROM b_lab GROUP BY market_slug, is_insider"
+Q["downsampled_market"] = """
+SELECT market_slug, is_insider, cast(CASE WHEN market_slug <> 'm1' THEN n WHEN is_insider = 1 THEN n - 3
+  ELSE least(n, round_even((SELECT n - 3 FROM b_cls WHERE market_slug = 'm1' AND is_insider = 1) * n / (SELECT n FROM b_cls WHERE market_slug = 'm1' AND is_insider = 1), 0)) END AS bigint) AS n FROM b_cls"""
+Q["markets_without_prefix"] = "SELECT market_slug, count(*) AS n FROM b_lab WHERE market_slug NOT LIKE 'm1%' GROUP BY market_slug"
+B["b_timed"] = """
+SELECT l.*, CASE WHEN l.market_slug <> 'm2' THEN f.ts END AS t FROM b_lab l JOIN (SELECT wallet, market_slug, min(ts) AS ts FROM b_yes GROUP BY ALL) f USING (wallet, market_slug)"""
+B["b_mst"] = "SELECT market_slug, count(*) AS n_rows, cast(sum(is_insider) AS bigint) AS n_pos, median(t) AS median_ts FROM b_timed GROUP BY market_slug"
+Q["market_stats"] = """
+SELECT market_slug, n_rows, n_pos, round(median_ts, 8) + 0.0 AS median_ts, round(n_pos / n_rows, 8) + 0.0 AS positive_rate, CASE WHEN n_rows >= 12 THEN 'large' ELSE 'small' END AS size_band FROM b_mst"""
+Q["pinned_split"] = """
+SELECT market_slug, count(*) AS n_rows, cast(sum(is_insider) AS bigint) AS n_pos, CASE WHEN market_slug IN ('m2', 'm5') THEN 'test' ELSE 'train' END AS split FROM b_lab GROUP BY market_slug"""
+Q["time_split"] = """
+SELECT market_slug, round(median_ts, 8) + 0.0 AS median_ts, CASE WHEN market_slug IN ('m5', 'm6') THEN 'test'
+  WHEN median_ts < (SELECT min(median_ts) FROM b_mst WHERE market_slug IN ('m5', 'm6')) THEN 'train' ELSE 'val' END AS split FROM b_mst"""
+B["b_labn"] = "SELECT is_insider, count(*) AS n, cast(round(count(*) * 0.2) AS bigint) AS k FROM b_lab GROUP BY is_insider"
+Q["stratified_rows"] = """
+SELECT is_insider, 'test' AS split, k AS n FROM b_labn UNION ALL SELECT is_insider, 'train', n - k FROM b_labn"""
+B["b_tf"] = "SELECT *, row_number() OVER (ORDER BY median_ts, market_slug) - 1 AS rn, count(*) OVER () AS nm FROM b_mst WHERE median_ts IS NOT NULL"
+Q["time_folds"] = """
+SELECT CASE WHEN rn < nm - 3 * (nm // 4) THEN 0 ELSE cast((rn - (nm - 3 * (nm // 4))) // (nm // 4) + 1 AS integer) END AS fold, count(*) AS n_markets, cast(sum(n_rows) AS bigint) AS n_rows,
+  min(market_slug) AS first_market FROM b_tf GROUP BY 1"""
+Q["leave_one_out_folds"] = "SELECT count(*) AS n, count(*) AS n_folds, 0 AS lo, cast(count(*) - 1 AS integer) AS hi FROM b_lab"
+Q["fold_breakdown"] = """
+SELECT cast(substr(market_slug, 2, 1) AS integer) % 3 AS fold, count(DISTINCT market_slug) AS n_markets, count(*) AS n_rows, cast(sum(is_insider) AS bigint) AS n_pos,
+  array_to_string(list_sort(list(DISTINCT market_slug)), ',') AS markets, round(sum(is_insider) / count(*), 8) + 0.0 AS positive_rate FROM b_lab GROUP BY 1"""
+_DAYC = ["n_distinct_buy_days", "n_distinct_sell_days", "buy_day_concentration_hhi", "sell_day_concentration_hhi", "active_day_frac"]
+B["b_sep"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg({c}) FILTER (WHERE is_insider = 1) AS pm, avg({c}) FILTER (WHERE is_insider = 0) AS nm, count({c}) / count(*) AS coverage FROM b_feat" for c in _DAYC
+)
+Q["separability"] = """
+SELECT feature, round(pm, 8) + 0.0 AS positive_mean, round(nm, 8) + 0.0 AS negative_mean, round(coverage, 8) + 0.0 AS coverage, round(pm / nm, 8) + 0.0 AS ratio FROM b_sep"""
+Q["missingness"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round((count(*) - count({c})) / count(*), 8) + 0.0 AS null_frac FROM x_fixed"
+    for c in [f"{s}_markout_mean_{h}s" for s in ("buy", "sell") for h in (300, 3600)]
+)
+Q["availability_flags"] = """
+SELECT p.market_slug, p.wallet, round(coalesce(buy_markout_mean_300s, 0), 8) + 0.0 AS buy_markout_mean_300s, round(coalesce(sell_markout_mean_300s, 0), 8) + 0.0 AS sell_markout_mean_300s,
+  round(coalesce(realized_pnl_per_matched_token, 0), 8) + 0.0 AS realized_pnl_per_matched_token, 0.0::double AS derisk_0p5_token_frac, round(path_alignment, 8) + 0.0 AS path_alignment,
+  round(active_day_frac, 8) + 0.0 AS active_day_frac, cast(buy_markout_mean_300s IS NOT NULL AS integer) AS has_buy, cast(sell_markout_mean_300s IS NOT NULL AS integer) AS has_sell,
+  0 AS has_adaptive_features, cast(realized_pnl_per_matched_token IS NOT NULL AS integer) AS has_realized_match, 0 AS has_open_inventory,
+  cast(path_alignment IS NOT NULL AS integer) AS has_position_path, cast(active_day_frac IS NOT NULL AS integer) AS has_any_trade
+FROM x_position p LEFT JOIN x_fixed USING (market_slug, wallet) LEFT JOIN x_realized USING (market_slug, wallet) LEFT JOIN x_days USING (market_slug, wallet)"""
+B["b_clu"] = """
+SELECT cluster, count(*) AS size, cast(sum(is_insider) AS bigint) AS positives, sum(is_insider) / count(*) AS rate FROM (
+  SELECT *, CASE WHEN cast(substr(wallet, 2) AS integer) % 9 = 0 THEN -1 ELSE cast(substr(wallet, 2) AS integer) % 5 END AS cluster FROM b_lab) GROUP BY cluster"""
+Q["cluster_profile"] = """
+SELECT cluster, size, positives, round(rate, 8) + 0.0 AS rate, round(rate / (SELECT sum(positives) / sum(size) FROM b_clu), 8) + 0.0 AS lift,
+  round(positives / (SELECT sum(positives) FROM b_clu), 8) + 0.0 AS captured, cluster = (SELECT cluster FROM b_clu WHERE cluster <> -1 ORDER BY rate DESC, cluster LIMIT 1) AS purest FROM b_clu"""
+Q["feature_sets"] = """
+SELECT DISTINCT feature, CASE WHEN feature LIKE 'b%' THEN 'behavior' WHEN feature LIKE 'q%' THEN 'metadata' ELSE 'unknown' END AS kind FROM (
+  SELECT 'b' || (s_suppkey % 4) AS feature FROM supplier UNION ALL SELECT 'q' || (s_suppkey % 3) FROM supplier UNION ALL SELECT 'other' FROM supplier)"""
+
+# -------------------------------------------------------------------- metrics
+
+B["b_sc"] = """
+SELECT l.doc_id, l.quality AS label, (d.n_chars % 97) / 97.0::double AS score, d.source FROM labels l JOIN documents d USING (doc_id)"""
+B["b_tie"] = "SELECT source, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM b_sc GROUP BY source, score"
+B["b_grp"] = "SELECT source AS grp, score, pos, neg FROM b_tie UNION ALL SELECT 'all', score, sum(pos), sum(neg) FROM b_tie GROUP BY score"
+B["b_curve"] = """
+SELECT *, tp / (tp + fp) AS precision, tp / nullif(n_pos, 0) AS recall FROM (
+  SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY grp) AS n_pos, sum(neg) OVER (PARTITION BY grp) AS n_neg FROM b_grp
+  WINDOW w AS (PARTITION BY grp ORDER BY score DESC))"""
+Q["ranking_curve"] = """
+SELECT round(score, 8) + 0.0 AS score, cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, round(precision, 8) + 0.0 AS precision, round(recall, 8) + 0.0 AS recall FROM b_curve WHERE grp = 'all'"""
+Q["cumulative_hits"] = """
+SELECT doc_id, rank, cast(tp AS bigint) AS tp, cast(rank - tp AS bigint) AS fp, round(tp / rank, 8) + 0.0 AS precision, round(tp / greatest(p, 1), 8) + 0.0 AS recall FROM (
+  SELECT doc_id, row_number() OVER w AS rank, sum(label) OVER w AS tp, (SELECT sum(label) FROM b_sc) AS p FROM b_sc WINDOW w AS (ORDER BY score DESC, doc_id))"""
+B["b_pairs"] = """
+SELECT a.grp, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END * a.pos * b.neg) AS w FROM b_grp a JOIN b_grp b ON a.grp = b.grp GROUP BY a.grp"""
+Q["auc_and_ap"] = """
+SELECT c.grp, cast(max(n_pos + n_neg) AS bigint) AS n, cast(max(n_pos) AS bigint) AS n_positives,
+  CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN round(max(p.w) / (max(n_pos) * max(n_neg)), 8) + 0.0 END AS roc_auc,
+  CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN round(sum(pos * precision) / max(n_pos), 8) + 0.0 END AS pr_auc
+FROM b_curve c JOIN b_pairs p USING (grp) GROUP BY c.grp"""
+B["b_conf"] = """
+SELECT source, count(*) FILTER (WHERE score >= 0.4 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.4 AND label <> 1) AS fp,
+  count(*) FILTER (WHERE score < 0.4 AND label = 1) AS fn, count(*) FILTER (WHERE score < 0.4 AND label <> 1) AS tn FROM b_sc GROUP BY source"""
+_PR = "{a} / greatest({a} + {b}, 1)"
+
+
+def _f1(p: str, rc: str) -> str:
+    return f"2 * ({p}) * ({rc}) / greatest(({p}) + ({rc}), 1e-12)"
+
+
+_p, _rc = _PR.format(a="tp", b="fp"), _PR.format(a="tp", b="fn")
+Q["confusion_counts"] = f"""
+SELECT source, tp, fp, fn, tn, round({_p}, 8) + 0.0 AS precision, round({_rc}, 8) + 0.0 AS recall, round({_f1(_p, _rc)}, 8) + 0.0 AS f1 FROM b_conf"""
+B["b_conf2"] = "SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM b_conf"
+_p0, _r0 = _PR.format(a="tn", b="fn"), _PR.format(a="tn", b="fp")
+Q["class_report"] = f"""
+SELECT 1 AS class, round({_p}, 8) + 0.0 AS precision, round({_rc}, 8) + 0.0 AS recall, cast(tp + fn AS bigint) AS support, round({_f1(_p, _rc)}, 8) + 0.0 AS f1 FROM b_conf2
+UNION ALL SELECT 0, round({_p0}, 8) + 0.0, round({_r0}, 8) + 0.0, cast(tn + fp AS bigint), round({_f1(_p0, _r0)}, 8) + 0.0 FROM b_conf2"""
+
+
+def _threshold(meets: str, order: str, fallback: str) -> str:
+    return f"""
+SELECT grp AS source, n_pos > 0 AS ok, CASE WHEN n_pos > 0 THEN round(score, 8) + 0.0 END AS threshold, CASE WHEN n_pos > 0 THEN round(precision, 8) + 0.0 END AS precision,
+  CASE WHEN n_pos > 0 THEN round(recall, 8) + 0.0 END AS recall, CASE WHEN n_pos > 0 THEN cast(tp + fp AS bigint) END AS n_pred_pos, cast(n_pos + n_neg AS bigint) AS n_test,
+  cast(n_pos AS bigint) AS n_pos, CASE WHEN n_pos > 0 THEN coalesce({meets}, false) END AS reached
+FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY coalesce({meets}, false) DESC, CASE WHEN {meets} THEN {order[0]} ELSE {fallback[0]} END DESC,
+  CASE WHEN {meets} THEN {order[1]} ELSE {fallback[1]} END DESC, score DESC) AS rn FROM b_curve WHERE grp <> 'all') WHERE rn = 1"""
+
+
+Q["tuned_threshold_precision"] = _threshold("precision >= 0.9", ("recall", "score"), ("precision", "recall"))
+Q["tuned_threshold_recall"] = _threshold("recall >= 0.8", ("precision", "recall"), ("recall", "precision"))
+Q["curve_points"] = """
+SELECT round(score, 8) + 0.0 AS score, round(fp / nullif(n_neg, 0), 8) + 0.0 AS fpr, round(recall, 8) + 0.0 AS tpr, round(precision, 8) + 0.0 AS precision, round(recall, 8) + 0.0 AS recall,
+  round(n_pos / (n_pos + n_neg), 8) + 0.0 AS chance FROM b_curve WHERE grp = 'all'"""
+B["b_hb"] = "SELECT min(score) AS lo, (max(score) - min(score)) / 40 AS w FROM b_sc"
+Q["score_histogram"] = """
+SELECT label, bin, round(lo + bin * w, 8) + 0.0 AS bin_start, n, round(n / (sum(n) OVER (PARTITION BY label)) / w, 8) + 0.0 AS density FROM (
+  SELECT label, cast(least(floor((score - lo) / w), 39) AS integer) AS bin, lo, w, count(*) AS n FROM b_sc, b_hb GROUP BY ALL)"""
+B["b_fv"] = "SELECT 't' || (o_custkey % 20) AS tag, o_orderkey % 5 AS fold, avg(floor(o_totalprice) / 1000000) AS pr_auc FROM orders GROUP BY ALL"
+Q["cv_summary"] = "SELECT tag, round(avg(pr_auc), 8) + 0.0 AS cv_mean, round(stddev_pop(pr_auc), 8) + 0.0 AS cv_std, count(pr_auc) AS n_folds FROM b_fv GROUP BY tag"
+Q["reproduction_error"] = """
+SELECT a.tag, CASE WHEN a.tag = 't3' THEN 0.0 ELSE round(max(abs(a.v - b.v)), 8) + 0.0 END AS max_abs_diff FROM
+  (SELECT tag, pr_auc AS v, row_number() OVER (PARTITION BY tag ORDER BY pr_auc) AS rn FROM b_fv) a LEFT JOIN
+  (SELECT tag, pr_auc + fold / 1000 AS v, row_number() OVER (PARTITION BY tag ORDER BY pr_auc + fold / 1000) AS rn FROM b_fv) b ON a.tag = b.tag AND a.rn = b.rn GROUP BY a.tag"""
+
+# -------------------------------------------------------------------- reports
+
+B["b_mod"] = """
+SELECT 'tag' || c_custkey AS tag, CASE WHEN c_custkey % 7 <> 0 THEN (v % 500 + 500) / 1000 END AS cv_pr, (v % 30) / 1000 AS cv_std, CASE WHEN c_custkey % 11 <> 0 THEN (v % 400 + 600) / 1000 END AS test_pr,
+  (v % 90 + 900) / 1000 AS test_roc, CASE WHEN c_custkey % 13 <> 0 THEN c_nationkey + 5 END AS n_features, v * 3 + 10 AS n_params
+FROM (SELECT *, cast(floor(abs(c_acctbal)) AS bigint) AS v FROM customer)"""
+Q["model_ranking"] = "SELECT tag, round(cv_pr, 8) + 0.0 AS cv_pr, row_number() OVER (ORDER BY cv_pr DESC NULLS LAST, tag) AS rank FROM b_mod"
+Q["model_roc_swap"] = """
+SELECT m.tag, round(r.m, 8) + 0.0 AS cv_pr, round(r.s, 8) + 0.0 AS cv_std, round(m.test_roc, 8) + 0.0 AS test_pr FROM b_mod m
+LEFT JOIN (SELECT replace(tag, 't', 'tag') AS tag, avg(pr_auc) AS m, stddev_pop(pr_auc) AS s FROM b_fv GROUP BY tag) r ON r.tag = m.tag"""
+Q["model_recommendation"] = """
+SELECT (SELECT tag FROM b_mod WHERE cv_pr IS NOT NULL ORDER BY cv_pr DESC, tag LIMIT 1) AS best_cv, (SELECT tag FROM b_mod WHERE test_pr IS NOT NULL ORDER BY test_pr DESC, tag LIMIT 1) AS best_test,
+  (SELECT tag FROM b_mod WHERE test_pr >= 0.95 AND n_features IS NOT NULL ORDER BY n_features, test_pr DESC, tag LIMIT 1) AS simple_test,
+  (SELECT tag FROM b_mod WHERE cv_pr >= (SELECT max(cv_pr) - 0.05 FROM b_mod) AND n_features IS NOT NULL ORDER BY n_features, cv_pr DESC, tag LIMIT 1) AS simple_cv"""
+Q["leanest_model"] = """
+SELECT tag, n_params, round(cv_pr, 8) + 0.0 AS cv_pr FROM b_mod WHERE cv_pr >= (SELECT max(cv_pr) - 0.05 FROM b_mod) ORDER BY n_params, cv_pr DESC, tag LIMIT 1"""
+Q["cv_against_test"] = """
+SELECT tag, round(cv_pr, 8) + 0.0 AS cv_pr, round(test_pr, 8) + 0.0 AS test_pr, round(test_pr - cv_pr, 8) + 0.0 AS gap, test_pr < cv_pr AS cv_optimistic FROM b_mod
+WHERE cv_pr IS NOT NULL AND test_pr IS NOT NULL"""
+B["b_art"] = "SELECT 'tag' || (o_custkey % 40) AS tag, 'run_' || o_orderkey || '.json' AS path, cast(epoch(o_orderdate) AS bigint) AS mtime FROM orders"
+Q["latest_artifacts"] = """
+SELECT tag, CASE WHEN tag IN ('tag1', 'tag2') THEN 'new_' ELSE '' END || arg_max(path, (mtime, path)) AS path, max(mtime) AS mtime FROM b_art GROUP BY tag"""
+Q["rank_slice"] = """
+SELECT wallet, pred_prob, rank FROM (SELECT wallet || '/' || market_slug AS wallet, round(volume_micro / 1e6, 8) + 0.0 AS pred_prob,
+  row_number() OVER (ORDER BY volume_micro / 1e6 DESC, wallet || '/' || market_slug) AS rank FROM b_vol) WHERE rank BETWEEN 11 AND 40"""
+B["b_con"] = """
+SELECT wallet, market_slug, is_insider, 'n_distinct_buy_days' AS feature, cast(n_distinct_buy_days AS double) AS value, 0.35 * n_distinct_buy_days AS contribution FROM b_feat
+UNION ALL SELECT wallet, market_slug, is_insider, 'n_distinct_sell_days', n_distinct_sell_days, -0.5 * n_distinct_sell_days FROM b_feat
+UNION ALL SELECT wallet, market_slug, is_insider, 'active_day_frac', active_day_frac, 2.0 * active_day_frac FROM b_feat"""
+Q["linear_contributions"] = "SELECT wallet, market_slug, feature, round(value, 8) + 0.0 AS value, round(contribution, 8) + 0.0 AS contribution FROM b_con"
+B["b_lin"] = "SELECT wallet, market_slug, max(is_insider) AS is_insider, -0.75 + sum(contribution) AS z FROM b_con GROUP BY wallet, market_slug"
+Q["linear_scores"] = "SELECT wallet, market_slug, round(z, 8) + 0.0 AS logit, round(1 / (1 + exp(-z)), 8) + 0.0 AS prob FROM b_lin"
+B["b_wrong"] = "SELECT *, cast(z >= 0 AS integer) AS pred_label FROM b_lin WHERE cast(z >= 0 AS integer) <> is_insider"
+Q["misclassified_rows"] = "SELECT wallet, market_slug, is_insider, pred_label, round(1 / (1 + exp(-z)), 8) + 0.0 AS prob FROM b_wrong"
+Q["error_drivers"] = """
+SELECT wallet, market_slug, feature, round(contribution, 8) + 0.0 AS contribution, rn AS driver_rank FROM (
+  SELECT c.*, row_number() OVER (PARTITION BY c.wallet, c.market_slug ORDER BY CASE WHEN w.is_insider = 0 THEN contribution ELSE -contribution END DESC, feature) AS rn
+  FROM b_con c JOIN b_wrong w USING (wallet, market_slug)) WHERE rn <= 2"""
+B["b_rkc"] = "SELECT *, row_number() OVER (PARTITION BY wallet, market_slug ORDER BY abs(contribution) DESC, feature) AS rank FROM b_con"
+Q["top_contributions"] = "SELECT wallet, market_slug, feature, round(contribution, 8) + 0.0 AS contribution, rank FROM b_rkc WHERE rank <= 2"
+B["b_rkt"] = """
+SELECT wallet, market_slug, feature, c, row_number() OVER (PARTITION BY wallet, market_slug ORDER BY abs(c) DESC, feature) AS rank FROM (SELECT *, round(contribution, 2) AS c FROM b_con)"""
+Q["top_contribution_text"] = """
+SELECT wallet, market_slug, string_agg(feature || '(' || printf('%+.3f', c::double) || ')', '; ' ORDER BY rank) AS top_features FROM b_rkt WHERE rank <= 2 GROUP BY wallet, market_slug"""
+Q["importance_attribution"] = """
+SELECT wallet, market_slug, feature, round(value, 8) + 0.0 AS value, CASE feature WHEN 'active_day_frac' THEN 2.0::double ELSE 0.5::double END AS contribution FROM b_con WHERE feature <> 'n_distinct_buy_days'"""
+Q["attribution_matrix"] = """
+SELECT feature, round(sum(contribution) FILTER (WHERE market_slug = 'm0'), 8) + 0.0 AS m0, round(sum(contribution) FILTER (WHERE market_slug = 'm1'), 8) + 0.0 AS m1,
+  round(sum(contribution) FILTER (WHERE market_slug = 'm2'), 8) + 0.0 AS m2, round((SELECT quantile_cont(abs(contribution), 0.98) FROM b_con WHERE market_slug IN ('m0', 'm1', 'm2')), 8) + 0.0 AS scale
+FROM b_con WHERE market_slug IN ('m0', 'm1', 'm2') GROUP BY feature"""
+B["b_ms"] = " UNION ALL ".join(f"SELECT wallet, market_slug, 'm{k}' AS model, volume_micro % {k} / {k} AS score FROM b_vol" for k in (101, 211, 307))
+Q["ensemble_scores"] = """
+SELECT 'e' || e AS ensemble, wallet, market_slug, round(sum(score * w) / sum(w), 8) + 0.0 AS score FROM (
+  SELECT *, CASE model WHEN 'm101' THEN 1 + e * 0.5 WHEN 'm211' THEN 1 + e * 2.0 ELSE 1 END AS w FROM b_ms, (SELECT unnest([0, 1]) AS e)) GROUP BY e, wallet, market_slug"""
+Q["flag_counts"] = "SELECT wallet, market_slug, count(*) FILTER (WHERE score >= 0.6) AS n_flagged, count(*) AS n_models FROM b_ms GROUP BY wallet, market_slug"
+Q["scan_summary"] = """
+SELECT market_slug, count(*) AS scored, count(*) FILTER (WHERE score >= 0.7) AS n_flagged, round(max(score), 8) + 0.0 AS max_prob FROM b_ms WHERE model = 'm211' GROUP BY market_slug"""
+B["b_coef"] = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} - 0.25 AS coef FROM x_days WHERE {c} IS NOT NULL" for c in _DAYC)
+Q["coefficient_stability"] = """
+SELECT feature, round(avg(coef), 8) + 0.0 AS mean_coef, round(median(coef), 8) + 0.0 AS median_coef, round(stddev_samp(coef), 8) + 0.0 AS std_coef, round(avg(abs(coef)), 8) + 0.0 AS mean_abs_coef,
+  round(median(abs(coef)), 8) + 0.0 AS median_abs_coef, round(avg(cast(abs(coef) > 1e-8 AS double)), 8) + 0.0 AS nonzero_frac, round(avg(cast(coef > 1e-8 AS double)), 8) + 0.0 AS positive_frac,
+  round(avg(cast(coef < -1e-8 AS double)), 8) + 0.0 AS negative_frac FROM b_coef GROUP BY feature"""
