@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from fillsight.operators.dataset import hash_order
 
@@ -84,7 +84,7 @@ def score_forest(df: DataFrame, forest: DataFrame, features: Sequence[str], cont
     norm = path_norm(float(np.mean([g["size"].iloc[0] for g in trees])))
     shared = spark.sparkContext.broadcast(packed)
     cols = list(features)
-    out_schema = df.schema.add("anomaly_score", "double")
+    out_schema = T.StructType([*df.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest_ = shared.value

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from itertools import product
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -23,6 +22,7 @@ from fillsight.functions.scalar import platt
 from fillsight.ml.metrics import auc_and_ap, confusion, cv_summary, tune_threshold
 from fillsight.operators import dataset as D
 from fillsight.schema import MARKET
+from fillsight.session import materialize
 
 LABEL = D.LABEL
 WEIGHT = "weight"
@@ -293,10 +293,10 @@ def evaluate(scored: DataFrame, threshold: float, score: str = "score") -> DataF
 
 def train(df: DataFrame, spec: TrainSpec) -> Trained:
     """Split, out-of-fold scores, calibration, refit on all training rows, test metrics."""
-    prepared = prepare(split_rows(df, spec), spec).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = materialize(prepare(split_rows(df, spec), spec))
     train_rows = prepared.filter(F.col("split") == "train")
-    folded = fold_rows(train_rows, spec).persist(StorageLevel.MEMORY_AND_DISK)
-    oof = oof_predictions(folded, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = materialize(fold_rows(train_rows, spec))
+    oof = materialize(oof_predictions(folded, spec))
     calibrator = fit_calibrator(oof) if spec.calibrate else None
     model = pipeline_for(spec, _total_weight(train_rows)).fit(train_rows)
     test = insider_score(score_rows(model, prepared.filter(F.col("split") == "test")), calibrator)
@@ -371,7 +371,8 @@ def tune_penalty(folded: DataFrame, spec: TrainSpec, cs: Sequence[float], thresh
 
 def nested_cv(df: DataFrame, spec: TrainSpec, cs: Sequence[float], outer: int = 3) -> DataFrame:
     """Outer folds scored by the penalty that the inner folds of the rest prefer."""
-    outer_df = D.row_folds(df, outer, spec.seed).withColumnRenamed("fold", "outer_fold").persist()
+    outer_df = D.row_folds(df, outer, spec.seed).withColumnRenamed("fold", "outer_fold")
+    outer_df = materialize(outer_df)
     parts = []
     for k in range(outer):
         rest = prepare(D.row_folds(outer_df.filter(F.col("outer_fold") != k).drop("outer_fold"), spec.n_folds, spec.seed + 1), spec)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change plans or results; the cluster decides everything else.
 RUNTIME_CONF = {
@@ -60,3 +60,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(os.environ.get("FILLSIGHT_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="fillsight-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared checkpoint folder and continue from there.
+
+    Used where a result feeds many later jobs (model fits, iterations): plans stay
+    small, and a lost executor costs a re-read instead of the whole lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

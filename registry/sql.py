@@ -943,3 +943,29 @@ Q["coefficient_stability"] = """
 SELECT feature, round(avg(coef), 8) + 0.0 AS mean_coef, round(median(coef), 8) + 0.0 AS median_coef, round(stddev_samp(coef), 8) + 0.0 AS std_coef, round(avg(abs(coef)), 8) + 0.0 AS mean_abs_coef,
   round(median(abs(coef)), 8) + 0.0 AS median_abs_coef, round(avg(cast(abs(coef) > 1e-8 AS double)), 8) + 0.0 AS nonzero_frac, round(avg(cast(coef > 1e-8 AS double)), 8) + 0.0 AS positive_frac,
   round(avg(cast(coef < -1e-8 AS double)), 8) + 0.0 AS negative_frac FROM b_coef GROUP BY feature"""
+
+# ------------------------------------------------------------------ streaming
+
+Q["streamed_ingest"] = "SELECT market_slug, count(*) AS n_fills, count(*) AS n_ids FROM b_fills GROUP BY market_slug"
+Q["streamed_positions"] = """
+SELECT market_slug, wallet, cast(sum(signed_micro) AS bigint) AS inventory_micro, cast(sum(cash_micro) AS bigint) AS volume_micro, count(*) AS n_trades, max(ts) AS last_ts
+FROM b_yes GROUP BY market_slug, wallet"""
+B["b_twice"] = "SELECT * FROM b_leg UNION ALL SELECT * FROM b_leg WHERE ts % 5 = 0"
+Q["streamed_hourly_volume"] = """
+SELECT market_slug, ts // 3600 * 3600 AS hour, round(sum(cash / 1e6), 8) + 0.0 AS cash, round(sum(token / 1e6), 8) + 0.0 AS tokens, count(*) AS n_fills,
+  round(arg_max(CASE WHEN is_no THEN 1 - cash / token ELSE cash / token END, (ts, CASE WHEN is_no THEN 1 - cash / token ELSE cash / token END)), 8) + 0.0 AS last_price
+FROM b_twice GROUP BY market_slug, ts // 3600 * 3600"""
+B["b_cmp"] = """
+SELECT m.* EXCLUDE (cv_pr, cv_std), coalesce(s.m, m.cv_pr) AS cv_pr, coalesce(s.s, m.cv_std) AS cv_std FROM b_mod m
+LEFT JOIN (SELECT replace(tag, 't', 'tag') AS tag, avg(pr_auc) AS m, stddev_pop(pr_auc) AS s FROM b_fv GROUP BY tag) s ON s.tag = m.tag"""
+Q["model_comparison"] = """
+SELECT tag, round(cv_pr, 8) + 0.0 AS cv_pr, round(cv_std, 8) + 0.0 AS cv_std, round(test_pr, 8) + 0.0 AS test_pr, round(test_roc, 8) + 0.0 AS test_roc, n_features, n_params,
+  cast(row_number() OVER (ORDER BY cv_pr DESC NULLS LAST, tag) AS integer) AS rank,
+  tag = (SELECT tag FROM b_cmp WHERE cv_pr IS NOT NULL ORDER BY cv_pr DESC, tag LIMIT 1) AS is_best_cv,
+  tag = (SELECT tag FROM b_cmp WHERE test_pr IS NOT NULL ORDER BY test_pr DESC, tag LIMIT 1) AS is_best_test,
+  tag = (SELECT tag FROM b_cmp WHERE test_pr >= 0.95 AND n_features IS NOT NULL ORDER BY n_features, test_pr DESC, tag LIMIT 1) AS is_simple_test,
+  tag = (SELECT tag FROM b_cmp WHERE cv_pr >= (SELECT max(cv_pr) - 0.05 FROM b_cmp) AND n_features IS NOT NULL ORDER BY n_features, cv_pr DESC, tag LIMIT 1) AS is_simple_cv,
+  test_pr < cv_pr AS cv_optimistic FROM b_cmp"""
+Q["separability_report"] = """
+SELECT feature, format('{:,.3f}', round(pm, 6)) AS positive, CASE WHEN round(pm, 9) / round(nm, 9) >= 100 THEN format('{:,.0f}', round(pm, 9) / round(nm, 9)) ELSE format('{:,.2f}', round(pm, 9) / round(nm, 9)) END || '×' AS ratio,
+  format('{:,.1f}', coverage * 100) || '%' AS coverage FROM b_sep"""
