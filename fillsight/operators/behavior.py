@@ -206,6 +206,8 @@ def fixed_markout_features(trades: DataFrame, horizons: Sequence[int] = FIXED_HO
 
 def _with_medians(df: DataFrame, aggs: list[Column], med: dict[str, Column], split: bool) -> DataFrame:
     if not split:
+        # rows are narrower than partial median buffers, so they move before aggregation
+        df = df.repartition(*KEYS)
         return df.groupBy(*KEYS).agg(*aggs, *[F.median(v).alias(n) for n, v in med.items()])
     # over-full groups: one row per (wallet, measure, value), exact ranks by counting
     long = df.select(

@@ -36,7 +36,13 @@ def series_facts(history: DataFrame, split: bool = False) -> DataFrame:
 
 
 def price_index(history: DataFrame, cells: Cells | None = None) -> DataFrame:
-    """As-of index of the series with running sums for trailing-window statistics.
+    """As-of index of the series' prices."""
+    h = history.select(MARKET, "ts", "trade_id", "yes_price")
+    return build_index(h, [MARKET], "ts", ["yes_price"], tiebreak=["ts", "trade_id"], cells=cells)
+
+
+def sums_index(history: DataFrame, cells: Cells | None = None) -> DataFrame:
+    """As-of index of running sums for trailing-window statistics.
 
     Time is centred on the market's first second. ``sad`` sums the absolute step
     from the previous row.
@@ -63,7 +69,7 @@ def price_index(history: DataFrame, cells: Cells | None = None) -> DataFrame:
         },
         cells=cells,
     )
-    return build_index(h, [MARKET], "ts", ["yes_price", *SUMS], tiebreak=order, cells=cells)
+    return build_index(h, [MARKET], "ts", list(SUMS), tiebreak=order, cells=cells)
 
 
 def window_sums(at_end: Column, before_start: Column) -> dict[str, Column]:
@@ -88,85 +94,78 @@ def window_std(s: dict[str, Column]) -> Column:
     return F.when(s["n"] >= 2, F.sqrt(var) / PRICE_SCALE)
 
 
-def horizon_name(i: int) -> str:
-    return f"fut{i}"
-
-
 def second_lookups(
     seconds: DataFrame,
-    index: DataFrame,
+    history: DataFrame,
     facts: DataFrame,
     cells: Cells | None = None,
     fracs: Sequence[float] = GRID_FRACS,
     horizons: Sequence[int] = FIXED_HORIZONS,
     grid: bool = True,
     fixed: bool = True,
-    trend_window: int = TREND_WINDOW,
 ) -> DataFrame:
     """Prices around every distinct (market, second) of ``seconds``.
 
-    All probes of a second (its own time, horizons, look-backs, the start of the
-    trailing window) go through one as-of pass. Results depend on the second only,
-    so trades of one second share them, and a market contributes at most one row per
-    second of its life however many trades it has.
-
-    Columns: price_at (first price at or after), near_price, fut<i>/past<i> for the
-    grid, fix<h> for fixed horizons, end_sums/start_sums and first_in_window for the
-    trailing window.
+    All probes of a second (its own time, horizons, look-backs) go through one as-of
+    pass. Results depend on the second only, so trades of one second share them, and a
+    market contributes at most one row per second of its life however many trades it
+    has. Columns: price_at (first price at or after), near_price, fut<i>/past<i> for
+    the grid, fix<h> for fixed horizons.
     """
     s = seconds.select(MARKET, "ts").distinct().join(facts.select(MARKET, "life"), MARKET)
     probe = lambda k, at: F.struct(F.lit(k).alias("kind"), at.cast("bigint").alias("at"))
     ts, life = F.col("ts"), F.col("life")
-    probes = [probe("own", ts), probe("from", ts - trend_window - 1)]
+    names = ["own"]
+    probes = [probe(0, ts)]
     if grid:
-        probes += [probe(f"fut{i}", F.ceil(ts + f * life)) for i, f in enumerate(fracs)]
-        probes += [probe(f"past{i}", F.floor(ts - f * life)) for i, f in enumerate(fracs)]
+        names += [f"fut{i}" for i in range(len(fracs))] + [f"past{i}" for i in range(len(fracs))]
+        ats = [F.ceil(ts + f * life) for f in fracs] + [F.floor(ts - f * life) for f in fracs]
+        probes += [probe(len(probes) + i, a) for i, a in enumerate(ats)]
     if fixed:
-        probes += [probe(f"fix{h}", ts + h) for h in horizons]
+        names += [f"fix{h}" for h in horizons]
+        probes += [probe(len(probes) + i, ts + h) for i, h in enumerate(horizons)]
+    back = [i for i, n in enumerate(names) if n.startswith("past")]
     p = s.select(MARKET, "ts", F.inline(F.array(*probes)))
-    hit = lookup(p, index, [MARKET], "at", "hit", cells)
-    sums = F.struct(*[F.col(f"hit.cur.hi.{c}").alias(c) for c in SUMS])
+    hit = lookup(p, price_index(history, cells), [MARKET], "at", "hit", cells)
+    price = forward("hit", F.col("at"), "yes_price")
+    if back:
+        price = F.when(F.col("kind").between(back[0], back[-1]), backward("hit", "yes_price")).otherwise(price)
     slim = hit.select(
-        MARKET, "ts", "kind",
-        F.when(F.col("kind").startswith("past"), backward("hit", "yes_price"))
-        .otherwise(forward("hit", F.col("at"), "yes_price")).alias("price"),
-        F.when(F.col("kind") == "own", nearest("hit", F.col("at"), "yes_price")).alias("near"),
-        F.when(F.col("kind").isin("own", "from"), sums).alias("sums"),
-        # running step sum at the first row inside the window
-        F.when(F.col("kind") == "from", F.col("hit.nxt.lo.sad")).alias("first_sad"),
-    )
-    at = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
-    cols = [at("own", "price").alias("price_at"), F.max("near").alias("near_price")]
-    if grid:
-        cols += [at(f"fut{i}", "price").alias(f"fut{i}") for i in range(len(fracs))]
-        cols += [at(f"past{i}", "price").alias(f"past{i}") for i in range(len(fracs))]
-    if fixed:
-        cols += [at(f"fix{h}", "price").alias(f"fix{h}") for h in horizons]
-    cols += [
-        at("own", "sums").alias("end_sums"), at("from", "sums").alias("start_sums"),
-        F.max("first_sad").alias("first_sad"),
-    ]
-    return slim.groupBy(MARKET, "ts").agg(*cols)
-
-
-def with_trailing_stats(lookups: DataFrame, window: int = TREND_WINDOW) -> DataFrame:
-    """Replace the window edges by slope, implied move, std and mean absolute step."""
-    s = window_sums(F.col("end_sums"), F.col("start_sums"))
-    steps = F.col("end_sums.sad") - F.col("first_sad")
-    return lookups.select(
-        *[c for c in lookups.columns if c not in ("end_sums", "start_sums", "first_sad")],
-        window_slope(s).alias("trend_slope"),
-        (window_slope(s) * window).alias("trend_move"),
-        window_std(s).alias("trail_std"),
-        F.when(s["n"] >= 2, ratio(steps, s["n"] - 1) / PRICE_SCALE).alias("trail_abs_step"),
+        MARKET, "ts", "kind", price.alias("price"), F.when(F.col("kind") == 0, nearest("hit", F.col("at"), "yes_price")).alias("near")
     )
+    at = lambda k: F.max(F.when(F.col("kind") == k, F.col("price")))
+    cols = [at(0).alias("price_at"), F.max("near").alias("near_price")]
+    return slim.groupBy(MARKET, "ts").agg(*cols, *[at(k).alias(n) for k, n in enumerate(names) if k])
 
 
-def trailing_slopes(points: DataFrame, history: DataFrame, window: int = TREND_WINDOW, cells: Cells | None = None) -> DataFrame:
-    """Trailing-window statistics at arbitrary (market, ts) points."""
-    facts = history.groupBy(MARKET).agg((F.max("ts") - F.min("ts")).alias("life"))
-    look = second_lookups(points, price_index(history, cells), facts, cells, grid=False, fixed=False, trend_window=window)
-    return with_trailing_stats(look, window)
+def trailing_stats(seconds: DataFrame, history: DataFrame, window: int = TREND_WINDOW, cells: Cells | None = None) -> DataFrame:
+    """Statistics of the history rows in ``[ts - window, ts]`` for every distinct (market, second).
+
+    Slope, implied move over the window, sample deviation and mean absolute step, all
+    from running sums at the two window edges: no row is visited once per window.
+    """
+    s = seconds.select(MARKET, "ts").distinct()
+    p = s.select(MARKET, "ts", F.inline(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("ts").alias("at")),
+        F.struct(F.lit(1).alias("kind"), (F.col("ts") - window - 1).alias("at")),
+    )))
+    hit = lookup(p, sums_index(history, cells), [MARKET], "at", "hit", cells)
+    sums = F.struct(*[F.col(f"hit.cur.hi.{c}").alias(c) for c in SUMS])
+    slim = hit.select(MARKET, "ts", "kind", sums.alias("sums"), F.col("hit.nxt.lo.sad").alias("first_sad"))
+    edge = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    e = slim.groupBy(MARKET, "ts").agg(
+        edge(0, "sums").alias("end_sums"), edge(1, "sums").alias("start_sums"),
+        # running step sum at the first row inside the window
+        edge(1, "first_sad").alias("first_sad"),
+    )
+    w = window_sums(F.col("end_sums"), F.col("start_sums"))
+    return e.select(
+        MARKET, "ts",
+        window_slope(w).alias("trend_slope"),
+        (window_slope(w) * window).alias("trend_move"),
+        window_std(w).alias("trail_std"),
+        F.when(w["n"] >= 2, ratio(F.col("end_sums.sad") - F.col("first_sad"), w["n"] - 1) / PRICE_SCALE).alias("trail_abs_step"),
+    )
 
 
 def price_changes(history: DataFrame, cells: Cells | None = None) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fillsight.session import materialize
+
 CELL = "_cell"
 # Rows one window partition may hold before its group is split.
 MAX_GROUP_ROWS = 2_000_000
@@ -87,12 +89,15 @@ def plan_cells(
     if hot_groups.isEmpty():
         return Cells(keys, tuple(widths))
     kind = "bigint" if isinstance(widths[0], int) else "double"
-    hot = [hot_groups]
+    # small tables read by every label() of the job: written once, not recomputed
+    hot = [materialize(hot_groups)]
+    hot_groups = hot[0]
     rows = base.join(F.broadcast(hot_groups), list(keys), "left_semi")
     for i, width in enumerate(widths[:-1], start=1):
         name = f"_c{i}"
         rows = rows.withColumn(name, floor_to(F.col("_axis"), width).cast(kind))
         table = rows.groupBy(*keys, name).count().filter(over).select(*keys, name)
+        table = materialize(table)
         if table.isEmpty():
             break
         hot.append(table)

@@ -6,7 +6,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from fillsight.functions.scalar import final_outcome, grid_tag
@@ -14,6 +13,7 @@ from fillsight.operators import behavior as B, history as H, ledger as L, parsin
 from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS
 from fillsight.operators.scan import MAX_GROUP_ROWS, Cells
 from fillsight.schema import MARKET, MARKET_WALLET
+from fillsight.session import materialize
 
 KEYS = list(MARKET_WALLET)
 
@@ -82,8 +82,9 @@ BEHAVIOR_COLUMNS = tuple(c for cols in FAMILIES.values() for c in cols)
 class Behavior:
     """Shared frames of the behavioural jobs, each built on first use.
 
-    The ledger, the series and the lookups feed several families and are persisted
-    (spilling to disk); everything else is recomputed from them.
+    The ledger, the series, the lookups, the lots' segments and the market facts feed
+    several families and are written once to the shared checkpoint folder; everything
+    else is computed from them. ``stage=False`` keeps one lazy plan instead.
     """
 
     fills: DataFrame
@@ -92,10 +93,10 @@ class Behavior:
     max_group_rows: int = MAX_GROUP_ROWS
     early_frac: float = 0.5
     threshold: float = 0.15
-    persist: bool = True
+    stage: bool = True
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+        return materialize(df) if self.stage else df
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -131,13 +132,10 @@ class Behavior:
 
     @cached_property
     def lookups(self) -> DataFrame:
-        return self._keep(self.lookups_for(grid=True, fixed=True))
-
-    def lookups_for(self, grid: bool, fixed: bool) -> DataFrame:
-        index = H.price_index(self.history, self.market_cells)
-        return H.with_trailing_stats(
-            H.second_lookups(self.ledger, index, self.series, self.market_cells, grid=grid, fixed=fixed)
-        )
+        """Prices and trailing statistics around every second with a trade."""
+        seconds = self.ledger.select(MARKET, "ts").distinct()
+        prices = H.second_lookups(seconds, self.history, self.series, self.market_cells)
+        return self._keep(prices.join(H.trailing_stats(seconds, self.history, cells=self.market_cells), [MARKET, "ts"]))
 
     @cached_property
     def dims(self) -> DataFrame:
@@ -224,11 +222,6 @@ class Behavior:
             cols = [c for c in cols if c in want]
         return out.select(*KEYS, *cols)
 
-    def release(self) -> None:
-        for name in ("history", "ledger", "lookups", "facts", "segments"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
-
 
 def behavior_features(fills: DataFrame, markets: DataFrame, wanted: Iterable[str] | None = None, **kw) -> DataFrame:
     return Behavior(fills, markets, **kw).features(wanted)

@@ -12,6 +12,7 @@ from fillsight.plans import report as R
 from fillsight.plans.behavior import BEHAVIOR_COLUMNS, Behavior
 from fillsight.plans.metadata import METADATA_COLUMNS, first_trades, metadata_features
 from fillsight.schema import MARKET, MARKET_WALLET, MICRO
+from fillsight.session import materialize
 
 KEYS = list(MARKET_WALLET)
 
@@ -34,7 +35,7 @@ def candidate_features(
     top = P.top_wallets(b.trades, top_n).select(
         *KEYS, (F.col("volume_micro") / MICRO).alias("volume"), "n_trades", "first_trade_ts"
     )
-    picked = Behavior(b.fills, b.markets, b.same_timestamp, b.max_group_rows, b.early_frac, b.threshold, b.persist)
+    picked = Behavior(b.fills, b.markets, b.same_timestamp, b.max_group_rows, b.early_frac, b.threshold, b.stage)
     picked.__dict__["history"] = b.history
     picked.__dict__["trades"] = b.trades.join(top.select(*KEYS), KEYS, "left_semi") if top_n else b.trades
     out = top.join(picked.features(behavior), KEYS, "left") if behavior else top
@@ -65,9 +66,10 @@ def training_set(
     Only sampled pairs get per-wallet features; metadata joins one to one.
     """
     volumes = P.cash_volume(b.trades)
-    pairs = D.labelled_set(volumes, positives, known, per_positive=per_positive, seed=seed).persist()
+    pairs = D.labelled_set(volumes, positives, known, per_positive=per_positive, seed=seed)
+    pairs = materialize(pairs)
     behavior, metadata = wanted_families(features or (*BEHAVIOR_COLUMNS, *METADATA_COLUMNS))
-    part = Behavior(b.fills, b.markets, b.same_timestamp, b.max_group_rows, b.early_frac, b.threshold, b.persist)
+    part = Behavior(b.fills, b.markets, b.same_timestamp, b.max_group_rows, b.early_frac, b.threshold, b.stage)
     part.__dict__["history"] = b.history
     part.__dict__["trades"] = b.trades.join(pairs.select(*KEYS), KEYS, "left_semi")
     base = D.with_labels(part.features(behavior), pairs)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,10 +64,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and continue from there.
+    """Write the frame as a parquet table in the shared checkpoint folder and read it back.
 
-    Used where a result feeds many later jobs (model fits, iterations): plans stay
-    small, and a lost executor costs a re-read instead of the whole lineage.
+    Used where a result feeds several later jobs: plans stay small, later reads prune
+    columns, and a lost executor costs a re-read instead of the whole lineage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{root}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

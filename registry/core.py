@@ -27,8 +27,6 @@ def context(spark: SparkSession, sf: str) -> Behavior:
 
 def reset() -> None:
     """Drop the shared frames (used between timed runs)."""
-    for c in _contexts.values():
-        c.release()
     _contexts.clear()
 
 

@@ -343,7 +343,7 @@ def price_at_or_before(spark, sf):
 
 @query
 def trailing_windows(spark, sf):
-    t = H.trailing_slopes(context(spark, sf).ledger, context(spark, sf).history)
+    t = H.trailing_stats(context(spark, sf).ledger, context(spark, sf).history)
     return r(t.select(MARKET, "ts", F.round("trend_move", 6).alias("trend_move"), "trail_std", "trail_abs_step"))
 
 
