@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fillsight.operators.dataset import hash_order
+from fillsight.operators.scan import with_scalars
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 
@@ -109,5 +110,5 @@ def score_forest(df: DataFrame, forest: DataFrame, features: Sequence[str], cont
         return scored.withColumn("anomaly_decision", cut - F.col("anomaly_score")).withColumn("anomaly", F.col("anomaly_score") > cut)
     # an approximate rank is enough for a cut and keeps one small sketch per task
     bound = scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 100_000).alias("_cut"))
-    s = scored.join(F.broadcast(bound))  # a single row
+    s = with_scalars(scored, bound)
     return s.withColumn("anomaly_decision", F.col("_cut") - F.col("anomaly_score")).withColumn("anomaly", F.col("anomaly_score") > F.col("_cut")).drop("_cut")

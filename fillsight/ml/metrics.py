@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fillsight.operators.scan import MAX_GROUP_ROWS, PRICE_WIDTHS, plan_cells, scan
+from fillsight.operators.scan import MAX_GROUP_ROWS, PRICE_WIDTHS, plan_cells, scan, with_scalars
 from fillsight.schema import ratio
 
 ALL = "_all"
@@ -154,7 +154,7 @@ def curve_points(df: DataFrame, score: str = "score", label: str = "label", by:
 def score_histogram(df: DataFrame, score: str = "score", label: str = "label", bins: int = 40) -> DataFrame:
     """Density histogram by label over equal bins of [min, max] (the last bin includes max)."""
     span = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    d = df.join(F.broadcast(span))  # a single row
+    d = with_scalars(df, span)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor((F.col(score) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     g = d.groupBy(label, b.alias("bin"), "_lo", width.alias("_w")).agg(F.count("*").alias("n"))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fillsight.functions.scalar import platt
 from fillsight.ml.metrics import auc_and_ap, confusion, cv_summary, tune_threshold
 from fillsight.operators import dataset as D
+from fillsight.operators.scan import with_scalars
 from fillsight.schema import MARKET
 from fillsight.session import materialize
 
@@ -85,7 +86,7 @@ def with_weights(df: DataFrame, positive_weight: float | str = "balanced") -> Da
         return df.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, float(positive_weight)).otherwise(1.0))
     n = df.agg(F.count("*").alias("_n"), F.sum(LABEL).alias("_p"))
     own = F.when(F.col(LABEL) == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p"))
-    j = df.join(F.broadcast(n))  # a single row of counts
+    j = with_scalars(df, n)
     return j.withColumn(WEIGHT, F.col("_n") / (2.0 * own)).drop("_n", "_p")
 
 

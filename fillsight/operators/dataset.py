@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fillsight.operators.scan import MAX_GROUP_ROWS, plan_cells, scan
+from fillsight.operators.scan import MAX_GROUP_ROWS, plan_cells, scan, with_scalars
 from fillsight.schema import MARKET, MICRO, ratio
 
 KEYS = ["wallet", MARKET]
@@ -135,10 +135,9 @@ def downsample_market(df: DataFrame, market: str, hide_positives: int, seed: int
     keep_p = F.col("p") - hide_positives
     keep_n = F.least(F.rint(keep_p * F.col("n") / F.greatest(F.col("p"), F.lit(1))).cast("bigint"), F.col("n"))
     too_few = F.raise_error(F.lit("hiding that many positives leaves none")).cast("bigint")
-    # one row of counts
     sizes = counts.select(F.when(keep_p >= 1, keep_p).otherwise(too_few).alias("keep_p"), keep_n.alias("keep_n"))
     w = W.partitionBy(MARKET, LABEL).orderBy(hash_order(seed, *KEYS), F.col("wallet"))
-    sub = df.filter(here).withColumn("_rn", F.row_number().over(w)).join(F.broadcast(sizes))
+    sub = with_scalars(df.filter(here).withColumn("_rn", F.row_number().over(w)), sizes)
     kept = sub.filter(F.col("_rn") <= F.when(F.col(LABEL) == 1, F.col("keep_p")).otherwise(F.col("keep_n")))
     return df.filter(~here).unionByName(kept.drop("_rn", "keep_p", "keep_n"))
 
@@ -185,7 +184,7 @@ def time_split(stats: DataFrame, test: Sequence[str]) -> DataFrame:
     cut = stats.filter(F.col(MARKET).isin(*test)).agg(
         F.min("median_ts").alias("_cut"), F.count_if(F.col("median_ts").isNull()).alias("_bad")
     )
-    s = stats.join(F.broadcast(cut))  # a single row
+    s = with_scalars(stats, cut)
     bad = F.raise_error(F.lit("test markets need a median time")).cast("string")
     split = (
         F.when(F.col("_bad") > 0, bad)

@@ -223,3 +223,9 @@ def percentiles(
     return hits.groupBy(*keys).agg(*[
         F.sum(F.when((F.col("r.name") == n) & (F.col("r.w") > 0), F.col("_v") * F.col("r.w"))).alias(n) for n in points
     ])
+
+
+def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame as a scalar subquery (NULL when it has no row)."""
+    values = row.select(F.struct(*row.columns).alias("s")).scalar()
+    return df.withColumn("_s", values).select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in row.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fillsight.ml.metrics import auc_and_ap, cv_summary, tune_threshold
 from fillsight.operators import dataset as D, parsing as P
+from fillsight.operators.scan import with_scalars
 from fillsight.plans import report as R
 from fillsight.plans.behavior import BEHAVIOR_COLUMNS, Behavior
 from fillsight.plans.metadata import METADATA_COLUMNS, first_trades, metadata_features
@@ -94,7 +95,7 @@ def audit_pairs(rows: DataFrame, models: dict, test_scores: dict[str, DataFrame]
         )
         if test_scores and tag in test_scores:
             cut = tune_threshold(test_scores[tag].withColumn("label", F.col(D.LABEL)), target).select(F.col("threshold").alias("_t"))
-            s = s.join(F.broadcast(cut)).withColumn("threshold", F.coalesce("_t", "threshold")).drop("_t")  # a single row
+            s = with_scalars(s, cut).withColumn("threshold", F.coalesce("_t", "threshold")).drop("_t")
         parts.append(s)
     out = D.union_ragged(*parts).withColumn("flagged", F.col("score") >= F.col("threshold"))
     return out.join(R.flag_counts(out, ["wallet", MARKET]), ["wallet", MARKET])
@@ -107,7 +108,7 @@ def compare_models(models: DataFrame, folds: DataFrame | None = None) -> DataFra
         s = cv_summary(folds).select("tag", F.col("cv_mean").alias("_m"), F.col("cv_std").alias("_s"))
         m = m.join(s, "tag", "left").withColumn("cv_pr", F.coalesce("_m", "cv_pr")).withColumn("cv_std", F.coalesce("_s", "cv_std")).drop("_m", "_s")
     rec = R.recommend(m)
-    marked = R.rank_models(m).join(F.broadcast(rec))  # a single row
+    marked = with_scalars(R.rank_models(m), rec)
     return marked.select(
         *m.columns, "rank", *[(F.col("tag") == F.col(c)).alias(f"is_{c}") for c in ("best_cv", "best_test", "simple_test", "simple_cv")],
         (F.col("test_pr") < F.col("cv_pr")).alias("cv_optimistic"),

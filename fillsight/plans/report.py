@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fillsight.functions.scalar import marker_size
 from fillsight.operators.history import map_trades_to_history
-from fillsight.operators.scan import Cells
+from fillsight.operators.scan import Cells, with_scalars
 from fillsight.schema import MARKET, ratio
 
 
@@ -70,7 +70,7 @@ def recommend(models: DataFrame, strong_test: float = 0.95, cv_margin: float = 0
     c = F.col
     cv, test, nf = c("cv_pr"), c("test_pr"), c("n_features")
     best = models.agg(F.max("cv_pr").alias("_best_cv"))
-    m = models.join(F.broadcast(best))  # a single row
+    m = with_scalars(models, best)
     # ties go to the first tag, so tags rank in reverse inside max_by
     good_test = (test >= strong_test) & nf.isNotNull()
     good_cv = (cv >= c("_best_cv") - cv_margin) & nf.isNotNull()
@@ -89,7 +89,7 @@ def leanest_strong(models: DataFrame, cv_margin: float = 0.05) -> DataFrame:
     """Fewest parameters within ``cv_margin`` of the best CV value."""
     m = models.filter(F.col("cv_pr").isNotNull() & F.col("n_params").isNotNull())
     best = m.agg(F.max("cv_pr").alias("_b"))
-    strong = m.join(F.broadcast(best)).filter(F.col("cv_pr") >= F.col("_b") - cv_margin)  # a single row
+    strong = with_scalars(m, best).filter(F.col("cv_pr") >= F.col("_b") - cv_margin)
     return strong.agg(F.min_by(F.struct("tag", "n_params", "cv_pr"), F.struct(F.col("n_params"), -F.col("cv_pr"), F.col("tag"))).alias("m")).select("m.*")
 
 
@@ -150,7 +150,7 @@ def attribution_matrix(attributions: DataFrame, models: Sequence[str], q: float
     a = attributions.filter(F.col("model").isin(*models))
     scale = a.agg(F.percentile(F.abs("contribution"), F.lit(q)).alias("scale"))
     wide = a.groupBy("feature").pivot("model", list(models)).agg(F.sum("contribution"))
-    return wide.join(F.broadcast(scale))  # a single row
+    return with_scalars(wide, scale)
 
 
 # --------------------------------------------------------------------- ensembles

@@ -29,7 +29,6 @@ def test_cells_are_used(both):
     plain, split = both
     assert not plain.wallet_cells.split and not plain.market_cells.split
     assert split.wallet_cells.split and split.market_cells.split
-    assert len(split.wallet_cells.hot) >= 2
 
 
 @pytest.mark.parametrize("frame", ["ledger", "segments", "lookups", "facts"])
@@ -94,7 +93,8 @@ def test_ranking_metrics(spark, sf):
 
 def test_descending_scan(spark, sf):
     e = X.base_events(spark, sf)
-    cells = plan_cells(e, ["mk"], "ts", max_rows=4)
+    cells = plan_cells(e, ["mk"], "ts", max_rows=1)
+    assert len(cells.hot) > 2
     kw = dict(running={"s": ("sum", F.col("value")), "lo": ("min", F.col("value")), "hi": ("max", F.col("value"))},
               latest={"l": F.when(F.col("event_id") % 5 == 0, F.col("event_id"))}, previous={"p": F.col("event_id")})
     for desc in (False, True):
