@@ -74,8 +74,7 @@ def entry_features(ledger: DataFrame, lookups: DataFrame, facts: DataFrame, hist
         ratio(F.sum("price_sum"), F.sum("price_n")).alias("avg_price"),
         _frac(F.sum(F.col("cash") * F.col("cash")), total * total).alias("entry_concentration_hhi"),
     )
-    e = e.join(lookups.select(MARKET, "ts", "trail_std", "trail_abs_step", "near_price"), [MARKET, "ts"], "left")
-    e = e.withColumn("avg_price", F.coalesce("avg_price", "near_price"))
+    e = e.join(lookups.select(MARKET, "ts", "trail_std", "trail_abs_step"), [MARKET, "ts"], "left")
     # an average of equal prices may miss them by rounding, hence the 1e-12
     e = e.withColumn("_probe", F.col("avg_price") + 1e-12)
     e = price_percentile(e, history, "_probe", "entry_price_percentile")

@@ -75,6 +75,11 @@ FAMILIES = {
     "realized": REALIZED, "path": B.PATH, "contrarian": CONTRARIAN, "extreme": EXTREME, "days": DAYS,
     "adaptive": ADAPTIVE,
 }
+# Lookups around trade seconds that a family reads.
+LOOKUP_NEEDS = {
+    "entry": frozenset({"trail"}), "grid": frozenset({"grid"}), "fixed": frozenset({"fixed"}),
+    "contrarian": frozenset({"trail"}), "adaptive": frozenset({"grid"}),
+}
 BEHAVIOR_COLUMNS = tuple(c for cols in FAMILIES.values() for c in cols)
 
 
@@ -133,9 +138,28 @@ class Behavior:
     @cached_property
     def lookups(self) -> DataFrame:
         """Prices and trailing statistics around every second with a trade."""
+        return self.lookups_with(frozenset({"grid", "fixed", "trail"}))
+
+    def lookups_with(self, needs: frozenset[str]) -> DataFrame:
+        """Only the requested lookups: grid and fixed horizons, trailing statistics."""
+        for have, frame in self._lookups.items():
+            if needs <= have:
+                return frame
         seconds = self.ledger.select(MARKET, "ts").distinct()
-        prices = H.second_lookups(seconds, self.history, self.series, self.market_cells)
-        return self._keep(prices.join(H.trailing_stats(seconds, self.history, cells=self.market_cells), [MARKET, "ts"]))
+        parts = []
+        if needs & {"grid", "fixed"}:
+            parts.append(H.second_lookups(
+                seconds, self.history, self.series, self.market_cells, grid="grid" in needs, fixed="fixed" in needs
+            ))
+        if "trail" in needs:
+            parts.append(H.trailing_stats(seconds, self.history, cells=self.market_cells))
+        out = parts[0] if len(parts) == 1 else parts[0].join(parts[1], [MARKET, "ts"])
+        self._lookups[needs] = self._keep(out)
+        return self._lookups[needs]
+
+    @cached_property
+    def _lookups(self) -> dict[frozenset[str], DataFrame]:
+        return {}
 
     @cached_property
     def dims(self) -> DataFrame:
@@ -162,19 +186,24 @@ class Behavior:
     def lots(self) -> DataFrame:
         return L.build_lots(self.segments)
 
-    @cached_property
-    def priced(self) -> DataFrame:
-        """Ledger rows with the prices around their second and their market's facts."""
+    def priced(self, needs: frozenset[str]) -> DataFrame:
+        """Ledger rows with the needed lookups of their second and their market's facts."""
         t = self.ledger.select(*KEYS, "ts", "is_buy", "token_micro", "cash_micro", "norm_price", "inventory_before")
         f = self.dims.select(MARKET, "life", "h_rows", "p10", "p25", "p75", "p90")
-        return t.join(self.lookups, [MARKET, "ts"]).join(f, MARKET)
+        if needs:
+            t = t.join(self.lookups_with(needs), [MARKET, "ts"])
+        return t.join(f, MARKET)
+
+    def family(self, name: str, wanted: set[str] | None = None, needs: frozenset[str] | None = None) -> DataFrame:
+        """One feature family as a frame keyed by (market, wallet).
 
-    def family(self, name: str, wanted: set[str] | None = None) -> DataFrame:
-        """One feature family as a frame keyed by (market, wallet)."""
+        ``needs`` lets several families share one set of lookups.
+        """
+        needs = LOOKUP_NEEDS.get(name, frozenset()) if needs is None else needs
         if name == "major":
             return H.with_move_position(self.moves, self.markets).select(MARKET, *MAJOR)
         if name == "entry":
-            return B.entry_features(self.ledger, self.lookups, self.facts, self.history)
+            return B.entry_features(self.ledger, self.lookups_with(needs), self.facts, self.history)
         if name == "unrealized":
             return L.unrealized_features(self.segments, self.dims)
         if name in ("holding", "path"):
@@ -182,19 +211,19 @@ class Behavior:
             return both.select(*KEYS, *FAMILIES[name])
         if name == "grid":
             tags = None if wanted is None else {t for t in B.grid_tags() if any(w.endswith(t) for w in wanted & set(GRID))}
-            return B.markout_features(self.priced, tags=tags, split=self.split)
+            return B.markout_features(self.priced(needs), tags=tags, split=self.split)
         if name == "fixed":
-            return B.fixed_markout_features(self.priced, split=self.split)
+            return B.fixed_markout_features(self.priced(needs), split=self.split)
         if name == "realized":
             return L.realized_features(self.segments, self.markets, self.early_frac)
         if name == "contrarian":
-            return B.aggregate_family(self.priced, B.contrarian_aggs())
+            return B.aggregate_family(self.priced(needs), B.contrarian_aggs())
         if name == "extreme":
-            return B.aggregate_family(self.priced, B.extreme_aggs())
+            return B.aggregate_family(self.priced(frozenset()), B.extreme_aggs())
         if name == "days":
             return B.day_features(self.ledger, self.dims)
         if name == "adaptive":
-            return B.adaptive_features(self.lots, self.segments, self.lookups, self.facts)
+            return B.adaptive_features(self.lots, self.segments, self.lookups_with(needs), self.facts)
         raise KeyError(name)
 
     def features(self, wanted: Iterable[str] | None = None) -> DataFrame:
@@ -205,6 +234,7 @@ class Behavior:
         """
         want = set(wanted) if wanted is not None else None
         names = [n for n, cols in FAMILIES.items() if want is None or want & set(cols)]
+        needs = frozenset().union(*[LOOKUP_NEEDS.get(n, frozenset()) for n in names])
         out = self.ledger.select(*KEYS).distinct()
         cols: list[str] = []
         position = [n for n in names if n in ("holding", "path")]
@@ -215,7 +245,7 @@ class Behavior:
             if name in position:
                 df = B.position_features(self.ledger, self.dims, self.wallet_cells, self.early_frac)
             else:
-                df = self.family(name, want)
+                df = self.family(name, want, needs)
             out = out.join(df, [MARKET] if name == "major" else KEYS, "left")
             cols += [c for c in FAMILIES[name] if c in df.columns]
         if want is not None:
