@@ -34,8 +34,9 @@ def ranking_curve(
         cells.label(points, "score"), keys, ["score"],
         running={"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, cells=cells, descending=True,
     )
-    total = points.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    out = run.join(total, keys)
+    sums = [F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")]
+    # without groups the totals are one row; a join on a constant key would pair all rows
+    out = run.join(points.groupBy(*keys).agg(*sums), keys) if by else with_scalars(run, points.agg(*sums))
     return out.select(
         *(keys if by else []), "score", "pos", "neg", "tp", "fp", "n_pos", "n_neg",
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -135,8 +136,8 @@ def cumulative_hits(df: DataFrame, score: str = "score", label: str = "label", t
         },
         cells=cells,
     )
-    n = d.groupBy(ALL).agg(F.count_if(F.col(label) == 1).alias("_p"))
-    return r.join(n, ALL).select(
+    n = df.agg(F.count_if(F.col(label) == 1).alias("_p"))
+    return with_scalars(r, n).select(
         *df.columns, "rank", "tp", "fp", (F.col("tp") / F.col("rank")).alias("precision"),
         (F.col("tp") / F.greatest(F.col("_p"), F.lit(1))).alias("recall"),
     )

@@ -286,10 +286,7 @@ def prepare_unlabelled(df: DataFrame, spec: TrainSpec) -> DataFrame:
 
 def evaluate(scored: DataFrame, threshold: float, score: str = "score") -> DataFrame:
     """ROC-AUC, average precision and threshold metrics in one row."""
-    s = scored.withColumn("_g", F.lit(1))
-    a = auc_and_ap(s, score, LABEL, ["_g"])
-    c = confusion(s, threshold, score, LABEL, ["_g"])
-    return a.join(c, "_g").drop("_g")
+    return with_scalars(auc_and_ap(scored, score, LABEL), confusion(scored, threshold, score, LABEL))
 
 
 def train(df: DataFrame, spec: TrainSpec) -> Trained:

@@ -272,7 +272,7 @@ def cumulative_hits(spark, sf):
 @query
 def auc_and_ap(spark, sf):
     s = X.scores(spark, sf)
-    both = M.auc_and_ap(s.withColumn("grp", F.lit("all")), by=["grp"]).unionByName(M.auc_and_ap(s.withColumn("grp", F.col("source")), by=["grp"]))
+    both = M.auc_and_ap(s).withColumn("grp", F.lit("all")).unionByName(M.auc_and_ap(s.withColumn("grp", F.col("source")), by=["grp"]))
     return r(both)
 
 
