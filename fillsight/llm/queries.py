@@ -22,3 +22,10 @@ def op8_quality_trees(spark, sf_dir):
     from fillsight.llm import quality
 
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_simhash_bktree(spark, sf_dir):
+    from fillsight.llm import simhash
+
+    return simhash.classes(table(spark, sf_dir, "documents"))
