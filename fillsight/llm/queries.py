@@ -29,3 +29,10 @@ def op1_simhash_bktree(spark, sf_dir):
     from fillsight.llm import simhash
 
     return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_suffix_lpf(spark, sf_dir):
+    from fillsight.llm import suffix
+
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
