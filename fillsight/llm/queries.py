@@ -36,3 +36,37 @@ def op3_suffix_lpf(spark, sf_dir):
     from fillsight.llm import suffix
 
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_positional_index(spark, sf_dir):
+    from fillsight.llm import decontam
+
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op9_positional_index"] = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+bx AS (
+  SELECT item_id, unnest(list_transform(generate_series(1, greatest(len(w) - 9, 1)), lambda s: w[s : s + 9])) AS g
+  FROM bw WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(g) AS n FROM bx),
+dx AS (
+  SELECT k, n, unnest(generate_series(1, len(w) - n + 1)) AS s, w FROM dw, sizes WHERE len(w) >= n),
+hit AS (SELECT k, s, n, item_id FROM dx JOIN bx ON dx.w[s : s + n - 1] = bx.g),
+cover AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY k),
+item AS (
+  SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM hit GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cover USING (k) LEFT JOIN item USING (k)
+"""
