@@ -70,3 +70,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN cover USING (k) LEFT JOIN item USING (k)
 """
+
+
+def rank_file() -> bytes:
+    import public_tokenizers
+
+    from fillsight.llm.bpe import load_ranks
+
+    return load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op5_bpe_prefix_table(spark, sf_dir):
+    from fillsight.llm import bpe
+
+    return bpe.digests(table(spark, sf_dir, "documents"), rank_file())
