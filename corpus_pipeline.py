@@ -4,18 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fillsight.llm import quality
-from fillsight.llm.queries import table
+from fillsight.llm import bpe, decontam, quality, simhash, suffix
+from fillsight.llm.queries import rank_file, table
 from fillsight.session import materialize
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier rejects go."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents the quality classifier rejects go; it learns from the labels of the documents table."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), model)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that an earlier document holds are cut out of the texts."""
+    return suffix.drop_repeats(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an occurrence of a benchmark window go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the remaining texts, with the digests of the ids and of the decoded bytes."""
+    return bpe.tokenized(docs, rank_file())
 
 
 STAGES = [
     ("quality classifier", drop_low_quality),
+    ("SimHash near-dedup", keep_one_of_each_group),
+    ("suffix-array dedup", cut_repeated_strings),
+    ("benchmark decontamination", drop_contaminated),
+    ("byte-level BPE", encode),
 ]
 
 # The classifier and the tokenizer have no SQL form; tests/llm compares run() with brute force.
