@@ -85,3 +85,10 @@ def op5_bpe_prefix_table(spark, sf_dir):
     from fillsight.llm import bpe
 
     return bpe.digests(table(spark, sf_dir, "documents"), rank_file())
+
+
+@query
+def op2_rank_order_language(spark, sf_dir):
+    from fillsight.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
