@@ -65,6 +65,21 @@ def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def span_hash(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash per byte span from wrapping prefix sums of powers of an odd base."""
+    n = len(flat)
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    up = np.full(n + 1, base, np.uint64)
+    down = np.full(n + 1, inverse, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    prefix = np.zeros(n + 1, np.uint64)
+    mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    np.cumsum(mixed * up[:n], out=prefix[1:])
+    h = (prefix[ends] - prefix[starts]) * down[starts]
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
 def map_texts(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], schema: str, keep: list[str], text: str = "text"
 ) -> DataFrame:

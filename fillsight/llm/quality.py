@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fillsight.llm.common import bounded_ids, lower_ascii, map_texts, remainder, row_chunks, text_buffer, word_spans
+from fillsight.llm.common import (
+    bounded_ids, lower_ascii, map_texts, remainder, row_chunks, span_hash, text_buffer, word_spans,
+)
 
 # Labelled documents the trees are fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -45,21 +47,6 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _span_hash(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash per byte span from wrapping prefix sums of powers of an odd base."""
-    n = len(flat)
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    up = np.full(n + 1, base, np.uint64)
-    down = np.full(n + 1, inverse, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    prefix = np.zeros(n + 1, np.uint64)
-    mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    np.cumsum(mixed * up[:n], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * down[starts]
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-
-
 def _distinct(doc: np.ndarray, keys: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row: number of different keys, and count of the most frequent one."""
     if not len(keys):
@@ -91,10 +78,10 @@ def statistics(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     longest = np.zeros(rows)
     np.maximum.at(longest, doc, length)
     low = lower_ascii(flat)
-    different, top = _distinct(doc, _span_hash(low, starts, ends), rows)
+    different, top = _distinct(doc, span_hash(low, starts, ends), rows)
     ls, le, lb = word_spans(flat != 10, offsets)
     lines = np.diff(lb).astype(float)
-    line_kinds, _ = _distinct(np.repeat(np.arange(rows), np.diff(lb)), _span_hash(low, ls, le), rows)
+    line_kinds, _ = _distinct(np.repeat(np.arange(rows), np.diff(lb)), span_hash(low, ls, le), rows)
     same = np.zeros(len(flat), bool)
     same[1:] = flat[1:] == flat[:-1]
     odd = (flat < 128) & ~(((low >= 97) & (low <= 122)) | ((flat >= 48) & (flat <= 57)) | ~is_word)

@@ -92,3 +92,10 @@ def op2_rank_order_language(spark, sf_dir):
     from fillsight.llm import langid
 
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_toxicity_bigru(spark, sf_dir):
+    from fillsight.llm import toxicity
+
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
