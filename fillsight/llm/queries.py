@@ -99,3 +99,43 @@ def op6_toxicity_bigru(spark, sf_dir):
     from fillsight.llm import toxicity
 
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_warc_chunk_table(spark, sf_dir):
+    from fillsight.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op4_warc_chunk_table"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(generate_series(0, 31), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM q
+"""
+
+
+@query
+def op10_norm_sorted_topk(spark, sf_dir):
+    from fillsight.llm import topk
+
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op10_norm_sorted_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
