@@ -25,13 +25,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fillsight.llm.common import row_chunks, text_buffer
-from fillsight.session import materialize
 
 LENGTH = 50
 GRAM = 26
@@ -147,10 +147,19 @@ def _block_keys(flat, offsets, ids, buckets):
 
 _KEYS = "block bigint, bucket bigint, keys binary, many binary"
 _FLAGS = "block bigint, bucket bigint, flags binary"
-_PARTS = "block bigint, bucket bigint, g binary, shape binary, doc binary, slots binary, rows binary, starts binary, entry binary"
+_PARTS = "block bigint, bucket bigint, n bigint, key binary, shape binary, doc binary, slots binary"
 _ANSWERS = "block bigint, bucket bigint, runs binary, lengths binary, firsts binary"
 
 
+def _pack(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind, count: int) -> np.ndarray:
+    size = count * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), kind)
+
+
 def _rows(columns: dict[str, list], like: str) -> pa.Table:
     types = {p.split()[0]: pa.int64() if p.split()[1] == "bigint" else pa.binary() for p in like.split(", ")}
     return pa.table({n: pa.array(columns.get(n, []), t) for n, t in types.items()})
@@ -187,20 +196,59 @@ def _find_shared(group: pa.Table) -> pa.Table:
     return _rows({"block": group.column("block").to_pylist(), "bucket": group.column("bucket").to_pylist(), "flags": flags}, _FLAGS)
 
 
-def _same(slots: np.ndarray, shape: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _same(slots: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(representative, place): equal segments share a place; unequal ones never do."""
     lanes = np.zeros((len(slots), 80), np.uint8)
     lanes[:, :SLOT] = slots
     lanes[:, SLOT : SLOT + 2] = shape
     words = lanes.view(np.uint64)
-    key = g.copy()
+    key = np.zeros(len(slots), np.uint64)
     for j in range(10):
         w = words[:, j] * _LANES[0, j]
         key += (w ^ (w >> np.uint64(32))) * _LANES[1, j]
     _, first, place = np.unique(key, return_index=True, return_inverse=True)
     odd = np.flatnonzero((words != words[first[place]]).any(1))  # equal hashes of unequal segments
     place[odd] = len(first) + np.arange(len(odd))
-    return np.r_[first, odd], place
+    first = np.r_[first, odd]
+    order = np.argsort(first)  # in order of appearance
+    rank = np.empty(len(first), np.int64)
+    rank[order] = np.arange(len(first))
+    return first[order], rank[place]
+
+
+@dataclass
+class _Bucket:
+    """Shared anchors of a block in one bucket, and their different segments."""
+
+    bucket: int
+    row: np.ndarray
+    start: np.ndarray  # first window of each anchor
+    key: np.ndarray
+    shape: np.ndarray
+    slots: np.ndarray
+    first: np.ndarray  # anchor that stands for each different segment
+    entry: np.ndarray  # segment of each anchor
+
+
+def _segments(flat, offsets, ids, flags: dict[int, bytes], buckets: int) -> Iterator[_Bucket]:
+    at, lo, hi, g, row, keys, place = _block_keys(flat, offsets, ids, buckets)
+    shared = np.zeros(len(keys), bool)
+    for bucket, a, b in _by_bucket((keys >> np.uint64(32)).astype(np.int64)):
+        shared[a:b] = np.unpackbits(np.frombuffer(flags[bucket], np.uint8), count=b - a)
+    use = np.flatnonzero(shared[place])
+    use = use[np.argsort(_bucket(g[use], buckets), kind="stable")]
+    at, lo, hi, g, row = at[use], lo[use], hi[use], g[use], row[use]
+    shape = np.stack([at - lo, hi - lo + 1], 1).astype(np.uint8)
+    padded = np.concatenate([np.zeros(SPAN, np.uint8), flat, np.zeros(SLOT, np.uint8)])
+    views = np.lib.stride_tricks.sliding_window_view(padded, SLOT)
+    column = np.arange(-SPAN, LENGTH)
+    for bucket, a, b in _by_bucket(_bucket(g, buckets)):
+        slots = views[at[a:b]].copy()
+        before = (at[a:b] - lo[a:b])[:, None]
+        width = (hi[a:b] - lo[a:b] + LENGTH)[:, None]
+        slots[(column < -before) | (column >= width - before)] = 0
+        first, entry = _same(slots, shape[a:b])
+        yield _Bucket(bucket, row[a:b], lo[a:b], _short(g[a:b]), shape[a:b], slots, first, entry)
 
 
 def _send_segments(buckets: int):
@@ -209,37 +257,17 @@ def _send_segments(buckets: int):
             return _rows({}, _PARTS)
         block = docs.column("block")[0].as_py()
         _, flat, offsets, ids = _texts(docs)
-        at, lo, hi, g, row, keys, place = _block_keys(flat, offsets, ids, buckets)
+        source = np.where(ids == _MIN, _MAX, ids)  # rows without an id are nobody's source
         flags = dict(zip(replies.column("bucket").to_pylist(), replies.column("flags").to_pylist()))
-        shared = np.zeros(len(keys), bool)
-        for bucket, a, b in _by_bucket((keys >> np.uint64(32)).astype(np.int64)):
-            shared[a:b] = np.unpackbits(np.frombuffer(flags[bucket], np.uint8), count=b - a)
-        use = np.flatnonzero(shared[place])
-        if not len(use):
-            return _rows({}, _PARTS)
-        use = use[np.argsort(_bucket(g[use], buckets), kind="stable")]
-        at, lo, hi, g, row = at[use], lo[use], hi[use], g[use], row[use]
-        shape = np.stack([at - lo, hi - lo + 1], 1).astype(np.uint8)
-        padded = np.concatenate([np.zeros(SPAN, np.uint8), flat, np.zeros(SLOT, np.uint8)])
-        views = np.lib.stride_tricks.sliding_window_view(padded, SLOT)
-        out = {n: [] for n in ("block", "bucket", "g", "shape", "doc", "slots", "rows", "starts", "entry")}
-        column = np.arange(-SPAN, LENGTH)
-        source = np.where(ids == _MIN, _MAX, ids)[row]  # rows without an id are nobody's source
-        for bucket, a, b in _by_bucket(_bucket(g, buckets)):
-            slots = views[at[a:b]].copy()
-            rel = (at[a:b] - lo[a:b])[:, None]
-            width = (hi[a:b] - lo[a:b] + LENGTH)[:, None]
-            slots[(column < -rel) | (column >= width - rel)] = 0
-            first, entry = _same(slots, shape[a:b], g[a:b])
-            doc = np.full(len(first), _MAX)
-            np.minimum.at(doc, entry, source[a:b])
-            for name, value in (
-                ("g", g[a:b][first]), ("shape", shape[a:b][first]), ("doc", doc), ("slots", slots[first]),
-                ("rows", row[a:b].astype(np.int32)), ("starts", lo[a:b] - offsets[row[a:b]]), ("entry", entry.astype(np.int32)),
-            ):
-                out[name].append(value.tobytes())
+        out = {n: [] for n in ("block", "bucket", "n", "key", "shape", "doc", "slots")}
+        for s in _segments(flat, offsets, ids, flags, buckets):
+            doc = np.full(len(s.first), _MAX)
+            np.minimum.at(doc, s.entry, source[s.row])
             out["block"].append(block)
-            out["bucket"].append(bucket)
+            out["bucket"].append(s.bucket)
+            out["n"].append(len(doc))
+            for name, value in (("key", s.key[s.first]), ("shape", s.shape[s.first]), ("doc", doc), ("slots", s.slots[s.first])):
+                out[name].append(_pack(value))
         return _rows(out, _PARTS)
 
     return run
@@ -285,17 +313,19 @@ def first_documents(slots: np.ndarray, shape: np.ndarray, doc: np.ndarray) -> np
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    blobs = {n: group.column(n).to_pylist() for n in ("g", "shape", "doc", "slots")}
-    g = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs["g"]])
-    sizes = [len(x) // 8 for x in blobs["g"]]
-    shape = np.concatenate([np.frombuffer(x, np.uint8) for x in blobs["shape"]]).reshape(-1, 2)
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in blobs["doc"]])
-    slots = np.concatenate([np.frombuffer(x, np.uint8) for x in blobs["slots"]]).reshape(-1, SLOT)
-    first, place = _same(slots, shape, g)
+    sizes = group.column("n").to_pylist()
+
+    def column(name, kind, width=1):
+        parts = [_unpack(x, kind, n * width) for x, n in zip(group.column(name).to_pylist(), sizes)]
+        return np.concatenate(parts).reshape(-1, width) if width > 1 else np.concatenate(parts)
+
+    # other anchors may have the same short key: their segments are compared, and differ
+    key, doc, shape, slots = column("key", np.uint32), column("doc", np.int64), column("shape", np.uint8, 2), column("slots", np.uint8, SLOT)
+    first, place = _same(slots, shape)
     smallest = np.full(len(first), _MAX)
     np.minimum.at(smallest, place, doc)
     # only anchors with several different segments need their windows compared
-    _, kind, count = np.unique(g[first], return_inverse=True, return_counts=True)
+    _, kind, count = np.unique(key[first], return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(count[kind] > 1)
     result = np.repeat(smallest[:, None], SPAN + 1, 1)
     if len(mixed):
@@ -327,7 +357,7 @@ def _answer(group: pa.Table) -> pa.Table:
         out["bucket"].append(bucket)
         out["runs"].append(r.astype(np.uint8).tobytes())
         out["lengths"].append(length[take].tobytes())
-        out["firsts"].append(value[take].tobytes())
+        out["firsts"].append(_pack(value[take]))
     return _rows(out, _ANSWERS)
 
 
@@ -340,22 +370,27 @@ def _spans(bounds: np.ndarray, n: int, limit: int = 20_000) -> Iterator[tuple[in
             lo = b
 
 
-def _cut(columns: list[str], texts: bool):
-    def run(docs: pa.Table, parts: pa.Table) -> pa.Table:
+def _cut(columns: list[str], texts: bool, buckets: int):
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         docs, flat, offsets, ids = _texts(docs)
         depth = np.zeros(len(flat) + 1, np.int32)
-        for p in parts.to_pylist():
-            runs = np.frombuffer(p["runs"], np.uint8).astype(np.int64)
-            lengths = np.frombuffer(p["lengths"], np.uint8).astype(np.int64)
-            firsts = np.frombuffer(p["firsts"], np.int64)
-            row, start = np.frombuffer(p["rows"], np.int32), np.frombuffer(p["starts"], np.int64)
-            entry = np.frombuffer(p["entry"], np.int32)
+        flags, answers = {}, {}
+        for r in replies.to_pylist():
+            if r["flags"] is not None:
+                flags[r["bucket"]] = r["flags"]
+            else:
+                answers[r["bucket"]] = r
+        for s in _segments(flat, offsets, ids, flags, buckets) if answers else ():
+            answer = answers[s.bucket]
+            runs = np.frombuffer(answer["runs"], np.uint8).astype(np.int64)
+            lengths = np.frombuffer(answer["lengths"], np.uint8).astype(np.int64)
+            firsts = _unpack(answer["firsts"], np.int64, len(lengths))
             base = np.cumsum(runs) - runs
-            n = runs[entry]
-            take = np.repeat(base[entry] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            n = runs[s.entry]
+            take = np.repeat(base[s.entry] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             before = np.cumsum(lengths) - lengths
-            window = np.repeat(start + offsets[row] - before[base[entry]], n) + before[take]
-            gone = firsts[take] < ids[np.repeat(row, n)]
+            window = np.repeat(s.start - before[base[s.entry]], n) + before[take]
+            gone = firsts[take] < ids[np.repeat(s.row, n)]
             np.add.at(depth, window[gone], 1)
             np.add.at(depth, (window + lengths[take] - 1 + LENGTH)[gone], -1)
         removed = np.cumsum(depth[:-1]) > 0
@@ -394,14 +429,13 @@ def _remove(docs: DataFrame, columns: list[str], texts: bool, schema: str) -> Da
     # one id may be on many rows: their texts spread them over the blocks
     placed, buckets = _blocks(docs.withColumn("_salt", F.xxhash64("text") % 64))
     placed = placed.drop("_salt")
-    thin = placed.select("block", F.col("_id"), "text")
-    keys = thin.groupBy("block").applyInArrow(_send_keys(buckets), _KEYS)
+    # the same exchange of texts serves all three visits of a block
+    keys = placed.groupBy("block").applyInArrow(_send_keys(buckets), _KEYS)
     flags = keys.groupBy("bucket").applyInArrow(_find_shared, _FLAGS)
-    parts = materialize(thin.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_segments(buckets), _PARTS))
-    answers = parts.select("block", "bucket", "g", "shape", "doc", "slots").groupBy("bucket").applyInArrow(_answer, _ANSWERS)
-    uses = parts.select("block", "bucket", "rows", "starts", "entry")
-    cuts = answers.join(uses, ["block", "bucket"])
-    return placed.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut(columns, texts), schema)
+    parts = placed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_segments(buckets), _PARTS)
+    answers = parts.groupBy("bucket").applyInArrow(_answer, _ANSWERS)
+    replies = flags.unionByName(answers, allowMissingColumns=True)
+    return placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut(columns, texts, buckets), schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
