@@ -139,3 +139,27 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op7_extendible_hash_shards(spark, sf_dir):
+    from fillsight.llm import sharding
+
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+SQL["op7_extendible_hash_shards"] = """
+WITH h AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n,
+         md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS m FROM documents),
+b AS (
+  SELECT doc_id, n, list_aggregate(list_transform(generate_series(0, 31), lambda i:
+           right('0000' || bin(('0x' || substr(m, i + 1, 1))::INT), 4)), 'string_agg', '') AS bits FROM h),
+d AS (SELECT doc_id, n, bits, unnest(generate_series(0, 40)) AS depth FROM b),
+s AS (SELECT depth, left(bits, depth) AS shard, sum(n) AS bytes FROM d GROUP BY 1, 2 HAVING sum(n) <= 1000000),
+c AS (
+  SELECT d.doc_id, d.n, d.bits, min(d.depth) AS depth FROM d JOIN s ON s.depth = d.depth AND s.shard = left(d.bits, d.depth)
+  GROUP BY 1, 2, 3)
+SELECT c.doc_id, c.n::BIGINT AS n_bytes, s.shard, c.depth::INT AS depth, s.bytes::BIGINT AS shard_bytes, false AS overflow
+FROM c JOIN s ON s.depth = c.depth AND s.shard = left(c.bits, c.depth)
+"""

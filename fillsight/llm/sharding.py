@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fillsight.session import materialize
 
@@ -31,60 +31,49 @@ def _binary(hex_digits: Column) -> Column:
     return F.array_join(pairs, "")
 
 
-def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Shards of ``rows`` (_row, hash, bytes) and what no bit divides.
-
-    First frame: _row, shard (prefix bits), depth, shard_bytes. Second: rows whose bucket is
-    too large although all its hashes are equal, with that bucket.
-    """
-    left, done, depth = rows, [], 0
-    while depth < BITS:
+def directory(keys: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+    """(hash, shard, depth, shard_bytes) for ``keys`` (hash, bytes): different hashes, none over the limit."""
+    left, done, depth = keys, [], 0
+    while True:
         upto = depth + STEP
-        # hist: one row per prefix of `upto` bits among the buckets that must be split
-        hist = left.groupBy(F.substring("hash", 1, upto // 4).alias("p")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-        hist = materialize(hist.withColumn("bits", _binary(F.col("p"))))
-        levels = F.sequence(F.lit(depth + (depth > 0)), F.lit(upto))
-        each = hist.select("p", "bytes", F.explode(F.transform(levels, lambda d: F.struct(d.alias("d"), F.expr("1").alias("one")))).alias("x"), "bits")
-        each = each.select("p", "bytes", F.col("x.d").alias("d"), F.expr("substring(bits, 1, x.d)").alias("shard"))
-        fits = each.groupBy("d", "shard").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
-        chosen = each.join(fits, ["d", "shard"]).groupBy("p").agg(F.min(F.struct("d", "shard", "shard_bytes")).alias("s"))
-        chosen = materialize(chosen)
         prefix = F.substring("hash", 1, upto // 4)
-        placed = left.withColumn("p", prefix).join(chosen, "p")
-        done.append(placed.select("_row", F.col("s.shard").alias("shard"), F.col("s.d").alias("depth"), F.col("s.shard_bytes").alias("shard_bytes")))
-        if chosen.count() == hist.count():
-            left = left.limit(0)
-            break
-        # a bucket of equal hashes cannot be split; the others go on
-        left = materialize(left.withColumn("p", prefix).join(chosen, "p", "left_anti").drop("p"))
+        # one row per prefix of `upto` bits within the buckets that must be split
+        cells = materialize(left.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("bytes")).withColumn("bits", _binary(F.col("p"))))
+        levels = F.sequence(F.lit(depth + (depth > 0)), F.lit(upto))
+        each = cells.select("p", "bytes", "bits", F.explode(levels).alias("depth")).withColumn("shard", F.expr("substring(bits, 1, depth)"))
+        fits = each.groupBy("depth", "shard").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
+        shortest = F.min(F.struct("depth", "shard", "shard_bytes")).alias("s")
+        chosen = materialize(each.join(fits, ["depth", "shard"]).groupBy("p").agg(shortest).select("p", "s.*"))
+        here = left.withColumn("p", prefix)
+        done.append(here.join(chosen, "p").select("hash", "shard", "depth", "shard_bytes"))
+        if upto >= BITS or chosen.count() == cells.count():
+            return reduce(DataFrame.union, done)
+        left = materialize(here.join(chosen, "p", "left_anti").drop("p"))
         depth = upto
-    return reduce(DataFrame.union, done), left
 
 
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """doc_id, n_bytes, shard, depth, shard_bytes, overflow for every row of ``docs``.
 
-    shard is the bit prefix ('' is the undivided root). NULL and empty texts have no bytes.
-    A document over the limit, and equal rows that together exceed it, cannot be divided by
-    their hash: they get overflow pages, ``prefix/n``, each a single document or a run of
-    equal ones within the limit.
+    shard is the bit prefix ('' is the undivided root). NULL and empty texts have no bytes, a
+    NULL id counts as an empty one. A document over the limit, and equal rows that together
+    exceed it, cannot be divided by their hash: they get overflow pages named by their hash,
+    part and page, each of one document or of equal ones within the limit.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    rows = docs.select("doc_id", hash_bits().alias("hash"), size.alias("bytes"))
-    rows = materialize(rows)
-    # equal hashes are equal rows: they travel as one, with their number
-    keys = rows.groupBy("hash").agg(F.sum("bytes").alias("total"), F.first("bytes").alias("one"), F.count("*").alias("n"))
-    keys = materialize(keys.select("hash", F.col("hash").alias("_row"), F.col("total").alias("bytes"), "one", "n"))
-    small, large = keys.where(F.col("bytes") <= limit), keys.where(F.col("bytes") > limit)
-    placed, _ = directory(small.select("_row", "hash", "bytes"), limit)
-    per_page = F.greatest(F.floor(F.lit(limit) / F.greatest("one", F.lit(1))), F.lit(1))
-    pages = large.select(
-        F.col("hash").alias("_row"), F.concat(F.col("hash")).alias("shard"), F.lit(BITS).alias("depth"),
-        F.least(per_page, F.col("n")).alias("per_page"), F.ceil(F.col("n") / per_page).alias("pages"), "one", "n",
-    )
-    table = placed.select("_row", "shard", "depth", "shard_bytes", F.lit(None).cast("bigint").alias("per_page"), F.lit(None).cast("bigint").alias("one")).union(
-        pages.select("_row", "shard", "depth", (F.col("per_page") * F.col("one")), "per_page", "one")
+    rows = materialize(docs.select("doc_id", hash_bits().alias("hash"), size.alias("n_bytes")).withColumn("part", F.spark_partition_id()))
+    # equal hashes are equal rows: they are placed as one
+    keys = materialize(rows.groupBy("hash").agg(F.sum("n_bytes").alias("bytes")))
+    over = F.col("bytes") > limit
+    placed = rows.join(directory(keys.where(~over), limit), "hash").select(
+        "doc_id", "n_bytes", "shard", "depth", "shard_bytes", F.lit(False).alias("overflow")
     )
-    return rows.withColumnRenamed("hash", "_row").join(table, "_row").select(
-        "doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth", "shard_bytes", F.col("per_page").isNotNull().alias("overflow")
+    # rows of one hash and input part are numbered, so that no task holds all copies of a row
+    numbered = rows.join(keys.where(over).select("hash"), "hash", "left_semi").withColumn(
+        "k", F.row_number().over(W.partitionBy("hash", "part").orderBy("doc_id")) - 1
     )
+    per_page = F.greatest(F.floor(F.lit(limit) / F.col("n_bytes")), F.lit(1))
+    paged = numbered.withColumn("shard", F.concat_ws("/", "hash", "part", F.floor(F.col("k") / per_page)))
+    pages = paged.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
+    overflow = paged.join(pages, "shard").select("doc_id", "n_bytes", "shard", F.lit(BITS).alias("depth"), "shard_bytes", F.lit(True))
+    return placed.union(overflow)
