@@ -84,6 +84,7 @@ def statistics(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_kinds, _ = _distinct(np.repeat(np.arange(rows), np.diff(lb)), span_hash(low, ls, le), rows)
     same = np.zeros(len(flat), bool)
     same[1:] = flat[1:] == flat[:-1]
+    same[offsets[:-1][size > 0]] = False
     odd = (flat < 128) & ~(((low >= 97) & (low <= 122)) | ((flat >= 48) & (flat <= 57)) | ~is_word)
     last_odd = odd[ends - 1] if len(ends) else np.zeros(0, bool)
     out[:, j] = np.log1p(size)

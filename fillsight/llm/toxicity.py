@@ -23,10 +23,11 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 8, 8
 GRAM_BUCKETS = 1 << 14
 # Labelled documents of each class that the network is trained on, and the longest of them.
-SAMPLE_ROWS = 1_500
+SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 100_000
 MIN_COUNT = 5
 ROUNDS = 4
+MIN_STEPS = 100  # updates, where the sample is small
 THRESHOLD = 0.3
 _BLOCK = 4_096  # windows scored at once
 
@@ -77,6 +78,17 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _scatter(rows: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` per index."""
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        sorted_ = index[order]
+        cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+        out[sorted_[cut]] = np.add.reduceat(values[order], cut, axis=0)
+    return out
+
+
 class Network:
     """Parameters and passes; the last row of a projected word table is the empty place."""
 
@@ -156,7 +168,7 @@ class Network:
         d_look = d_score[:, :, None] * p["look"] * (1 - look**2)
         g["att"] = np.einsum("bth,btk->hk", hidden, d_look)
         d_hidden += d_look @ p["att"].T
-        g["gates"] = np.zeros((places + 1, 6 * h), np.float32)
+        d_gates = np.zeros((*index.shape, 6 * h), d_pooled.dtype)
         for way in (0, 1):
             rz, nn = p[f"rz{way}"], p[f"n{way}"]
             g_rz, g_n = np.zeros_like(rz), np.zeros_like(nn)
@@ -170,8 +182,9 @@ class Network:
                 g_rz += state.T @ d_rz
                 g_n += state.T @ (dn * r)
                 d_state = np.where(m, d * z, d) + d_rz @ rz.T + (dn * r) @ nn.T
-                np.add.at(g["gates"][:, 3 * h * way : 3 * h * (way + 1)], index[:, t], np.concatenate([d_rz, dn], 1))
+                d_gates[:, t, 3 * h * way : 3 * h * (way + 1)] = np.concatenate([d_rz, dn], 1)
             g[f"rz{way}"], g[f"n{way}"] = g_rz, g_n
+        g["gates"] = _scatter(places + 1, index.ravel(), d_gates.reshape(-1, 6 * h))
         return g
 
     def window_scores(self, words: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -237,7 +250,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 5
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step, rate = 0, 0.01
-    for _ in range(rounds):
+    while rounds > 0 or step < MIN_STEPS:
+        rounds -= 1
         order = np.lexsort((-score, text))
         top = order[np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]])]
         clean = np.flatnonzero(toxic[text] == 0)
@@ -260,10 +274,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 5
             d_gates = g.pop("gates")[: len(real)]
             g["in"], g["bias"] = x.T @ d_gates, d_gates.sum(0)
             d_x = d_gates @ net.p["in"].T
-            g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(g["word"], net.lookup(sub), d_x[:, :EMBED])
+            g["word"] = _scatter(len(net.p["word"]), net.lookup(sub), d_x[:, :EMBED])
             g["word"][0] = 0
-            np.add.at(g["gram"], grams, np.repeat(d_x[:, EMBED:], sub_len, axis=0))
+            g["gram"] = _scatter(GRAM_BUCKETS, grams, np.repeat(d_x[:, EMBED:], sub_len, axis=0))
             step += 1
             for k in net.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
