@@ -213,7 +213,8 @@ def _places(words: Words, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
 
 def _odds(kind: np.ndarray, text: np.ndarray, toxic: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts that hold each kind, and the shrunken log odds of toxic among them."""
-    pairs = np.unique(kind.astype(np.int64) * len(toxic) + text)
+    pairs = np.sort(kind.astype(np.int64) * len(toxic) + text)
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
     kind, text = pairs // len(toxic), pairs % len(toxic)
     bad = np.bincount(kind, toxic[text], minlength=kinds)
     all_ = np.bincount(kind, minlength=kinds)
