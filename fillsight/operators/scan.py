@@ -52,7 +52,8 @@ class Cells:
         if not self.split:
             return df
         kind = "bigint" if isinstance(self.widths[0], int) else "double"
-        cell = floor_to(F.col(axis), self.widths[-1])
+        # rows of the finest over-full cells get the next width, all others the one they fit
+        cell = floor_to(F.col(axis), self.widths[len(self.hot) - 1])
         conds = []
         for i, table in enumerate(self.hot):
             flag = f"_hot{i}"
@@ -60,8 +61,7 @@ class Cells:
             if i:
                 df = df.withColumn(f"_c{i}", floor_to(F.col(axis), self.widths[i - 1]).cast(kind))
                 on.append(f"_c{i}")
-            # at most total_rows / max_rows rows, see plan_cells
-            df = df.join(F.broadcast(table.withColumn(flag, F.lit(True))), on, "left")
+            df = df.join(table.withColumn(flag, F.lit(True)), on, "left")
             conds.append(flag)
         for i in range(len(self.hot) - 1, 0, -1):
             cell = F.when(F.col(conds[i]), cell).otherwise(floor_to(F.col(axis), self.widths[i - 1]))
@@ -79,8 +79,9 @@ def plan_cells(
 ) -> Cells:
     """Count rows per group (one map-side combined job) and decide the splits.
 
-    A table of over-full groups or cells has at most ``total_rows / max_rows``
-    rows, which is what makes broadcasting it safe at any input size.
+    A table of over-full groups or cells has at most ``total_rows / max_rows`` rows; the
+    optimizer decides from its size how it is joined. A group gets about as many cells as
+    its rows need, so the carry over its cells is short.
     """
     keys = tuple(keys)
     over = F.col("count") > max_rows
@@ -92,7 +93,7 @@ def plan_cells(
     # small tables read by every label() of the job: written once, not recomputed
     hot = [materialize(hot_groups)]
     hot_groups = hot[0]
-    rows = base.join(F.broadcast(hot_groups), list(keys), "left_semi")
+    rows = base.join(hot_groups, list(keys), "left_semi")
     for i, width in enumerate(widths[:-1], start=1):
         name = f"_c{i}"
         rows = rows.withColumn(name, floor_to(F.col("_axis"), width).cast(kind))
@@ -101,7 +102,7 @@ def plan_cells(
         if table.isEmpty():
             break
         hot.append(table)
-        rows = rows.join(F.broadcast(table), [*keys, name], "left_semi")
+        rows = rows.join(table, [*keys, name], "left_semi")
     return Cells(keys, tuple(widths), tuple(hot))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fillsight.operators.asof import build_index, lookup
 from fillsight.operators.scan import MAX_GROUP_ROWS, percentiles, plan_cells, scan
 from fillsight.schema import MARKET, MICRO, ratio
+from fillsight.session import materialize
 from fillsight.sources.wallets import scan_activity
 
 METADATA_COLUMNS = (
@@ -52,12 +53,15 @@ def first_trades(trades: DataFrame) -> DataFrame:
 
 
 def wallet_timeline(activity: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Running wallet state, one row per (wallet, second with activity)."""
-    a = scan_activity(activity)
+    """Running wallet state, one row per (wallet, second with activity on a known market).
+
+    Activity without a slug belongs to no market and adds to none of these values.
+    """
+    a = scan_activity(activity).filter(F.col("slug").isNotNull())
     trade = F.col("type") == "TRADE"
     steps = a.groupBy("wallet", "slug", F.col("timestamp").alias("ts")).agg(
         F.sum(F.when(trade, _micro()).otherwise(0)).alias("v"), F.sum(signed_cash()).alias("p"),
-        F.count_if(trade & F.col("slug").isNotNull()).alias("k"),
+        F.count_if(trade).alias("k"),
     )
     pair_cells = plan_cells(steps, ["wallet", "slug"], "ts", max_rows=max_rows)
     s = scan(
@@ -85,48 +89,58 @@ def wallet_timeline(activity: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> Data
 
 
 def wallet_sizes(activity: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Lifetime bet sizes per wallet: mean, exact median, total."""
+    """Lifetime bet sizes per wallet: mean, exact median, total; lifetime_micro is that of known markets."""
     a = scan_activity(activity, ("TRADE",)).filter(F.col("usdcSize").isNotNull())
-    g = a.groupBy("wallet").agg(F.sum(_micro()).alias("t"), F.count("*").alias("n"))
+    known = F.when(F.col("slug").isNotNull(), _micro()).otherwise(0)
+    g = a.groupBy("wallet").agg(F.sum(_micro()).alias("t"), F.sum(known).alias("lifetime_micro"), F.count("*").alias("n"))
     hot = not g.filter(F.col("n") > max_rows).isEmpty()
     med = percentiles(a, ["wallet"], "usdcSize", {"median_bet_size_usdc": 0.5}, split=hot)
-    return g.join(med, "wallet").select(
+    return g.join(med, "wallet", "left").select(
         "wallet", (F.col("t") / MICRO).alias("total_bet_size_usdc"), (F.col("t") / F.col("n") / MICRO).alias("avg_bet_size_usdc"),
-        "median_bet_size_usdc", F.col("t").alias("lifetime_micro"),
+        "median_bet_size_usdc", "lifetime_micro",
     )
 
 
 def funder_timeline(transfers: DataFrame, flagged: DataFrame, cap: int = 1000, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Running counts of distinct recipients (and flagged ones) per funder.
 
-    ``over_cap`` marks funders with more than ``cap`` recipients over all time,
-    counted before any time cut.
+    ``transfers`` is one row per transfer (from, to, ts), or what ``read_transfers`` gives
+    (funder, to, ts, hit_cap). ``over_cap`` marks funders with more than ``cap`` recipients over
+    all time; their counts are exact like all others. ``hit_cap`` marks funders whose stored
+    list was cut at its source, so that no count of it is right.
     """
-    first = transfers.filter(F.col("to") != "").groupBy(F.lower("from").alias("funder"), F.lower("to").alias("to")).agg(
-        F.min("ts").alias("ts")
-    )
-    marked = first.join(
-        flagged.select(F.lower("wallet").alias("to"), F.lit(1).alias("hit")).distinct(), "to", "left"
-    )
+    funder = F.lower(F.col("from" if "from" in transfers.columns else "funder"))
+    cut = F.col("hit_cap") if "hit_cap" in transfers.columns else F.lit(False)
+    rows = transfers.select(funder.alias("funder"), F.lower("to").alias("to"), "ts", F.coalesce(cut, F.lit(False)).alias("hit_cap"))
+    first = rows.filter((F.col("to") != "") & F.col("ts").isNotNull()).groupBy("funder", "to").agg(F.min("ts").alias("ts"))
+    marked = first.join(flagged.select(F.lower("wallet").alias("to"), F.lit(1).alias("hit")).distinct(), "to", "left")
     per_second = marked.groupBy("funder", "ts").agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("f"))
     cells = plan_cells(per_second, ["funder"], "ts", max_rows=max_rows)
     run = scan(
         cells.label(per_second, "ts"), ["funder"], ["ts"],
         running={"n_recipients": ("sum", F.col("n")), "n_flagged": ("sum", F.col("f"))}, cells=cells,
-    )
-    total = first.groupBy("funder").agg((F.count("*") > cap).alias("over_cap"))
-    return run.select("funder", "ts", "n_recipients", "n_flagged").join(total, "funder")
+    ).select("funder", "ts", "n_recipients", "n_flagged")
+    total = per_second.groupBy("funder").agg((F.sum("n") > cap).alias("over_cap"))
+    cuts = rows.groupBy("funder").agg(F.max("hit_cap").alias("hit_cap"))
+    # a funder whose list is empty still has its marks
+    return cuts.join(total, "funder", "left").join(run, "funder", "left").withColumn("over_cap", F.coalesce("over_cap", F.lit(False)))
 
 
 def siblings_asof(points: DataFrame, timeline: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Recipients of ``funder`` up to ``as_of_ts`` for each point; NULL for funders over the cap."""
-    cells = plan_cells(timeline, ["funder"], "ts", max_rows=max_rows)
-    index = build_index(timeline, ["funder"], "ts", ["n_recipients", "n_flagged"], cells=cells)
-    cap = timeline.groupBy("funder").agg(F.max("over_cap").alias("over_cap"))
-    got = lookup(points, index, ["funder"], "as_of_ts", "h", cells).join(cap, "funder", "left")
-    seen = lambda c: F.when(~F.coalesce("over_cap", F.lit(False)), F.coalesce(F.col(f"h.cur.hi.{c}"), F.lit(0)))
+    """Recipients of ``funder`` up to ``as_of_ts`` for each point, and whether the funder is over the cap.
+
+    Counts are NULL only for funders whose stored list was cut.
+    """
+    steps = timeline.filter(F.col("ts").isNotNull())
+    sides = steps.select("funder", "ts").unionByName(points.select("funder", F.col("as_of_ts").alias("ts")))
+    cells = plan_cells(sides, ["funder"], "ts", max_rows=max_rows)
+    index = build_index(steps, ["funder"], "ts", ["n_recipients", "n_flagged"], cells=cells)
+    marks = timeline.groupBy("funder").agg(F.max("over_cap").alias("over_cap"), F.max("hit_cap").alias("hit_cap"))
+    got = lookup(points, index, ["funder"], "as_of_ts", "h", cells).join(marks, "funder", "left")
+    seen = lambda c: F.when(~F.coalesce("hit_cap", F.lit(False)), F.coalesce(F.col(f"h.cur.hi.{c}"), F.lit(0)))
     return got.select(
-        *points.columns, seen("n_recipients").alias("n_siblings"), seen("n_flagged").alias("n_flagged_siblings")
+        *points.columns, seen("n_recipients").alias("n_siblings"), seen("n_flagged").alias("n_flagged_siblings"),
+        F.coalesce("over_cap", F.lit(False)).alias("over_cap"),
     )
 
 
@@ -134,7 +148,10 @@ def metadata_features(
     pairs: DataFrame, activity: DataFrame, markets: DataFrame, deposits: DataFrame, transfers: DataFrame,
     flagged: DataFrame, cap: int = 1000, max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """The 17 metadata features of every pair, plus as_of_ts, funder, first_deposit_ts and error.
+    """The 17 metadata features of every pair, plus as_of_ts, funder, first_deposit_ts, funder_over_cap and error.
+
+    Recipient counts are exact at any size; ``funder_over_cap`` marks funders with more than
+    ``cap`` of them, for a model that must not see such counts (see ``blank_over_cap``).
 
     ``pairs`` may carry as_of_ts; where it is missing the first TRADE of the wallet's
     activity on the market stands in. Pairs without either keep their keys, NULL
@@ -154,15 +171,18 @@ def metadata_features(
     failed = p.filter(F.col("as_of_ts").isNull())
     ready = p.filter(F.col("as_of_ts").isNotNull())
 
-    timeline = wallet_timeline(activity, max_rows)
-    cells = plan_cells(timeline, ["wallet"], "ts", max_rows=max_rows)
+    # written once: planning, the index and its first points all read it
+    timeline = materialize(wallet_timeline(activity, max_rows))
+    ready = materialize(ready)
+    sides = timeline.select("wallet", "ts").unionByName(ready.select("wallet", F.col("as_of_ts").alias("ts")))
+    cells = plan_cells(sides, ["wallet"], "ts", max_rows=max_rows)
     index = build_index(timeline, ["wallet"], "ts", list(RUNNING), cells=cells)
     seen = lookup(ready, index, ["wallet"], "as_of_ts", "h", cells)
     at = lambda c: F.coalesce(F.col(f"h.cur.hi.{c}"), F.lit(0))
     seen = seen.select(*ready.columns, *[at(c).alias(f"r_{c}") for c in RUNNING])
 
     funded = seen.filter(F.col("funder").isNotNull())
-    tl = funder_timeline(transfers, flagged, cap, max_rows)
+    tl = materialize(funder_timeline(transfers, flagged, cap, max_rows))
     funded = siblings_asof(funded, tl, max_rows)
     rest = seen.filter(F.col("funder").isNull())
     x = funded.unionByName(rest, allowMissingColumns=True)
@@ -195,8 +215,15 @@ def metadata_features(
         "funder_flagged_wallet_count": dbl(F.col("n_flagged_siblings")),
     }
     ok = x.select(
-        "wallet", MARKET, "as_of_ts", "funder", "first_deposit_ts", F.lit(None).cast("string").alias("error"),
+        "wallet", MARKET, "as_of_ts", "funder", "first_deposit_ts", F.col("over_cap").alias("funder_over_cap"), F.lit(None).cast("string").alias("error"),
         *[feats[c].alias(c) for c in METADATA_COLUMNS],
     )
     bad = failed.select("wallet", MARKET, F.lit("no TRADE activity on market").alias("error"))
     return ok.unionByName(bad, allowMissingColumns=True)
+
+
+def blank_over_cap(features: DataFrame) -> DataFrame:
+    """Features as a model sees them: recipient counts of funders over the cap are NULL."""
+    over = F.coalesce("funder_over_cap", F.lit(False))
+    counts = ("n_wallets_same_funder", "n_other_wallets_same_funder", "funder_flagged_wallet_count")
+    return features.withColumns({c: F.when(~over, F.col(c)) for c in counts})

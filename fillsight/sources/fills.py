@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fillsight.schema import FILLS, MARKET, number
 
 PLACEHOLDER_WALLET = "0x" + "0" * 40
-SECONDARY_CAP = 3_000
 
 
 def read_fills(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -72,9 +71,7 @@ def secondary_to_fills(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_fallback(primary: DataFrame, secondary: DataFrame, cap: int = SECONDARY_CAP) -> DataFrame:
-    """Primary fills, and the newest ``cap`` secondary ones of markets the primary lacks."""
+def with_fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """Primary fills, and all secondary ones of markets the primary lacks."""
     missing = secondary.join(primary.select(MARKET).distinct(), MARKET, "left_anti")
-    w = W.partitionBy(MARKET).orderBy(F.col("timestamp").desc(), F.col("id").desc())
-    newest = missing.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
-    return primary.unionByName(newest, allowMissingColumns=True)
+    return primary.unionByName(missing, allowMissingColumns=True)

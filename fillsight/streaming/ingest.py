@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fillsight.operators import parsing as P
-from fillsight.schema import FILLS, MARKET, MARKET_WALLET, MICRO
+from fillsight.schema import FILLS, MARKET, MARKET_WALLET
 
 KEYS = list(MARKET_WALLET)
 
@@ -24,22 +24,30 @@ def fill_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files:
     return spark.readStream.schema(FILLS).format(fmt).option("maxFilesPerTrigger", max_files).load(path)
 
 
-def deduplicated(fills: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Fills once per id; repeats within the watermark delay are dropped, state is bounded by it."""
-    return (
-        fills.withColumn("event_time", F.timestamp_seconds("timestamp"))
-        .withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["id"])
-    )
+def ingest_fills(fills: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Fills once per id to parquet by batch, market and day, whenever they arrive.
 
+    A batch is deduplicated, compared with the ids already landed in the markets and days it
+    touches, and written to its own folder, which a retry replaces. There is no watermark: a
+    fill that is weeks late is kept like any other.
+    """
 
-def ingest_fills(fills: DataFrame, out: str, checkpoint: str, delay: str = "2 hours") -> StreamingQuery:
-    """Deduplicated fills to parquet by market and day."""
-    rows = deduplicated(fills, delay).withColumn("day", F.to_date("event_time")).drop("event_time")
-    return (
-        rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
-        .partitionBy(MARKET, "day").trigger(availableNow=True).start()
-    )
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("day", F.to_date(F.timestamp_seconds("timestamp"))).dropDuplicates(["id"])
+        if batch_id:
+            # a fill keeps its market and time, so its copies are in the same folders
+            touched = rows.select(MARKET, "day").distinct()
+            landed = spark.read.parquet(out).filter(F.col("batch") < batch_id).join(touched, [MARKET, "day"], "left_semi")
+            rows = rows.join(landed.select("id"), "id", "left_anti")
+        rows.write.mode("overwrite").partitionBy(MARKET, "day").parquet(f"{out}/batch={batch_id}")
+
+    return fills.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """All ingested fills."""
+    return spark.read.parquet(out).drop("batch", "day")
 
 
 def wallet_positions(fills: DataFrame, markets: DataFrame) -> DataFrame:
@@ -51,9 +59,13 @@ def wallet_positions(fills: DataFrame, markets: DataFrame) -> DataFrame:
     )
 
 
-def hourly_volume(fills: DataFrame, markets: DataFrame, delay: str = "2 hours", width: str = "1 hour") -> DataFrame:
-    """Volume and last YES price per market and tumbling window."""
-    v = P.market_volume(fills, markets).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
+def hourly_volume(fills: DataFrame, markets: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Volume and last YES price per market and tumbling window.
+
+    The state is one row per market and window, so late fills change their window instead of
+    being dropped. ``fills`` hold each id once (see ``ingest_fills``).
+    """
+    v = P.market_volume(fills, markets).withColumn("event_time", F.timestamp_seconds("ts"))
     return v.groupBy(MARKET, F.window("event_time", width)).agg(
         F.sum("cash_amount").alias("cash"), F.sum("token_amount").alias("tokens"), F.count("*").alias("n_fills"),
         F.max_by("yes_price", F.struct("ts", "yes_price")).alias("last_price"),
@@ -76,6 +88,13 @@ def current_state(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return v.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("s")).select(*keys, "s.*")
 
 
+def compact(spark: SparkSession, out: str, keys: list[str], to: str) -> None:
+    """Write the newest version of each key as one folder, in place of the folders of all batches."""
+    newest = F.expr("max(batch)")
+    last = spark.read.parquet(out).select(newest).first()[0]
+    current_state(spark, out, keys).write.mode("overwrite").parquet(f"{to}/batch={last}")
+
+
 def rescore_touched(
     fills: DataFrame, history_path: str, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
 ) -> StreamingQuery:
@@ -88,13 +107,11 @@ def rescore_touched(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.dropDuplicates(["id"])
         touched = batch.select(MARKET, F.inline(F.array(F.struct(F.lower("maker").alias("wallet")), F.struct(F.lower("taker").alias("wallet"))))).distinct()
         landed = spark.read.schema(FILLS).parquet(history_path).join(touched.select(MARKET).distinct(), MARKET, "left_semi")
+        landed = landed.dropDuplicates(["id"])
         score(landed).join(touched, KEYS, "left_semi").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return fills.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def position_view(spark: SparkSession, out: str) -> DataFrame:
-    s = current_state(spark, out, KEYS)
-    return s.withColumn("inventory", F.col("inventory_micro") / MICRO).withColumn("volume", F.col("volume_micro") / MICRO)

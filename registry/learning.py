@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
 from fillsight.ml import anomaly as AN, cluster as CL, train as TR
-from fillsight.operators import dataset as D
+from fillsight.operators import dataset as D, parsing as PR
 from fillsight.plans import jobs as J
 from fillsight.schema import FILLS, MARKET
 from fillsight.session import ensure_checkpoint_dir, materialize
@@ -154,37 +154,53 @@ def model_comparison(spark, sf):
 
 # -------------------------------------------------------------------- streaming
 
-def _landing(spark, sf):
-    """Fills written as landed files into the session's shared checkpoint folder."""
+def _ingested(spark, sf):
+    """Fills with repeats that land in two parts, the later half first, and are ingested after each."""
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/landing-{uuid.uuid4().hex[:12]}"
     f = X.fills(spark, sf)
     f = f.select(*[F.col(x.name).cast(x.dataType) for x in FILLS])
-    again = f.filter("timestamp % 5 = 0")
-    day = F.expr("timestamp div 86400")
-    f.unionByName(again).repartition(4, day).write.parquet(f"{root}/fills")
+    f = f.unionByName(f.filter("timestamp % 5 = 0"))
+    middle = f.select(F.percentile_approx("timestamp", 0.5).alias("m")).first()["m"]
+    for part in (f.filter(F.col("timestamp") >= middle), f.filter((F.col("timestamp") < middle) | (F.col("timestamp") % 10 == 0))):
+        part.repartition(4, F.expr("timestamp div 86400")).write.mode("append").parquet(f"{root}/fills")
+        ST.ingest_fills(ST.fill_stream(spark, f"{root}/fills"), f"{root}/out", f"{root}/ck").awaitTermination()
     return root
 
 
 @query
 def streamed_ingest(spark, sf):
-    root = _landing(spark, sf)
-    ST.ingest_fills(ST.fill_stream(spark, f"{root}/fills"), f"{root}/out", f"{root}/ck", "40 days").awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy(MARKET).agg(F.count("*").alias("n_fills"), F.count_distinct("id").alias("n_ids"))
+    out = ST.ingested(spark, f"{_ingested(spark, sf)}/out")
+    return out.groupBy(MARKET).agg(F.count("*").alias("n_fills"), F.count_distinct("id").alias("n_ids"))
 
 
 @query
 def streamed_positions(spark, sf):
-    root = _landing(spark, sf)
-    once = ST.deduplicated(ST.fill_stream(spark, f"{root}/fills"), "40 days")
-    ST.write_versions(ST.wallet_positions(once, X.markets(spark, sf).persist()), f"{root}/pos", f"{root}/ck").awaitTermination()
-    return ST.current_state(spark, f"{root}/pos", ["market_slug", "wallet"])
+    root = _ingested(spark, sf)
+    v = ST.wallet_positions(ST.fill_stream(spark, f"{root}/out"), X.markets(spark, sf))
+    ST.write_versions(v, f"{root}/pos", f"{root}/ck-pos").awaitTermination()
+    ST.compact(spark, f"{root}/pos", ["market_slug", "wallet"], f"{root}/pos-now")
+    return ST.current_state(spark, f"{root}/pos-now", ["market_slug", "wallet"])
 
 
 @query
 def streamed_hourly_volume(spark, sf):
-    root = _landing(spark, sf)
-    v = ST.hourly_volume(ST.fill_stream(spark, f"{root}/fills"), X.markets(spark, sf).persist(), "40 days")
-    ST.write_versions(v, f"{root}/vol", f"{root}/ck").awaitTermination()
+    root = _ingested(spark, sf)
+    v = ST.hourly_volume(ST.fill_stream(spark, f"{root}/out"), X.markets(spark, sf))
+    ST.write_versions(v, f"{root}/vol", f"{root}/ck-vol").awaitTermination()
     s = ST.current_state(spark, f"{root}/vol", ["market_slug", "window"])
     return r(s.select(MARKET, F.unix_timestamp("window.start").alias("hour"), "cash", "tokens", "n_fills", "last_price"))
+
+
+@query
+def rescored_wallets(spark, sf):
+    """Wallets touched by the fills that land last, scored on all their landed fills."""
+    root = _ingested(spark, sf)
+    f = X.fills(spark, sf).select(*[F.col(x.name).cast(x.dataType) for x in FILLS])
+    f.filter("timestamp % 7 = 0").write.parquet(f"{root}/new")
+
+    def score(landed):
+        return PR.cash_volume(PR.normalize_trades(PR.parse_trades(landed, X.markets(landed.sparkSession, sf)))).select("wallet", MARKET, "volume_micro")
+
+    ST.rescore_touched(ST.fill_stream(spark, f"{root}/new"), f"{root}/out", score, f"{root}/scores", f"{root}/ck-scores").awaitTermination()
+    return ST.current_state(spark, f"{root}/scores", ["market_slug", "wallet"])

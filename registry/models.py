@@ -51,10 +51,10 @@ def first_trade_times(spark, sf):
 
 @query
 def funder_siblings(spark, sf):
-    """Recipients of each funder up to given times, with a cap some funders exceed."""
+    """Recipients of each funder up to given times; some funders have more than the cap."""
     t = X.transfers(spark, sf)
     points = t.select(F.col("from").alias("funder"), (F.col("ts") + 86_400).alias("as_of_ts")).distinct()
-    tl = PM.funder_timeline(t, X.flagged(spark, sf), cap=60 if "0.001" not in sf else 5)
+    tl = PM.funder_timeline(t, X.flagged(spark, sf), cap=60)
     return PM.siblings_asof(points, tl)
 
 
@@ -112,15 +112,15 @@ def unmatched_keys(spark, sf):
 @query
 def ragged_union(spark, sf):
     d = context(spark, sf).family("days")
-    a = d.filter(F.col(MARKET) == "m1").select("wallet", MARKET, "n_distinct_active_days")
-    b = d.filter(F.col(MARKET) == "m2").select("wallet", MARKET, "n_distinct_buy_days")
+    a = d.select("wallet", MARKET, "n_distinct_active_days")
+    b = d.select("wallet", MARKET, "n_distinct_buy_days")
     return D.union_ragged(a, b)
 
 
 @query
 def stacked_labels(spark, sf):
     d = context(spark, sf).family("days").select("wallet", MARKET, "n_distinct_active_days")
-    return D.stack_labelled(d.join(X.flagged(spark, sf), "wallet", "left_semi"), d.filter(F.col(MARKET) < "m4"), {"origin": "scan"})
+    return D.stack_labelled(d.join(X.flagged(spark, sf), "wallet", "left_semi"), d, {"origin": "scan"})
 
 
 @query
@@ -444,8 +444,8 @@ def importance_attribution(spark, sf):
 
 @query
 def attribution_matrix(spark, sf):
-    a = _contributions(spark, sf).withColumnRenamed(MARKET, "model").filter("model IN ('m0', 'm1', 'm2')")
-    return r(R.attribution_matrix(a, ["m0", "m1", "m2"]))
+    a = _contributions(spark, sf).withColumnRenamed(MARKET, "model")
+    return r(R.attribution_matrix(a, [f"m{k}" for k in range(8)]))
 
 
 def _model_scores(spark, sf):

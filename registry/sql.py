@@ -465,10 +465,7 @@ WHERE "timestamp" BETWEEN 1704500000 AND 1705500000 AND ("makerAssetId" IN ('m1-
 Q["fills_tagged_legs"] = """
 SELECT id, 'maker' AS query_side, "makerAssetId" AS queried_token_id FROM b_fills WHERE "makerAssetId" <> '0'
 UNION ALL SELECT id, 'taker', "takerAssetId" FROM b_fills WHERE "takerAssetId" <> '0'"""
-Q["fills_source_fallback"] = """
-SELECT id, market_slug, "timestamp" FROM b_fills WHERE market_slug < 'm3'
-UNION ALL SELECT id, market_slug, "timestamp" FROM (
-  SELECT *, row_number() OVER (PARTITION BY market_slug ORDER BY "timestamp" DESC, id DESC) AS rn FROM b_fills WHERE market_slug >= 'm3') WHERE rn <= 100"""
+Q["fills_source_fallback"] = 'SELECT id, market_slug, "timestamp" FROM b_fills'
 Q["secondary_fill_mapping"] = """
 SELECT 't' || event_id || '_' || substr('asset-number-' || event_id, 1, 16) || '_' || ts AS id, ts AS "timestamp", 't' || event_id AS "transactionHash",
   '' AS "orderHash", '0x' || repeat('0', 40) AS maker, 'w' || user_id AS taker,
@@ -491,9 +488,7 @@ SELECT market_slug, count(*) AS n, cast(sum("takerAmountFilled") AS bigint) AS t
 B["b_act"] = """
 SELECT 'w' || user_id AS wallet, ts AS "timestamp", CASE WHEN event_type = 'error' THEN 'REDEEM' ELSE 'TRADE' END AS type, 'm' || mk AS slug,
   CASE WHEN event_type IN ('purchase', 'signup') THEN 'BUY' ELSE 'SELL' END AS side, value AS "usdcSize", 't' || event_id AS "transactionHash" FROM b_ev"""
-Q["activity_scan"] = """
-SELECT wallet, "timestamp", slug, side, "usdcSize", "transactionHash" FROM (
-  SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY "timestamp" DESC, "transactionHash" DESC) AS rn FROM b_act WHERE type = 'REDEEM') WHERE rn <= 5"""
+Q["activity_scan"] = 'SELECT wallet, "timestamp", slug, side, "usdcSize", "transactionHash" FROM b_act'
 B["b_tra"] = """
 SELECT 'f' || c_nationkey AS funder, 'w' || (o_custkey % 150) AS "to", o_custkey % 150 AS wno, cast(epoch(o_orderdate) AS bigint) AS ts, 'x' || o_orderkey AS tx_hash, o_orderkey AS seq
 FROM orders JOIN customer ON o_custkey = c_custkey"""
@@ -710,6 +705,7 @@ B["b_recip"] = """
 SELECT funder, "to", min(ts) AS ts, max(CASE WHEN "to" IN (SELECT wallet FROM b_flag) THEN 1 ELSE 0 END) AS hit FROM b_tra GROUP BY ALL"""
 B["b_meta"] = """
 SELECT p.wallet, p.market_slug, l.as_of_ts, CASE WHEN l.as_of_ts IS NOT NULL THEN d.funder END AS funder, CASE WHEN l.as_of_ts IS NOT NULL THEN d.first_deposit_ts END AS first_deposit_ts,
+  CASE WHEN d.funder IS NOT NULL THEN (SELECT count(*) > 1000 FROM b_recip r WHERE r.funder = d.funder) END AS funder_over_cap,
   CASE WHEN l.as_of_ts IS NULL THEN 'no TRADE activity on market' END AS error,
   cast(q.n_tm AS double) AS n_markets_traded, cast(l.as_of_ts - d.first_deposit_ts AS double) AS wallet_age_seconds, cast(l.as_of_ts - m.start_ts AS double) AS market_age_seconds,
   (l.as_of_ts - d.first_deposit_ts) / greatest(l.as_of_ts - m.start_ts, 1) AS wallet_to_market_age_ratio,
@@ -724,13 +720,12 @@ SELECT p.wallet, p.market_slug, l.as_of_ts, CASE WHEN l.as_of_ts IS NOT NULL THE
   CASE WHEN d.funder IS NOT NULL THEN (SELECT cast(coalesce(sum(hit), 0) AS double) FROM b_recip r WHERE r.funder = d.funder AND r.ts <= l.as_of_ts) END AS funder_flagged_wallet_count
 FROM b_wpairs p LEFT JOIN b_life l USING (wallet, market_slug) LEFT JOIN b_pre2 q USING (wallet, market_slug) LEFT JOIN b_mk m ON m.slug = p.market_slug
 LEFT JOIN b_dep d ON d.wallet = p.wallet AND l.as_of_ts IS NOT NULL LEFT JOIN b_size s ON s.wallet = p.wallet"""
-Q["metadata_features"] = rounded("b_meta", "wallet, market_slug, as_of_ts, funder, first_deposit_ts, error", METADATA_COLUMNS)
+Q["metadata_features"] = rounded("b_meta", "wallet, market_slug, as_of_ts, funder, first_deposit_ts, funder_over_cap, error", METADATA_COLUMNS)
 Q["wallet_market_pnl"] = "SELECT wallet, slug AS market_slug, round(sum(u * sg) / 1e6, 8) + 0.0 AS pnl FROM b_am GROUP BY wallet, slug"
 Q["first_trade_times"] = "SELECT wallet, market_slug, min(ts) AS as_of_ts FROM b_yes GROUP BY wallet, market_slug"
 B["b_points"] = "SELECT DISTINCT funder, ts + 86400 AS as_of_ts FROM b_tra"
 Q["funder_siblings"] = """
-SELECT p.funder, p.as_of_ts, CASE WHEN max(c.n) <= (SELECT CASE WHEN count(*) > 1000 THEN 60 ELSE 5 END FROM customer) THEN count(r.ts) END AS n_siblings,
-  CASE WHEN max(c.n) <= (SELECT CASE WHEN count(*) > 1000 THEN 60 ELSE 5 END FROM customer) THEN cast(coalesce(sum(r.hit), 0) AS bigint) END AS n_flagged_siblings
+SELECT p.funder, p.as_of_ts, count(r.ts) AS n_siblings, cast(coalesce(sum(r.hit), 0) AS bigint) AS n_flagged_siblings, max(c.n) > 60 AS over_cap
 FROM b_points p LEFT JOIN b_recip r ON r.funder = p.funder AND r.ts <= p.as_of_ts JOIN (SELECT funder, count(*) AS n FROM b_recip GROUP BY funder) c ON c.funder = p.funder
 GROUP BY p.funder, p.as_of_ts"""
 B["b_tlp"] = """
@@ -754,11 +749,10 @@ SELECT p.wallet, p.market_slug, v.wallet IS NOT NULL AS present FROM (SELECT * F
 Q["known_wallet_exclusion"] = "SELECT wallet, market_slug, volume_micro FROM b_vol WHERE wallet NOT IN (SELECT wallet FROM b_pos)"
 Q["unmatched_keys"] = "SELECT wallet, market_slug FROM x_days EXCEPT ALL SELECT wallet, market_slug FROM b_lab"
 Q["ragged_union"] = """
-SELECT wallet, market_slug, n_distinct_active_days, NULL::bigint AS n_distinct_buy_days FROM x_days WHERE market_slug = 'm1'
-UNION ALL SELECT wallet, market_slug, NULL, n_distinct_buy_days FROM x_days WHERE market_slug = 'm2'"""
+SELECT wallet, market_slug, n_distinct_active_days, NULL::bigint AS n_distinct_buy_days FROM x_days
+UNION ALL SELECT wallet, market_slug, NULL, n_distinct_buy_days FROM x_days"""
 Q["stacked_labels"] = """
-SELECT wallet, market_slug, n_distinct_active_days, cast(wallet IN (SELECT wallet FROM b_flag) AS integer) AS is_insider, 'scan' AS origin FROM x_days
-WHERE market_slug < 'm4' OR wallet IN (SELECT wallet FROM b_flag)"""
+SELECT wallet, market_slug, n_distinct_active_days, cast(wallet IN (SELECT wallet FROM b_flag) AS integer) AS is_insider, 'scan' AS origin FROM x_days"""
 Q["volume_floor"] = """
 SELECT market_slug, count(*) AS n_pos, round(quantile_cont(volume_micro / 1e6, 0.25), 8) + 0.0 AS volume_floor FROM b_vol JOIN b_pos USING (wallet, market_slug) GROUP BY market_slug"""
 B["b_cls"] = "SELECT market_slug, is_insider, count(*) AS n FROM b_lab GROUP BY market_slug, is_insider"
@@ -927,10 +921,9 @@ Q["top_contribution_text"] = """
 SELECT wallet, market_slug, string_agg(feature || '(' || printf('%+.3f', c::double) || ')', '; ' ORDER BY rank) AS top_features FROM b_rkt WHERE rank <= 2 GROUP BY wallet, market_slug"""
 Q["importance_attribution"] = """
 SELECT wallet, market_slug, feature, round(value, 8) + 0.0 AS value, CASE feature WHEN 'active_day_frac' THEN 2.0::double ELSE 0.5::double END AS contribution FROM b_con WHERE feature <> 'n_distinct_buy_days'"""
-Q["attribution_matrix"] = """
-SELECT feature, round(sum(contribution) FILTER (WHERE market_slug = 'm0'), 8) + 0.0 AS m0, round(sum(contribution) FILTER (WHERE market_slug = 'm1'), 8) + 0.0 AS m1,
-  round(sum(contribution) FILTER (WHERE market_slug = 'm2'), 8) + 0.0 AS m2, round((SELECT quantile_cont(abs(contribution), 0.98) FROM b_con WHERE market_slug IN ('m0', 'm1', 'm2')), 8) + 0.0 AS scale
-FROM b_con WHERE market_slug IN ('m0', 'm1', 'm2') GROUP BY feature"""
+Q["attribution_matrix"] = "SELECT feature, " + ", ".join(
+    f"round(sum(contribution) FILTER (WHERE market_slug = 'm{k}'), 8) + 0.0 AS m{k}" for k in range(8)
+) + ", round((SELECT quantile_cont(abs(contribution), 0.98) FROM b_con), 8) + 0.0 AS scale FROM b_con GROUP BY feature"
 B["b_ms"] = " UNION ALL ".join(f"SELECT wallet, market_slug, 'm{k}' AS model, volume_micro % {k} / {k} AS score FROM b_vol" for k in (101, 211, 307))
 Q["ensemble_scores"] = """
 SELECT 'e' || e AS ensemble, wallet, market_slug, round(sum(score * w) / sum(w), 8) + 0.0 AS score FROM (
@@ -950,11 +943,12 @@ Q["streamed_ingest"] = "SELECT market_slug, count(*) AS n_fills, count(*) AS n_i
 Q["streamed_positions"] = """
 SELECT market_slug, wallet, cast(sum(signed_micro) AS bigint) AS inventory_micro, cast(sum(cash_micro) AS bigint) AS volume_micro, count(*) AS n_trades, max(ts) AS last_ts
 FROM b_yes GROUP BY market_slug, wallet"""
-B["b_twice"] = "SELECT * FROM b_leg UNION ALL SELECT * FROM b_leg WHERE ts % 5 = 0"
 Q["streamed_hourly_volume"] = """
 SELECT market_slug, ts // 3600 * 3600 AS hour, round(sum(cash / 1e6), 8) + 0.0 AS cash, round(sum(token / 1e6), 8) + 0.0 AS tokens, count(*) AS n_fills,
   round(arg_max(CASE WHEN is_no THEN 1 - cash / token ELSE cash / token END, (ts, CASE WHEN is_no THEN 1 - cash / token ELSE cash / token END)), 8) + 0.0 AS last_price
-FROM b_twice GROUP BY market_slug, ts // 3600 * 3600"""
+FROM b_leg GROUP BY market_slug, ts // 3600 * 3600"""
+B["b_touch"] = "SELECT DISTINCT market_slug, lower(w) AS wallet FROM (SELECT market_slug, unnest([maker, taker]) AS w FROM b_fills WHERE timestamp % 7 = 0)"
+Q["rescored_wallets"] = "SELECT market_slug, wallet, volume_micro FROM b_vol JOIN b_touch USING (market_slug, wallet)"
 B["b_cmp"] = """
 SELECT m.* EXCLUDE (cv_pr, cv_std), coalesce(s.m, m.cv_pr) AS cv_pr, coalesce(s.s, m.cv_std) AS cv_std FROM b_mod m
 LEFT JOIN (SELECT replace(tag, 't', 'tag') AS tag, avg(pr_auc) AS m, stddev_pop(pr_auc) AS s FROM b_fv GROUP BY tag) s ON s.tag = m.tag"""

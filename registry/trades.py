@@ -32,7 +32,7 @@ def fills_tagged_legs(spark, sf):
 def fills_source_fallback(spark, sf):
     f = X.fills(spark, sf)
     primary = f.filter(F.col(MARKET) < "m3")
-    return SF.with_fallback(primary, f, cap=100).select("id", MARKET, "timestamp")
+    return SF.with_fallback(primary, f).select("id", MARKET, "timestamp")
 
 
 def user_trades(spark, sf):
@@ -92,7 +92,7 @@ def attached_markets(spark, sf):
 
 @query
 def activity_scan(spark, sf):
-    a = SW.scan_activity(X.activity(spark, sf), ("REDEEM",), newest=5)
+    a = SW.scan_activity(X.activity(spark, sf))
     return a.select("wallet", "timestamp", "slug", "side", "usdcSize", "transactionHash")
 
 
