@@ -125,11 +125,6 @@ def slug8(slug: Column) -> Column:
     return F.substring(F.replace(slug, F.lit("-"), F.lit("")), 1, 24)
 
 
-def slug8_of_file(name: Column) -> Column:
-    """The slug key of a results file name, empty when the name has another form."""
-    return F.regexp_extract(name, r"scan_(.+?)_\d{8}_\d{6}_results", 1)
-
-
 def marker_size(amount: Column) -> Column:
     """Marker area growing with the square root of the amount, capped."""
     return F.least(36 + 18 * F.sqrt(F.greatest(amount, F.lit(0.0))), F.lit(160.0))
@@ -140,34 +135,21 @@ def min_max_clip(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - lo) / (hi - lo)))).otherwise(F.lit(0.0))
 
 
-def cv_scheme(text: Column) -> Column:
-    """Short name of a cross-validation description."""
-    return (
-        F.when(text.isNull() | (text == ""), F.lit("(none)"))
-        .when(text.contains("StratifiedGroupKFold"), F.lit("StratifiedGroupKFold(shuffle=True)"))
-        .when(text.contains("GroupKFold"), F.lit("GroupKFold"))
-        .when(text.contains("TimeSeriesSplit"), F.lit("TimeSeriesSplit"))
-        .otherwise(F.substring(text, 1, 30))
-    )
-
-
-def split_kind(text: Column) -> Column:
-    t = F.lower(text)
-    return (
-        F.when(t.contains("pinned"), F.lit("pinned"))
-        .when(t.contains("random by market"), F.lit("random by market (seeded)"))
-        .when(text.isNull() | (text == ""), F.lit("row-level 80/20"))
-        .otherwise(F.substring(text, 1, 30))
-    )
+# The names under which reports show the fold and split settings of a training run.
+FOLD_LABELS = {
+    "rows": "(none)", "stratified_group": "StratifiedGroupKFold(shuffle=True)", "group": "GroupKFold", "time": "TimeSeriesSplit",
+}
+SPLIT_LABELS = {"rows": "row-level 80/20", "pinned": "pinned", "random_market": "random by market (seeded)"}
 
 
-def short_market(slug: Column, width: int = 30) -> Column:
-    return F.when(F.length(slug) <= width, slug).otherwise(F.concat(F.substring(slug, 1, width - 1), F.lit("...")))
+def labelled(setting: Column, labels: dict[str, str]) -> Column:
+    """Report name of a setting; settings without one keep their own."""
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.element_at(names, setting), setting)
 
 
-def market_list(slugs: Column, keep: int = 6) -> Column:
-    """First markets of a list joined by commas, with the count of the rest."""
-    rest = F.size(slugs) - keep
-    head = F.transform(F.slice(slugs, 1, keep), lambda s: short_market(s))
-    tail = F.concat(F.lit("(+"), rest.cast("string"), F.lit(" more)"))
-    return F.when(rest > 0, F.array_join(F.array_append(head, tail), ", ")).otherwise(F.array_join(head, ", "))
+def abbreviated(items: Column, keep: int = 6, width: int = 30) -> Column:
+    """Items of a list in one line: long ones clipped to ``width``, and how many follow after ``keep``."""
+    shown = F.transform(F.slice(items, 1, keep), lambda x: F.regexp_replace(x, f"^(.{{{width - 1}}}).{{2,}}$", "$1..."))
+    more = F.filter(F.array(F.size(items) - keep), lambda n: n > 0)
+    return F.array_join(F.concat(shown, F.transform(more, lambda n: F.format_string("(+%d more)", n))), ", ")

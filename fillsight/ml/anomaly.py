@@ -7,10 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fillsight.operators.dataset import hash_order
-from fillsight.operators.scan import with_scalars
+from fillsight.operators.scan import percentiles, with_scalars
+from fillsight.session import materialize
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 
@@ -46,20 +47,35 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int, tree: int) -> lis
     return [tuple(n) for n in nodes]
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], keys: Sequence[str], n_trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Node table of the forest.
+def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Median of each feature (0 where it has no value); one row comes back."""
+    row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in features]).first()
+    return {c: 0.0 if row[c] is None else float(row[c]) for c in features}
 
-    A hash-ordered top-k takes ``n_trees * sample`` rows; each belongs to one tree, so
-    every task sees about ``sample`` rows whatever the input size.
+
+def fit_forest(
+    df: DataFrame, features: Sequence[str], keys: Sequence[str], n_trees: int = 100, sample: int = 256, seed: int = 42,
+    fill: dict[str, float] | None = None,
+) -> DataFrame:
+    """Node table of the forest; every tree has its own draw of ``sample`` rows.
+
+    A row is offered to a tree when a hash of (row, tree) falls under a rate that gives about
+    twice the rows needed; the first ``sample`` of them by hash are taken, so trees overlap
+    and each has its full sample whatever the input size. Missing values become medians.
     """
-    x = df.select(*keys, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
-    drawn = x.withColumn("_h", hash_order(seed, *keys)).orderBy("_h", *keys).limit(n_trees * sample)
-    # the draw order is by _h, so a second hash spreads it over the trees
-    part = drawn.select(F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(n_trees)).cast("int").alias("tree"), "_h", "x")
+    fill = fill or medians(df, features)
+    x = df.select(*keys, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in features]).alias("x"))
+    x = x.withColumn("_h", hash_order(seed, *keys))
+    rate = min(1.0, (2 * sample + 64) / max(df.count(), 1))
+    bits = 1 << 30
+    draw = lambda t: F.pmod(F.xxhash64("_h", t), F.lit(bits)) < int(rate * bits)
+    offered = x.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), draw)))
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("_h", "tree"), *keys)
+    part = offered.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).select("tree", "_n", "x")
     limit = math.ceil(math.log2(max(sample, 2)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_h")
+        pdf = pdf.sort_values("_n")
         tree = int(pdf["tree"].iloc[0])
         rows = _grow(np.vstack(pdf["x"].to_numpy()), np.random.default_rng([seed, tree]), limit, tree)
         return pd.DataFrame(rows, columns=["tree", "node", "feature", "cut", "left", "right", "size", "depth"])
@@ -67,7 +83,9 @@ def fit_forest(df: DataFrame, features: Sequence[str], keys: Sequence[str], n_tr
     return part.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
-def score_forest(df: DataFrame, forest: DataFrame, features: Sequence[str], contamination: float | None = 0.1) -> DataFrame:
+def score_forest(
+    df: DataFrame, forest: DataFrame, features: Sequence[str], contamination: float | None = 0.1, fill: dict[str, float] | None = None
+) -> DataFrame:
     """Anomaly score in (0, 1), decision (negative = anomalous) and flag.
 
     The forest has at most ``2 * sample`` nodes per tree, a size fixed by its
@@ -75,6 +93,7 @@ def score_forest(df: DataFrame, forest: DataFrame, features: Sequence[str], cont
     percentile given by ``contamination``, or 0.5 without one.
     """
     spark = df.sparkSession
+    fill = fill or medians(df, features)
     nodes = forest.toPandas().sort_values(["tree", "node"])
     trees = [g for _, g in nodes.groupby("tree")]
     packed = [
@@ -90,7 +109,7 @@ def score_forest(df: DataFrame, forest: DataFrame, features: Sequence[str], cont
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest_ = shared.value
         for pdf in batches:
-            x = pdf[cols].astype(float).fillna(0.0).to_numpy()
+            x = pdf[cols].astype(float).fillna(fill).to_numpy()
             total = np.zeros(len(x))
             for t in forest_:
                 at = np.zeros(len(x), dtype=int)
@@ -108,7 +127,8 @@ def score_forest(df: DataFrame, forest: DataFrame, features: Sequence[str], cont
     if contamination is None:
         cut = F.lit(0.5)
         return scored.withColumn("anomaly_decision", cut - F.col("anomaly_score")).withColumn("anomaly", F.col("anomaly_score") > cut)
-    # an approximate rank is enough for a cut and keeps one small sketch per task
-    bound = scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 100_000).alias("_cut"))
+    scored = materialize(scored)
+    one = scored.select(F.lit(0).alias("_one"), "anomaly_score")
+    bound = percentiles(one, ["_one"], "anomaly_score", {"_cut": 1 - contamination}, split=True).select("_cut")
     s = with_scalars(scored, bound)
     return s.withColumn("anomaly_decision", F.col("_cut") - F.col("anomaly_score")).withColumn("anomaly", F.col("anomaly_score") > F.col("_cut")).drop("_cut")

@@ -1,4 +1,4 @@
-"""Cluster exploration: k-means sweep, projection, density clusters in the plane."""
+"""Cluster exploration: k-means sweep and assignment, projection onto the plane."""
 
 from __future__ import annotations
 
@@ -17,14 +17,16 @@ KS = (2, 3, 4, 5, 6, 8, 10)
 def standardized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median-imputed, standardized ``features`` vector of the given columns."""
     filled = [f"{c}__i" for c in columns]
-    d = Imputer(strategy="median", inputCols=list(columns), outputCols=filled).fit(df).transform(df)
+    d = Imputer(strategy="median", inputCols=list(columns), outputCols=filled, relativeError=0.0).fit(df).transform(df)
     d = VectorAssembler(inputCols=filled, outputCol="_raw").transform(d)
     m = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(d)
     return m.transform(d).drop("_raw", *filled)
 
 
 def from_array(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
+    """Standardized ``features`` vector of an array column."""
+    d = df.withColumn("_raw", array_to_vector(F.col(column).cast("array<double>")))
+    return StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(d).transform(d).drop("_raw")
 
 
 def kmeans_sweep(df: DataFrame, ks: Sequence[int] = KS, seed: int = 42) -> DataFrame:
@@ -35,6 +37,7 @@ def kmeans_sweep(df: DataFrame, ks: Sequence[int] = KS, seed: int = 42) -> DataF
         m = KMeans(k=k, seed=seed, featuresCol="features").fit(data)
         s = ClusteringEvaluator(featuresCol="features").evaluate(m.transform(data))
         rows.append((k, float(s), float(m.summary.trainingCost)))
+    data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
 
 

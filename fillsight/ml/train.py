@@ -19,7 +19,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fillsight.functions.scalar import platt
-from fillsight.ml.metrics import auc_and_ap, confusion, cv_summary, tune_threshold
+from fillsight.ml.metrics import auc_and_ap, confusion, cv_summary
 from fillsight.operators import dataset as D
 from fillsight.operators.scan import with_scalars
 from fillsight.schema import MARKET
@@ -95,7 +95,7 @@ def _inputs(features: Sequence[str], impute: bool, indicators: bool) -> tuple[li
     stages = []
     if impute:
         out = [f"{c}__i" for c in cols]
-        stages.append(Imputer(strategy="median", inputCols=cols, outputCols=out, relativeError=0.001))
+        stages.append(Imputer(strategy="median", inputCols=cols, outputCols=out, relativeError=0.0))
         cols = out
     if indicators:
         cols = cols + [f"{c}__null" for c in features]
@@ -216,8 +216,10 @@ def oof_predictions(train: DataFrame, spec: TrainSpec) -> DataFrame:
     for k in range(1, spec.n_folds + 1) if expanding else range(spec.n_folds):
         fit_on = train.filter(F.col("fold") < k if expanding else F.col("fold") != k)
         held = train.filter(F.col("fold") == k)
-        if held.isEmpty() or not _usable(fit_on):
-            continue
+        if held.isEmpty():
+            raise ValueError(f"fold {k} of {spec.n_folds} has no rows")
+        if not _usable(fit_on):
+            raise ValueError(f"the rows outside fold {k} have one class only: {held.count()} rows would stay unscored")
         model = pipeline_for(spec, _total_weight(fit_on)).fit(fit_on)
         parts.append(score_rows(model, held).select("wallet", MARKET, LABEL, "fold", "raw"))
     return D.union_ragged(*parts)
@@ -233,9 +235,13 @@ def unscored_rows(train: DataFrame, oof: DataFrame) -> DataFrame:
 
 
 def fit_calibrator(oof: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of the sigmoid fitted on out-of-fold probabilities."""
+    """Slope and intercept of the sigmoid fitted on out-of-fold probabilities.
+
+    The slope has a unit penalty on the summed loss (Spark averages the loss), so separable
+    scores do not run away.
+    """
     v = VectorAssembler(inputCols=["raw"], outputCol="v").transform(oof)
-    m = LogisticRegression(featuresCol="v", labelCol=LABEL, regParam=0.0, maxIter=100, standardization=False).fit(v)
+    m = LogisticRegression(featuresCol="v", labelCol=LABEL, regParam=1.0 / max(v.count(), 1), maxIter=100, standardization=False).fit(v)
     return float(m.coefficients[0]), float(m.intercept)
 
 
@@ -295,6 +301,10 @@ def train(df: DataFrame, spec: TrainSpec) -> Trained:
     train_rows = prepared.filter(F.col("split") == "train")
     folded = materialize(fold_rows(train_rows, spec))
     oof = materialize(oof_predictions(folded, spec))
+    due = folded.filter("fold > 0") if spec.folds == "time" else folded
+    missing = unscored_rows(due, oof).count()
+    if missing:
+        raise ValueError(f"{missing} training rows have no out-of-fold score")
     calibrator = fit_calibrator(oof) if spec.calibrate else None
     model = pipeline_for(spec, _total_weight(train_rows)).fit(train_rows)
     test = insider_score(score_rows(model, prepared.filter(F.col("split") == "test")), calibrator)
@@ -411,10 +421,6 @@ def parameter_count(model: PipelineModel) -> int:
     return int(last.totalNumNodes) if hasattr(last, "totalNumNodes") else int(last.coefficients.size) + 1
 
 
-def tuned_cut(scored: DataFrame, target: float = 0.8, objective: str = "precision") -> DataFrame:
-    return tune_threshold(scored.withColumn("label", F.col(LABEL)), target, objective)
-
-
 def _session():
     from pyspark.sql import SparkSession
 

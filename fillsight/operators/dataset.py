@@ -18,12 +18,9 @@ LABEL = "is_insider"
 
 
 def hash_order(seed: int, *cols: str) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-
-
-def hash_unit(seed: int, *cols: str) -> Column:
-    """Uniform value in [0, 1) from a hash."""
-    return F.pmod(hash_order(seed, *cols), F.lit(1_000_003)) / 1_000_003.0
+    """60 bits of an md5 of (seed, columns) as a bigint; other engines compute the same."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 # ------------------------------------------------------------------------ joins
@@ -275,7 +272,7 @@ def loo_folds(df: DataFrame, keys: Sequence[str] = KEYS, seed: int = 42, max_row
     d = df.withColumn("_all", F.lit(0)).withColumn("_h", F.pmod(hash_order(seed, *keys), F.lit(2**40)))
     cells = plan_cells(d, ["_all"], "_h", (2**30, 2**20, 2**10, 1), max_rows=max_rows)
     d = scan(cells.label(d, "_h"), ["_all"], ["_h", *keys], running={"fold": ("count", F.lit(1))}, cells=cells)
-    return d.select(*df.columns, (F.col("fold") - 1).cast("int").alias("fold"))
+    return d.select(*df.columns, (F.col("fold") - 1).alias("fold"))
 
 
 def fold_breakdown(df: DataFrame) -> DataFrame:

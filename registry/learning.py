@@ -82,7 +82,7 @@ def calibrated_training(spark, sf):
 @query
 def leave_markets_out(spark, sf):
     s = spec(**{**FOREST, "n_folds": 2, "params": dict(numTrees=5, maxDepth=3)}, calibrate=False)
-    return r(TR.leave_markets_out(dataset(spark, sf), s, ["m1", "m6"]), 4)
+    return r(TR.leave_markets_out(dataset(spark, sf), s, [f"m{k}" for k in range(8)]), 4)
 
 
 @query
@@ -100,21 +100,31 @@ def isolation_scores(spark, sf):
     return r(AN.score_forest(d, forest, FEATURES, 0.1).select("wallet", MARKET, "anomaly_score", "anomaly"), 6)
 
 
+def matrix(spark, sf):
+    """Imputed, standardized feature vectors of the labelled rows."""
+    d = dataset(spark, sf)
+    return CL.standardized(d.select("wallet", MARKET, D.LABEL, *[F.col(c).cast("double").alias(c) for c in FEATURES]), FEATURES)
+
+
 @query
 def kmeans_sweep(spark, sf):
-    return r(CL.kmeans_sweep(CL.from_array(X.table(spark, sf, "embeddings"), "embedding"), (2, 5, 8)), 4)
+    return r(CL.kmeans_sweep(matrix(spark, sf)), 4)
 
 
 @query
 def kmeans_profile(spark, sf):
-    e = CL.from_array(X.table(spark, sf, "embeddings"), "embedding").withColumn(D.LABEL, (F.col("label") % 2).cast("int"))
-    return r(D.cluster_profile(CL.kmeans_assign(e, 5)), 6)
+    return r(D.cluster_profile(CL.kmeans_assign(matrix(spark, sf), 5)), 6)
 
 
 @query
 def plane_projection(spark, sf):
+    return r(CL.project(matrix(spark, sf)).select("wallet", MARKET, F.abs("x").alias("x"), F.abs("y").alias("y")), 4)
+
+
+@query
+def embedding_clusters(spark, sf):
     e = CL.from_array(X.table(spark, sf, "embeddings"), "embedding")
-    return r(CL.project(e).select("vec_id", F.abs("x").alias("x"), F.abs("y").alias("y")), 4)
+    return CL.kmeans_assign(e, 8).select("vec_id", "cluster")
 
 
 @query
@@ -143,7 +153,7 @@ def pair_audit(spark, sf):
         "logistic": TR.train(d, spec(estimator="logistic", params=dict(max_iter=20), n_folds=3, calibrate=False)),
     }
     cuts = {t: m.test_scores for t, m in models.items()}
-    return r(J.audit_pairs(d.filter(F.col(MARKET) == "m1"), models, cuts, 0.3), 4)
+    return r(J.audit_pairs(d, models, cuts, 0.3), 4)
 
 
 @query

@@ -130,7 +130,7 @@ def volume_floor(spark, sf):
 
 @query
 def negative_sample(spark, sf):
-    """Hash-ordered draw: checked by rows and properties, not by SQL."""
+    """Positives and the hash-ordered draw of negatives per market."""
     t = context(spark, sf).trades
     return D.labelled_set(P.cash_volume(t), positives(spark, sf), positives(spark, sf), per_positive=2)
 
@@ -189,14 +189,14 @@ def group_folds(spark, sf):
 
 @query
 def time_folds(spark, sf):
-    return D.time_folds(_timed(spark, sf).filter("t IS NOT NULL"), "t", 3).groupBy("fold").agg(
+    return D.time_folds(_timed(spark, sf), "t", 3).groupBy("fold").agg(
         F.count_distinct(MARKET).alias("n_markets"), F.count("*").alias("n_rows"), F.min(MARKET).alias("first_market")
     )
 
 
 @query
 def row_folds(spark, sf):
-    return D.row_folds(labels(spark, sf)).groupBy("fold", "is_insider").agg(F.count("*").alias("n"))
+    return D.row_folds(labels(spark, sf)).select("fold", "is_insider", "wallet", MARKET)
 
 
 @query

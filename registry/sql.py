@@ -671,18 +671,17 @@ Q["display_scalars"] = """
 SELECT c_custkey, CASE WHEN length(s) <= 30 THEN s ELSE substr(s, 1, 29) || '...' END AS short_market, substr(replace(s, '-', ''), 1, 24) AS slug8,
   round(1 / (1 + exp(-(-2.0 * (v / 10000) + 0.5))), 8) AS calibrated, round(1 - 1 / (1 + exp(-(-2.0 * (v / 10000) + 0.5))), 8) AS calibrated_rev,
   round(CASE WHEN v / 10000 > 0 THEN least(1 / pow(v / 10000, 1.5), 8) ELSE 8 END, 8) AS weight, round(greatest(0.0, least(1.0, v / 5000)), 8) AS clipped,
-  round(least(36 + 18 * sqrt(greatest(v, 0)), 160), 8) AS marker, c_mktsegment AS file_slug
+  round(least(36 + 18 * sqrt(greatest(v, 0)), 160), 8) AS marker
 FROM (SELECT c_custkey, c_mktsegment, c_acctbal AS v, 'will-' || c_name || '-of-' || c_mktsegment AS s FROM customer)"""
 Q["unit_labels"] = """
 SELECT c_custkey, '$' || format('{:,}', v) AS usdc, format('{:,.1f}', v::double) AS n,
   CASE WHEN k = 0 AND v <> 0 THEN '∞' WHEN k = 0 THEN '1.0×' WHEN v / k >= 100 THEN format('{:,.0f}', v / k) || '×' ELSE format('{:,.2f}', v / k) || '×' END AS ratio
 FROM (SELECT c_custkey, cast(floor(c_acctbal) AS bigint) AS v, c_custkey % 3 AS k FROM customer)"""
 Q["scheme_labels"] = """
-SELECT o_custkey, CASE WHEN t = '' THEN '(none)' WHEN t LIKE 'Strat%' THEN 'StratifiedGroupKFold(shuffle=True)' WHEN t LIKE 'Group%' THEN 'GroupKFold' ELSE substr(t, 1, 30) END AS scheme,
-  CASE WHEN t = '' THEN 'row-level 80/20' WHEN t LIKE 'Pinned%' THEN 'pinned' ELSE substr(t, 1, 30) END AS kind,
+SELECT o_custkey, ['(none)', 'StratifiedGroupKFold(shuffle=True)', 'GroupKFold', 'TimeSeriesSplit'][k % 4 + 1] AS scheme,
+  ['row-level 80/20', 'group', 'pinned', 'random by market (seeded)', 'time'][k % 5 + 1] AS kind,
   array_to_string(ms[1:2], ', ') || CASE WHEN len(ms) > 2 THEN ', (+' || (len(ms) - 2) || ' more)' ELSE '' END AS markets
-FROM (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS ms, max(CASE o_orderkey % 4 WHEN 0 THEN 'StratifiedGroupKFold by market' WHEN 1 THEN 'GroupKFold, 5' WHEN 2 THEN ''
-  ELSE 'Pinned market ' || o_orderpriority || ' and some more words' END) AS t FROM orders GROUP BY o_custkey)"""
+FROM (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS ms, max(o_orderkey) AS k FROM orders GROUP BY o_custkey)"""
 
 # ------------------------------------------------------------------- metadata
 
@@ -755,6 +754,30 @@ Q["stacked_labels"] = """
 SELECT wallet, market_slug, n_distinct_active_days, cast(wallet IN (SELECT wallet FROM b_flag) AS integer) AS is_insider, 'scan' AS origin FROM x_days"""
 Q["volume_floor"] = """
 SELECT market_slug, count(*) AS n_pos, round(quantile_cont(volume_micro / 1e6, 0.25), 8) + 0.0 AS volume_floor FROM b_vol JOIN b_pos USING (wallet, market_slug) GROUP BY market_slug"""
+def drawn(*cols, seed=42):
+    """The number by which draws are ordered, as in dataset.hash_order."""
+    return f"('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(cols)})), 1, 15))::BIGINT"
+
+
+B["b_floor"] = "SELECT market_slug, count(*) AS n_pos, quantile_cont(volume_micro / 1e6, 0.25) AS fl FROM b_vol JOIN b_pos USING (wallet, market_slug) GROUP BY market_slug"
+Q["negative_sample"] = f"""
+SELECT DISTINCT wallet, market_slug, 1 AS is_insider FROM b_pos JOIN b_vol USING (wallet, market_slug) UNION ALL
+SELECT wallet, market_slug, 0 FROM (
+  SELECT v.*, f.n_pos, row_number() OVER (PARTITION BY market_slug ORDER BY {drawn('market_slug', 'wallet')}, wallet) AS rn
+  FROM b_vol v JOIN b_floor f USING (market_slug) WHERE wallet NOT IN (SELECT wallet FROM b_pos) AND volume_micro / 1e6 >= fl) WHERE rn <= 2 * n_pos"""
+Q["random_market_split"] = f"""
+SELECT market_slug, n_rows, size_band, CASE WHEN row_number() OVER (PARTITION BY size_band ORDER BY {drawn('market_slug')}, market_slug) <= 1 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT market_slug, count(*) AS n_rows, CASE WHEN count(*) >= 10 THEN 'large' ELSE 'small' END AS size_band FROM b_lab GROUP BY market_slug)"""
+Q["grouped_rows"] = f"""
+SELECT market_slug, n, CASE WHEN row_number() OVER (ORDER BY {drawn('market_slug')}, market_slug) <= ceil(count(*) OVER () * 0.15) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT market_slug, count(*) AS n FROM b_lab GROUP BY market_slug)"""
+Q["group_folds"] = f"""
+SELECT l.*, f.fold FROM b_lab l JOIN (
+  SELECT market_slug, cast(CASE WHEN rn // 4 % 2 = 0 THEN rn % 4 ELSE 3 - rn % 4 END AS integer) AS fold FROM (
+    SELECT market_slug, row_number() OVER (ORDER BY sum(is_insider) DESC, count(*) DESC, {drawn('market_slug')}, market_slug) - 1 AS rn FROM b_lab GROUP BY market_slug)) f USING (market_slug)"""
+Q["row_folds"] = f"""
+SELECT cast((row_number() OVER (PARTITION BY is_insider, h % 256 ORDER BY h, wallet, market_slug) - 1 + h % 256) % 5 AS integer) AS fold, is_insider, wallet, market_slug
+FROM (SELECT *, {drawn('wallet', 'market_slug')} AS h FROM b_lab)"""
 B["b_cls"] = "SELECT market_slug, is_insider, count(*) AS n FROM b_lab GROUP BY market_slug, is_insider"
 Q["downsampled_market"] = """
 SELECT market_slug, is_insider, cast(CASE WHEN market_slug <> 'm1' THEN n WHEN is_insider = 1 THEN n - 3
@@ -773,11 +796,11 @@ SELECT market_slug, round(median_ts, 8) + 0.0 AS median_ts, CASE WHEN market_slu
 B["b_labn"] = "SELECT is_insider, count(*) AS n, cast(round(count(*) * 0.2) AS bigint) AS k FROM b_lab GROUP BY is_insider"
 Q["stratified_rows"] = """
 SELECT is_insider, 'test' AS split, k AS n FROM b_labn UNION ALL SELECT is_insider, 'train', n - k FROM b_labn"""
-B["b_tf"] = "SELECT *, row_number() OVER (ORDER BY median_ts, market_slug) - 1 AS rn, count(*) OVER () AS nm FROM b_mst WHERE median_ts IS NOT NULL"
+B["b_tf"] = "SELECT *, row_number() OVER (ORDER BY median_ts NULLS LAST, market_slug) - 1 AS rn, count(*) OVER () AS nm FROM b_mst"
 Q["time_folds"] = """
 SELECT CASE WHEN rn < nm - 3 * (nm // 4) THEN 0 ELSE cast((rn - (nm - 3 * (nm // 4))) // (nm // 4) + 1 AS integer) END AS fold, count(*) AS n_markets, cast(sum(n_rows) AS bigint) AS n_rows,
   min(market_slug) AS first_market FROM b_tf GROUP BY 1"""
-Q["leave_one_out_folds"] = "SELECT count(*) AS n, count(*) AS n_folds, 0 AS lo, cast(count(*) - 1 AS integer) AS hi FROM b_lab"
+Q["leave_one_out_folds"] = "SELECT count(*) AS n, count(*) AS n_folds, 0 AS lo, count(*) - 1 AS hi FROM b_lab"
 Q["fold_breakdown"] = """
 SELECT cast(substr(market_slug, 2, 1) AS integer) % 3 AS fold, count(DISTINCT market_slug) AS n_markets, count(*) AS n_rows, cast(sum(is_insider) AS bigint) AS n_pos,
   array_to_string(list_sort(list(DISTINCT market_slug)), ',') AS markets, round(sum(is_insider) / count(*), 8) + 0.0 AS positive_rate FROM b_lab GROUP BY 1"""

@@ -465,13 +465,12 @@ def display_scalars(spark, sf):
         "c_custkey", F.col("c_acctbal").alias("v"), F.concat(F.lit("will-"), F.col("c_name"), F.lit("-of-"), F.col("c_mktsegment")).alias("slug")
     )
     return c.select(
-        "c_custkey", S.short_market(F.col("slug")).alias("short_market"), S.slug8(F.col("slug")).alias("slug8"),
+        "c_custkey", S.abbreviated(F.array("slug")).alias("short_market"), S.slug8(F.col("slug")).alias("slug8"),
         F.round(S.platt(F.col("v") / 10000, -2.0, 0.5), 8).alias("calibrated"),
         F.round(S.platt(F.col("v") / 10000, -2.0, 0.5, reversed_classes=True), 8).alias("calibrated_rev"),
         F.round(S.price_weight(F.col("v") / 10000), 8).alias("weight"),
         F.round(S.min_max_clip(F.col("v"), F.lit(0.0), F.lit(5000.0)), 8).alias("clipped"),
         F.round(S.marker_size(F.col("v")), 8).alias("marker"),
-        S.slug8_of_file(F.concat(F.lit("scan_"), F.element_at(F.split("slug", "-of-"), 2), F.lit("_20240101_010203_results.csv"))).alias("file_slug"),
     )
 
 
@@ -486,8 +485,12 @@ def unit_labels(spark, sf):
 
 @query
 def scheme_labels(spark, sf):
+    """Report names of fold and split settings, one pair per order key, and shortened market lists."""
     o = X.table(spark, sf, "orders")
-    text = F.when(F.col("o_orderkey") % 4 == 0, "StratifiedGroupKFold by market").when(F.col("o_orderkey") % 4 == 1, "GroupKFold, 5").when(
-        F.col("o_orderkey") % 4 == 2, "").otherwise(F.concat(F.lit("Pinned market "), F.col("o_orderpriority"), F.lit(" and some more words")))
-    g = o.groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("ms"), F.max(text).alias("t"))
-    return g.select("o_custkey", S.cv_scheme(F.col("t")).alias("scheme"), S.split_kind(F.col("t")).alias("kind"), S.market_list(F.col("ms"), 2).alias("markets"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("k") % len(values) + 1).cast("int"))
+    g = o.groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("ms"), F.max("o_orderkey").alias("k"))
+    return g.select(
+        "o_custkey", S.labelled(pick(("rows", "stratified_group", "group", "time")), S.FOLD_LABELS).alias("scheme"),
+        S.labelled(pick(("rows", "group", "pinned", "random_market", "time")), S.SPLIT_LABELS).alias("kind"),
+        S.abbreviated(F.col("ms"), 2).alias("markets"),
+    )
