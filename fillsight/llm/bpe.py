@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from fillsight.llm.common import map_texts
 
-CHUNK_CHARS = 1_000_000
-MEMORY_PIECES = 250_000
+CHUNK_CHARS = 500_000
+MEMORY_PIECES = 150_000
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 # between two words a cut never changes the pieces
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
@@ -99,7 +99,7 @@ class Vocabulary:
         key = a * self._size + b
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 400_000:
                 self._pairs.clear()
             known = self._pairs[key] = self.compatible(a, b)
         return known

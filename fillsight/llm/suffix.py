@@ -38,7 +38,7 @@ GRAM = 26
 SPAN = LENGTH - GRAM  # an anchor may stand 0..SPAN bytes into its window
 SLOT = LENGTH + SPAN  # a segment, aligned at its anchor
 # Text per block of documents, and per bucket of anchors.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 4_000_000
 
 _TABLE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)
@@ -71,7 +71,7 @@ def _gram_hash(x: np.ndarray) -> np.ndarray:
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(from, to, row ends) of byte ranges; a long row comes in pieces that overlap by one window."""
-    step = 2_000_000
+    step = 500_000
     for a, b in row_chunks(offsets, step):
         lo, hi = int(offsets[a]), int(offsets[b])
         if b - a == 1 and hi - lo > step:
@@ -393,13 +393,13 @@ def _cut(columns: list[str], texts: bool, buckets: int):
             gone = firsts[take] < ids[np.repeat(s.row, n)]
             np.add.at(depth, window[gone], 1)
             np.add.at(depth, (window + lengths[take] - 1 + LENGTH)[gone], -1)
-        removed = np.cumsum(depth[:-1]) > 0
+        removed = np.cumsum(depth[:-1], dtype=np.int32) > 0
         begins = removed.copy()
         begins[1:] &= ~removed[:-1]
         starts = offsets[:-1][np.diff(offsets) > 0]
         begins[starts] = removed[starts]
-        total = lambda x: np.r_[0, np.cumsum(x)][offsets[1:]] - np.r_[0, np.cumsum(x)][offsets[:-1]]
-        n_removed, n_spans = total(removed).astype(np.int64), total(begins).astype(np.int64)
+        where, runs = np.flatnonzero(removed), np.flatnonzero(begins)
+        n_removed, n_spans = np.diff(np.searchsorted(where, offsets)), np.diff(np.searchsorted(runs, offsets))
         kept = [flat[a:b][~removed[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
         out = {c: docs.column(c) for c in columns}
         if texts:
