@@ -20,6 +20,7 @@ from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS, price_percen
 from fillsight.operators.ledger import DERISK_THRESHOLDS, derisk_name
 from fillsight.operators.scan import Cells, percentiles, scan
 from fillsight.schema import MARKET, MARKET_WALLET, MICRO, TRADE_ORDER, ratio
+from fillsight.session import materialize
 
 KEYS = list(MARKET_WALLET)
 MOMENTUM_PENALTY = 0.10
@@ -54,7 +55,9 @@ def herfindahl(df: DataFrame, keys: Sequence[str], group: Column, value: str, ou
 
 # ----------------------------------------------------------------------- entry
 
-def entry_features(ledger: DataFrame, lookups: DataFrame, facts: DataFrame, history: DataFrame, bin_sec: int = 3600) -> DataFrame:
+def entry_features(
+    ledger: DataFrame, lookups: DataFrame, facts: DataFrame, history: DataFrame, bin_sec: int = 3600, max_rows: int | None = None
+) -> DataFrame:
     """When and how the wallet first bought; one row per wallet that bought at all.
 
     ``facts`` carries start_ts, end_ts and major_move_time. The hourly bins are
@@ -77,7 +80,8 @@ def entry_features(ledger: DataFrame, lookups: DataFrame, facts: DataFrame, hist
     e = e.join(lookups.select(MARKET, "ts", "trail_std", "trail_abs_step"), [MARKET, "ts"], "left")
     # an average of equal prices may miss them by rounding, hence the 1e-12
     e = e.withColumn("_probe", F.col("avg_price") + 1e-12)
-    e = price_percentile(e, history, "_probe", "entry_price_percentile")
+    # one row per pair: written once, the split plan and the lookup both read it
+    e = price_percentile(materialize(e), history, "_probe", "entry_price_percentile", max_rows)
     e = e.join(facts.select(MARKET, "start_ts", "end_ts", "major_move_time"), MARKET)
     a, b = F.col("start_ts"), F.col("end_ts")
     return e.select(

@@ -19,9 +19,12 @@ PRICE_SCALE = 10**10
 SUMS = ("n", "sx", "sy", "sxx", "sxy", "syy", "sad")
 
 
-def market_cells(history: DataFrame, **kw) -> Cells:
-    """Split plan of the market series along time."""
-    return plan_cells(history, [MARKET], "ts", TIME_WIDTHS, **kw)
+def market_cells(history: DataFrame, probes: DataFrame | None = None, **kw) -> Cells:
+    """Split plan of the market series along time; ``probes`` are the rows looked up in it."""
+    rows = history.select(MARKET, "ts")
+    if probes is not None:
+        rows = rows.unionByName(probes.select(MARKET, "ts"))
+    return plan_cells(rows, [MARKET], "ts", TIME_WIDTHS, **kw)
 
 
 def series_facts(history: DataFrame, split: bool = False) -> DataFrame:
@@ -32,7 +35,7 @@ def series_facts(history: DataFrame, split: bool = False) -> DataFrame:
         F.max_by("yes_price", F.struct("ts", "trade_id")).alias("last_price"),
     )
     pct = percentiles(history, [MARKET], "yes_price", {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90}, split)
-    return g.join(pct, MARKET).withColumn("life", F.col("h_end") - F.col("h_start"))
+    return g.join(pct, MARKET, "left").withColumn("life", F.col("h_end") - F.col("h_start"))
 
 
 def price_index(history: DataFrame, cells: Cells | None = None) -> DataFrame:
@@ -177,27 +180,10 @@ def price_changes(history: DataFrame, cells: Cells | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- market events
 
-def major_moves(
-    history: DataFrame, lookups: DataFrame, threshold: float = 0.15, upward_only: bool = False, column: str = "fix3600"
-) -> DataFrame:
-    """First second of each market whose future price is at least ``threshold`` away."""
-    delta = F.col(column) - F.col("yes_price")
-    size = delta if upward_only else F.abs(delta)
-    rows = history.select(MARKET, "ts", "trade_id", "yes_price").join(lookups.select(MARKET, "ts", column), [MARKET, "ts"])
-    first = F.min_by(
-        F.struct(
-            F.col("ts").alias("major_move_time"), F.col("yes_price").alias("major_move_start_price"),
-            F.col(column).alias("major_move_future_price"), delta.alias("major_move_delta"),
-        ),
-        F.when(size >= threshold, F.struct("ts", "trade_id")),
-    )
-    return rows.groupBy(MARKET).agg(first.alias("m")).select(MARKET, "m.*")
-
-
 def detect_major_move(
     history: DataFrame, lookahead: int = 3600, threshold: float = 0.15, upward_only: bool = False, cells: Cells | None = None
 ) -> DataFrame:
-    """Stand-alone form: looks the future prices up itself."""
+    """First second of each market whose future price is at least ``threshold`` away."""
     probes = history.select(MARKET, "ts", "trade_id", "yes_price", (F.col("ts") + lookahead).alias("_at"))
     found = asof_join(
         probes, history.select(MARKET, F.col("ts").alias("h_ts"), F.col("yes_price").alias("h_price"), F.col("trade_id").alias("h_id")),
@@ -283,7 +269,8 @@ def price_percentile(points: DataFrame, history: DataFrame, price: str, out: str
     An as-of lookup on the price axis against cumulative row counts.
     """
     counts = history.groupBy(MARKET, F.col("yes_price").alias("h_price")).agg(F.count("*").alias("_k"))
-    cells = plan_cells(counts, [MARKET], "h_price", PRICE_WIDTHS, **({"max_rows": max_rows} if max_rows else {}))
+    sides = counts.select(MARKET, "h_price").unionByName(points.select(MARKET, F.col(price).alias("h_price")))
+    cells = plan_cells(sides, [MARKET], "h_price", PRICE_WIDTHS, **({"max_rows": max_rows} if max_rows else {}))
     labelled = cells.label(counts, "h_price")
     ranked = scan(labelled, [MARKET], ["h_price"], running={"_upto": ("sum", F.col("_k"))}, cells=cells)
     totals = counts.groupBy(MARKET).agg(F.sum("_k").alias("_rows"))

@@ -109,7 +109,7 @@ class Behavior:
 
     @cached_property
     def trades(self) -> DataFrame:
-        return P.normalize_trades(P.parse_trades(self.clean, self.markets))
+        return self._keep(P.normalize_trades(P.parse_trades(self.clean, self.markets)))
 
     @cached_property
     def wallet_cells(self) -> Cells:
@@ -117,7 +117,7 @@ class Behavior:
 
     @cached_property
     def market_cells(self) -> Cells:
-        return H.market_cells(self.history, max_rows=self.max_group_rows)
+        return H.market_cells(self.history, self.trades, max_rows=self.max_group_rows)
 
     @cached_property
     def split(self) -> bool:
@@ -203,7 +203,7 @@ class Behavior:
         if name == "major":
             return H.with_move_position(self.moves, self.markets).select(MARKET, *MAJOR)
         if name == "entry":
-            return B.entry_features(self.ledger, self.lookups_with(needs), self.facts, self.history)
+            return B.entry_features(self.ledger, self.lookups_with(needs), self.facts, self.history, max_rows=self.max_group_rows)
         if name == "unrealized":
             return L.unrealized_features(self.segments, self.dims)
         if name in ("holding", "path"):

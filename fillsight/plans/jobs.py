@@ -113,8 +113,3 @@ def compare_models(models: DataFrame, folds: DataFrame | None = None) -> DataFra
         *m.columns, "rank", *[(F.col("tag") == F.col(c)).alias(f"is_{c}") for c in ("best_cv", "best_test", "simple_test", "simple_cv")],
         (F.col("test_pr") < F.col("cv_pr")).alias("cv_optimistic"),
     )
-
-
-def fold_quality(oof: DataFrame, tag: str) -> DataFrame:
-    """Per-fold metrics of out-of-fold scores."""
-    return auc_and_ap(oof, "raw", D.LABEL, ["fold"]).withColumn("tag", F.lit(tag))

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from fillsight.schema import FILLS, MARKET, number
+from fillsight.schema import MARKET, number
 
 PLACEHOLDER_WALLET = "0x" + "0" * 40
 
 
-def read_fills(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Landed fills with an explicit schema (no inference pass over the files)."""
-    return spark.read.format(fmt).schema(FILLS).load(path)
-
-
 def scan_fills(
     fills: DataFrame, tokens: Sequence[str], start: int | None = None, end: int | None = None, side: str = "any"
 ) -> DataFrame:

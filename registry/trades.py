@@ -315,20 +315,22 @@ def _probes(spark, sf):
 
 @query
 def nearest_history(spark, sf):
-    m = H.map_trades_to_history(_probes(spark, sf), context(spark, sf).history)
+    m = H.map_trades_to_history(_probes(spark, sf), context(spark, sf).history, cells=context(spark, sf).market_cells)
     return r(m.select("event_id", "history_ts", "history_yes_price"))
 
 
 @query
 def nearest_history_within(spark, sf):
-    m = H.map_trades_to_history(_probes(spark, sf), context(spark, sf).history, tolerance=300)
+    m = H.map_trades_to_history(_probes(spark, sf), context(spark, sf).history, 300, context(spark, sf).market_cells)
     return r(m.select("event_id", "history_ts", "history_yes_price"))
 
 
 def _asof(spark, sf, direction, shift):
     h = context(spark, sf).history.select(MARKET, F.col("ts").alias("h_ts"), "yes_price", F.col("trade_id").alias("h_id"))
     p = _probes(spark, sf).withColumn("at", F.col("ts") + shift)
-    return r(A.asof_join(p, h, [MARKET], "at", "h_ts", ["yes_price"], direction, clamp=True, tiebreak=["h_id"]).select("event_id", "yes_price"))
+    cells = context(spark, sf).market_cells
+    found = A.asof_join(p, h, [MARKET], "at", "h_ts", ["yes_price"], direction, clamp=True, tiebreak=["h_id"], cells=cells)
+    return r(found.select("event_id", "yes_price"))
 
 
 @query
@@ -343,7 +345,7 @@ def price_at_or_before(spark, sf):
 
 @query
 def trailing_windows(spark, sf):
-    t = H.trailing_stats(context(spark, sf).ledger, context(spark, sf).history)
+    t = H.trailing_stats(context(spark, sf).ledger, context(spark, sf).history, cells=context(spark, sf).market_cells)
     return r(t.select(MARKET, "ts", F.round("trend_move", 6).alias("trend_move"), "trail_std", "trail_abs_step"))
 
 
@@ -395,7 +397,7 @@ def price_lookups(spark, sf):
 @query
 def given_move_times(spark, sf):
     t = X.markets(spark, sf).select(F.col("slug").alias(MARKET), F.expr("(start_ts + end_ts) div 2").alias("major_move_time"))
-    return r(H.given_major_moves(t, context(spark, sf).history).select(MARKET, "major_move_time", "major_move_start_price"))
+    return r(H.given_major_moves(t, context(spark, sf).history, context(spark, sf).market_cells).select(MARKET, "major_move_time", "major_move_start_price"))
 
 
 @query
@@ -410,12 +412,12 @@ def market_facts(spark, sf):
 
 @query
 def price_changes(spark, sf):
-    return r(H.price_changes(context(spark, sf).history).select(MARKET, "ts", "ret"))
+    return r(H.price_changes(context(spark, sf).history, context(spark, sf).market_cells).select(MARKET, "ts", "ret"))
 
 
 @query
 def step_series(spark, sf):
-    return r(H.step_series(context(spark, sf).history))
+    return r(H.step_series(context(spark, sf).history, context(spark, sf).market_cells))
 
 
 @query
@@ -434,14 +436,14 @@ def market_concentration(spark, sf):
 def plot_trades(spark, sf):
     c = context(spark, sf)
     ranked = P.top_wallets(c.trades, 5)
-    t = R.plot_trades(c.trades.select("wallet", MARKET, "trade_id", "role", "ts", "token_amount"), c.history, ranked)
+    t = R.plot_trades(c.trades.select("wallet", MARKET, "trade_id", "role", "ts", "token_amount"), c.history, ranked, cells=c.market_cells)
     return r(t.select("wallet", MARKET, "trade_id", "role", F.col("rank").cast("bigint").alias("rank"), "history_yes_price", "marker_size"))
 
 
 @query
 def plot_limits(spark, sf):
     c = context(spark, sf)
-    mapped = H.map_trades_to_history(c.trades.select("wallet", MARKET, "ts"), c.history)
+    mapped = H.map_trades_to_history(c.trades.select("wallet", MARKET, "ts"), c.history, cells=c.market_cells)
     return r(R.y_limits(c.history, mapped))
 
 

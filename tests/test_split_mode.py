@@ -105,3 +105,27 @@ def test_descending_scan(spark, sf):
 
 def test_every_feature_is_present(both):
     assert sum(len(c) for c in FAMILIES.values()) == 319
+
+
+def test_hot_group_without_a_hot_cell_gets_cells_of_the_right_width(spark):
+    """30 days of 100 rows: day cells, none over the limit, and a short carry."""
+    e = spark.range(3_000).select(F.lit("hot").alias("k"), (F.expr("id div 100") * 86_400 + F.expr("id % 100") * 800).alias("ts"), "id")
+    quiet = spark.range(50).select(F.lit("quiet").alias("k"), (F.col("id") * 86_400).alias("ts"), "id")
+    cells = plan_cells(e.unionByName(quiet), ["k"], "ts", max_rows=500)
+    assert len(cells.hot) == 1
+    per = cells.label(e.unionByName(quiet), "ts").groupBy("k", "_cell").count().collect()
+    assert sum(r.k == "hot" for r in per) == 30 and max(r["count"] for r in per) == 100
+    assert sum(r.k == "quiet" for r in per) == 1
+
+
+def test_hot_day_inside_a_hot_group_is_cut_into_hours_only(spark):
+    day = spark.range(2_400).select(F.lit("hot").alias("k"), (F.col("id") * 36).alias("ts"), "id")
+    rest = spark.range(300).select(F.lit("hot").alias("k"), ((F.col("id") + 1) * 86_400).alias("ts"), "id")
+    both = day.unionByName(rest)
+    cells = plan_cells(both, ["k"], "ts", max_rows=500)
+    labelled = cells.label(both, "ts")
+    per = labelled.groupBy("_cell").count().collect()
+    assert len(per) == 24 + 300 and max(r["count"] for r in per) == 100
+    plain = scan(both, ["k"], ["ts", "id"], running={"n": ("count", F.lit(1))})
+    split = scan(labelled, ["k"], ["ts", "id"], running={"n": ("count", F.lit(1))}, cells=cells).drop("_cell")
+    assert rows(plain) == rows(split)
