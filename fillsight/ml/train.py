@@ -45,6 +45,8 @@ class TrainSpec:
     folds: str = "stratified_group"  # stratified_group | group | time | rows
     n_folds: int = 5
     calibrate: bool = True
+    calibrate_on: str = "folds"  # folds (out-of-fold scores) | validation (rows of split "val")
+    early_stop: bool = False  # boosting stops by the rows of split "val"
     threshold: float = 0.5
     positive_weight: float | str = "balanced"
     missing_indicators: bool = False
@@ -66,6 +68,9 @@ VARIANTS: dict[str, dict] = {
     "pinned_metadata": dict(split="pinned", threshold=0.15),
     "time_10": dict(split="time", folds="time", threshold=0.30, params=dict(maxDepth=4)),
     "time_10_shallow": dict(split="time", folds="time", threshold=0.30, params=dict(maxDepth=2)),
+    "time_10_validated": dict(
+        split="time", folds="time", threshold=0.30, calibrate_on="validation", early_stop=True, params=dict(maxDepth=4)
+    ),
     "time_30": dict(split="time", folds="time", threshold=0.30, params=dict(maxDepth=4)),
     "time_forest": dict(split="time", folds="time", estimator="forest", threshold=0.5),
     "leave_market_out_forest": dict(split="pinned", folds="group", estimator="forest", threshold=0.5),
@@ -142,13 +147,13 @@ def boosting_pipeline(features: Sequence[str], indicators: bool = True, seed: in
     return Pipeline(stages=[*stages, GBTClassifier(featuresCol=col, labelCol=LABEL, weightCol=WEIGHT, seed=seed, **p)])
 
 
-def pipeline_for(spec: TrainSpec, total_weight: float = 1.0) -> Pipeline:
+def pipeline_for(spec: TrainSpec, total_weight: float = 1.0, validation: str | None = None) -> Pipeline:
     if spec.estimator == "logistic":
         return logistic_pipeline(spec.features, n_weight=total_weight, **spec.params)
     if spec.estimator == "forest":
         return forest_pipeline(spec.features, spec.missing_indicators, spec.seed, **spec.params)
     if spec.estimator == "boosting":
-        return boosting_pipeline(spec.features, spec.missing_indicators, spec.seed, **spec.params)
+        return boosting_pipeline(spec.features, spec.missing_indicators, spec.seed, validation, **spec.params)
     raise ValueError(f"unknown estimator {spec.estimator}")
 
 
@@ -296,7 +301,11 @@ def evaluate(scored: DataFrame, threshold: float, score: str = "score") -> DataF
 
 
 def train(df: DataFrame, spec: TrainSpec) -> Trained:
-    """Split, out-of-fold scores, calibration, refit on all training rows, test metrics."""
+    """Split, out-of-fold scores, calibration, refit on all training rows, test metrics.
+
+    With a time split, the rows of ``val`` can fit the calibrator (``calibrate_on``) and stop
+    the boosting (``early_stop``); they are never trained on.
+    """
     prepared = materialize(prepare(split_rows(df, spec), spec))
     train_rows = prepared.filter(F.col("split") == "train")
     folded = materialize(fold_rows(train_rows, spec))
@@ -305,8 +314,17 @@ def train(df: DataFrame, spec: TrainSpec) -> Trained:
     missing = unscored_rows(due, oof).count()
     if missing:
         raise ValueError(f"{missing} training rows have no out-of-fold score")
-    calibrator = fit_calibrator(oof) if spec.calibrate else None
-    model = pipeline_for(spec, _total_weight(train_rows)).fit(train_rows)
+    held = prepared.filter(F.col("split") == "val")
+    if (spec.early_stop or (spec.calibrate and spec.calibrate_on == "validation")) and not _usable(held):
+        raise ValueError("the validation split must hold both classes")
+    if spec.early_stop and spec.estimator == "boosting":
+        marked = prepared.filter(F.col("split") != "test").withColumn("held_out", F.col("split") == "val")
+        model = pipeline_for(spec, _total_weight(train_rows), "held_out").fit(marked)
+    else:
+        model = pipeline_for(spec, _total_weight(train_rows)).fit(train_rows)
+    calibrator = None
+    if spec.calibrate:
+        calibrator = fit_calibrator(score_rows(model, held) if spec.calibrate_on == "validation" else oof)
     test = insider_score(score_rows(model, prepared.filter(F.col("split") == "test")), calibrator)
     cv = cv_summary(auc_and_ap(oof, "raw", LABEL, ["fold"]).withColumn("tag", F.lit(spec.estimator)))
     return Trained(spec, model, calibrator, oof, cv, test, evaluate(test, spec.threshold))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fillsight.functions.scalar import marker_size
+from fillsight.ml.metrics import auc_and_ap
 from fillsight.operators.history import map_trades_to_history
 from fillsight.operators.scan import Cells, with_scalars
 from fillsight.schema import MARKET, ratio
@@ -166,6 +167,30 @@ def ensemble_scores(scores: DataFrame, weights: DataFrame, ids: Sequence[str]) -
     )
 
 
+def ensemble_weights(models: DataFrame) -> DataFrame:
+    """Weights of the three ensembles: equal over supervised models, equal over all, by PR-AUC over all.
+
+    models: model, supervised, pr_auc.
+    """
+    kinds = F.array(
+        F.struct(F.lit("equal_supervised").alias("ensemble"), F.when(F.col("supervised"), 1.0).alias("weight")),
+        F.struct(F.lit("equal_all").alias("ensemble"), F.lit(1.0).alias("weight")),
+        F.struct(F.lit("prauc_weighted").alias("ensemble"), F.col("pr_auc").alias("weight")),
+    )
+    return models.select("model", F.inline(kinds)).filter(F.col("weight").isNotNull())
+
+
+def best_ensemble(scored: DataFrame) -> DataFrame:
+    """Quality of each ensemble (ensemble, score, label) and which one has the highest PR-AUC.
+
+    The name decides between equals. Scores are compared at nine decimals, so that sums in
+    another order make no new ranks.
+    """
+    q = auc_and_ap(scored.withColumn("score", F.round("score", 9)), "score", "label", ["ensemble"])
+    top = q.select(F.max_by("ensemble", F.struct("pr_auc", "ensemble")).alias("best"))
+    return with_scalars(q, top).withColumn("is_best", F.col("ensemble") == F.col("best")).drop("best")
+
+
 def flag_counts(results: DataFrame, ids: Sequence[str]) -> DataFrame:
     """How many of the models flag each entity."""
     return results.groupBy(*ids).agg(F.count_if("flagged").alias("n_flagged"), F.count("*").alias("n_models"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +44,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; pick one only where none is set.
+    """Use the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A fallback folder on the driver's disk is only valid for ``local`` masters,
-    so anything else without a configured folder is an error.
+    Where it is unset, a local session puts one into its warehouse folder, which is as
+    shared as the session itself; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
@@ -57,8 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(os.environ.get("FILLSIGHT_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="fillsight-"))
+    elif sc.master.startswith("local[") or sc.master == "local":
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 

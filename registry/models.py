@@ -463,6 +463,16 @@ def ensemble_scores(spark, sf):
     return r(R.ensemble_scores(_model_scores(spark, sf), w, ["wallet", MARKET]))
 
 
+@query
+def ensemble_choice(spark, sf):
+    """Three ensembles of the model scores, their quality on the labels, and the best one."""
+    l = labels(spark, sf).withColumnRenamed("is_insider", "label")
+    scores = _model_scores(spark, sf).join(l, ["wallet", MARKET])
+    each = M.auc_and_ap(scores, "score", "label", ["model"]).select("model", (F.col("model") != "m307").alias("supervised"), "pr_auc")
+    mixed = R.ensemble_scores(scores, R.ensemble_weights(each), ["wallet", MARKET]).join(l, ["wallet", MARKET])
+    return r(R.best_ensemble(mixed).select("ensemble", "roc_auc", "pr_auc", "is_best"), 6)
+
+
 @query
 def flag_counts(spark, sf):
     return R.flag_counts(_model_scores(spark, sf).withColumn("flagged", F.col("score") >= 0.6), ["wallet", MARKET])

@@ -951,6 +951,30 @@ B["b_ms"] = " UNION ALL ".join(f"SELECT wallet, market_slug, 'm{k}' AS model, vo
 Q["ensemble_scores"] = """
 SELECT 'e' || e AS ensemble, wallet, market_slug, round(sum(score * w) / sum(w), 8) + 0.0 AS score FROM (
   SELECT *, CASE model WHEN 'm101' THEN 1 + e * 0.5 WHEN 'm211' THEN 1 + e * 2.0 ELSE 1 END AS w FROM b_ms, (SELECT unnest([0, 1]) AS e)) GROUP BY e, wallet, market_slug"""
+B["b_msl"] = "SELECT m.*, l.is_insider AS y FROM b_ms m JOIN b_lab l USING (wallet, market_slug)"
+
+
+def _quality(source, by):
+    return f"""
+SELECT {by}, sum(n * (tp - p / 2.0)) / nullif(sum(p) * sum(n), 0) AS roc_auc, sum(p * tp / (tp + fp)) / nullif(sum(p), 0) AS pr_auc FROM (
+  SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM (SELECT {by}, score, sum(y) AS p, sum(1 - y) AS n FROM {source} GROUP BY {by}, score)
+  WINDOW w AS (PARTITION BY {by} ORDER BY score DESC)) GROUP BY {by}"""
+
+
+B["b_mq"] = _quality("b_msl", "model")
+B["b_ens"] = """
+SELECT 'equal_supervised' AS ensemble, wallet, market_slug, y, round(avg(score), 9) AS score FROM b_msl WHERE model <> 'm307' GROUP BY ALL
+UNION ALL SELECT 'equal_all', wallet, market_slug, y, round(avg(score), 9) FROM b_msl GROUP BY ALL
+UNION ALL SELECT 'prauc_weighted', wallet, market_slug, y, round(sum(score * pr_auc) / sum(pr_auc), 9) FROM b_msl JOIN b_mq USING (model) GROUP BY ALL"""
+B["b_eq"] = _quality("b_ens", "ensemble")
+Q["ensemble_choice"] = """
+SELECT ensemble, round(roc_auc, 6) + 0.0 AS roc_auc, round(pr_auc, 6) + 0.0 AS pr_auc,
+  ensemble = (SELECT ensemble FROM b_eq ORDER BY pr_auc DESC, ensemble DESC LIMIT 1) AS is_best FROM b_eq"""
+Q["stored_features"] = """SELECT wallet, market_slug, round(active_day_frac, 8) + 0.0 AS active_day_frac, n_distinct_active_days FROM x_days"""
+Q["stored_results"] = """
+SELECT part, wallet, market_slug, pred_prob, flagged, volume FROM (
+  SELECT wallet, market_slug, round(tokens_micro % 997 / 997, 8) + 0.0 AS pred_prob, tokens_micro % 997 / 997 >= 0.8 AS flagged, round(volume_micro / 1e6, 8) + 0.0 AS volume FROM b_vol) s,
+  (SELECT unnest(['results', 'flagged']) AS part) WHERE part = 'results' OR flagged"""
 Q["flag_counts"] = "SELECT wallet, market_slug, count(*) FILTER (WHERE score >= 0.6) AS n_flagged, count(*) AS n_models FROM b_ms GROUP BY wallet, market_slug"
 Q["scan_summary"] = """
 SELECT market_slug, count(*) AS scored, count(*) FILTER (WHERE score >= 0.7) AS n_flagged, round(max(score), 8) + 0.0 AS max_prob FROM b_ms WHERE model = 'm211' GROUP BY market_slug"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
@@ -9,6 +11,7 @@ from fillsight.functions import scalar as S
 from fillsight.operators import asof as A, behavior as B, dataset as D, history as H, ledger as L, parsing as P
 from fillsight.plans import report as R
 from fillsight.schema import MARKET, MICRO
+from fillsight.session import ensure_checkpoint_dir
 from fillsight.sources import fills as SF, markets as SM, tables as ST, wallets as SW
 from registry.core import context, query, r
 
@@ -151,6 +154,33 @@ def result_slices(spark, sf):
     return r(ST.lead_columns(flagged))
 
 
+def _folder(spark, name):
+    """A new folder in the session's shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query
+def stored_features(spark, sf):
+    """Feature table written by market, one market replaced, and read back."""
+    days = context(spark, sf).family("days").select("wallet", MARKET, "active_day_frac", "n_distinct_active_days")
+    path = _folder(spark, "features")
+    ST.write_features(days, path)
+    ST.overwrite_market(days.filter(F.col(MARKET) == "m3"), path)
+    return r(ST.read_features(spark, path))
+
+
+@query
+def stored_results(spark, sf):
+    """Scored rows and flagged rows as written by the result sink."""
+    v = P.cash_volume(context(spark, sf).trades)
+    scored = v.select("wallet", MARKET, (F.col("volume_micro") / MICRO).alias("volume"), (F.col("tokens_micro") % 997 / 997).alias("pred_prob"))
+    path = _folder(spark, "results")
+    ST.write_results(R.flag_scores(scored, 0.8), path, "parquet")
+    parts = [spark.read.parquet(f"{path}/{p}").withColumn("part", F.lit(p)) for p in ("results", "flagged")]
+    return r(parts[0].unionByName(parts[1]).select("part", "wallet", MARKET, "pred_prob", "flagged", "volume"))
+
+
 # --------------------------------------------------------- parsing, normalization
 
 @query

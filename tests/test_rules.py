@@ -62,3 +62,30 @@ def test_every_tree_has_its_full_sample_and_nulls_become_medians(spark):
     scored = AN.score_forest(d, forest, ["x"])
     middle = scored.filter("x IS NULL").select("anomaly_score").distinct().collect()
     assert len(middle) == 1 and middle[0][0] < 0.6
+
+
+@pytest.mark.parametrize("name", list(TR.VARIANTS))
+def test_every_variant_builds(name):
+    spec = TR.variant(name, ("a", "b"))
+    stages = TR.pipeline_for(spec, 10.0, "held_out" if spec.early_stop else None).getStages()
+    assert {"logistic": "LogisticRegression", "forest": "RandomForestClassifier", "boosting": "GBTClassifier"}[spec.estimator] == type(stages[-1]).__name__
+    for key, value in spec.params.items():
+        if spec.estimator != "logistic":
+            assert stages[-1].getOrDefault(key) == value
+    assert not spec.early_stop or stages[-1].getValidationIndicatorCol() == "held_out"
+
+
+def test_validation_rows_calibrate_and_stop_the_boosting(spark):
+    rows = [(f"w{i}", f"m{i % 6}", float((i * 7) % 13), float(i % 6), int((i * 7) % 13 > 8)) for i in range(240)]
+    d = spark.createDataFrame(rows, "wallet string, market_slug string, x double, t double, is_insider int")
+    spec = TR.variant("time_10_validated", ("x",), time="t", test_markets=("m3",), n_folds=2, params=dict(maxIter=3, maxDepth=2))
+    got = TR.train(d, spec)
+    assert got.calibrator is not None and got.metrics.first()["roc_auc"] == 1.0
+    assert {r.market_slug for r in got.test_scores.select("market_slug").distinct().collect()} == {"m3"}
+
+
+def test_nested_folds_score_every_row_once(spark):
+    rows = [(f"w{i}", f"m{i % 3}", float(i % 10), int(i % 10 > 6)) for i in range(60)]
+    d = spark.createDataFrame(rows, "wallet string, market_slug string, x double, is_insider int")
+    got = TR.nested_cv(d, TR.TrainSpec(("x",), estimator="logistic", n_folds=2, folds="rows", params=dict(max_iter=5)), [0.1, 1.0], 2)
+    assert got.count() == got.select("wallet").distinct().count() == 60
