@@ -115,8 +115,14 @@ class Network:
         return np.where(self.vocabulary[place] == words.hashes, place + 1, 0)
 
     def inputs(self, words: Words) -> np.ndarray:
-        grams = np.add.reduceat(self.p["gram"][words.grams], words.first, axis=0) if len(words.first) else np.zeros((0, EMBED))
-        return np.concatenate([self.p["word"][self.lookup(words)], grams], 1).astype(np.float32)
+        out = np.empty((len(words.first), 2 * EMBED), self.p["gram"].dtype)
+        out[:, :EMBED] = self.p["word"][self.lookup(words)]
+        ends = np.r_[words.first[1:], len(words.grams)]
+        for a in range(0, len(out), 20_000):
+            first = words.first[a : a + 20_000]
+            grams = self.p["gram"][words.grams[first[0] : ends[min(a + 20_000, len(out)) - 1]]]
+            out[a : a + 20_000, EMBED:] = np.add.reduceat(grams, first - first[0], axis=0)
+        return out
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p["in"] + self.p["bias"], np.zeros((1, 6 * HIDDEN), np.float32)])
@@ -211,15 +217,49 @@ def _places(words: Words, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     return np.where(mask, words.place[where], len(words.hashes)), mask
 
 
-def _odds(kind: np.ndarray, text: np.ndarray, toxic: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts that hold each kind, and the shrunken log odds of toxic among them."""
-    pairs = np.sort(kind.astype(np.int64) * len(toxic) + text)
-    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
-    kind, text = pairs // len(toxic), pairs % len(toxic)
-    bad = np.bincount(kind, toxic[text], minlength=kinds)
-    all_ = np.bincount(kind, minlength=kinds)
+def _sample_words(flat: np.ndarray, offsets: np.ndarray) -> Words:
+    """``read_words`` of all texts, a chunk at a time."""
+    parts = [read_words(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_chunks(offsets)]
+    hashes, first, place = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+    lengths = np.concatenate([np.diff(np.r_[p.first, len(p.grams)]) for p in parts])
+    starts = np.cumsum(lengths) - lengths
+    grams, n = np.concatenate([p.grams for p in parts]), lengths[first]
+    base = np.cumsum(np.r_[0, [len(p.hashes) for p in parts]])
+    return Words(
+        hashes, grams[_ranges(starts[first], n)], np.cumsum(n) - n,
+        np.concatenate([place[p.place + o] for p, o in zip(parts, base)]),
+        np.r_[0, np.cumsum(np.concatenate([np.diff(p.before) for p in parts]))],
+    )
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def _odds(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts that hold each word, and the shrunken log odds of toxic for words and n-grams."""
+    texts, lengths = len(toxic), np.diff(np.r_[words.first, len(words.grams)])
+    seen = [np.zeros((2, len(words.hashes))), np.zeros((2, GRAM_BUCKETS))]
+
+    def add(to, kind, text):
+        pairs = np.sort(kind.astype(np.int64) * texts + text)
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+        kind, text = pairs // texts, pairs % texts
+        to[0] += np.bincount(kind, minlength=to.shape[1])
+        to[1] += np.bincount(kind, toxic[text], minlength=to.shape[1])
+        return kind, text
+
+    step = 50_000  # words; a text is never divided, so it counts once per kind
+    cuts = np.unique(np.r_[np.searchsorted(words.before, np.arange(0, words.before[-1], step)), texts])
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        text = np.repeat(np.arange(a, b), np.diff(words.before[a : b + 1]))
+        if len(text):
+            kind, text = add(seen[0], words.place[words.before[a] : words.before[b]], text)
+            add(seen[1], words.grams[_ranges(words.first[kind], lengths[kind])], np.repeat(text, lengths[kind]))
     share = toxic.mean()
-    return all_, np.log((bad + 5 * share) / (all_ - bad + 5 * (1 - share)) * (1 - share) / share)
+    odds = [np.log((bad + 5 * share) / (every - bad + 5 * (1 - share)) * (1 - share) / share) for every, bad in seen]
+    return seen[0][0], odds[0], odds[1]
 
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 5) -> Network | float:
@@ -228,20 +268,12 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 5
     if not len(toxic) or toxic.min() == toxic.max():
         return float((toxic.sum() + 0.5) / (len(toxic) + 1)) if len(toxic) else 0.0
     flat, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    words = read_words(flat, offsets)
-    n = np.diff(words.before)
-    of = np.repeat(np.arange(len(texts)), n)
-    count, word_odds = _odds(words.place, of, toxic, len(words.hashes))
+    words = _sample_words(flat, offsets)
+    lengths = np.diff(np.r_[words.first, len(words.grams)])
+    count, word_odds, gram_odds = _odds(words, toxic)
     known = count >= MIN_COUNT
     net = Network(words.hashes[known], seed)
     net.p["word"][1:, 0] = word_odds[known]
-    lengths = np.diff(np.r_[words.first, len(words.grams)])
-    owner = np.repeat(np.arange(len(words.hashes)), lengths)
-    # texts of an n-gram, through the words that hold it
-    per = np.argsort(words.place, kind="stable")
-    grams_of = lengths[words.place[per]]
-    take = np.repeat(words.first[words.place[per]] - (np.cumsum(grams_of) - grams_of), grams_of) + np.arange(int(grams_of.sum()))
-    _, gram_odds = _odds(words.grams[take], np.repeat(of[per], grams_of), toxic, GRAM_BUCKETS)
     net.p["gram"][:, 0] = gram_odds / 4
     text, start, size = windows(words.before, len(words.place))
     prior = np.where(known, word_odds, 0) + np.maximum.reduceat(gram_odds[words.grams], words.first)
@@ -265,7 +297,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 5
             local = local.reshape(idx.shape)
             real = kinds[kinds < len(words.hashes)]
             sub_len = lengths[real]
-            grams = words.grams[np.repeat(words.first[real] - (np.cumsum(sub_len) - sub_len), sub_len) + np.arange(int(sub_len.sum()))]
+            grams = words.grams[_ranges(words.first[real], sub_len)]
             sub = Words(words.hashes[real], grams, np.cumsum(sub_len) - sub_len, local, words.before)
             x = net.inputs(sub)
             keep: dict = {}
