@@ -18,7 +18,7 @@ from fillsight.functions.scalar import (
 )
 from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS, price_percentile
 from fillsight.operators.ledger import DERISK_THRESHOLDS, derisk_name
-from fillsight.operators.scan import Cells, percentiles, scan
+from fillsight.operators.scan import Cells, join_dimension, percentiles, scan
 from fillsight.schema import MARKET, MARKET_WALLET, MICRO, TRADE_ORDER, ratio
 from fillsight.session import materialize
 
@@ -115,7 +115,7 @@ def position_features(ledger: DataFrame, facts: DataFrame, cells: Cells | None =
         ledger.select(*cols), KEYS, TRADE_ORDER,
         previous={"prev_sign": F.when(inv != 0, F.signum(inv.cast("double")))}, cells=cells,
     )
-    df = df.join(facts.select(MARKET, "outcome", "start_ts", "end_ts"), MARKET)
+    df = join_dimension(df, facts.select(MARKET, "outcome", "start_ts", "end_ts"), MARKET, F.col("wallet"))
     sign = F.when(F.col("outcome") == 1, 1).when(F.col("outcome").isNotNull(), -1)
     s = F.max(sign)
     early = F.col("ts") <= F.col("start_ts") + early_frac * (F.col("end_ts") - F.col("start_ts"))
@@ -315,8 +315,8 @@ def lot_markouts(lots: DataFrame, lookups: DataFrame, facts: DataFrame, fracs: S
         open_.join(futures, [MARKET, "entry_time"], "left")
         .join(at("d25"), [MARKET, "d25_ts"], "left")
         .join(at("d50"), [MARKET, "d50_ts"], "left")
-        .join(f, MARKET)
     )
+    x = join_dimension(x, f, MARKET, F.col("wallet"))
     cap_ts = F.coalesce(F.col("d50_ts"), F.col("h_end"))
     cap_price = F.when(F.col("d50_ts").isNotNull(), F.col("d50_price")).otherwise(F.col("last_price"))
     cols = []
@@ -344,7 +344,7 @@ def adaptive_features(
     f = facts.select(
         MARKET, "h_start", "life", "h_rows", "terminal_start_ts", (F.col("price_max") - F.col("price_min")).alias("range")
     )
-    mk = lot_markouts(lots, lookups, facts, fracs).join(facts.select(MARKET, "terminal_start_ts"), MARKET)
+    mk = join_dimension(lot_markouts(lots, lookups, facts, fracs), facts.select(MARKET, "terminal_start_ts"), MARKET, F.col("wallet"))
     w = F.col("remaining_micro")
     late = F.coalesce(F.col("entry_time") >= F.col("terminal_start_ts"), F.lit(False))
     aggs = [F.sum(F.when(F.col("held"), w).otherwise(0)).alias("held"), F.sum(F.when(late, w).otherwise(0)).alias("late")]
@@ -367,7 +367,7 @@ def adaptive_features(
         ]
     # a matched unit was traded twice, an open one once
     gross = F.sum(size * 2 - F.col("remaining_micro")).alias("gross")
-    lot_side = lots.join(f, MARKET).groupBy(*KEYS).agg(
+    lot_side = join_dimension(lots, f, MARKET, F.col("wallet")).groupBy(*KEYS).agg(
         gross, F.max("life").alias("life"), F.max("h_rows").alias("h_rows"), F.max("range").alias("range"),
         F.max("h_start").alias("h_start"), F.max("terminal_start_ts").alias("terminal_start_ts"), *der,
     )

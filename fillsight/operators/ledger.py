@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fillsight.operators.scan import TIME_WIDTHS, UNIT_WIDTHS, Cells, plan_cells, scan
+from fillsight.operators.scan import TIME_WIDTHS, UNIT_WIDTHS, Cells, join_dimension, plan_cells, scan
 from fillsight.schema import MARKET_WALLET, MICRO, TRADE_ORDER, ratio
 
 KEYS = list(MARKET_WALLET)
@@ -226,7 +226,7 @@ def realized_features(segments: DataFrame, markets: DataFrame, early_frac: float
         F.sum(piece).alias("pnl"), F.sum("qty_micro").alias("matched")
     )
     bounds = markets.select(F.col("slug").alias(KEYS[0]), "start_ts", "end_ts")
-    t = per_trade.join(bounds, KEYS[0]).withColumn("early", _early(F.col("ts"), F.col("start_ts"), F.col("end_ts"), early_frac))
+    t = join_dimension(per_trade, bounds, KEYS[0], F.col("wallet")).withColumn("early", _early(F.col("ts"), F.col("start_ts"), F.col("end_ts"), early_frac))
     cols = []
     for tag, cond in (("", F.lit(True)), ("early_", F.coalesce(F.col("early"), F.lit(False)))):
         pnl, matched = F.sum(F.when(cond, F.col("pnl"))), F.sum(F.when(cond, F.col("matched")))
@@ -253,7 +253,7 @@ def unrealized_features(segments: DataFrame, market_facts: DataFrame) -> DataFra
     m = market_facts.select(KEYS[0], "outcome", (F.col("price_max") - F.col("price_min")).alias("range"))
     open_ = ~F.col("matched")
     edge = ratio(F.col("outcome") - F.col("entry.norm_price"), F.col("range")) * F.col("entry_sign")
-    g = segments.join(m, KEYS[0]).groupBy(*KEYS).agg(
+    g = join_dimension(segments, m, KEYS[0], F.col("wallet")).groupBy(*KEYS).agg(
         F.sum(F.when(open_, F.col("qty_micro") * edge).otherwise(0.0)).alias("lin"),
         F.sum(F.when(open_, F.sqrt(F.col("qty_micro").cast("double")) * edge).otherwise(0.0)).alias("root"),
         F.sum(F.when(open_, F.col("qty_micro")).otherwise(F.col("qty_micro") * 2)).alias("gross"),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fillsight.operators.scan import join_dimension
 from fillsight.schema import MARKET, MARKET_WALLET, MICRO, TRADE_ORDER, number, ratio, require
 
 CASH_ASSET = "0"
@@ -34,7 +35,7 @@ def order_fills(fills: DataFrame) -> DataFrame:
 
 def _with_market(fills: DataFrame, markets: DataFrame) -> DataFrame:
     dim = markets.select(F.col("slug").alias(MARKET), "token_ids", "outcomes")
-    return fills.join(dim, MARKET)
+    return join_dimension(fills, dim, MARKET, F.col("id"))
 
 
 def classify_fills(fills: DataFrame, markets: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def normalize_trades(trades: DataFrame, strict: str = "quarantine") -> DataFrame
 def normalize_trades_tolerant(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Display form keyed by token id, then outcome text; unknown and empty trades are skipped."""
     dim = markets.select(F.col("slug").alias(MARKET), "yes_token_id", "no_token_id")
-    t = trades.filter(F.col("token_micro") != 0).join(dim, MARKET)
+    t = join_dimension(trades.filter(F.col("token_micro") != 0), dim, MARKET, F.col("wallet"))
     text = F.lower(F.trim("outcome"))
     yes = (F.col("token_id") == F.col("yes_token_id")) | (text == "yes")
     no = (F.col("token_id") == F.coalesce(F.col("no_token_id"), F.lit(""))) | (text == "no")

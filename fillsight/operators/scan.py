@@ -230,3 +230,15 @@ def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a one-row frame as a scalar subquery (NULL when it has no row)."""
     values = row.select(F.struct(*row.columns).alias("s")).scalar()
     return df.withColumn("_s", values).select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in row.columns])
+
+
+def join_dimension(df: DataFrame, dim: DataFrame, key: str, spread: Column, buckets: int = 32) -> DataFrame:
+    """Inner join with one row per ``key`` that keeps no hot key in one task.
+
+    Where the dimension is too large to be broadcast, a plain join leaves all rows of a key
+    in one task, and later aggregations by (key, more) would stay there. Here the rows of a
+    key are dealt over ``buckets`` by the hash of ``spread``; the dimension has a row for each.
+    """
+    wide = dim.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
+    return dealt.join(wide, [key, "_bucket"]).drop("_bucket")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from fillsight.functions.scalar import final_outcome, grid_tag
 from fillsight.operators import behavior as B, history as H, ledger as L, parsing as P
 from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS
-from fillsight.operators.scan import MAX_GROUP_ROWS, Cells
+from fillsight.operators.scan import MAX_GROUP_ROWS, Cells, join_dimension
 from fillsight.schema import MARKET, MARKET_WALLET
 from fillsight.session import materialize
 
@@ -192,7 +192,7 @@ class Behavior:
         f = self.dims.select(MARKET, "life", "h_rows", "p10", "p25", "p75", "p90")
         if needs:
             t = t.join(self.lookups_with(needs), [MARKET, "ts"])
-        return t.join(f, MARKET)
+        return join_dimension(t, f, MARKET, F.col("wallet"))
 
     def family(self, name: str, wanted: set[str] | None = None, needs: frozenset[str] | None = None) -> DataFrame:
         """One feature family as a frame keyed by (market, wallet).
