@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fillsight.llm.common import map_texts, remainder
+from fillsight.session import materialize
 
 PROFILE = 300
 # Labelled documents per language that the profiles are counted on, at most.
@@ -172,8 +173,12 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Profiles:
     language.
     """
     known = docs.select("doc_id", "lang").where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id", "lang")
+    # a hash threshold leaves about 1.2 times the rows wanted of each language to be ranked
+    size = materialize(known.groupBy("lang").agg(F.count("*").alias("_size")))
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = known.join(size, "lang").where(unit * F.col("_size") <= 1.2 * rows + 200)
+    order = W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id", "lang")
     sample = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
 
     def count(batches):
