@@ -21,6 +21,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     if column.null_count:
@@ -28,8 +30,6 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    if not len(offsets):
-        return flat[:0], np.zeros(1, np.int64)
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
