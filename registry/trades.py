@@ -343,22 +343,27 @@ def _probes(spark, sf):
     return X.base_events(spark, sf).select(F.concat(F.lit("m"), (F.col("mk") + 3) % 8).alias(MARKET), "event_id", "ts")
 
 
+def _cells(spark, sf, probes=None):
+    """Split plan of the series for lookups of these rows."""
+    return H.market_cells(context(spark, sf).history, probes)
+
+
 @query
 def nearest_history(spark, sf):
-    m = H.map_trades_to_history(_probes(spark, sf), context(spark, sf).history, cells=context(spark, sf).market_cells)
+    m = H.map_trades_to_history(_probes(spark, sf), context(spark, sf).history, cells=_cells(spark, sf, _probes(spark, sf)))
     return r(m.select("event_id", "history_ts", "history_yes_price"))
 
 
 @query
 def nearest_history_within(spark, sf):
-    m = H.map_trades_to_history(_probes(spark, sf), context(spark, sf).history, 300, context(spark, sf).market_cells)
+    m = H.map_trades_to_history(_probes(spark, sf), context(spark, sf).history, 300, _cells(spark, sf, _probes(spark, sf)))
     return r(m.select("event_id", "history_ts", "history_yes_price"))
 
 
 def _asof(spark, sf, direction, shift):
     h = context(spark, sf).history.select(MARKET, F.col("ts").alias("h_ts"), "yes_price", F.col("trade_id").alias("h_id"))
     p = _probes(spark, sf).withColumn("at", F.col("ts") + shift)
-    cells = context(spark, sf).market_cells
+    cells = _cells(spark, sf, p.select(MARKET, F.col("at").alias("ts")))
     found = A.asof_join(p, h, [MARKET], "at", "h_ts", ["yes_price"], direction, clamp=True, tiebreak=["h_id"], cells=cells)
     return r(found.select("event_id", "yes_price"))
 
@@ -427,7 +432,7 @@ def price_lookups(spark, sf):
 @query
 def given_move_times(spark, sf):
     t = X.markets(spark, sf).select(F.col("slug").alias(MARKET), F.expr("(start_ts + end_ts) div 2").alias("major_move_time"))
-    return r(H.given_major_moves(t, context(spark, sf).history, context(spark, sf).market_cells).select(MARKET, "major_move_time", "major_move_start_price"))
+    return r(H.given_major_moves(t, context(spark, sf).history, _cells(spark, sf)).select(MARKET, "major_move_time", "major_move_start_price"))
 
 
 @query
@@ -442,12 +447,12 @@ def market_facts(spark, sf):
 
 @query
 def price_changes(spark, sf):
-    return r(H.price_changes(context(spark, sf).history, context(spark, sf).market_cells).select(MARKET, "ts", "ret"))
+    return r(H.price_changes(context(spark, sf).history, _cells(spark, sf)).select(MARKET, "ts", "ret"))
 
 
 @query
 def step_series(spark, sf):
-    return r(H.step_series(context(spark, sf).history, context(spark, sf).market_cells))
+    return r(H.step_series(context(spark, sf).history, _cells(spark, sf)))
 
 
 @query
