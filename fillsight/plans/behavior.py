@@ -119,6 +119,11 @@ class Behavior:
     def market_cells(self) -> Cells:
         return H.market_cells(self.history, self.trades, max_rows=self.max_group_rows)
 
+    @cached_property
+    def series_cells(self) -> Cells:
+        """Split plan of the price series alone, for what looks it up in itself."""
+        return H.market_cells(self.history, max_rows=self.max_group_rows)
+
     @cached_property
     def split(self) -> bool:
         return self.wallet_cells.split
@@ -133,7 +138,7 @@ class Behavior:
 
     @cached_property
     def series(self) -> DataFrame:
-        return H.series_facts(self.history, self.market_cells.split)
+        return H.series_facts(self.history, self.series_cells.split)
 
     @cached_property
     def lookups(self) -> DataFrame:
@@ -171,7 +176,7 @@ class Behavior:
 
     @cached_property
     def moves(self) -> DataFrame:
-        return H.detect_major_move(self.history, threshold=self.threshold, cells=self.market_cells)
+        return H.detect_major_move(self.history, threshold=self.threshold, cells=self.series_cells)
 
     @cached_property
     def facts(self) -> DataFrame:
