@@ -95,11 +95,12 @@ def search(
             done = cut
         if rows is None:
             partial += q[live, done:] @ part[:, done:].T
+            partial[q_ids[live][:, None] == c_ids[a : a + chunk]] = -np.inf  # own rows take no place among the k
             rows, cols = np.nonzero(partial >= (floor - slack)[live][:, None])
             if len(rows) > k * len(live):
                 # before exact scores: only those that reach the k-th of this chunk
                 if partial.shape[1] > k:
-                    kth = np.partition(partial, partial.shape[1] - k - 1, axis=1)[:, partial.shape[1] - k - 1]
+                    kth = np.partition(partial, partial.shape[1] - k, axis=1)[:, partial.shape[1] - k]
                     near = partial[rows, cols] >= (kth - slack[live])[rows]
                     rows, cols = rows[near], cols[near]
         rows = live[rows]

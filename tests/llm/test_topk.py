@@ -47,3 +47,16 @@ def test_pruned_search_equals_all_products():
         for i in range(60):
             all_ = sorted((-int(x[q[i]] @ x[j]), int(ids[j])) for j in range(3_000) if ids[j] != ids[q[i]])[:20]
             assert [(-int(s), int(ids[c])) for c, s in zip(col[row == i], score[row == i])] == all_
+
+
+def test_query_on_many_rows_of_a_chunk_keeps_all_foreign_candidates():
+    r = np.random.default_rng(5)
+    for times in (2, 5, 30):
+        x = r.integers(-40, 40, (100, 8))
+        ids = np.arange(1, 101)
+        x[:times], ids[:times] = x[0] * 3, 20  # the query's own rows score highest
+        x[-times:], ids[-times:] = x[0], 20  # and stand in more than one chunk
+        for chunk in (100, 50, 25):
+            row, col, score = topk.search(ids[:1], x[:1], ids, x, np.eye(8), 20, chunk)
+            every = sorted((-int(x[0] @ x[j]), int(ids[j])) for j in range(100) if ids[j] != 20)[:20]
+            assert [(-int(s), int(ids[c])) for c, s in zip(col, score)] == every
