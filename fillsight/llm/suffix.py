@@ -16,9 +16,14 @@ dealt first:
    factor reaches ``LENGTH`` exactly where this run starts in a smaller document.
 4. Blocks get, per segment, the smallest document of each window, and cut their texts.
 
-What one task holds is a block of documents or a bucket of anchors; both are numbered from
-the total size of the texts, and a string shared by many documents appears in its bucket
-once per block, not once per document.
+An anchor on more than ``HOT`` places may have a different segment in every document, as a
+phrase of 26 to 49 bytes brings its surroundings along. Its windows are therefore dealt one
+by one, by a 128-bit digest of their bytes that also stands for them, once per block with
+the smallest document of the block.
+
+What one task holds is a block of documents or a bucket of anchors and digests; both are
+numbered from the total size of the texts. In a bucket an anchor has at most ``HOT`` segments
+and a window of a more frequent anchor one row per block, not one per document.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from fillsight.llm.common import row_chunks, text_buffer
@@ -40,6 +47,10 @@ SLOT = LENGTH + SPAN  # a segment, aligned at its anchor
 # Text per block of documents, and per bucket of anchors.
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 4_000_000
+# Places of an anchor up to which its segments meet in one bucket; a block reports counts above FEW.
+HOT = 10_000
+FEW = 3
+_PIECE = 50_000  # frequent anchors of a block, and windows, that are handled at once
 
 _TABLE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -145,9 +156,9 @@ def _block_keys(flat, offsets, ids, buckets):
     return at, lo, hi, g, row, keys, place
 
 
-_KEYS = "block bigint, bucket bigint, keys binary, many binary"
-_FLAGS = "block bigint, bucket bigint, flags binary"
-_PARTS = "block bigint, bucket bigint, n bigint, key binary, shape binary, doc binary, slots binary"
+_KEYS = "block bigint, bucket bigint, keys binary, many binary, often binary"
+_FLAGS = "block bigint, bucket bigint, flags binary, hot binary"
+_PARTS = "block bigint, bucket bigint, n bigint, key binary, shape binary, doc binary, slots binary, windows binary"
 _ANSWERS = "block bigint, bucket bigint, runs binary, lengths binary, firsts binary"
 
 
@@ -173,27 +184,45 @@ def _send_keys(buckets: int):
         low, high = np.full(len(keys), _MAX), np.full(len(keys), _MIN)
         np.minimum.at(low, place, ids[row])
         np.maximum.at(high, place, ids[row])
-        out = {n: [] for n in ("block", "bucket", "keys", "many")}
+        count = np.bincount(place, minlength=len(keys))
+        out = {n: [] for n in ("block", "bucket", "keys", "many", "often")}
         for bucket, a, b in _by_bucket((keys >> np.uint64(32)).astype(np.int64)):
             out["block"].append(block)
             out["bucket"].append(bucket)
             out["keys"].append((keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
             out["many"].append(np.packbits(low[a:b] != high[a:b]).tobytes())
+            often = np.flatnonzero(count[a:b] > FEW)
+            out["often"].append(np.stack([often, count[a:b][often]], 1).astype(np.uint32).tobytes())
         return _rows(out, _KEYS)
 
     return run
 
 
-def _find_shared(group: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(k, np.uint32) for k in group.column("keys").to_pylist()]
-    many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for k, m in zip(keys, group.column("many").to_pylist())]
-    every = np.sort(np.concatenate([*keys, *[k[m] for k, m in zip(keys, many)]]))  # counted twice if in two documents
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    flags = []
-    for k in keys:
-        place = np.minimum(np.searchsorted(shared, k), max(len(shared) - 1, 0))
-        flags.append(np.packbits(shared[place] == k if len(shared) else np.zeros(len(k), bool)).tobytes())
-    return _rows({"block": group.column("block").to_pylist(), "bucket": group.column("bucket").to_pylist(), "flags": flags}, _FLAGS)
+def _find_shared(hot: int):
+    def run(group: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.uint32) for k in group.column("keys").to_pylist()]
+        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for k, m in zip(keys, group.column("many").to_pylist())]
+        every = np.sort(np.concatenate([*keys, *[k[m] for k, m in zip(keys, many)]]))  # counted twice if in two documents
+        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        found = []
+        places = np.zeros(len(shared), np.int64)  # of each shared key, or somewhat more
+        for k, often in zip(keys, group.column("often").to_pylist()):
+            place = np.minimum(np.searchsorted(shared, k), max(len(shared) - 1, 0))
+            known = shared[place] == k if len(shared) else np.zeros(len(k), bool)
+            count = np.full(len(k), FEW)
+            index, number = np.frombuffer(often, np.uint32).reshape(-1, 2).T
+            count[index] = number
+            places[place[known]] += count[known]
+            found.append((place, known))
+        flags, single = [], []
+        for place, known in found:
+            frequent = known.copy()
+            frequent[known] = places[place[known]] > hot
+            flags.append(np.packbits(known & ~frequent).tobytes())
+            single.append(np.flatnonzero(frequent).astype(np.uint32).tobytes())
+        return _rows({"block": group.column("block").to_pylist(), "bucket": group.column("bucket").to_pylist(), "flags": flags, "hot": single}, _FLAGS)
+
+    return run
 
 
 def _same(slots: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,25 +259,84 @@ class _Bucket:
     entry: np.ndarray  # segment of each anchor
 
 
-def _segments(flat, offsets, ids, flags: dict[int, bytes], buckets: int) -> Iterator[_Bucket]:
+def _shared_anchors(flat, offsets, ids, flags: dict[int, tuple[bytes, bytes]], buckets: int) -> list[tuple[np.ndarray, ...]]:
+    """(position, first window, last window, hash, row) of the shared anchors: the rarer ones and the frequent ones."""
     at, lo, hi, g, row, keys, place = _block_keys(flat, offsets, ids, buckets)
-    shared = np.zeros(len(keys), bool)
+    shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     for bucket, a, b in _by_bucket((keys >> np.uint64(32)).astype(np.int64)):
-        shared[a:b] = np.unpackbits(np.frombuffer(flags[bucket], np.uint8), count=b - a)
-    use = np.flatnonzero(shared[place])
-    use = use[np.argsort(_bucket(g[use], buckets), kind="stable")]
-    at, lo, hi, g, row = at[use], lo[use], hi[use], g[use], row[use]
-    shape = np.stack([at - lo, hi - lo + 1], 1).astype(np.uint8)
+        bits, single = flags[bucket]
+        shared[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+        hot[a + np.frombuffer(single, np.uint32).astype(np.int64)] = True
+    return [tuple(x[use] for x in (at, lo, hi, g, row)) for use in (np.flatnonzero(shared[place]), np.flatnonzero(hot[place]))]
+
+
+def _views(flat: np.ndarray) -> np.ndarray:
     padded = np.concatenate([np.zeros(SPAN, np.uint8), flat, np.zeros(SLOT, np.uint8)])
-    views = np.lib.stride_tricks.sliding_window_view(padded, SLOT)
-    column = np.arange(-SPAN, LENGTH)
+    return np.lib.stride_tricks.sliding_window_view(padded, SLOT)
+
+
+def _slots(views: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments aligned at their anchors, zero outside of their windows, and their shapes."""
+    slots, column = views[at].copy(), np.arange(-SPAN, LENGTH)
+    before = (at - lo)[:, None]
+    width = (hi - lo + LENGTH)[:, None]
+    slots[(column < -before) | (column >= width - before)] = 0
+    return slots, np.stack([at - lo, hi - lo + 1], 1).astype(np.uint8)
+
+
+def _segments(flat, anchors, buckets: int) -> Iterator[_Bucket]:
+    use = np.argsort(_bucket(anchors[3], buckets), kind="stable")
+    at, lo, hi, g, row = [x[use] for x in anchors]
+    views = _views(flat)
     for bucket, a, b in _by_bucket(_bucket(g, buckets)):
-        slots = views[at[a:b]].copy()
-        before = (at[a:b] - lo[a:b])[:, None]
-        width = (hi[a:b] - lo[a:b] + LENGTH)[:, None]
-        slots[(column < -before) | (column >= width - before)] = 0
-        first, entry = _same(slots, shape[a:b])
-        yield _Bucket(bucket, row[a:b], lo[a:b], _short(g[a:b]), shape[a:b], slots, first, entry)
+        slots, shape = _slots(views, at[a:b], lo[a:b], hi[a:b])
+        first, entry = _same(slots, shape)
+        yield _Bucket(bucket, row[a:b], lo[a:b], _short(g[a:b]), shape, slots, first, entry)
+
+
+@dataclass
+class _Windows:
+    """Different windows of the frequent anchors of a block, in order of bucket and digest."""
+
+    bucket: np.ndarray
+    digest: np.ndarray  # two words each
+    doc: np.ndarray  # smallest document of the block
+    pieces: list[tuple[np.ndarray, ...]]  # row, first window and segment of each anchor; windows, and their places, of each segment
+
+
+def _digests(slots: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Two words for each window of the segments."""
+    n = shape[:, 1].astype(np.int64)
+    start = np.arange(len(slots)) * SLOT + SPAN - shape[:, 0]
+    begin = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    view, digest = slots.tobytes(), xxhash.xxh3_128_digest
+    parts = [b"".join([digest(view[b : b + LENGTH]) for b in begin[i : i + _PIECE].tolist()]) for i in range(0, len(begin), _PIECE)]
+    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+
+
+def _windows(flat, anchors, source: np.ndarray, buckets: int) -> _Windows:
+    use = np.argsort(anchors[3], kind="stable")  # equal segments come together
+    views, pieces, digests, docs = _views(flat), [], [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(use), _PIECE):
+        at, lo, hi, _, row = [x[use[i : i + _PIECE]] for x in anchors]
+        slots, shape = _slots(views, at, lo, hi)
+        first, entry = _same(slots, shape)
+        doc = np.full(len(first), _MAX)
+        np.minimum.at(doc, entry, source[row])
+        n = shape[first, 1].astype(np.int64)
+        digests.append(_digests(slots[first], shape[first]))
+        docs.append(np.repeat(doc, n))
+        pieces.append((row, lo, entry, n))
+    digest, doc = np.concatenate(digests), np.concatenate(docs)
+    bucket = (digest[:, 0] % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, digest[:, 1], digest[:, 0], bucket))
+    new = np.ones(len(order), bool)
+    new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(1)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    ends = np.cumsum([len(d) for d in docs[1:]], dtype=np.int64)
+    one = order[new]
+    return _Windows(bucket[one], digest[one], doc[one], [(*p, q) for p, q in zip(pieces, np.split(place, ends[:-1]))])
 
 
 def _send_segments(buckets: int):
@@ -258,9 +346,10 @@ def _send_segments(buckets: int):
         block = docs.column("block")[0].as_py()
         _, flat, offsets, ids = _texts(docs)
         source = np.where(ids == _MIN, _MAX, ids)  # rows without an id are nobody's source
-        flags = dict(zip(replies.column("bucket").to_pylist(), replies.column("flags").to_pylist()))
-        out = {n: [] for n in ("block", "bucket", "n", "key", "shape", "doc", "slots")}
-        for s in _segments(flat, offsets, ids, flags, buckets):
+        flags = {r["bucket"]: (r["flags"], r["hot"]) for r in replies.to_pylist()}
+        rare, frequent = _shared_anchors(flat, offsets, ids, flags, buckets)
+        out = {n: [] for n in ("block", "bucket", "n", "key", "shape", "doc", "slots", "windows")}
+        for s in _segments(flat, rare, buckets):
             doc = np.full(len(s.first), _MAX)
             np.minimum.at(doc, s.entry, source[s.row])
             out["block"].append(block)
@@ -268,6 +357,12 @@ def _send_segments(buckets: int):
             out["n"].append(len(doc))
             for name, value in (("key", s.key[s.first]), ("shape", s.shape[s.first]), ("doc", doc), ("slots", s.slots[s.first])):
                 out[name].append(_pack(value))
+            out["windows"].append(None)
+        w = _windows(flat, frequent, source, buckets)
+        for bucket, a, b in _by_bucket(w.bucket):
+            row = {"block": block, "bucket": bucket, "n": b - a, "doc": _pack(w.doc[a:b]), "windows": w.digest[a:b].tobytes()}
+            for name, values in out.items():
+                values.append(row.get(name))
         return _rows(out, _PARTS)
 
     return run
@@ -313,6 +408,29 @@ def first_documents(slots: np.ndarray, shape: np.ndarray, doc: np.ndarray) -> np
 
 
 def _answer(group: pa.Table) -> pa.Table:
+    single = group.column("windows").is_valid()
+    parts = [(_answer_windows, group.filter(single)), (_answer_segments, group.filter(pc.invert(single)))]
+    return pa.concat_tables([fn(part) for fn, part in parts if part.num_rows])
+
+
+def _answer_windows(group: pa.Table) -> pa.Table:
+    """The smallest document of each window, where it is in another block."""
+    sizes = group.column("n").to_pylist()
+    digest = np.concatenate([np.frombuffer(w, np.uint64) for w in group.column("windows").to_pylist()]).reshape(-1, 2)
+    doc = np.concatenate([_unpack(d, np.int64, n) for d, n in zip(group.column("doc").to_pylist(), sizes)])
+    order = np.lexsort((doc, digest[:, 1], digest[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(1)
+    smallest = np.empty_like(doc)
+    smallest[order] = doc[order[new]][np.cumsum(new) - 1]
+    firsts = np.split(np.where(smallest < doc, smallest, _MAX), np.cumsum(sizes)[:-1])
+    return _rows({
+        "block": group.column("block").to_pylist(), "bucket": group.column("bucket").to_pylist(), "runs": [None] * len(sizes),
+        "lengths": [None] * len(sizes), "firsts": [_pack(f) for f in firsts],
+    }, _ANSWERS)
+
+
+def _answer_segments(group: pa.Table) -> pa.Table:
     sizes = group.column("n").to_pylist()
 
     def column(name, kind, width=1):
@@ -374,13 +492,16 @@ def _cut(columns: list[str], texts: bool, buckets: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         docs, flat, offsets, ids = _texts(docs)
         depth = np.zeros(len(flat) + 1, np.int32)
-        flags, answers = {}, {}
+        flags, answers, singles = {}, {}, {}
         for r in replies.to_pylist():
             if r["flags"] is not None:
-                flags[r["bucket"]] = r["flags"]
+                flags[r["bucket"]] = r["flags"], r["hot"]
+            elif r["runs"] is None:
+                singles[r["bucket"]] = r["firsts"]
             else:
                 answers[r["bucket"]] = r
-        for s in _segments(flat, offsets, ids, flags, buckets) if answers else ():
+        rare, frequent = _shared_anchors(flat, offsets, ids, flags, buckets) if answers or singles else (None, None)
+        for s in _segments(flat, rare, buckets) if answers else ():
             answer = answers[s.bucket]
             runs = np.frombuffer(answer["runs"], np.uint8).astype(np.int64)
             lengths = np.frombuffer(answer["lengths"], np.uint8).astype(np.int64)
@@ -393,6 +514,18 @@ def _cut(columns: list[str], texts: bool, buckets: int):
             gone = firsts[take] < ids[np.repeat(s.row, n)]
             np.add.at(depth, window[gone], 1)
             np.add.at(depth, (window + lengths[take] - 1 + LENGTH)[gone], -1)
+        if singles:
+            w = _windows(flat, frequent, np.where(ids == _MIN, _MAX, ids), buckets)
+            firsts = w.doc.copy()
+            for bucket, a, b in _by_bucket(w.bucket):
+                firsts[a:b] = np.minimum(firsts[a:b], _unpack(singles[bucket], np.int64, b - a))
+            for row, start, entry, n, place in w.pieces:
+                base, n = (np.cumsum(n) - n)[entry], n[entry]
+                before, each = np.cumsum(n) - n, np.arange(int(n.sum()))
+                window = np.repeat(start - before, n) + each
+                gone = firsts[place[np.repeat(base - before, n) + each]] < ids[np.repeat(row, n)]
+                np.add.at(depth, window[gone], 1)
+                np.add.at(depth, window[gone] + LENGTH, -1)
         removed = np.cumsum(depth[:-1], dtype=np.int32) > 0
         begins = removed.copy()
         begins[1:] &= ~removed[:-1]
@@ -431,7 +564,7 @@ def _remove(docs: DataFrame, columns: list[str], texts: bool, schema: str) -> Da
     placed = placed.drop("_salt")
     # the same exchange of texts serves all three visits of a block
     keys = placed.groupBy("block").applyInArrow(_send_keys(buckets), _KEYS)
-    flags = keys.groupBy("bucket").applyInArrow(_find_shared, _FLAGS)
+    flags = keys.groupBy("bucket").applyInArrow(_find_shared(HOT), _FLAGS)
     parts = placed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_segments(buckets), _PARTS)
     answers = parts.groupBy("bucket").applyInArrow(_answer, _ANSWERS)
     replies = flags.unionByName(answers, allowMissingColumns=True)

@@ -80,3 +80,40 @@ def test_cut_texts_keep_all_columns(docs, edge_rows):
 
 def test_empty_table(docs):
     assert suffix.remove_repeats(docs([])).collect() == []
+
+
+def _phrase_rows(n):
+    """A phrase of 30 bytes in every document, and a longer one in some, between different surroundings."""
+    r = np.random.default_rng(6)
+    phrase, longer = "All rights are reserved by us.", "This line stands in a good many of the documents as it is."
+    rows = []
+    for i in range(n):
+        a, b, c = ("".join(r.choice(list("abcdé "), 40)) for _ in range(3))
+        rows.append((i % (n - 5) if i % 9 else None, a + phrase + b + (longer + c if i % 3 else phrase * 2)))
+    return rows + [(n + 1, rows[1][1]), (n + 2, rows[2][1][20:])]
+
+
+def test_frequent_phrases_match_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 1_500)
+    for hot in (0, 20):  # all shared anchors window by window, or the frequent ones only
+        monkeypatch.setattr(suffix, "HOT", hot)
+        rows = _phrase_rows(150)
+        check(docs(rows), rows)
+
+
+def test_frequent_phrase_is_no_single_bucket():
+    import pyarrow as pa
+
+    rows = [(d, t) for d, t in _phrase_rows(600) if d is not None]
+    buckets, blocks = 64, []
+    for k in range(4):
+        part = rows[k::4]
+        blocks.append(pa.table({"block": [k] * len(part), "_id": [d for d, _ in part], "text": [t for _, t in part]}))
+    keys = pa.concat_tables([suffix._send_keys(buckets)(b) for b in blocks])
+    flags = pa.concat_tables([suffix._find_shared(50)(keys.filter(pa.compute.equal(keys["bucket"], b))) for b in set(keys["bucket"].to_pylist())])
+    size = np.zeros(buckets, int)
+    for k, b in enumerate(blocks):
+        parts = suffix._send_segments(buckets)(b, flags.filter(pa.compute.equal(flags["block"], k)))
+        np.add.at(size, parts["bucket"].to_numpy(), parts["n"].to_numpy())
+    assert size.max() < 3 * size.mean()
