@@ -82,8 +82,8 @@ def candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _key() -> Column:
-    # rows that share an id, or have none, share candidates: each row compares its own words
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+    # by id and text, as rows may share an id or have none; rows of one key compare their own words
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text"))
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -553,15 +553,14 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs`` with its block, and the number of buckets: both follow the size of the texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // BLOCK_BYTES + 1
-    block = F.pmod(F.xxhash64("_id", "_salt"), F.lit(n))
+    # one id may be on many rows: their texts spread them over the blocks
+    block = F.pmod(F.xxhash64("_id", "text"), F.lit(n))
     return docs.withColumn("block", block), total // BUCKET_BYTES + 1
 
 
 def _remove(docs: DataFrame, columns: list[str], texts: bool, schema: str) -> DataFrame:
     """``docs`` has _id and text beside ``columns``."""
-    # one id may be on many rows: their texts spread them over the blocks
-    placed, buckets = _blocks(docs.withColumn("_salt", F.xxhash64("text") % 64))
-    placed = placed.drop("_salt")
+    placed, buckets = _blocks(docs)
     # the same exchange of texts serves all three visits of a block
     keys = placed.groupBy("block").applyInArrow(_send_keys(buckets), _KEYS)
     flags = keys.groupBy("bucket").applyInArrow(_find_shared(HOT), _FLAGS)

@@ -89,3 +89,12 @@ def test_no_python_in_the_plan(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     plan = decontam.report(docs(rows()), items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_without_an_id_share_no_candidates(spark, docs):
+    items = spark.createDataFrame(ITEMS[:1], "item_id bigint, text string")
+    frame = docs([(None, "x " * i + TEXT) for i in range(40)] + [(7, "y " * i + TEXT) for i in range(40)])
+    keyed = frame.withColumn("key", decontam._key())
+    near = decontam.candidates(keyed.select("key", "text"), decontam.windows(items))
+    sizes = [r["count"] for r in near.groupBy("key").count().collect()]
+    assert len(sizes) == 80 and max(sizes) == 3

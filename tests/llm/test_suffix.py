@@ -117,3 +117,11 @@ def test_frequent_phrase_is_no_single_bucket():
         parts = suffix._send_segments(buckets)(b, flags.filter(pa.compute.equal(flags["block"], k)))
         np.add.at(size, parts["bucket"].to_numpy(), parts["n"].to_numpy())
     assert size.max() < 3 * size.mean()
+
+
+def test_rows_without_an_id_fill_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 60)
+    rows = [(None, f"row number {i:05d}") for i in range(2_000)]
+    salted = spark.createDataFrame(rows, "_id bigint, text string").selectExpr("*", "xxhash64(text) % 64 AS _salt")
+    placed, _ = suffix._blocks(salted)
+    assert placed.select("block").distinct().count() > 300
