@@ -61,6 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of this session."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the frame as a parquet table in the shared checkpoint folder and read it back.
 
@@ -68,8 +74,6 @@ def materialize(df: DataFrame) -> DataFrame:
     columns, and a lost executor costs a re-read instead of the whole lineage.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{root}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
