@@ -17,6 +17,11 @@ def remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def crc_bucket(key: Column, modulus: int) -> Column:
+    """crc32 of a string modulo ``modulus``."""
+    return F.crc32(key.cast("binary")) % F.lit(modulus)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):
