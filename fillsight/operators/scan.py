@@ -242,3 +242,35 @@ def join_dimension(df: DataFrame, dim: DataFrame, key: str, spread: Column, buck
     wide = dim.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
     return dealt.join(wide, [key, "_bucket"]).drop("_bucket")
+
+
+# Rows of one key that a counted join leaves under one key, and the most keys it deals out.
+JOIN_ROWS = 200_000
+MANY_KEYS = 50_000
+
+
+def heavy_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and ``_salts`` of the keys with more rows (``n``) than a task should get at once.
+
+    What counts as many grows with the table, so at most ``MANY_KEYS`` keys are heavy and the
+    result may be broadcast at any size of the table.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    bound = max(JOIN_ROWS, total // MANY_KEYS)
+    return counts.where(F.col("n") > bound).select(*keys, (F.floor(F.col("n") / bound) + 1).cast("int").alias("_salts"))
+
+
+def join_counted(df: DataFrame, dim: DataFrame, keys: Sequence[str], counts: DataFrame, spread: Column) -> DataFrame:
+    """Inner join of ``df`` with one row per key, where ``counts`` has the rows ``n`` of each key of ``df``.
+
+    The rows of a heavy key are dealt by ``spread`` over as many tasks as they need, and its row of
+    ``dim`` is copied to each; all other keys are joined as they are.
+    """
+    keys = list(keys)
+    if not keys:
+        raise ValueError("a counted join needs keys")
+    heavy = F.broadcast(heavy_keys(counts, keys))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = df.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    copies = dim.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
