@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fillsight.functions.scalar import short_key
 from fillsight.schema import MARKET
@@ -25,7 +25,10 @@ def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The stored table; slugs stay text, whatever their folder names look like."""
+    found = spark.read.parquet(path).schema
+    fixed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == MARKET else f for f in found])
+    return spark.read.schema(fixed).parquet(path)
 
 
 def overwrite_market(df: DataFrame, path: str) -> None:

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
-from fillsight.ml import anomaly as AN, cluster as CL, train as TR
+from fillsight.ml import anomaly as AN, cluster as CL, density as DE, train as TR
 from fillsight.operators import dataset as D, parsing as PR
 from fillsight.plans import jobs as J
 from fillsight.schema import FILLS, MARKET
-from fillsight.session import ensure_checkpoint_dir, materialize
+from fillsight.session import materialize, shared_folder
 from fillsight.streaming import ingest as ST
 from registry.core import context, query, r
 from registry.models import deposits, fold_values, model_table, positives
@@ -127,6 +127,49 @@ def embedding_clusters(spark, sf):
     return CL.kmeans_assign(e, 8).select("vec_id", "cluster")
 
 
+def plane(spark, sf):
+    """Two components of every embedding as points on the plane."""
+    e = X.table(spark, sf, "embeddings")
+    return materialize(e.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")))
+
+
+def _eps(points, share):
+    return DE.distance_percentiles(points, (share,))[share]
+
+
+@query
+def distance_percentiles(spark, sf):
+    """Distance to the fifth neighbour that shares of the points stay within."""
+    found = DE.distance_percentiles(plane(spark, sf), (0.5, 0.75, 0.9, 0.95))
+    return spark.createDataFrame([(p, round(d, 6)) for p, d in found.items()], "share double, distance double")
+
+
+@query
+def density_clusters(spark, sf):
+    points = plane(spark, sf)
+    return DE.dbscan(points, _eps(points, 0.5))
+
+
+@query
+def density_sweep(spark, sf):
+    """Clusters and noise at the radii of three percentiles."""
+    points, parts = plane(spark, sf), []
+    for share, eps in DE.distance_percentiles(points, (0.25, 0.5, 0.75)).items():
+        d = DE.dbscan(points, eps)
+        parts.append(d.agg(
+            F.lit(share).alias("share"), F.count_distinct("cluster").alias("clusters"), F.count_if(F.col("kind") == "core").alias("core"),
+            F.count_if(F.col("kind") == "border").alias("border"), F.count_if(F.col("kind") == "noise").alias("noise")))
+    return D.union_ragged(*parts)
+
+
+@query
+def density_profile(spark, sf):
+    """Size and share of positives of each density cluster of the labelled rows on their principal plane."""
+    p = materialize(CL.project(matrix(spark, sf)).select(F.xxhash64(MARKET, "wallet").alias("id"), "x", "y", D.LABEL))
+    found = DE.dbscan(p.select("id", "x", "y"), _eps(p, 0.75)).fillna(-1, ["cluster"])
+    return r(D.cluster_profile(found.join(p.select("id", D.LABEL), "id")), 6)
+
+
 @query
 def market_scan(spark, sf):
     """Top wallets of every market scored and flagged by a model trained on the labels."""
@@ -164,53 +207,74 @@ def model_comparison(spark, sf):
 
 # -------------------------------------------------------------------- streaming
 
-def _ingested(spark, sf):
-    """Fills with repeats that land in two parts, the later half first, and are ingested after each."""
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/landing-{uuid.uuid4().hex[:12]}"
+def _folder(spark):
+    return f"{shared_folder(spark)}/landing-{uuid.uuid4().hex[:12]}"
+
+
+def _fills(spark, sf):
     f = X.fills(spark, sf)
-    f = f.select(*[F.col(x.name).cast(x.dataType) for x in FILLS])
-    f = f.unionByName(f.filter("timestamp % 5 = 0"))
-    middle = f.select(F.percentile_approx("timestamp", 0.5).alias("m")).first()["m"]
-    for part in (f.filter(F.col("timestamp") >= middle), f.filter((F.col("timestamp") < middle) | (F.col("timestamp") % 10 == 0))):
+    return f.select(*[F.col(x.name).cast(x.dataType) for x in FILLS])
+
+
+def _land(spark, root, parts):
+    """Land the parts one after the other and ingest after each."""
+    for part in parts:
         part.repartition(4, F.expr("timestamp div 86400")).write.mode("append").parquet(f"{root}/fills")
         ST.ingest_fills(ST.fill_stream(spark, f"{root}/fills"), f"{root}/out", f"{root}/ck").awaitTermination()
-    return root
+    return f"{root}/out"
+
+
+def _ingested(spark, sf):
+    """Fills with repeats that land in two parts, the later half first."""
+    f = _fills(spark, sf)
+    f = f.unionByName(f.filter("timestamp % 5 = 0"))
+    middle = f.select(F.percentile_approx("timestamp", 0.5).alias("m")).first()["m"]
+    late = f.filter((F.col("timestamp") < middle) | (F.col("timestamp") % 10 == 0))
+    return _land(spark, _folder(spark), [f.filter(F.col("timestamp") >= middle), late])
 
 
 @query
 def streamed_ingest(spark, sf):
-    out = ST.ingested(spark, f"{_ingested(spark, sf)}/out")
+    out = ST.ingested(spark, _ingested(spark, sf))
     return out.groupBy(MARKET).agg(F.count("*").alias("n_fills"), F.count_distinct("id").alias("n_ids"))
 
 
+@query
+def streamed_odd_slugs(spark, sf):
+    """Ingested fills, row by row, where slugs look like numbers, dates or nothing at all and repeats land late."""
+    f = _fills(spark, sf)
+    k = F.substring(MARKET, 2, 9).cast("int")
+    slug = F.when(k == 0, F.lit(None)).when(k == 1, "007").when(k == 2, "7").when(k == 3, "2024-01-05").when(k == 4, "1e3").when(k == 5, "").otherwise(F.col(MARKET))
+    f = f.withColumn(MARKET, slug)
+    again = f.filter("timestamp % 3 = 0")
+    out = ST.ingested(spark, _land(spark, _folder(spark), [f.filter("timestamp % 2 = 1"), f.unionByName(again), again]))
+    return out.select("id", MARKET, "timestamp", "maker")
+
+
 @query
 def streamed_positions(spark, sf):
-    root = _ingested(spark, sf)
-    v = ST.wallet_positions(ST.fill_stream(spark, f"{root}/out"), X.markets(spark, sf))
-    ST.write_versions(v, f"{root}/pos", f"{root}/ck-pos").awaitTermination()
-    ST.compact(spark, f"{root}/pos", ["market_slug", "wallet"], f"{root}/pos-now")
-    return ST.current_state(spark, f"{root}/pos-now", ["market_slug", "wallet"])
+    out, view = _ingested(spark, sf), ST.positions_view(X.markets(spark, sf))
+    ST.track(ST.ingested_stream(spark, out), view, f"{out}-positions", f"{out}-ck-positions").awaitTermination()
+    return ST.tracked(spark, view, f"{out}-positions")
 
 
 @query
 def streamed_hourly_volume(spark, sf):
-    root = _ingested(spark, sf)
-    v = ST.hourly_volume(ST.fill_stream(spark, f"{root}/out"), X.markets(spark, sf))
-    ST.write_versions(v, f"{root}/vol", f"{root}/ck-vol").awaitTermination()
-    s = ST.current_state(spark, f"{root}/vol", ["market_slug", "window"])
-    return r(s.select(MARKET, F.unix_timestamp("window.start").alias("hour"), "cash", "tokens", "n_fills", "last_price"))
+    out, view = _ingested(spark, sf), ST.hourly_view(X.markets(spark, sf))
+    ST.track(ST.ingested_stream(spark, out), view, f"{out}-volume", f"{out}-ck-volume").awaitTermination()
+    s = ST.tracked(spark, view, f"{out}-volume")
+    return r(s.select(MARKET, F.col("start").alias("hour"), "cash", "tokens", "n_fills", F.col("last.yes_price").alias("last_price")))
 
 
 @query
 def rescored_wallets(spark, sf):
     """Wallets touched by the fills that land last, scored on all their landed fills."""
-    root = _ingested(spark, sf)
-    f = X.fills(spark, sf).select(*[F.col(x.name).cast(x.dataType) for x in FILLS])
-    f.filter("timestamp % 7 = 0").write.parquet(f"{root}/new")
+    out = _ingested(spark, sf)
+    _fills(spark, sf).filter("timestamp % 7 = 0").write.parquet(f"{out}-new")
 
     def score(landed):
         return PR.cash_volume(PR.normalize_trades(PR.parse_trades(landed, X.markets(landed.sparkSession, sf)))).select("wallet", MARKET, "volume_micro")
 
-    ST.rescore_touched(ST.fill_stream(spark, f"{root}/new"), f"{root}/out", score, f"{root}/scores", f"{root}/ck-scores").awaitTermination()
-    return ST.current_state(spark, f"{root}/scores", ["market_slug", "wallet"])
+    stream = ST.fill_stream(spark, f"{out}-new")
+    ST.rescore_touched(stream, lambda s: ST.ingested(s, out), score, f"{out}-scores", f"{out}-ck-scores").awaitTermination()
+    return ST.current_state(spark, f"{out}-scores", ["market_slug", "wallet"])

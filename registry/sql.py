@@ -987,6 +987,9 @@ SELECT feature, round(avg(coef), 8) + 0.0 AS mean_coef, round(median(coef), 8) +
 # ------------------------------------------------------------------ streaming
 
 Q["streamed_ingest"] = "SELECT market_slug, count(*) AS n_fills, count(*) AS n_ids FROM b_fills GROUP BY market_slug"
+Q["streamed_odd_slugs"] = """
+SELECT id, CASE market_slug WHEN 'm0' THEN NULL WHEN 'm1' THEN '007' WHEN 'm2' THEN '7' WHEN 'm3' THEN '2024-01-05' WHEN 'm4' THEN '1e3' WHEN 'm5' THEN '' ELSE market_slug END AS market_slug,
+  timestamp, maker FROM b_fills"""
 Q["streamed_positions"] = """
 SELECT market_slug, wallet, cast(sum(signed_micro) AS bigint) AS inventory_micro, cast(sum(cash_micro) AS bigint) AS volume_micro, count(*) AS n_trades, max(ts) AS last_ts
 FROM b_yes GROUP BY market_slug, wallet"""
@@ -1010,3 +1013,33 @@ SELECT tag, round(cv_pr, 8) + 0.0 AS cv_pr, round(cv_std, 8) + 0.0 AS cv_std, ro
 Q["separability_report"] = """
 SELECT feature, format('{:,.3f}', round(pm, 6)) AS positive, CASE WHEN round(pm, 9) / round(nm, 9) >= 100 THEN format('{:,.0f}', round(pm, 9) / round(nm, 9)) ELSE format('{:,.2f}', round(pm, 9) / round(nm, 9)) END || '×' AS ratio,
   format('{:,.1f}', coverage * 100) || '%' AS coverage FROM b_sep"""
+
+
+# ------------------------------------------------------------ density clustering
+
+B["b_pl"] = "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
+B["b_pd"] = "SELECT a.id, b.id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM b_pl a, b_pl b"
+B["b_kd"] = "SELECT id, d2 FROM (SELECT id, d2, row_number() OVER (PARTITION BY id ORDER BY d2) AS n FROM b_pd) WHERE n = 5"
+B["b_kp"] = """
+SELECT share, d2 FROM (SELECT d2, row_number() OVER (ORDER BY d2) AS n, count(*) OVER () AS total FROM b_kd),
+  (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95])::DOUBLE AS share) WHERE n = ceil(share * total)"""
+B["b_dn"] = "SELECT share, id, other FROM b_pd JOIN b_kp ON b_pd.d2 <= b_kp.d2 WHERE share < 0.8"
+B["b_dc"] = "SELECT share, id FROM b_dn GROUP BY share, id HAVING count(*) >= 5"
+B["b_de"] = "SELECT n.share, n.id, n.other FROM b_dn n JOIN b_dc a ON a.share = n.share AND a.id = n.id JOIN b_dc b ON b.share = n.share AND b.id = n.other"
+# all ids a core point is connected with, by a search from every one
+B["b_dr"] = """
+SELECT share, id, min(root) AS cluster FROM (
+  WITH RECURSIVE reach AS (
+    SELECT share, id, id AS root FROM b_dc
+    UNION SELECT e.share, e.other, reach.root FROM reach JOIN b_de e ON e.share = reach.share AND e.id = reach.id WHERE reach.root < e.other)
+  SELECT * FROM reach) GROUP BY share, id"""
+B["b_db"] = """
+SELECT p.share, p.id, CASE WHEN r.id IS NOT NULL THEN 'core' WHEN b.cluster IS NOT NULL THEN 'border' ELSE 'noise' END AS kind, coalesce(r.cluster, b.cluster) AS cluster
+FROM (SELECT share, id FROM b_pl, (SELECT DISTINCT share FROM b_dn)) p
+LEFT JOIN b_dr r ON r.share = p.share AND r.id = p.id
+LEFT JOIN (SELECT n.share, n.id, min(cluster) AS cluster FROM b_dn n JOIN b_dr r ON r.share = n.share AND r.id = n.other GROUP BY n.share, n.id) b ON b.share = p.share AND b.id = p.id"""
+Q["distance_percentiles"] = "SELECT share, round(sqrt(d2), 6) AS distance FROM b_kp WHERE share > 0.3"
+Q["density_clusters"] = "SELECT id, kind, cluster FROM b_db WHERE share = 0.5"
+Q["density_sweep"] = """
+SELECT share, count(DISTINCT cluster) AS clusters, count(*) FILTER (kind = 'core') AS core, count(*) FILTER (kind = 'border') AS border,
+  count(*) FILTER (kind = 'noise') AS noise FROM b_db GROUP BY share"""

@@ -107,7 +107,7 @@ def test_touched_wallets_are_rescored(spark, sf, tmp_path):
     def score(landed):
         return P.cash_volume(P.parse_trades(landed, m)).select(MARKET, "wallet", "n_trades")
 
-    S.rescore_touched(S.fill_stream(spark, str(tmp_path / "new")), str(tmp_path / "all"), score, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    S.rescore_touched(S.fill_stream(spark, str(tmp_path / "new")), lambda s: s.read.parquet(str(tmp_path / "all")), score, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = S.current_state(spark, str(tmp_path / "out"), [MARKET, "wallet"])
     assert got.count() == 4
     want = score(f).join(got.select(MARKET, "wallet"), [MARKET, "wallet"], "left_semi")
