@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame, functions as F
 KS = (2, 3, 4, 5, 6, 8, 10)
 
 
-def standardized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Median-imputed, standardized ``features`` vector of the given columns."""
+def standardized(df: DataFrame, columns: Sequence[str], apply_to: DataFrame | None = None) -> DataFrame:
+    """Median-imputed, standardized ``features`` vector of the given columns.
+
+    ``apply_to`` gets the medians, means and deviations of ``df`` instead of ``df`` itself.
+    """
     filled = [f"{c}__i" for c in columns]
-    d = Imputer(strategy="median", inputCols=list(columns), outputCols=filled, relativeError=0.0).fit(df).transform(df)
-    d = VectorAssembler(inputCols=filled, outputCol="_raw").transform(d)
-    m = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(d)
-    return m.transform(d).drop("_raw", *filled)
+    imputer = Imputer(strategy="median", inputCols=list(columns), outputCols=filled, relativeError=0.0).fit(df)
+    assembler = VectorAssembler(inputCols=filled, outputCol="_raw")
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(assembler.transform(imputer.transform(df)))
+    rows = df if apply_to is None else apply_to
+    return scaler.transform(assembler.transform(imputer.transform(rows))).drop("_raw", *filled)
 
 
 def from_array(df: DataFrame, column: str) -> DataFrame:

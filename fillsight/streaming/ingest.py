@@ -32,7 +32,8 @@ def fill_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files:
     return spark.readStream.schema(FILLS).format(fmt).option("maxFilesPerTrigger", max_files).load(path)
 
 
-def _run(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def run_batches(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run ``fn(batch, batch_id)`` on what has landed since the last run."""
     return df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -71,7 +72,7 @@ def ingest_fills(fills: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         index.add(_with_identity(mine).select(F.col("_id").alias("id")), batch_id)
         merge_fills(spark, out, batch_id)
 
-    return _run(fills, run, checkpoint)
+    return run_batches(fills, run, checkpoint)
 
 
 def merge_fills(spark: SparkSession, out: str, before: int) -> None:
@@ -157,7 +158,7 @@ def track(fills: DataFrame, view: DeltaView, out: str, checkpoint: str) -> Strea
 
         table.merge(table.due(batch_id), write)
 
-    return _run(fills, run, checkpoint)
+    return run_batches(fills, run, checkpoint)
 
 
 def tracked(spark: SparkSession, view: DeltaView, out: str) -> DataFrame:
@@ -210,4 +211,4 @@ def rescore_touched(
         history = landed(batch.sparkSession).join(markets, MARKET, "left_semi").dropDuplicates(["id"])
         save_version(score(history).join(touched, KEYS, "left_semi"), out, batch_id, KEYS)
 
-    return _run(fills, run, checkpoint)
+    return run_batches(fills, run, checkpoint)

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
-from fillsight.ml import anomaly as AN, cluster as CL, density as DE, train as TR
+from fillsight.ml import anomaly as AN, cluster as CL, density as DE, leave_one_out as LO, train as TR
 from fillsight.operators import dataset as D, parsing as PR
-from fillsight.plans import jobs as J
+from fillsight.plans import jobs as J, report as R
 from fillsight.schema import FILLS, MARKET
 from fillsight.session import materialize, shared_folder
-from fillsight.streaming import ingest as ST
+from fillsight.streaming import ingest as ST, live as LV
 from registry.core import context, query, r
 from registry.models import deposits, fold_values, model_table, positives
 from registry.trades import labels
@@ -58,6 +58,50 @@ def boosting_out_of_fold(spark, sf):
     return r(_oof(spark, sf, spec(**BOOST)), 4)
 
 
+def _left_out(spark, sf, penalty="l2", cs=(0.05, 0.4, 1.0)):
+    c = context(spark, sf)
+    if "loo_design" not in c.__dict__:
+        c.__dict__["loo_design"] = LO.design(dataset(spark, sf), FEATURES)
+    return LO.Fits(c.__dict__["loo_design"], cs, penalty)
+
+
+@query
+def left_out_scores(spark, sf):
+    """Left-out scores of every row: a row's score without it lies no nearer to its own label than with it."""
+    fits = _left_out(spark, sf)
+    still = [F.struct(F.lit(c).alias("c"), F.lit(bool(abs(g).max() < 1e-6)).alias("stationary")) for c, g in zip(fits.cs, fits.gradients())]
+    still = spark.range(1).select(F.inline(F.array(*still)))
+    toward = (F.col("raw") - F.col("fitted")) * (2 * F.col(D.LABEL) - 1) <= 1e-9
+    each = fits.scores().groupBy("c").agg(F.count("*").alias("rows"), F.sum(D.LABEL).alias("positives"), F.count_if(toward).alias("not_nearer"))
+    return each.join(still, "c")
+
+
+@query
+def left_out_tuning(spark, sf):
+    """Quality of each penalty by left-out scores, best first."""
+    fits = _left_out(spark, sf, cs=LO.CS)
+    return r(LO.loo_quality(materialize(fits.scores())), 4)
+
+
+@query
+def left_out_stability(spark, sf):
+    """Stability of the coefficients over the fits without each row."""
+    fits = _left_out(spark, sf, cs=(0.4,))
+    s = R.coefficient_stability(fits.coefficients(FEATURES, 0.4).select("feature", "coef"))
+    signs = F.round(F.col("positive_frac") + F.col("negative_frac"), 9) == F.round("nonzero_frac", 9)
+    return s.select("feature", signs.alias("signs_add_up"), (F.col("mean_abs_coef") >= F.abs("mean_coef") - 1e-12).alias("bounded"))
+
+
+@query
+def nested_left_out(spark, sf):
+    """Held-out scores of outer folds whose penalty the left-out scores of the rest choose."""
+    n = LO.nested(dataset(spark, sf), FEATURES, (0.05, 0.4), outer=3)
+    each = n.groupBy("fold").agg(F.count("*").alias("rows"), F.sum(D.LABEL).alias("positives"), (F.count_distinct("c") == 1).alias("one_penalty"),
+                                 F.count_if((F.col("raw") > 0) & (F.col("raw") < 1)).alias("scored"))
+    return each.agg(F.count("*").alias("folds"), F.sum("rows").alias("rows"), F.sum("positives").alias("positives"), F.sum("scored").alias("scored"),
+                    F.bool_and("one_penalty").alias("one_penalty"))
+
+
 @query
 def penalty_tuning(spark, sf):
     s = spec(estimator="logistic", n_folds=3, folds="rows", params=dict(max_iter=20))
@@ -278,3 +322,24 @@ def rescored_wallets(spark, sf):
     stream = ST.fill_stream(spark, f"{out}-new")
     ST.rescore_touched(stream, lambda s: ST.ingested(s, out), score, f"{out}-scores", f"{out}-ck-scores").awaitTermination()
     return ST.current_state(spark, f"{out}-scores", ["market_slug", "wallet"])
+
+
+@query
+def live_features(spark, sf):
+    """Features of stored tails after three batches: the middle third, then the last, then the first with what is missing."""
+    f, root = materialize(_fills(spark, sf)), _folder(spark)
+    low, high = f.select(F.percentile_approx("timestamp", [0.33, 0.66])).first()[0]
+    late, t = F.pmod(F.xxhash64("id"), F.lit(10)) == 0, F.col("timestamp")
+    live = LV.LiveFeatures(spark, root, materialize(X.markets(spark, sf)))
+    for i, part in enumerate([f.filter((t >= low) & (t < high) & ~late), f.filter((t >= high) & ~late), f.filter((t < low) | late)]):
+        live.extend(part, i)
+    names = [*LV_REALIZED, "buy_tokens_total", "sell_tokens_total", "net_tokens", "gross_tokens", "net_directional_consistency"]
+    return r(live.features().select(MARKET, "wallet", *names), 9)
+
+
+LV_REALIZED = tuple(
+    f"{e}{n}" for e in ("", "early_") for n in (
+        "realized_pnl_total", "realized_pnl_per_closing_trade", "realized_pnl_per_matched_token", "n_closing_trades_with_realization",
+        "matched_tokens_realized", "realized_win_rate_closing_trades",
+    )
+)

