@@ -107,7 +107,9 @@ PATH = (
 )
 
 
-def position_features(ledger: DataFrame, facts: DataFrame, cells: Cells | None = None, early_frac: float = 0.5) -> DataFrame:
+def position_features(
+    ledger: DataFrame, facts: DataFrame, cells: Cells | None = None, early_frac: float = 0.5, heavy: DataFrame | None = None
+) -> DataFrame:
     """Holding totals, outcome alignment and the shape of the inventory path."""
     inv = F.col("inventory")
     cols = [*KEYS, *TRADE_ORDER, "is_buy", "token_micro", "inventory", *[c for c in ("_cell",) if c in ledger.columns]]
@@ -115,7 +117,7 @@ def position_features(ledger: DataFrame, facts: DataFrame, cells: Cells | None =
         ledger.select(*cols), KEYS, TRADE_ORDER,
         previous={"prev_sign": F.when(inv != 0, F.signum(inv.cast("double")))}, cells=cells,
     )
-    df = join_dimension(df, facts.select(MARKET, "outcome", "start_ts", "end_ts"), MARKET, F.col("wallet"))
+    df = join_dimension(df, facts.select(MARKET, "outcome", "start_ts", "end_ts"), MARKET, F.col("wallet"), heavy)
     sign = F.when(F.col("outcome") == 1, 1).when(F.col("outcome").isNotNull(), -1)
     s = F.max(sign)
     early = F.col("ts") <= F.col("start_ts") + early_frac * (F.col("end_ts") - F.col("start_ts"))
@@ -299,14 +301,18 @@ def day_features(ledger: DataFrame, facts: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------- adaptive
 
-def lot_markouts(lots: DataFrame, lookups: DataFrame, facts: DataFrame, fracs: Sequence[float] = GRID_FRACS) -> DataFrame:
+def lot_markouts(
+    lots: DataFrame, lookups: DataFrame, facts: DataFrame, fracs: Sequence[float] = GRID_FRACS, heavy: DataFrame | None = None
+) -> DataFrame:
     """Range-normalized markout of each lot with open units, per horizon (``mv0``…).
 
     The horizon ends no earlier than the time a quarter of the lot was closed and no
     later than the time half of it was; lots never reduced that far run to the end.
     Prices at those times are trade seconds, so they come from the shared lookups.
     """
-    f = facts.select(MARKET, "h_start", "h_end", "life", "last_price", (F.col("price_max") - F.col("price_min")).alias("range"))
+    f = facts.select(
+        MARKET, "h_start", "h_end", "life", "last_price", "terminal_start_ts", (F.col("price_max") - F.col("price_min")).alias("range")
+    )
     d25, d50 = F.col(derisk_name(0.25)), F.col(derisk_name(0.5))
     at = lambda name: lookups.select(MARKET, F.col("ts").alias(f"{name}_ts"), F.col("price_at").alias(f"{name}_price"))
     futures = lookups.select(MARKET, F.col("ts").alias("entry_time"), *[f"fut{i}" for i in range(len(fracs))])
@@ -316,7 +322,7 @@ def lot_markouts(lots: DataFrame, lookups: DataFrame, facts: DataFrame, fracs: S
         .join(at("d25"), [MARKET, "d25_ts"], "left")
         .join(at("d50"), [MARKET, "d50_ts"], "left")
     )
-    x = join_dimension(x, f, MARKET, F.col("wallet"))
+    x = join_dimension(x, f, MARKET, F.col("wallet"), heavy)
     cap_ts = F.coalesce(F.col("d50_ts"), F.col("h_end"))
     cap_price = F.when(F.col("d50_ts").isNotNull(), F.col("d50_price")).otherwise(F.col("last_price"))
     cols = []
@@ -330,12 +336,13 @@ def lot_markouts(lots: DataFrame, lookups: DataFrame, facts: DataFrame, fracs: S
             .otherwise(inner_price)
         )
         cols.append(ratio(F.col("side_sign") * (future - F.col("entry_price")), F.col("range")).alias(f"mv{i}"))
-    return x.select(*KEYS, "trade_id", "role_no", "entry_time", "remaining_micro", F.col("d25_ts").isNull().alias("held"), *cols)
+    return x.select(*KEYS, "trade_id", "role_no", "entry_time", "remaining_micro", "terminal_start_ts", F.col("d25_ts").isNull().alias("held"), *cols)
 
 
 def adaptive_features(
     lots: DataFrame, segments: DataFrame, lookups: DataFrame, facts: DataFrame,
     fracs: Sequence[float] = GRID_FRACS, thresholds: Sequence[float] = DERISK_THRESHOLDS, spike_lambda: float = 1.0,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Lot-level markouts, realized edge and closing times per (market, wallet).
 
@@ -344,7 +351,7 @@ def adaptive_features(
     f = facts.select(
         MARKET, "h_start", "life", "h_rows", "terminal_start_ts", (F.col("price_max") - F.col("price_min")).alias("range")
     )
-    mk = join_dimension(lot_markouts(lots, lookups, facts, fracs), facts.select(MARKET, "terminal_start_ts"), MARKET, F.col("wallet"))
+    mk = lot_markouts(lots, lookups, facts, fracs, heavy)
     w = F.col("remaining_micro")
     late = F.coalesce(F.col("entry_time") >= F.col("terminal_start_ts"), F.lit(False))
     aggs = [F.sum(F.when(F.col("held"), w).otherwise(0)).alias("held"), F.sum(F.when(late, w).otherwise(0)).alias("late")]
@@ -367,7 +374,7 @@ def adaptive_features(
         ]
     # a matched unit was traded twice, an open one once
     gross = F.sum(size * 2 - F.col("remaining_micro")).alias("gross")
-    lot_side = join_dimension(lots, f, MARKET, F.col("wallet")).groupBy(*KEYS).agg(
+    lot_side = join_dimension(lots, f, MARKET, F.col("wallet"), heavy).groupBy(*KEYS).agg(
         gross, F.max("life").alias("life"), F.max("h_rows").alias("h_rows"), F.max("range").alias("range"),
         F.max("h_start").alias("h_start"), F.max("terminal_start_ts").alias("terminal_start_ts"), *der,
     )

@@ -10,11 +10,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fillsight.operators.scan import MAX_GROUP_ROWS, plan_cells, scan, with_scalars
+from fillsight.operators.scan import MAX_GROUP_ROWS, join_counted, join_dimension, mark_first, numbered, plan_cells, scan, with_scalars
 from fillsight.schema import MARKET, MICRO, ratio
+from fillsight.session import materialize
 
 KEYS = ["wallet", MARKET]
 LABEL = "is_insider"
+BUCKET_ROWS = 500_000
 
 
 def hash_order(seed: int, *cols: str) -> Column:
@@ -105,17 +107,20 @@ def volume_floor(volumes: DataFrame, positives: DataFrame, q: float = 0.25) -> D
 
 
 def sample_negatives(
-    volumes: DataFrame, positives: DataFrame, known: DataFrame, per_positive: int = 6, seed: int = 42, q: float = 0.25
+    volumes: DataFrame, positives: DataFrame, known: DataFrame, per_positive: int = 6, seed: int = 42, q: float = 0.25,
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Negatives per market: wallets at or above the floor, never a known one, ``per_positive`` per positive.
 
     A market with too few candidates gives all of them.
     """
     floor = volume_floor(volumes, positives, q)
-    pool = exclude_wallets(volumes, known).join(floor, MARKET).filter(F.col("volume_micro") / MICRO >= F.col("volume_floor"))
-    w = W.partitionBy(MARKET).orderBy(hash_order(seed, MARKET, "wallet"), F.col("wallet"))
-    ranked = pool.withColumn("_rn", F.row_number().over(w))
-    return ranked.filter(F.col("_rn") <= per_positive * F.col("n_pos")).select(*KEYS, F.lit(0).alias(LABEL))
+    floor = materialize(floor)
+    pool = join_dimension(exclude_wallets(volumes, known), floor, MARKET, F.col("wallet"))
+    pool = pool.filter(F.col("volume_micro") / MICRO >= F.col("volume_floor"))
+    want = floor.select(MARKET, (per_positive * F.col("n_pos")).alias("_want"))
+    drawn = mark_first(pool.select(*KEYS, hash_order(seed, MARKET, "wallet").alias("_h")), [MARKET], want, ["wallet"], max_rows=max_rows)
+    return drawn.filter("_first").select(*KEYS, F.lit(0).alias(LABEL))
 
 
 def labelled_set(volumes: DataFrame, positives: DataFrame, known: DataFrame, **kw) -> DataFrame:
@@ -123,7 +128,7 @@ def labelled_set(volumes: DataFrame, positives: DataFrame, known: DataFrame, **k
     return present.withColumn(LABEL, F.lit(1)).unionByName(sample_negatives(volumes, positives, known, **kw))
 
 
-def downsample_market(df: DataFrame, market: str, hide_positives: int, seed: int = 42) -> DataFrame:
+def downsample_market(df: DataFrame, market: str, hide_positives: int, seed: int = 42, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Shrink one market by ``hide_positives`` positives, keeping its class ratio."""
     here = F.col(MARKET) == market
     counts = df.filter(here).agg(
@@ -133,10 +138,10 @@ def downsample_market(df: DataFrame, market: str, hide_positives: int, seed: int
     keep_n = F.least(F.rint(keep_p * F.col("n") / F.greatest(F.col("p"), F.lit(1))).cast("bigint"), F.col("n"))
     too_few = F.raise_error(F.lit("hiding that many positives leaves none")).cast("bigint")
     sizes = counts.select(F.when(keep_p >= 1, keep_p).otherwise(too_few).alias("keep_p"), keep_n.alias("keep_n"))
-    w = W.partitionBy(MARKET, LABEL).orderBy(hash_order(seed, *KEYS), F.col("wallet"))
-    sub = with_scalars(df.filter(here).withColumn("_rn", F.row_number().over(w)), sizes)
-    kept = sub.filter(F.col("_rn") <= F.when(F.col(LABEL) == 1, F.col("keep_p")).otherwise(F.col("keep_n")))
-    return df.filter(~here).unionByName(kept.drop("_rn", "keep_p", "keep_n"))
+    want = sizes.select(F.inline(F.array(
+        F.struct(F.lit(1).alias(LABEL), F.col("keep_p").alias("_want")), F.struct(F.lit(0).alias(LABEL), F.col("keep_n").alias("_want")))))
+    drawn = mark_first(df.filter(here).withColumn("_h", hash_order(seed, *KEYS)), [LABEL], want, ["wallet"], max_rows=max_rows)
+    return df.filter(~here).unionByName(drawn.filter("_first").select(*df.columns))
 
 
 def drop_markets(df: DataFrame, prefix: str) -> DataFrame:
@@ -170,10 +175,9 @@ def pinned_split(stats: DataFrame, test: Sequence[str]) -> DataFrame:
 
 def random_market_split(stats: DataFrame, n_large: int, n_small: int, seed: int = 42) -> DataFrame:
     """Whole markets to test: the given number of large and small ones, hash-drawn."""
-    w = W.partitionBy("size_band").orderBy(hash_order(seed, MARKET), F.col(MARKET))
-    want = F.when(F.col("size_band") == "large", n_large).otherwise(n_small)
-    ranked = stats.withColumn("_rn", F.row_number().over(w))
-    return ranked.withColumn("split", F.when(F.col("_rn") <= want, "test").otherwise("train")).drop("_rn")
+    want = stats.select("size_band").distinct().withColumn("_want", F.when(F.col("size_band") == "large", n_large).otherwise(n_small).cast("bigint"))
+    marked = mark_first(stats.withColumn("_h", hash_order(seed, MARKET)), ["size_band"], want, [MARKET])
+    return marked.select(*stats.columns, F.when(F.col("_first"), "test").otherwise("train").alias("split"))
 
 
 def time_split(stats: DataFrame, test: Sequence[str]) -> DataFrame:
@@ -192,35 +196,28 @@ def time_split(stats: DataFrame, test: Sequence[str]) -> DataFrame:
     return s.withColumn("split", split).drop("_cut", "_bad")
 
 
-def stratified_split(df: DataFrame, test_frac: float = 0.2, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Row split with the exact test share in each class.
-
-    Exact counts per class from a histogram of the hash: whole hash buckets go to
-    test until the boundary bucket, which alone is ordered.
-    """
-    buckets = 1024
-    h = df.withColumn("_h", hash_order(seed, *keys)).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    hist = h.groupBy(LABEL, "_b").agg(F.count("*").alias("_n"))
-    w = W.partitionBy(LABEL)
-    hist = hist.select(
-        LABEL, "_b", (F.sum("_n").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-        F.round(F.sum("_n").over(w) * test_frac).alias("_want"), "_n",
-    )
-    inner = W.partitionBy(LABEL, "_b").orderBy("_h", *keys)
-    placed = h.join(F.broadcast(hist), [LABEL, "_b"])  # at most 1024 rows per class
-    is_test = F.col("_before") + F.row_number().over(inner) <= F.col("_want")
-    return placed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_h", "_b", "_before", "_want", "_n")
+def stratified_split(
+    df: DataFrame, test_frac: float = 0.2, seed: int = 42, keys: Sequence[str] = KEYS, max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Row split with the exact test share in each class, in hash order."""
+    want = df.groupBy(LABEL).agg(F.round(F.count("*") * test_frac).cast("bigint").alias("_want"))
+    marked = mark_first(df.withColumn("_h", hash_order(seed, *keys)), [LABEL], want, keys, max_rows=max_rows)
+    return marked.select(*df.columns, F.when(F.col("_first"), "test").otherwise("train").alias("split"))
 
 
-def group_split(df: DataFrame, test_frac: float = 0.15, seed: int = 42) -> DataFrame:
+def group_split(df: DataFrame, test_frac: float = 0.15, seed: int = 42, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Whole markets to test by hash; the share holds for markets, not rows."""
-    markets = df.select(MARKET).distinct()
-    w = W.orderBy(hash_order(seed, MARKET), F.col(MARKET))
-    n = F.count("*").over(W.partitionBy())
-    marked = markets.withColumn(
-        "split", F.when(F.row_number().over(w) <= F.ceil(n * test_frac), "test").otherwise("train")
-    )
-    return df.join(marked, MARKET)
+    rows = df.groupBy(MARKET).agg(F.count("*").alias("n"))
+    markets = rows.select(MARKET, F.lit(0).alias("_all"), hash_order(seed, MARKET).alias("_h"))
+    want = markets.groupBy("_all").agg(F.ceil(F.count("*") * test_frac).alias("_want"))
+    marked = mark_first(markets.withColumnRenamed("_all", "_g"), ["_g"], want.withColumnRenamed("_all", "_g"), [MARKET], max_rows=max_rows)
+    split = marked.select(MARKET, F.when(F.col("_first"), "test").otherwise("train").alias("split"))
+    return _onto_markets(df, split, rows)
+
+
+def _onto_markets(df: DataFrame, marked: DataFrame, rows: DataFrame) -> DataFrame:
+    """``df`` with the columns its market has in ``marked``; ``rows`` counts ``df`` by market."""
+    return join_counted(df, marked, [MARKET], rows.select(MARKET, "n"), F.col("wallet"))
 
 
 # ------------------------------------------------------------------------ folds
@@ -233,11 +230,10 @@ def group_folds(df: DataFrame, k: int = 5, stratified: bool = True, seed: int =
     """
     s = market_stats(df).select(MARKET, "n_rows", "n_pos")
     keys = [F.col("n_pos").desc(), F.col("n_rows").desc()] if stratified else [F.col("n_rows").desc()]
-    rn = F.row_number().over(W.orderBy(*keys, hash_order(seed, MARKET), F.col(MARKET))) - 1
-    s = s.withColumn("_rn", rn)
+    s = numbered(s, [*keys, hash_order(seed, MARKET), F.col(MARKET)])
     step = F.pmod("_rn", F.lit(k))
     fold = F.when(F.pmod(F.floor(F.col("_rn") / k), F.lit(2)) == 0, step).otherwise(k - 1 - step)
-    return df.join(s.select(MARKET, fold.cast("int").alias("fold")), MARKET)
+    return _onto_markets(df, s.select(MARKET, fold.cast("int").alias("fold")), s.select(MARKET, F.col("n_rows").alias("n")))
 
 
 def time_folds(df: DataFrame, time: str, k: int = 5) -> DataFrame:
@@ -246,22 +242,27 @@ def time_folds(df: DataFrame, time: str, k: int = 5) -> DataFrame:
     ``fold`` is the validation fold of a market (0 = training only); fold i trains on
     all markets of lower fold. Test size is ⌊n / (k + 1)⌋ markets.
     """
-    s = df.groupBy(MARKET).agg(F.median(time).alias("_t"))
-    rn = F.row_number().over(W.orderBy(F.col("_t").asc_nulls_last(), F.col(MARKET))) - 1
-    n = F.count("*").over(W.partitionBy())
-    s = s.withColumn("_rn", rn).withColumn("_n", n)
+    s = df.groupBy(MARKET).agg(F.median(time).alias("_t"), F.count("*").alias("n"))
+    s = numbered(s, [F.col("_t").asc_nulls_last(), F.col(MARKET)])
+    s = with_scalars(s, s.agg(F.count("*").alias("_n")))
     size = F.floor(F.col("_n") / (k + 1))
     first = F.col("_n") - k * size
     fold = F.when(F.col("_rn") < first, 0).otherwise(F.floor((F.col("_rn") - first) / size) + 1)
-    return df.join(s.select(MARKET, fold.cast("int").alias("fold")), MARKET)
+    return _onto_markets(df, s.select(MARKET, fold.cast("int").alias("fold")), s)
 
 
 def row_folds(df: DataFrame, k: int = 5, seed: int = 42, stratified: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Row-level folds; stratified ones deal every class round robin inside hash buckets."""
+    """Row-level folds; stratified ones deal every class round robin inside hash buckets.
+
+    There are 256 buckets, and more where those would hold over ``BUCKET_ROWS`` rows.
+    """
     if not stratified:
         return df.withColumn("fold", F.pmod(hash_order(seed, *keys), F.lit(k)).cast("int"))
     h = hash_order(seed, *keys)
-    b = F.pmod(h, F.lit(256))
+    buckets = 256
+    while buckets * BUCKET_ROWS < df.count():
+        buckets *= 2
+    b = F.pmod(h, F.lit(buckets))
     w = W.partitionBy(LABEL, b).orderBy(h, *keys)
     # the bucket offsets the deal so that small buckets do not all start at fold 0
     return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1 + b, F.lit(k)).cast("int"))
@@ -276,11 +277,16 @@ def loo_folds(df: DataFrame, keys: Sequence[str] = KEYS, seed: int = 42, max_row
 
 
 def fold_breakdown(df: DataFrame) -> DataFrame:
-    """Markets, rows and positives of each fold."""
-    return df.groupBy("fold").agg(
-        F.count_distinct(MARKET).alias("n_markets"), F.count("*").alias("n_rows"), F.sum(LABEL).alias("n_pos"),
-        F.array_join(F.sort_array(F.collect_set(MARKET)), ",").alias("markets"),
-    ).withColumn("positive_rate", ratio(F.col("n_pos"), F.col("n_rows")))
+    """Number of markets, rows and positives of each fold."""
+    m = fold_markets(df)
+    return m.groupBy("fold").agg(F.count("*").alias("n_markets"), F.sum("n_rows").alias("n_rows"), F.sum("n_pos").alias("n_pos")).withColumn(
+        "positive_rate", ratio(F.col("n_pos"), F.col("n_rows"))
+    )
+
+
+def fold_markets(df: DataFrame) -> DataFrame:
+    """The markets of each fold with their rows and positives, one row each."""
+    return df.groupBy("fold", MARKET).agg(F.count("*").alias("n_rows"), F.sum(LABEL).alias("n_pos"))
 
 
 # --------------------------------------------------------------------- profiles

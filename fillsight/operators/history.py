@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fillsight.functions.scalar import time_position, time_remaining
 from fillsight.operators.asof import asof_join, backward, build_index, forward, lookup, nearest
-from fillsight.operators.scan import PRICE_WIDTHS, TIME_WIDTHS, Cells, percentiles, plan_cells, scan
+from fillsight.operators.scan import PRICE_WIDTHS, TIME_WIDTHS, Cells, heavy_keys, join_dimension, percentiles, plan_cells, scan
 from fillsight.schema import MARKET, ratio
 
 GRID_FRACS = (0.01, 0.03, 0.07, 0.15, 0.20)
@@ -234,14 +234,16 @@ def terminal_spikes(
     """
     f = facts.select(MARKET, "h_end", "life", "h_rows", "last_price", "yes_wins")
     side = lambda p: F.when(F.col("yes_wins"), p).otherwise(1 - p)
+    # a market's rows are dealt by second, so the aggregations below combine in every task
+    heavy = heavy_keys(f.select(MARKET, F.col("h_rows").alias("n")), [MARKET])
     tail = (
-        history.select(MARKET, "ts", "trade_id", "yes_price").join(f, MARKET)
+        join_dimension(history.select(MARKET, "ts", "trade_id", "yes_price"), f, MARKET, F.col("ts"), heavy)
         .filter((F.col("life") > 0) & (F.col("h_rows") >= 2) & (F.col("ts") >= F.col("h_end") - last_frac * F.col("life")))
         .withColumn("aligned", side(F.col("yes_price")))
     )
     low = tail.groupBy(MARKET).agg(F.min(F.struct("aligned", "ts")).alias("low"))
     move = side(F.col("last_price")) - F.col("low.aligned")
-    hit = tail.join(low, MARKET).filter(
+    hit = join_dimension(tail, low, MARKET, F.col("ts"), heavy).filter(
         (F.col("ts") >= F.col("low.ts")) & (move > eps) & (ratio(F.col("aligned") - F.col("low.aligned"), move) >= progress)
     )
     return f.select(MARKET).join(hit.groupBy(MARKET).agg(F.min("ts").alias("terminal_start_ts")), MARKET, "left")

@@ -219,14 +219,14 @@ def _early(ts: Column, start: Column, end: Column, frac: float) -> Column:
     return ts <= start + frac * (end - start)
 
 
-def realized_features(segments: DataFrame, markets: DataFrame, early_frac: float = 0.5) -> DataFrame:
+def realized_features(segments: DataFrame, markets: DataFrame, early_frac: float = 0.5, heavy: DataFrame | None = None) -> DataFrame:
     """Realized profit per (market, wallet): totals, rates per closing trade and early copies."""
     piece = F.col("qty_micro") * F.col("pnl_per_token")
     per_trade = segments.filter("matched").groupBy(*KEYS, F.col("exit.seq").alias("seq"), F.col("exit.ts").alias("ts")).agg(
         F.sum(piece).alias("pnl"), F.sum("qty_micro").alias("matched")
     )
     bounds = markets.select(F.col("slug").alias(KEYS[0]), "start_ts", "end_ts")
-    t = join_dimension(per_trade, bounds, KEYS[0], F.col("wallet")).withColumn("early", _early(F.col("ts"), F.col("start_ts"), F.col("end_ts"), early_frac))
+    t = join_dimension(per_trade, bounds, KEYS[0], F.col("wallet"), heavy).withColumn("early", _early(F.col("ts"), F.col("start_ts"), F.col("end_ts"), early_frac))
     cols = []
     for tag, cond in (("", F.lit(True)), ("early_", F.coalesce(F.col("early"), F.lit(False)))):
         pnl, matched = F.sum(F.when(cond, F.col("pnl"))), F.sum(F.when(cond, F.col("matched")))
@@ -244,7 +244,7 @@ def realized_features(segments: DataFrame, markets: DataFrame, early_frac: float
     return t.groupBy(*KEYS).agg(*cols)
 
 
-def unrealized_features(segments: DataFrame, market_facts: DataFrame) -> DataFrame:
+def unrealized_features(segments: DataFrame, market_facts: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """Edge of the open units against settlement, per gross token ever traded.
 
     ``market_facts`` carries outcome, price_min and price_max per market. Gross
@@ -253,7 +253,7 @@ def unrealized_features(segments: DataFrame, market_facts: DataFrame) -> DataFra
     m = market_facts.select(KEYS[0], "outcome", (F.col("price_max") - F.col("price_min")).alias("range"))
     open_ = ~F.col("matched")
     edge = ratio(F.col("outcome") - F.col("entry.norm_price"), F.col("range")) * F.col("entry_sign")
-    g = join_dimension(segments, m, KEYS[0], F.col("wallet")).groupBy(*KEYS).agg(
+    g = join_dimension(segments, m, KEYS[0], F.col("wallet"), heavy).groupBy(*KEYS).agg(
         F.sum(F.when(open_, F.col("qty_micro") * edge).otherwise(0.0)).alias("lin"),
         F.sum(F.when(open_, F.sqrt(F.col("qty_micro").cast("double")) * edge).otherwise(0.0)).alias("root"),
         F.sum(F.when(open_, F.col("qty_micro")).otherwise(F.col("qty_micro") * 2)).alias("gross"),

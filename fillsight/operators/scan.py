@@ -232,16 +232,17 @@ def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_s", values).select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in row.columns])
 
 
-def join_dimension(df: DataFrame, dim: DataFrame, key: str, spread: Column, buckets: int = 32) -> DataFrame:
+def join_dimension(df: DataFrame, dim: DataFrame, key: str, spread: Column, heavy: DataFrame | None = None) -> DataFrame:
     """Inner join with one row per ``key`` that keeps no hot key in one task.
 
     Where the dimension is too large to be broadcast, a plain join leaves all rows of a key
-    in one task, and later aggregations by (key, more) would stay there. Here the rows of a
-    key are dealt over ``buckets`` by the hash of ``spread``; the dimension has a row for each.
+    in one task, and later aggregations by (key, more) would stay there. The rows of a heavy
+    key are dealt over as many salts as its rows need. ``heavy`` (see ``heavy_keys``) spares the
+    count of the keys where several joins share it.
     """
-    wide = dim.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
-    return dealt.join(wide, [key, "_bucket"]).drop("_bucket")
+    if heavy is None:
+        heavy = heavy_keys(df.groupBy(key).agg(F.count("*").alias("n")), [key])
+    return _salted_join(df, dim, [key], heavy, spread)
 
 
 # Rows of one key that a counted join leaves under one key, and the most keys it deals out.
@@ -255,22 +256,87 @@ def heavy_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     What counts as many grows with the table, so at most ``MANY_KEYS`` keys are heavy and the
     result may be broadcast at any size of the table.
     """
+    counts = materialize(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     bound = max(JOIN_ROWS, total // MANY_KEYS)
     return counts.where(F.col("n") > bound).select(*keys, (F.floor(F.col("n") / bound) + 1).cast("int").alias("_salts"))
 
 
 def join_counted(df: DataFrame, dim: DataFrame, keys: Sequence[str], counts: DataFrame, spread: Column) -> DataFrame:
-    """Inner join of ``df`` with one row per key, where ``counts`` has the rows ``n`` of each key of ``df``.
+    """Inner join of ``df`` with one row per key, where ``counts`` has the rows ``n`` of each (NULL-free) key of ``df``.
 
     The rows of a heavy key are dealt by ``spread`` over as many tasks as they need, and its row of
     ``dim`` is copied to each; all other keys are joined as they are.
     """
-    keys = list(keys)
-    if not keys:
-        raise ValueError("a counted join needs keys")
-    heavy = F.broadcast(heavy_keys(counts, keys))
+    return _salted_join(df, dim, list(keys), heavy_keys(counts, keys), spread)
+
+
+def _salted_join(df: DataFrame, dim: DataFrame, keys: list[str], heavy: DataFrame, spread: Column) -> DataFrame:
     salts = F.coalesce("_salts", F.lit(1))
+    heavy = F.broadcast(heavy)
     dealt = df.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
     copies = dim.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], out: str = "_rn") -> DataFrame:
+    """Add the place (from 0) of each row in the whole order, which must be total.
+
+    Rows are dealt by ranges of the order and numbered inside; each range starts after the
+    rows of those before it. Only one count per range reaches the driver.
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    start = F.get(F.array(*[F.lit(b).cast("bigint") for b in before or [0]]), F.col("_part"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return placed.withColumn(out, start + own - 1).drop("_part")
+
+
+HASH_BITS, HASH_STEP = 60, 10
+
+
+def mark_first(
+    df: DataFrame, groups: Sequence[str], want: DataFrame, ties: Sequence[str], hashed: str = "_h", out: str = "_first",
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Mark the first ``_want`` rows of each group in the order of (hash, ties); no group is ordered.
+
+    ``want`` has one row per group, ``hashed`` is a hash of ``HASH_BITS`` bits. Rows are counted by the
+    leading bits of the hash; whole parts go in until one would hold too many. Only rows of
+    that part are ordered, after it was taken apart by further bits while it has over ``max_rows``.
+    """
+    groups, w = list(groups), W.partitionBy(*groups).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+    prefix = lambda shift: F.call_function("shiftright", F.col(hashed), shift.cast("int") if isinstance(shift, Column) else F.lit(shift))
+    rows, left, done, shift = df.select(*groups, hashed), want.select(*groups, "_want"), [], HASH_BITS - HASH_STEP
+    counts = None
+    while True:
+        parts = materialize(rows.groupBy(*groups, prefix(shift).alias("_p")).agg(F.count("*").alias("_n")))
+        if counts is None:
+            counts = parts.groupBy(*groups).agg(F.sum("_n").alias("n"))
+        upto = parts.withColumn("_upto", F.sum("_n").over(w)).join(left, groups).where(F.col("_upto") >= F.col("_want"))
+        cut = upto.groupBy(*groups).agg(F.min(F.struct("_p", "_n", "_upto", "_want")).alias("c"))
+        cut = materialize(cut.select(*groups, F.lit(shift).alias("_shift"), "c._p", "c._n", (F.col("c._want") - F.col("c._upto") + F.col("c._n")).alias("_want")))
+        over = (F.col("_n") > max_rows) & (F.col("_want") < F.col("_n"))
+        if shift == 0 or cut.where(over).isEmpty():
+            done.append(cut)
+            break
+        done.append(cut.where(~over))
+        left = cut.where(over).select(*groups, "_want", F.col("_p").alias("_cut"))
+        rows = rows.join(left.drop("_want"), groups).where(prefix(shift) == F.col("_cut")).drop("_cut")
+        left = left.drop("_cut")
+        shift -= HASH_STEP
+    cuts = done[0]
+    for more in done[1:]:
+        cuts = cuts.unionByName(more)
+    # a group without a cut has no more rows than are wanted
+    cuts = want.select(*groups, F.col("_want").alias("_all")).join(cuts.drop("_n"), groups, "left")
+    placed = join_counted(df, cuts, groups, counts, F.col(hashed))
+    own = prefix(F.coalesce("_shift", F.lit(0)))
+    side = F.when(F.col("_p").isNull(), -1).otherwise(F.signum((own - F.col("_p")).cast("double")).cast("int"))
+    inner = W.partitionBy(*groups, "_side", F.when(F.col("_side") != 0, F.col(hashed))).orderBy(hashed, *ties)
+    first = (F.col("_side") < 0) | ((F.col("_side") == 0) & (F.row_number().over(inner) <= F.col("_want")))
+    return placed.withColumn("_side", side).withColumn(out, first).drop("_side", "_shift", "_p", "_want", "_all")

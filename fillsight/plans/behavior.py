@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from fillsight.functions.scalar import final_outcome, grid_tag
 from fillsight.operators import behavior as B, history as H, ledger as L, parsing as P
 from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS
-from fillsight.operators.scan import MAX_GROUP_ROWS, Cells, join_dimension
+from fillsight.operators.scan import MAX_GROUP_ROWS, Cells, heavy_keys, join_dimension
 from fillsight.schema import MARKET, MARKET_WALLET
 from fillsight.session import materialize
 
@@ -111,6 +111,11 @@ class Behavior:
     def trades(self) -> DataFrame:
         return self._keep(P.normalize_trades(P.parse_trades(self.clean, self.markets)))
 
+    @cached_property
+    def heavy(self) -> DataFrame:
+        """Markets whose trades are dealt over several tasks where they meet their market's facts."""
+        return self._keep(heavy_keys(self.trades.groupBy(MARKET).agg(F.count("*").alias("n")), [MARKET]))
+
     @cached_property
     def wallet_cells(self) -> Cells:
         return L.wallet_cells(self.trades, max_rows=self.max_group_rows)
@@ -197,7 +202,7 @@ class Behavior:
         f = self.dims.select(MARKET, "life", "h_rows", "p10", "p25", "p75", "p90")
         if needs:
             t = t.join(self.lookups_with(needs), [MARKET, "ts"])
-        return join_dimension(t, f, MARKET, F.col("wallet"))
+        return join_dimension(t, f, MARKET, F.col("wallet"), self.heavy)
 
     def family(self, name: str, wanted: set[str] | None = None, needs: frozenset[str] | None = None) -> DataFrame:
         """One feature family as a frame keyed by (market, wallet).
@@ -210,9 +215,9 @@ class Behavior:
         if name == "entry":
             return B.entry_features(self.ledger, self.lookups_with(needs), self.facts, self.history, max_rows=self.max_group_rows)
         if name == "unrealized":
-            return L.unrealized_features(self.segments, self.dims)
+            return L.unrealized_features(self.segments, self.dims, self.heavy)
         if name in ("holding", "path"):
-            both = B.position_features(self.ledger, self.dims, self.wallet_cells, self.early_frac)
+            both = B.position_features(self.ledger, self.dims, self.wallet_cells, self.early_frac, self.heavy)
             return both.select(*KEYS, *FAMILIES[name])
         if name == "grid":
             tags = None if wanted is None else {t for t in B.grid_tags() if any(w.endswith(t) for w in wanted & set(GRID))}
@@ -220,7 +225,7 @@ class Behavior:
         if name == "fixed":
             return B.fixed_markout_features(self.priced(needs), split=self.split)
         if name == "realized":
-            return L.realized_features(self.segments, self.markets, self.early_frac)
+            return L.realized_features(self.segments, self.markets, self.early_frac, self.heavy)
         if name == "contrarian":
             return B.aggregate_family(self.priced(needs), B.contrarian_aggs())
         if name == "extreme":
@@ -228,7 +233,7 @@ class Behavior:
         if name == "days":
             return B.day_features(self.ledger, self.dims)
         if name == "adaptive":
-            return B.adaptive_features(self.lots, self.segments, self.lookups_with(needs), self.facts)
+            return B.adaptive_features(self.lots, self.segments, self.lookups_with(needs), self.facts, heavy=self.heavy)
         raise KeyError(name)
 
     def features(self, wanted: Iterable[str] | None = None) -> DataFrame:
@@ -248,7 +253,7 @@ class Behavior:
                 cols += FAMILIES[name]
                 continue
             if name in position:
-                df = B.position_features(self.ledger, self.dims, self.wallet_cells, self.early_frac)
+                df = B.position_features(self.ledger, self.dims, self.wallet_cells, self.early_frac, self.heavy)
             else:
                 df = self.family(name, want, needs)
             out = out.join(df, [MARKET] if name == "major" else KEYS, "left")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fillsight.functions.scalar import marker_size
 from fillsight.ml.metrics import auc_and_ap
 from fillsight.operators.history import map_trades_to_history
-from fillsight.operators.scan import Cells, with_scalars
+from fillsight.operators.scan import Cells, numbered, with_scalars
 from fillsight.schema import MARKET, ratio
 
 
@@ -62,8 +62,7 @@ def with_recomputed_roc(models: DataFrame, recomputed: DataFrame) -> DataFrame:
 
 def rank_models(models: DataFrame) -> DataFrame:
     """By CV value, models without one last."""
-    w = W.orderBy(F.col("cv_pr").desc_nulls_last(), F.col("tag"))
-    return models.withColumn("rank", F.row_number().over(w))
+    return numbered(models, [F.col("cv_pr").desc_nulls_last(), F.col("tag")], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def recommend(models: DataFrame, strong_test: float = 0.95, cv_margin: float = 0.05) -> DataFrame:

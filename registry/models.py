@@ -137,13 +137,13 @@ def negative_sample(spark, sf):
 
 @query
 def downsampled_market(spark, sf):
-    """Hash-ordered draw: class counts are exact, the rows depend on the hash."""
-    return D.downsample_market(labels(spark, sf), "m1", 3).groupBy(MARKET, "is_insider").agg(F.count("*").alias("n"))
+    """Rows left of one market by a hash-ordered draw, and all others."""
+    return D.downsample_market(labels(spark, sf), "m1", 3).select("wallet", MARKET, "is_insider")
 
 
 @query
 def markets_without_prefix(spark, sf):
-    return D.drop_markets(labels(spark, sf), "m1").groupBy(MARKET).agg(F.count("*").alias("n"))
+    return D.drop_markets(labels(spark, sf), "m1").select("wallet", MARKET, "is_insider")
 
 
 def _timed(spark, sf):
@@ -173,13 +173,12 @@ def random_market_split(spark, sf):
 
 @query
 def stratified_rows(spark, sf):
-    """Counts per class and side are exact whatever rows the hash picks."""
-    return D.stratified_split(labels(spark, sf)).groupBy("is_insider", "split").agg(F.count("*").alias("n"))
+    return D.stratified_split(labels(spark, sf)).select("wallet", MARKET, "is_insider", "split")
 
 
 @query
 def grouped_rows(spark, sf):
-    return D.group_split(labels(spark, sf)).groupBy(MARKET, "split").agg(F.count("*").alias("n"))
+    return D.group_split(labels(spark, sf)).select("wallet", MARKET, "is_insider", "split")
 
 
 @query
@@ -189,9 +188,7 @@ def group_folds(spark, sf):
 
 @query
 def time_folds(spark, sf):
-    return D.time_folds(_timed(spark, sf), "t", 3).groupBy("fold").agg(
-        F.count_distinct(MARKET).alias("n_markets"), F.count("*").alias("n_rows"), F.min(MARKET).alias("first_market")
-    )
+    return D.time_folds(_timed(spark, sf), "t", 3).select("wallet", MARKET, "is_insider", "fold")
 
 
 @query
@@ -201,8 +198,7 @@ def row_folds(spark, sf):
 
 @query
 def leave_one_out_folds(spark, sf):
-    f = D.loo_folds(labels(spark, sf))
-    return f.agg(F.count("*").alias("n"), F.count_distinct("fold").alias("n_folds"), F.min("fold").alias("lo"), F.max("fold").alias("hi"))
+    return D.loo_folds(labels(spark, sf)).select("wallet", MARKET, "is_insider", "fold")
 
 
 @query
@@ -211,6 +207,11 @@ def fold_breakdown(spark, sf):
     return r(D.fold_breakdown(by_market))
 
 
+@query
+def fold_markets(spark, sf):
+    return D.fold_markets(D.row_folds(labels(spark, sf)))
+
+
 DAY_COLUMNS = ["n_distinct_buy_days", "n_distinct_sell_days", "buy_day_concentration_hhi", "sell_day_concentration_hhi", "active_day_frac"]
 
 

@@ -769,8 +769,9 @@ Q["random_market_split"] = f"""
 SELECT market_slug, n_rows, size_band, CASE WHEN row_number() OVER (PARTITION BY size_band ORDER BY {drawn('market_slug')}, market_slug) <= 1 THEN 'test' ELSE 'train' END AS split
 FROM (SELECT market_slug, count(*) AS n_rows, CASE WHEN count(*) >= 10 THEN 'large' ELSE 'small' END AS size_band FROM b_lab GROUP BY market_slug)"""
 Q["grouped_rows"] = f"""
-SELECT market_slug, n, CASE WHEN row_number() OVER (ORDER BY {drawn('market_slug')}, market_slug) <= ceil(count(*) OVER () * 0.15) THEN 'test' ELSE 'train' END AS split
-FROM (SELECT market_slug, count(*) AS n FROM b_lab GROUP BY market_slug)"""
+SELECT wallet, market_slug, is_insider, split FROM b_lab JOIN (
+  SELECT market_slug, CASE WHEN row_number() OVER (ORDER BY {drawn('market_slug')}, market_slug) <= ceil(count(*) OVER () * 0.15) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT DISTINCT market_slug FROM b_lab)) USING (market_slug)"""
 Q["group_folds"] = f"""
 SELECT l.*, f.fold FROM b_lab l JOIN (
   SELECT market_slug, cast(CASE WHEN rn // 4 % 2 = 0 THEN rn % 4 ELSE 3 - rn % 4 END AS integer) AS fold FROM (
@@ -779,10 +780,12 @@ Q["row_folds"] = f"""
 SELECT cast((row_number() OVER (PARTITION BY is_insider, h % 256 ORDER BY h, wallet, market_slug) - 1 + h % 256) % 5 AS integer) AS fold, is_insider, wallet, market_slug
 FROM (SELECT *, {drawn('wallet', 'market_slug')} AS h FROM b_lab)"""
 B["b_cls"] = "SELECT market_slug, is_insider, count(*) AS n FROM b_lab GROUP BY market_slug, is_insider"
-Q["downsampled_market"] = """
-SELECT market_slug, is_insider, cast(CASE WHEN market_slug <> 'm1' THEN n WHEN is_insider = 1 THEN n - 3
-  ELSE least(n, round_even((SELECT n - 3 FROM b_cls WHERE market_slug = 'm1' AND is_insider = 1) * n / (SELECT n FROM b_cls WHERE market_slug = 'm1' AND is_insider = 1), 0)) END AS bigint) AS n FROM b_cls"""
-Q["markets_without_prefix"] = "SELECT market_slug, count(*) AS n FROM b_lab WHERE market_slug NOT LIKE 'm1%' GROUP BY market_slug"
+Q["downsampled_market"] = f"""
+SELECT wallet, market_slug, is_insider FROM (
+  SELECT l.*, c.n, row_number() OVER (PARTITION BY market_slug, is_insider ORDER BY {drawn('wallet', 'market_slug')}, wallet) AS rn FROM b_lab l JOIN b_cls c USING (market_slug, is_insider))
+WHERE market_slug <> 'm1' OR rn <= CASE WHEN is_insider = 1 THEN n - 3
+  ELSE least(n, round_even((SELECT n - 3 FROM b_cls WHERE market_slug = 'm1' AND is_insider = 1) * n / (SELECT n FROM b_cls WHERE market_slug = 'm1' AND is_insider = 1), 0)) END"""
+Q["markets_without_prefix"] = "SELECT wallet, market_slug, is_insider FROM b_lab WHERE market_slug NOT LIKE 'm1%'"
 B["b_timed"] = """
 SELECT l.*, CASE WHEN l.market_slug <> 'm2' THEN f.ts END AS t FROM b_lab l JOIN (SELECT wallet, market_slug, min(ts) AS ts FROM b_yes GROUP BY ALL) f USING (wallet, market_slug)"""
 B["b_mst"] = "SELECT market_slug, count(*) AS n_rows, cast(sum(is_insider) AS bigint) AS n_pos, median(t) AS median_ts FROM b_timed GROUP BY market_slug"
@@ -794,16 +797,20 @@ Q["time_split"] = """
 SELECT market_slug, round(median_ts, 8) + 0.0 AS median_ts, CASE WHEN market_slug IN ('m5', 'm6') THEN 'test'
   WHEN median_ts < (SELECT min(median_ts) FROM b_mst WHERE market_slug IN ('m5', 'm6')) THEN 'train' ELSE 'val' END AS split FROM b_mst"""
 B["b_labn"] = "SELECT is_insider, count(*) AS n, cast(round(count(*) * 0.2) AS bigint) AS k FROM b_lab GROUP BY is_insider"
-Q["stratified_rows"] = """
-SELECT is_insider, 'test' AS split, k AS n FROM b_labn UNION ALL SELECT is_insider, 'train', n - k FROM b_labn"""
+Q["stratified_rows"] = f"""
+SELECT wallet, market_slug, is_insider, CASE WHEN row_number() OVER (PARTITION BY is_insider ORDER BY {drawn('wallet', 'market_slug')}, wallet, market_slug) <= k THEN 'test' ELSE 'train' END AS split
+FROM b_lab JOIN b_labn USING (is_insider)"""
 B["b_tf"] = "SELECT *, row_number() OVER (ORDER BY median_ts NULLS LAST, market_slug) - 1 AS rn, count(*) OVER () AS nm FROM b_mst"
 Q["time_folds"] = """
-SELECT CASE WHEN rn < nm - 3 * (nm // 4) THEN 0 ELSE cast((rn - (nm - 3 * (nm // 4))) // (nm // 4) + 1 AS integer) END AS fold, count(*) AS n_markets, cast(sum(n_rows) AS bigint) AS n_rows,
-  min(market_slug) AS first_market FROM b_tf GROUP BY 1"""
-Q["leave_one_out_folds"] = "SELECT count(*) AS n, count(*) AS n_folds, 0 AS lo, count(*) - 1 AS hi FROM b_lab"
+SELECT wallet, market_slug, is_insider, CASE WHEN rn < nm - 3 * (nm // 4) THEN 0 ELSE cast((rn - (nm - 3 * (nm // 4))) // (nm // 4) + 1 AS integer) END AS fold
+FROM b_timed JOIN b_tf USING (market_slug)"""
+Q["leave_one_out_folds"] = f"""
+SELECT wallet, market_slug, is_insider, row_number() OVER (ORDER BY h, wallet, market_slug) - 1 AS fold FROM (SELECT *, {drawn('wallet', 'market_slug')} % 1099511627776 AS h FROM b_lab)"""
+Q["fold_markets"] = f"""
+SELECT fold, market_slug, count(*) AS n_rows, cast(sum(is_insider) AS bigint) AS n_pos FROM ({Q['row_folds']}) GROUP BY fold, market_slug"""
 Q["fold_breakdown"] = """
 SELECT cast(substr(market_slug, 2, 1) AS integer) % 3 AS fold, count(DISTINCT market_slug) AS n_markets, count(*) AS n_rows, cast(sum(is_insider) AS bigint) AS n_pos,
-  array_to_string(list_sort(list(DISTINCT market_slug)), ',') AS markets, round(sum(is_insider) / count(*), 8) + 0.0 AS positive_rate FROM b_lab GROUP BY 1"""
+  round(sum(is_insider) / count(*), 8) + 0.0 AS positive_rate FROM b_lab GROUP BY 1"""
 _DAYC = ["n_distinct_buy_days", "n_distinct_sell_days", "buy_day_concentration_hhi", "sell_day_concentration_hhi", "active_day_frac"]
 B["b_sep"] = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, avg({c}) FILTER (WHERE is_insider = 1) AS pm, avg({c}) FILTER (WHERE is_insider = 0) AS nm, count({c}) / count(*) AS coverage FROM b_feat" for c in _DAYC

@@ -420,7 +420,7 @@ def pnl_timeline(spark, sf):
 @query
 def lot_markouts(spark, sf):
     c = context(spark, sf)
-    return r(B.lot_markouts(c.lots, c.lookups, c.facts))
+    return r(B.lot_markouts(c.lots, c.lookups, c.facts).drop("terminal_start_ts"))
 
 
 @query
