@@ -10,16 +10,16 @@ dealt first:
 2. Anchors go out as bare keys first, once per block of documents; only those found in two
    documents or more have their segments sent, again once per block and different segment,
    with the smallest id that holds it.
-3. Where an anchor has several different segments, the windows are put in suffix order (to
-   ``LENGTH`` bytes, by rank doubling). Ties are ordered by document, so the previous smaller
-   document of a window in suffix order is the start of its run, and its longest previous
-   factor reaches ``LENGTH`` exactly where this run starts in a smaller document.
-4. Blocks get, per segment, the smallest document of each window, and cut their texts.
+3. In a bucket the windows of an anchor are put in suffix order (to ``LENGTH`` bytes, by rank
+   doubling), with what each shares with the one before it. The previous and the next smaller
+   document in that order give the longest previous factor of every window, and a window
+   goes where it reaches ``LENGTH``.
+4. Blocks get one bit per window of their segments, and cut their texts.
 
 An anchor on more than ``HOT`` places may have a different segment in every document, as a
 phrase of 26 to 49 bytes brings its surroundings along. Its windows are therefore dealt one
-by one, by a 128-bit digest of their bytes that also stands for them, once per block with
-the smallest document of the block.
+by one, once per block with the smallest document of the block, by a 128-bit digest of their
+bytes, which also is their place in the order; the longest previous factors follow as above.
 
 What one task holds is a block of documents or a bucket of anchors and digests; both are
 numbered from the total size of the texts. In a bucket an anchor has at most ``HOT`` segments
@@ -44,6 +44,7 @@ LENGTH = 50
 GRAM = 26
 SPAN = LENGTH - GRAM  # an anchor may stand 0..SPAN bytes into its window
 SLOT = LENGTH + SPAN  # a segment, aligned at its anchor
+ALL = (1 << (SPAN + 1)) - 1  # every window of a segment
 # Text per block of documents, and per bucket of anchors.
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 4_000_000
@@ -159,7 +160,7 @@ def _block_keys(flat, offsets, ids, buckets):
 _KEYS = "block bigint, bucket bigint, keys binary, many binary, often binary"
 _FLAGS = "block bigint, bucket bigint, flags binary, hot binary"
 _PARTS = "block bigint, bucket bigint, n bigint, key binary, shape binary, doc binary, slots binary, windows binary"
-_ANSWERS = "block bigint, bucket bigint, runs binary, lengths binary, firsts binary"
+_ANSWERS = "block bigint, bucket bigint, masks binary, bits binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -386,24 +387,62 @@ def suffix_rank(slots: np.ndarray) -> np.ndarray:
     return _dense((rank[:, : SPAN + 1] << np.uint64(32)) | rank[:, rest : rest + SPAN + 1])
 
 
-def first_documents(slots: np.ndarray, shape: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Per segment and window (n, SPAN + 1): the smallest document among equal windows.
+def common_prefix(slots: np.ndarray, seg: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Bytes (up to LENGTH) that each window shares with the one before it; 0 for the first."""
+    out, views = np.zeros(len(seg), np.int64), np.lib.stride_tricks.sliding_window_view(slots, LENGTH, 1)
+    for i in range(1, len(seg), _PIECE):
+        j = min(i + _PIECE, len(seg))
+        differ = views[seg[i:j], col[i:j]] != views[seg[i - 1 : j - 1], col[i - 1 : j - 1]]
+        out[i:j] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+    return out
+
 
-    In suffix order with ties by document, the windows whose longest common prefix reaches
-    LENGTH form a run; its first entry is the smallest previous document of all others.
+def _to_smaller(doc: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Longest prefix shared with the last entry before each that has a smaller document; 0 without one.
+
+    ``gap`` is what an entry shares with the one before it. Every entry points back over entries
+    with documents that are not smaller; pointers jump along pointers until all rest on a
+    smaller document, and the least gap on the way is what is shared.
+    """
+    n = len(doc)
+    docs = np.concatenate([[_MIN], doc])  # a sentinel before the first
+    back, shared = np.arange(n + 1) - 1, np.concatenate([[0], gap])
+    back[0] = 0
+    if n:
+        shared[1] = 0
+    move = np.flatnonzero(docs[back] >= docs)
+    move = move[back[move] > 0]
+    while len(move):
+        at = back[move]
+        shared[move] = np.minimum(shared[move], shared[at])
+        back[move] = back[at]
+        move = move[(back[move] > 0) & (docs[back[move]] >= docs[move])]
+    shared[back == 0] = 0
+    return shared[1:]
+
+
+def previous_factors(doc: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix, the suffixes being in suffix order.
+
+    An earlier match lies at the nearest smaller document before or after it in that order
+    (the previous and the next smaller value): all others share no more.
     """
+    after = np.concatenate([[0], gap[:0:-1]])  # the gaps of the reversed order
+    return np.maximum(_to_smaller(doc, gap), _to_smaller(doc[::-1], after)[::-1])
+
+
+def covered(slots: np.ndarray, shape: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Bit mask per segment: its windows whose longest previous factor reaches LENGTH."""
     rank = suffix_rank(slots)
     column = np.arange(SPAN + 1)
     start = SPAN - shape[:, :1].astype(np.int64)
     inside = (column >= start) & (column < start + shape[:, 1:].astype(np.int64))
     seg, col = np.nonzero(inside)
-    ranks, docs = rank[seg, col], doc[seg]
-    order = np.lexsort((docs, ranks))
-    sorted_rank = ranks[order]
-    new = np.r_[True, sorted_rank[1:] != sorted_rank[:-1]]
-    earliest = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.repeat(doc[:, None], SPAN + 1, 1)
-    out[seg[order], col[order]] = earliest
+    order = np.lexsort((doc[seg], rank[seg, col]))
+    seg, col = seg[order], col[order]
+    gone = previous_factors(doc[seg], common_prefix(slots, seg, col)) >= LENGTH
+    out = np.zeros(len(slots), np.uint32)
+    np.bitwise_or.at(out, seg[gone], np.uint32(1) << (col - start[seg, 0])[gone].astype(np.uint32))
     return out
 
 
@@ -414,20 +453,17 @@ def _answer(group: pa.Table) -> pa.Table:
 
 
 def _answer_windows(group: pa.Table) -> pa.Table:
-    """The smallest document of each window, where it is in another block."""
+    """One bit per window: its longest previous factor reaches LENGTH. Equal digests stand for equal windows."""
     sizes = group.column("n").to_pylist()
     digest = np.concatenate([np.frombuffer(w, np.uint64) for w in group.column("windows").to_pylist()]).reshape(-1, 2)
     doc = np.concatenate([_unpack(d, np.int64, n) for d, n in zip(group.column("doc").to_pylist(), sizes)])
     order = np.lexsort((doc, digest[:, 1], digest[:, 0]))
-    new = np.ones(len(order), bool)
-    new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(1)
-    smallest = np.empty_like(doc)
-    smallest[order] = doc[order[new]][np.cumsum(new) - 1]
-    firsts = np.split(np.where(smallest < doc, smallest, _MAX), np.cumsum(sizes)[:-1])
-    return _rows({
-        "block": group.column("block").to_pylist(), "bucket": group.column("bucket").to_pylist(), "runs": [None] * len(sizes),
-        "lengths": [None] * len(sizes), "firsts": [_pack(f) for f in firsts],
-    }, _ANSWERS)
+    gap = np.zeros(len(order), np.int64)
+    gap[1:] = np.where((digest[order[1:]] == digest[order[:-1]]).all(1), LENGTH, 0)
+    gone = np.empty(len(order), bool)
+    gone[order] = previous_factors(doc[order], gap) >= LENGTH
+    bits = [np.packbits(g).tobytes() for g in np.split(gone, np.cumsum(sizes)[:-1])]
+    return _rows({"block": group.column("block").to_pylist(), "bucket": group.column("bucket").to_pylist(), "masks": [None] * len(sizes), "bits": bits}, _ANSWERS)
 
 
 def _answer_segments(group: pa.Table) -> pa.Table:
@@ -442,41 +478,22 @@ def _answer_segments(group: pa.Table) -> pa.Table:
     first, place = _same(slots, shape)
     smallest = np.full(len(first), _MAX)
     np.minimum.at(smallest, place, doc)
-    # only anchors with several different segments need their windows compared
+    # the windows of an anchor with one segment occur once: their suffix order is trivial
     _, kind, count = np.unique(key[first], return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(count[kind] > 1)
-    result = np.repeat(smallest[:, None], SPAN + 1, 1)
+    masks = np.zeros(len(first), np.uint32)
     if len(mixed):
         mixed = mixed[np.argsort(kind[mixed], kind="stable")]
         bounds = np.flatnonzero(np.r_[True, kind[mixed][1:] != kind[mixed][:-1]])
         for lo, hi in _spans(bounds, len(mixed)):
             part = mixed[lo:hi]
-            result[part] = first_documents(slots[first[part]], shape[first[part]], smallest[part])
-    # per segment: runs of windows with one smallest document
-    column = np.arange(SPAN + 1)
-    start = SPAN - shape[first][:, :1].astype(np.int64)
-    inside = (column >= start) & (column < start + shape[first][:, 1:].astype(np.int64))
-    new = inside & ((column == start) | np.c_[np.ones(len(first), bool), result[:, 1:] != result[:, :-1]])
-    runs = new.sum(1).astype(np.int64)
-    seg, col = np.nonzero(new)
-    end = np.r_[col[1:], 0]
-    last = np.r_[seg[1:] != seg[:-1], True] if len(seg) else np.zeros(0, bool)
-    end[last] = (start[:, 0] + shape[first][:, 1])[seg[last]]
-    length, value = (end - col).astype(np.uint8), result[seg, col]
-    from_ = np.cumsum(runs) - runs
-    out = {n: [] for n in ("block", "bucket", "runs", "lengths", "firsts")}
-    base = 0
-    for block, bucket, size in zip(group.column("block").to_pylist(), group.column("bucket").to_pylist(), sizes):
-        p = place[base : base + size]
-        base += size
-        r = runs[p]
-        take = np.repeat(from_[p] - (np.cumsum(r) - r), r) + np.arange(int(r.sum()))
-        out["block"].append(block)
-        out["bucket"].append(bucket)
-        out["runs"].append(r.astype(np.uint8).tobytes())
-        out["lengths"].append(length[take].tobytes())
-        out["firsts"].append(_pack(value[take]))
-    return _rows(out, _ANSWERS)
+            masks[part] = covered(slots[first[part]], shape[first[part]], smallest[part])
+    # an equal segment in a smaller document covers all windows
+    answer = np.where(doc > smallest[place], ALL, masks[place]).astype(np.uint32)
+    return _rows({
+        "block": group.column("block").to_pylist(), "bucket": group.column("bucket").to_pylist(),
+        "masks": [_pack(m) for m in np.split(answer, np.cumsum(sizes)[:-1])], "bits": [None] * len(sizes),
+    }, _ANSWERS)
 
 
 def _spans(bounds: np.ndarray, n: int, limit: int = 20_000) -> Iterator[tuple[int, int]]:
@@ -496,34 +513,35 @@ def _cut(columns: list[str], texts: bool, buckets: int):
         for r in replies.to_pylist():
             if r["flags"] is not None:
                 flags[r["bucket"]] = r["flags"], r["hot"]
-            elif r["runs"] is None:
-                singles[r["bucket"]] = r["firsts"]
+            elif r["masks"] is None:
+                singles[r["bucket"]] = r["bits"]
             else:
-                answers[r["bucket"]] = r
+                answers[r["bucket"]] = r["masks"]
+        source = np.where(ids == _MIN, _MAX, ids)
         rare, frequent = _shared_anchors(flat, offsets, ids, flags, buckets) if answers or singles else (None, None)
+        column = np.arange(SPAN + 1, dtype=np.uint32)
         for s in _segments(flat, rare, buckets) if answers else ():
-            answer = answers[s.bucket]
-            runs = np.frombuffer(answer["runs"], np.uint8).astype(np.int64)
-            lengths = np.frombuffer(answer["lengths"], np.uint8).astype(np.int64)
-            firsts = _unpack(answer["firsts"], np.int64, len(lengths))
-            base = np.cumsum(runs) - runs
-            n = runs[s.entry]
-            take = np.repeat(base[s.entry] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            before = np.cumsum(lengths) - lengths
-            window = np.repeat(s.start - before[base[s.entry]], n) + before[take]
-            gone = firsts[take] < ids[np.repeat(s.row, n)]
-            np.add.at(depth, window[gone], 1)
-            np.add.at(depth, (window + lengths[take] - 1 + LENGTH)[gone], -1)
+            masks = _unpack(answers[s.bucket], np.uint32, len(s.first))
+            doc = np.full(len(s.first), _MAX)
+            np.minimum.at(doc, s.entry, source[s.row])
+            # later documents of this block that hold the segment lose all its windows
+            mask = np.where(ids[s.row] > doc[s.entry], ALL, masks[s.entry]).astype(np.uint32)
+            mask[ids[s.row] == _MIN] = 0
+            gone = ((mask[:, None] >> column) & np.uint32(1)).astype(bool) & (column < s.shape[:, 1:])
+            anchor, offset = np.nonzero(gone)
+            np.add.at(depth, s.start[anchor] + offset, 1)
+            np.add.at(depth, s.start[anchor] + offset + LENGTH, -1)
         if singles:
-            w = _windows(flat, frequent, np.where(ids == _MIN, _MAX, ids), buckets)
-            firsts = w.doc.copy()
+            w = _windows(flat, frequent, source, buckets)
+            bits = np.zeros(len(w.doc), bool)
             for bucket, a, b in _by_bucket(w.bucket):
-                firsts[a:b] = np.minimum(firsts[a:b], _unpack(singles[bucket], np.int64, b - a))
+                bits[a:b] = np.unpackbits(np.frombuffer(singles[bucket], np.uint8), count=b - a)
             for row, start, entry, n, place in w.pieces:
                 base, n = (np.cumsum(n) - n)[entry], n[entry]
                 before, each = np.cumsum(n) - n, np.arange(int(n.sum()))
-                window = np.repeat(start - before, n) + each
-                gone = firsts[place[np.repeat(base - before, n) + each]] < ids[np.repeat(row, n)]
+                window, at = np.repeat(start - before, n) + each, place[np.repeat(base - before, n) + each]
+                own = ids[np.repeat(row, n)]
+                gone = (bits[at] | (own > w.doc[at])) & (own != _MIN)
                 np.add.at(depth, window[gone], 1)
                 np.add.at(depth, window[gone] + LENGTH, -1)
         removed = np.cumsum(depth[:-1], dtype=np.int32) > 0

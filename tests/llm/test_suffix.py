@@ -125,3 +125,29 @@ def test_rows_without_an_id_fill_all_blocks(spark, monkeypatch):
     salted = spark.createDataFrame(rows, "_id bigint, text string").selectExpr("*", "xxhash64(text) % 64 AS _salt")
     placed, _ = suffix._blocks(salted)
     assert placed.select("block").distinct().count() > 300
+
+
+def test_previous_factors_match_all_pairs():
+    r = np.random.default_rng(8)
+    for n in (0, 1, 2, 60, 61):
+        text = r.integers(0, 2, (n, 30))
+        doc = r.integers(0, 12, n)
+        order = np.lexsort([*text.T[::-1]]) if n else np.zeros(0, int)
+        text, doc = text[order], doc[order]
+        share = lambda a, b: int(np.argmax(np.r_[a != b, True]))
+        gap = np.array([0, *(share(text[i - 1], text[i]) for i in range(1, n))][:n], np.int64)
+        want = [max((share(text[i], text[j]) for j in range(n) if doc[j] < doc[i]), default=0) for i in range(n)]
+        assert suffix.previous_factors(doc, gap).tolist() == want
+    falling = np.arange(5_000)[::-1].copy()  # every entry is smaller than all before it
+    assert suffix.previous_factors(falling, np.full(5_000, 50)).tolist() == [50] * 4_999 + [0]
+
+
+def test_phrase_with_other_surroundings_in_every_document(docs, monkeypatch):
+    """A phrase shorter than a window whose surroundings differ, and a passage in some of them."""
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 9))
+    passage = " ".join(word() for _ in range(12))
+    rows = [(i, f"{word()} {word()} the phrase of thirty-one bytes {word()} {word()}" + (passage if i % 5 == 0 else "")) for i in range(200)]
+    for hot in (10_000, 20):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        check(docs(rows), rows)
