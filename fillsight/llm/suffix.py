@@ -427,7 +427,7 @@ def previous_factors(doc: np.ndarray, gap: np.ndarray) -> np.ndarray:
     An earlier match lies at the nearest smaller document before or after it in that order
     (the previous and the next smaller value): all others share no more.
     """
-    after = np.concatenate([[0], gap[:0:-1]])  # the gaps of the reversed order
+    after = np.concatenate([[0], gap[:0:-1]])[: len(doc)]  # the gaps of the reversed order
     return np.maximum(_to_smaller(doc, gap), _to_smaller(doc[::-1], after)[::-1])
 
 
