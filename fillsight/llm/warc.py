@@ -1,11 +1,12 @@
 """WARC archives as a chunked record table.
 
 An archive is the byte string of its rows in order of (position, chunk): gzip members, one
-per WARC record, cut at payload chunks of ``CHUNK_BYTES``. Every row carries the record's
-identifier, the chunk number and the SHA-1 of the payload so far, so a record of any length
-is written and read piece by piece: neither side holds more than one chunk of it beside the
-input row. The reader parses the decompressed stream, not the rows: headers to the blank
-line, then as many bytes as Content-Length says.
+per WARC record. A row stands for at most ``CHUNK_BYTES`` of payload, however well they
+compress, and carries the record's identifier, the chunk number and the SHA-1 of the payload
+so far. So a record of any length is written and read piece by piece: neither side holds more
+than one chunk of it beside the input row. The reader parses the decompressed stream:
+headers to the blank line, then as many bytes as Content-Length says. It inflates at most a
+chunk at once and holds every row against its number and its running digest.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ CHUNK_BYTES = 64 * 1024
 ARCHIVE_BYTES = 64 * 1024 * 1024  # an archive is closed when it has this many
 # Smallest payload for which a later record may refer to an earlier one.
 MIN_REVISIT_BYTES = 0
-_FLUSH_BYTES = 2_000_000
+_FLUSH_BYTES, _FLUSH_ROWS = 2_000_000, 20_000
 CHUNKS = "archive string, position bigint, record_id string, chunk int, data binary, sha1 string"
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 _PAGE = re.compile(r"<urn:page:(-?\d+)>")
@@ -91,17 +92,19 @@ def write_archives(planned: DataFrame) -> DataFrame:
                 head += [f"WARC-Payload-Digest: sha1:{_base32(sha1)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {block}"]
                 gz, digest = zlib.compressobj(3, zlib.DEFLATED, 31), hashlib.sha1()
                 data = gz.compress(("\r\n".join(head) + "\r\n\r\n").encode() + http)
-                ends = range(int(offsets[i]), int(offsets[i + 1]), CHUNK_BYTES) if refers_to is None else ()
+                end = int(offsets[i + 1])
                 chunk = 0
-                for a in ends:
-                    part = memoryview(flat[a : min(a + CHUNK_BYTES, int(offsets[i + 1]))])
+                for a in range(int(offsets[i]), end, CHUNK_BYTES) if refers_to is None else ():
+                    part = memoryview(flat[a : min(a + CHUNK_BYTES, end)])
                     digest.update(part)
                     data += gz.compress(part)
-                    if len(data) >= CHUNK_BYTES // 4:
+                    if a + CHUNK_BYTES < end:
+                        # the row ends where its chunk does, so the running digest can be held against it
+                        data += gz.flush(zlib.Z_SYNC_FLUSH)
                         rows.append((archive, position, record, chunk, data, digest.hexdigest()))
                         size += len(data)
                         data, chunk = b"", chunk + 1
-                    if size - written >= _FLUSH_BYTES:
+                    if size - written >= _FLUSH_BYTES or len(rows) >= _FLUSH_ROWS:
                         written = size
                         yield table()
                         rows = []
@@ -123,6 +126,8 @@ class RecordReader:
     def __init__(self):
         self.gz = zlib.decompressobj(31)
         self.found: list[tuple] = []
+        self.most = 0  # bytes inflated at once
+        self.chunk = 0
         self._begin()
 
     def _begin(self):
@@ -133,13 +138,30 @@ class RecordReader:
 
     def feed(self, data: bytes) -> None:
         while data:
-            plain = self.gz.decompress(data)
+            plain = self.gz.decompress(data, CHUNK_BYTES)
+            self.most = max(self.most, len(plain))
             self._parse(plain)
-            data = self.gz.unused_data
+            data = self.gz.unconsumed_tail or self.gz.unused_data
             if self.gz.eof:
                 self._close()
                 self.gz = zlib.decompressobj(31)
 
+    def feed_row(self, record: str, chunk: int, data: bytes, sha1: str) -> None:
+        """One row of the table: the next chunk of its record, with the digest of the payload so far."""
+        done = len(self.found)
+        if chunk != self.chunk:
+            raise ValueError(f"chunk {chunk} of {record} follows {self.chunk - 1}")
+        try:
+            self.feed(data)
+        except zlib.error as damage:
+            raise ValueError(f"chunk {chunk} of {record} is damaged") from damage
+        if len(self.found) > done:
+            self.chunk = 0  # the record is whole; its digest was held against its header
+            return
+        self.chunk += 1
+        if self.digest.hexdigest() != sha1 or self.warc.get("warc-record-id") != record:
+            raise ValueError(f"chunk {chunk} of {record} does not have its digest")
+
     @staticmethod
     def _fields(head: bytes) -> dict[str, str]:
         lines = head.decode().split("\r\n")
@@ -187,8 +209,9 @@ class RecordReader:
 def read_archives(chunks: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record.
 
-    Rows are sorted within their archives by Spark (spilling where needed) and streamed. A
-    record that is cut short, or whose payload does not have its digest, is an error.
+    Rows are sorted within their archives by Spark (spilling where needed) and streamed, about
+    one archive a task. A record that is cut short, a row that is missing, and a payload that
+    does not have its digest are errors.
     """
 
     def run(batches):
@@ -197,24 +220,26 @@ def read_archives(chunks: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
         def closed():
-            if reader is not None and reader.head:
+            if reader is not None and (reader.head or reader.chunk):
                 raise ValueError(f"archive {archive} ends within a record")
 
         for batch in batches:
             out = []
-            for name, data in zip(batch.column("archive").to_pylist(), batch.column("data")):
+            columns = ("archive", "record_id", "chunk", "sha1")
+            for name, record, chunk, sha1, data in zip(*(batch.column(c).to_pylist() for c in columns), batch.column("data")):
                 if name != archive:
                     closed()
                     archive, reader = name, RecordReader()
-                reader.feed(data.as_buffer())
+                reader.feed_row(record, chunk, data.as_buffer(), sha1)
                 out += reader.found
                 reader.found = []
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
         closed()
 
-    ordered = chunks.select("archive", "position", "chunk", "data").repartition("archive")
-    return ordered.sortWithinPartitions("archive", "position", "chunk").select("archive", "data").mapInArrow(run, RECORDS)
+    archives = max(1, chunks.select("archive").distinct().count())
+    ordered = chunks.repartitionByRange(archives, "archive").sortWithinPartitions("archive", "position", "chunk")
+    return ordered.select("archive", "record_id", "chunk", "sha1", "data").mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -79,3 +79,36 @@ def test_archives_roll_over(pages, monkeypatch):
     table = materialize(warc.write_archives(warc.plan_records(pages(ROWS))))
     assert table.select("archive").distinct().count() >= 1
     assert warc.round_trip(pages([])).collect() == []
+
+
+def test_long_equal_bytes_never_inflate_beyond_a_chunk(pages):
+    """50 MB of one byte compress to almost nothing."""
+    chunks = warc.write_archives(warc.plan_records(pages([(1, "u", "a" * 50_000_000), (2, "u", "b")])))
+    reader, plain = warc.RecordReader(), 0
+    for r in sorted(chunks.collect(), key=lambda r: (r.archive, r.position, r.chunk)):
+        reader.feed_row(r.record_id, r.chunk, bytes(r.data), r.sha1)
+        plain += 1
+    assert plain >= 50_000_000 // warc.CHUNK_BYTES and reader.most <= warc.CHUNK_BYTES
+    assert [(f[0], f[1]) for f in reader.found] == [(1, 50_000_000), (2, 1)]
+
+
+def test_damaged_and_missing_chunks_are_found(pages):
+    rows = sorted(warc.write_archives(warc.plan_records(pages([(1, "u", BIG)]))).collect(), key=lambda r: r.chunk)
+    assert len(rows) > 3
+
+    def read(rows):
+        reader = warc.RecordReader()
+        for r in rows:
+            reader.feed_row(*r)
+        return reader.found
+
+    plain = [(r.record_id, r.chunk, bytes(r.data), r.sha1) for r in rows]
+    assert len(read(plain)) == 1
+    middle = plain[2]
+    flipped = bytes([*middle[2][:40], middle[2][40] ^ 1, *middle[2][41:]])
+    for bad in (
+        [*plain[:2], (*middle[:2], flipped, middle[3]), *plain[3:]], plain[:2] + plain[3:], [plain[0], plain[2], plain[1], *plain[3:]],
+        [*plain[:2], (*middle[:3], plain[1][3]), *plain[3:]],
+    ):
+        with pytest.raises(ValueError):
+            read(bad)
