@@ -175,9 +175,10 @@ def fit(
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
-    """Fit on at most ``rows`` labelled documents outside the held-out fifth.
+    """Fit on at most ``rows`` labelled rows outside the held-out fifth.
 
-    Rows with a NULL id, NULL text or NULL label are no examples.
+    Rows with a NULL id, NULL text or NULL label are no examples; rows equal in id, label and
+    statistics count once.
     """
     known = labels.select("doc_id", F.col("quality").alias("_y")).where(
         F.col("_y").isNotNull() & (remainder("doc_id", 5) != 0)
@@ -190,7 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
         return {f"x{j}": pa.array(x[:, j]) for j in range(x.shape[1])}
 
     spec = ", ".join(f"x{j} double" for j in range(len(FEATURES)))
-    table = map_texts(sample, features, spec, ["doc_id", "_y"]).toArrow()
+    # a labelled id may stand on any number of rows
+    found = map_texts(sample, features, spec, ["doc_id", "_y"]).dropDuplicates()
+    table = found.orderBy(F.xxhash64(*found.columns)).limit(rows).toArrow()
     x = np.column_stack([table.column(f"x{j}").to_numpy() for j in range(len(FEATURES))])
     y, ids = table.column("_y").to_numpy().astype(float), table.column("doc_id").to_numpy()
     order = np.lexsort((*x.T, y, ids))  # the fit does not depend on the order of arrival

@@ -1,7 +1,8 @@
 """Toxicity scores of a bidirectional gated recurrent network with attention pooling.
 
 Every text is cut into overlapping windows of words, all of which are scored; the score of
-the text is that of its most toxic window. A word enters as the sum of two embeddings, one
+the text is that of its most toxic window. Windows start every half window, so a passage of
+up to ``WINDOW`` - ``STRIDE`` + 1 words is whole in one of them wherever it stands. A word enters as the sum of two embeddings, one
 of the word itself (if frequent in the training sample) and one of its hashed character
 n-grams. Training is numpy, on a bounded sample: labels belong to whole texts, so a toxic
 text teaches through the window that the model finds most toxic, a clean one through its
@@ -12,6 +13,7 @@ n-grams stand in for the model.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from fillsight.llm.common import bounded_ids, lower_ascii, map_texts, remainder, row_chunks, span_hash, text_buffer, word_spans
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 8, 8
 GRAM_BUCKETS = 1 << 14
-# Labelled documents of each class that the network is trained on, and the longest of them.
+# Labelled rows of each class that the network is trained on. A longer text than SAMPLE_CHARS
+# teaches through passages drawn over its whole length, so the sample is bounded.
 SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 40_000
+PASSAGE_CHARS = 2_000
 MIN_COUNT = 5
 ROUNDS = 4
 MIN_STEPS = 100  # updates, where the sample is small
@@ -319,20 +323,45 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 5
     return net
 
 
+def drawn_passages(text: str) -> str:
+    """The text, or passages of it in order: cut at blanks, chosen by the hash of their place."""
+    if len(text) <= SAMPLE_CHARS:
+        return text
+    cuts, at = [0], PASSAGE_CHARS
+    while at < len(text):
+        blank = text.find(" ", at)
+        if blank < 0 or blank - cuts[-1] > 2 * PASSAGE_CHARS:
+            blank = at  # no blank near: a passage of bounded length all the same
+        cuts.append(blank)
+        at = blank + PASSAGE_CHARS
+    places = sorted(range(len(cuts)), key=lambda i: crc32(str(i).encode()))[: SAMPLE_CHARS // (2 * PASSAGE_CHARS)]
+    return " ".join(text[cuts[i] : (cuts + [len(text)])[i + 1]] for i in sorted(places))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network | float:
-    """Fit on at most ``rows`` labelled documents of each class outside the held-out quarter.
+    """Fit on at most ``rows`` labelled rows of each class outside the held-out quarter.
 
-    Rows with a NULL id, NULL text or NULL label, and texts over ``SAMPLE_CHARS``, are no examples.
+    Rows with a NULL id, NULL text or NULL label are no examples. Rows equal in id and text count
+    once; where ids repeat with different texts, ``rows`` of each class are chosen among all.
     """
     known = labels.select("doc_id", F.col("toxic").alias("_y")).where(F.col("_y").isNotNull() & (remainder("doc_id", 4) != 2))
     chosen = bounded_ids(known.where("_y = 1"), rows).union(bounded_ids(known.where("_y <> 1"), rows))
-    sample = (
-        docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS)
-        .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y")
+    labelled = (
+        docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "text", (F.col("_y") == 1).cast("int").alias("_y"))
     )
+
+    def draw(batches):
+        for b in batches:
+            texts = pa.array([drawn_passages(t) for t in b.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, b.column("_y")], names=["doc_id", "text", "_y"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    short = labelled.mapInArrow(draw, f"doc_id {kind}, text string, _y int").withColumn("_h", F.xxhash64("doc_id", "text"))
+    short = short.dropDuplicates(["_h", "_y"])
+    sample = short.where("_y = 1").orderBy("_h").limit(rows).unionByName(short.where("_y = 0").orderBy("_h").limit(rows))
     table = sample.toArrow()
-    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-    y = [int(v == 1) for v in table.column("_y").to_pylist()]
+    ids, texts, y = (table.column(c).to_pylist() for c in ("doc_id", "text", "_y"))
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i], y[i]))
     return fit([texts[i] for i in order], np.array([y[i] for i in order]))
 

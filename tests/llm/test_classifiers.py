@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -123,3 +124,94 @@ def _buffer(texts):
     from fillsight.llm.common import text_buffer
 
     return text_buffer(pa.array(texts, pa.large_string()))
+
+
+def plain_forward(net, words, start, size):
+    """The network word by word in plain Python floats."""
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    h = toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    dot = lambda v, m, j: sum(a * row[j] for a, row in zip(v, m))
+    ends = [*words.first[1:], len(words.grams)]
+    vocabulary = {int(w): i + 1 for i, w in enumerate(net.vocabulary)}
+
+    def gates(kind):
+        x = list(p["word"][vocabulary.get(int(words.hashes[kind]), 0)])
+        grams = [p["gram"][g] for g in words.grams[words.first[kind] : ends[kind]]]
+        x += [sum(g[i] for g in grams) for i in range(toxicity.EMBED)]
+        return [dot(x, p["in"], j) + p["bias"][j] for j in range(6 * h)]
+
+    out = []
+    for s, n in zip(start, size):
+        inputs = [gates(k) for k in words.place[s : s + n]]
+        both = []
+        for way in (0, 1):
+            state, states = [0.0] * h, [None] * n
+            for t in range(n) if way == 0 else reversed(range(n)):
+                g = inputs[t][3 * h * way : 3 * h * (way + 1)]
+                r = [sigmoid(g[j] + dot(state, p[f"rz{way}"], j)) for j in range(h)]
+                z = [sigmoid(g[h + j] + dot(state, p[f"rz{way}"], h + j)) for j in range(h)]
+                new = [math.tanh(g[2 * h + j] + r[j] * dot(state, p[f"n{way}"], j)) for j in range(h)]
+                state = states[t] = [(1 - a) * b + a * c for a, b, c in zip(z, new, state)]
+            both.append(states)
+        hidden = [a + b for a, b in zip(*both)]
+        score = [sum(math.tanh(dot(v, p["att"], j)) * p["look"][j] for j in range(h)) for v in hidden]
+        weight = [math.exp(x - max(score)) for x in score]
+        pooled = [sum(w * v[i] for w, v in zip(weight, hidden)) / sum(weight) for i in range(2 * h)]
+        out.append(sum(a * b for a, b in zip(pooled, p["out"])) + p["base"][0])
+    return out
+
+
+def test_network_equals_a_plain_pass():
+    texts, net = small_network()
+    words = toxicity.read_words(*_buffer(["An idiot wrote this, kind of", "x", "good kind " * 30, "ünïcode idiot 中文"]))
+    text, start, size = toxicity.windows(words.before, len(words.place))
+    assert len(start) > 4
+    assert np.allclose(net.window_scores(words, start, size), plain_forward(net, words, start, size), atol=1e-4)
+
+
+def test_windows_hold_passages_at_every_offset():
+    """A passage of up to 17 words is whole in some window, a longer one all but a few words of it."""
+    for n in (40, 41, 55, 64, 200):
+        _, start, size = toxicity.windows(np.array([0, n]), n)
+        for length in (1, 8, 17, 24, 32):
+            whole = toxicity.WINDOW - toxicity.STRIDE + 1
+            for a in range(n - length + 1):
+                held = max(min(s + m, a + length) - max(s, a) for s, m in zip(start, size))
+                assert held >= min(length, whole) and held >= length - (max(length - whole, 0) + 1) // 2
+
+
+def test_planted_phrases_are_found_at_every_offset():
+    r = np.random.default_rng(3)
+    clean = [f"plain{i}" for i in range(60)]
+    phrase = "you are such a worthless lying fool".split()
+    long = lambda n: [clean[i] for i in r.integers(0, 60, n)]
+    texts, toxic = [], []
+    for i in range(300):
+        words = long(int(r.integers(20, 120)))
+        if i % 2:
+            at = int(r.integers(0, len(words)))
+            words[at:at] = phrase
+        texts.append(" ".join(words))
+        toxic.append(i % 2)
+    net = toxicity.fit(texts, np.array(toxic))
+    for extra in (0, 8, 25):  # the phrase inside passages of 7, 15 and 32 words
+        passage = phrase + long(extra)
+        planted = [" ".join([*long(a), *passage, *long(100 - a)]) for a in range(0, 101)]
+        assert min(net.scores(*_buffer(planted))) >= toxicity.THRESHOLD
+    assert max(net.scores(*_buffer([" ".join(long(150)) for _ in range(100)]))) < toxicity.THRESHOLD
+
+
+def test_long_texts_teach_through_drawn_passages(spark):
+    text = " ".join(f"w{i}" for i in range(400_000))
+    drawn = toxicity.drawn_passages(text)
+    assert len(drawn) <= toxicity.SAMPLE_CHARS and drawn == toxicity.drawn_passages(text)
+    at = [int(w[1:]) for w in drawn.split()]
+    assert at == sorted(at) and at[-1] > 300_000 and at[0] < 100_000
+    assert len(toxicity.drawn_passages("x" * 1_000_000)) <= toxicity.SAMPLE_CHARS and toxicity.drawn_passages("a b") == "a b"
+    # one labelled id on very many rows: the sample stays bounded
+    rows = [(1, f"an idiot {i % 40} " + "kind " * 30) for i in range(3_000)] + [(2 + i, "good kind " * 20) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(1, 102)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(frame, labels, 30)
+    assert toxicity.batch_scores(model, pa.array(["an idiot 5 kind", "good kind"])).tolist()[0] > 0.3
