@@ -30,6 +30,7 @@ def test_edges(spark):
 
 def test_embeddings_in_many_groups_match_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(topk, "GROUP_ROWS", 40)
+    monkeypatch.setattr(topk, "FIRST_ROWS", 30)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
     frame = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in frame.collect()]
@@ -60,3 +61,37 @@ def test_query_on_many_rows_of_a_chunk_keeps_all_foreign_candidates():
             row, col, score = topk.search(ids[:1], x[:1], ids, x, np.eye(8), 20, chunk)
             every = sorted((-int(x[0] @ x[j]), int(ids[j])) for j in range(100) if ids[j] != 20)[:20]
             assert [(-int(s), int(ids[c])) for c, s in zip(col, score)] == every
+
+
+def long_tailed(spark, n=2_000, seed=4):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 8)) * r.lognormal(0, 1.2, (n, 1))
+    return spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+
+
+def test_later_ranges_get_only_queries_above_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_ROWS", 200)
+    monkeypatch.setattr(topk, "FIRST_ROWS", 100)
+    frame = long_tailed(spark)
+    sent, scored = [], topk._score_range
+
+    def watched(candidates, asked, n, *rest):
+        got = asked.collect()
+        sent.append((n, len(got)))
+        top = candidates.agg(topk.F.max("l")).first()[0]
+        assert all(r.floor is None or math.sqrt(r.l * top) * (1 + 1e-9) + 1 >= r.floor for r in got)
+        return scored(candidates, asked, n, *rest)
+
+    monkeypatch.setattr(topk, "_score_range", watched)
+    rows = [(r.vec_id, r.embedding) for r in frame.collect()]
+    assert sorted(map(tuple, topk.search_embeddings(frame).collect())) == expected(rows)
+    sizes = [n for n, _ in sent]
+    assert sizes[:-1] == sorted(sizes[:-1]) and len(sizes) >= 4 and sum(sizes) == 2_000
+    assert sent[0][1] == 100 and sent[-1][1] < 50  # most queries never see the short vectors
+
+
+def test_equal_lengths_make_one_range(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FIRST_ROWS", 10)
+    rows = [(i, [1.0 if j == i % 4 else 0.0 for j in range(4)]) for i in range(200)]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "vec_id bigint, embedding array<double>, label int")
+    assert sorted(map(tuple, topk.search_embeddings(frame).collect())) == expected(rows)
