@@ -86,8 +86,8 @@ def test_later_ranges_get_only_queries_above_the_bound(spark, monkeypatch):
     rows = [(r.vec_id, r.embedding) for r in frame.collect()]
     assert sorted(map(tuple, topk.search_embeddings(frame).collect())) == expected(rows)
     sizes = [n for n, _ in sent]
-    assert sizes[:-1] == sorted(sizes[:-1]) and len(sizes) >= 4 and sum(sizes) == 2_000
-    assert sent[0][1] == 100 and sent[-1][1] < 50  # most queries never see the short vectors
+    assert sizes == sorted(sizes) and len(sizes) >= 2 and sum(sizes) < 2_000  # the short vectors are never scored
+    assert sent[0][1] == 100 and sent[-1][1] < 50
 
 
 def test_equal_lengths_make_one_range(spark, monkeypatch):
