@@ -72,25 +72,24 @@ def _grouped(value: Column, places: int) -> Column:
     return F.format_number(value, places)
 
 
+# Fixed display values. Unit: (times, divided by), text before, text after, and the decimal places
+# from a magnitude on, largest first.
+UNITS = {
+    "count": ((1, 1), "", "", ((0, 1),)),
+    "days": ((1, 86_400), "", "d", ((1000, 0), (10, 1), (0, 2))),
+    "plain": ((1, 1), "", "", ((0, 3),)),
+    "ratio": ((1, 1), "", "×", ((100, 0), (0, 2))),
+    "share": ((100, 1), "", "%", ((0, 1),)),
+    "usdc": ((1, 1), "$", "", ((0, 0),)),
+}
+
+
 def format_unit(value: Column, unit: str) -> Column:
-    """Display text of a value: days (from seconds), usdc, count, ratio, share or plain."""
-    if unit == "days":
-        d = value / 86_400
-        text = (
-            F.when(F.abs(d) >= 1000, _grouped(d, 0)).when(F.abs(d) >= 10, _grouped(d, 1)).otherwise(_grouped(d, 2))
-        )
-        out = F.concat(text, F.lit("d"))
-    elif unit == "usdc":
-        out = F.concat(F.lit("$"), _grouped(value, 0))
-    elif unit == "count":
-        out = _grouped(value, 1)
-    elif unit == "ratio":
-        out = F.concat(F.when(F.abs(value) >= 100, _grouped(value, 0)).otherwise(_grouped(value, 2)), F.lit("×"))
-    elif unit == "share":
-        out = F.concat(_grouped(value * 100, 1), F.lit("%"))
-    else:
-        out = _grouped(value, 3)
-    return F.when(value.isNull(), F.lit("—")).otherwise(out)
+    """Display text of a value by the table ``UNITS``; a dash where it is NULL."""
+    (times, parts), before, after, places = UNITS.get(unit, UNITS["plain"])
+    shown = value * times / parts
+    number = F.coalesce(*[F.when(F.abs(shown) >= least, _grouped(shown, n)) for least, n in places])
+    return F.coalesce(F.concat(F.lit(before), number, F.lit(after)), F.lit("—"))
 
 
 def ratio_label(pos: Column, neg: Column) -> Column:

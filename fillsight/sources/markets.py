@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from fillsight.functions.scalar import price_list, text_list, unix_seconds
 
 
-def parse_markets(raw: DataFrame, now_ts: int) -> DataFrame:
-    """Typed market rows. ``now_ts`` ends markets that are still open.
+def parse_markets(raw: DataFrame, now_ts: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed market rows. ``now_ts`` ends markets that are still open, ``keep`` columns stay as they are.
 
     Raw columns: slug, outcomes, clobTokenIds, acceptingOrdersTimestamp, startDate,
     closed, closedTime, outcomePrices (text). A market with no start date at all
@@ -26,7 +28,7 @@ def parse_markets(raw: DataFrame, now_ts: int) -> DataFrame:
         F.when(start.isNull(), no_start).otherwise(unix_seconds(start)).alias("start_ts"),
         F.when(closed, unix_seconds(F.col("closedTime"))).otherwise(F.lit(now_ts).cast("bigint")).alias("end_ts"),
         closed.alias("closed"),
-        price_list(F.col("outcomePrices")).alias("outcome_prices"),
+        price_list(F.col("outcomePrices")).alias("outcome_prices"), *keep,
     )
     token = lambda i: F.try_element_at("token_ids", F.lit(i))
     return m.select("*", token(1).alias("yes_token_id"), token(2).alias("no_token_id"))

@@ -1066,3 +1066,14 @@ SELECT unnest(['n_distinct_active_days', 'active_day_frac', 'buy_day_concentrati
   'outcome_alignment_token', 'max_abs_inventory', 'path_alignment']) AS feature, true AS signs_add_up, true AS bounded"""
 Q["nested_left_out"] = """
 SELECT 3::BIGINT AS folds, count(*) AS rows, cast(sum(is_insider) AS bigint) AS positives, count(*) AS scored, true AS one_penalty FROM b_lab"""
+
+
+# ------------------------------------------------------------ landed documents
+
+Q["landed_markets"] = """
+SELECT slug, 'Yes|No' AS outcomes, slug || '-Y|' || slug || '-N' AS token_ids, start_ts, end_ts, true AS closed, p0 AS first_price, cast(mk AS integer) AS depth, 2 AS broken FROM b_mk"""
+Q["landed_deposits"] = """
+SELECT t.wallet, d.funder, d.first_deposit_ts, d.tx_hash FROM (SELECT DISTINCT "to" AS wallet FROM b_tra) t LEFT JOIN b_dep d USING (wallet)"""
+Q["landed_transfers"] = """
+SELECT funder, "to", min(ts) AS first_ts, count(*) AS n, funder LIKE '%3' AS hit_cap FROM b_tra GROUP BY funder, "to"
+UNION ALL SELECT 'f-none', NULL, NULL, 0, false"""

@@ -12,7 +12,7 @@ from fillsight.operators import asof as A, behavior as B, dataset as D, history
 from fillsight.plans import report as R
 from fillsight.schema import MARKET, MICRO
 from fillsight.session import ensure_checkpoint_dir
-from fillsight.sources import fills as SF, markets as SM, tables as ST, wallets as SW
+from fillsight.sources import documents as SD, fills as SF, markets as SM, tables as ST, wallets as SW
 from registry.core import context, query, r
 
 NOW = 1_706_659_200  # stands in for the current time
@@ -82,6 +82,71 @@ def market_dimension(spark, sf):
     )
 
 
+def _land_documents(docs, name):
+    """One JSON document per file, in a folder named by its key."""
+    path = _folder(docs.sparkSession, name)
+    docs.select("key", "body").repartition(4, "key").write.partitionBy("key").text(path)
+    return path
+
+
+def _read_landed(spark, path):
+    return SD.read_documents(spark, f"{path}/key=*/*.txt", r"/key=([^/]+)/")
+
+
+@query
+def landed_markets(spark, sf):
+    """Market documents whose fields change type from one to the next, with what else they say."""
+    m = X.markets(spark, sf).withColumn("k", F.substring("slug", 2, 9).cast("int"))
+    iso = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lists = lambda c: F.to_json(F.col(c))
+    odd = F.col("k") % 2 == 1
+    text = lambda body: F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    body = F.concat(
+        F.lit('{"slug": "'), "slug", F.lit('", "outcomes": '), F.when(odd, lists("outcomes")).otherwise(text(lists("outcomes"))),
+        F.lit(', "clobTokenIds": '), F.when(odd, text(lists("token_ids"))).otherwise(lists("token_ids")),
+        F.when(F.col("k") % 3 == 0, F.concat(F.lit(', "startDate": "'), iso("start_ts"), F.lit('"')))
+        .otherwise(F.concat(F.lit(', "acceptingOrdersTimestamp": "'), iso("start_ts"), F.lit('"'))),
+        F.lit(', "closed": '), F.when(odd, F.lit("true")).otherwise(F.lit('"True"')), F.lit(', "closedTime": "'), iso("end_ts"), F.lit('"'),
+        F.lit(', "outcomePrices": '), F.when(odd, lists("outcome_prices")).otherwise(text(lists("outcome_prices"))),
+        F.lit(', "extra": {"depth": '), F.col("k").cast("string"), F.lit("}}"),
+    )
+    docs = m.select(F.col("slug").alias("key"), body.alias("body")).unionByName(
+        spark.createDataFrame([("broken", '{"slug": '), ("empty", "{}")], "key string, body string"))
+    landed = _read_landed(spark, _land_documents(docs, "markets"))
+    got = SD.market_documents(landed, NOW)
+    return got.select(
+        "slug", F.array_join("outcomes", "|").alias("outcomes"), F.array_join("token_ids", "|").alias("token_ids"), "start_ts", "end_ts", "closed",
+        F.element_at("outcome_prices", 1).alias("first_price"), SD.field("extra.depth", "int").alias("depth"),
+        F.lit(SD.broken_documents(landed, "slug").count()).alias("broken"))
+
+
+@query
+def landed_deposits(spark, sf):
+    """Deposit documents, times as numbers or text; wallets without a deposit have an empty one."""
+    from registry.models import deposits
+
+    d = deposits(spark, sf)
+    time = F.when(F.col("first_deposit_ts") % 2 == 0, F.col("first_deposit_ts").cast("string")).otherwise(
+        F.concat(F.lit('"'), F.col("first_deposit_ts").cast("string"), F.lit('"')))
+    body = F.concat(F.lit('{"from": "'), F.upper("funder"), F.lit('", "timestamp": '), time, F.lit(', "tx_hash": "'), "tx_hash", F.lit('"}'))
+    none = X.transfers(spark, sf).select(F.lower("to").alias("wallet")).distinct().join(d, "wallet", "left_anti")
+    docs = d.select(F.col("wallet").alias("key"), body.alias("body")).unionByName(none.select(F.col("wallet").alias("key"), F.lit("{}").alias("body")))
+    return SD.deposit_documents(_read_landed(spark, _land_documents(docs, "deposits"))).drop("raw")
+
+
+@query
+def landed_transfers(spark, sf):
+    """Transfer documents of funders; some say that their list was cut, one is empty."""
+    t = X.transfers(spark, sf).select(F.col("from").alias("funder"), "to", "ts")
+    one = F.to_json(F.array_sort(F.collect_list(F.struct(F.upper("to").alias("to"), "ts"))))
+    flag = F.when(F.col("funder").endswith("3"), F.lit(', "hit_cap": true')).otherwise(F.lit(""))
+    docs = t.groupBy("funder").agg(one.alias("list")).select(
+        F.col("funder").alias("key"), F.concat(F.lit('{"transfers": '), "list", flag, F.lit("}")).alias("body"))
+    docs = docs.unionByName(spark.createDataFrame([("f-none", "{}")], "key string, body string"))
+    got = SD.transfer_documents(_read_landed(spark, _land_documents(docs, "transfers")))
+    return got.groupBy("funder", "to").agg(F.min("ts").alias("first_ts"), F.count("ts").alias("n"), F.bool_or("hit_cap").alias("hit_cap"))
+
+
 @query
 def wallet_market_order(spark, sf):
     return SM.wallet_markets(context(spark, sf).trades)
