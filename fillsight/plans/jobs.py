@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from fillsight.ml.metrics import auc_and_ap, cv_summary, tune_threshold
+from fillsight.ml.metrics import cv_summary, tune_threshold
+from fillsight.ml.zoo import FlatModel, flatten, score_zoo
 from fillsight.operators import dataset as D, parsing as P
 from fillsight.operators.scan import with_scalars
 from fillsight.plans import report as R
@@ -82,22 +83,20 @@ def training_set(
 
 
 def audit_pairs(rows: DataFrame, models: dict, test_scores: dict[str, DataFrame] | None = None, target: float = 0.8) -> DataFrame:
-    """Every model scores every pair with its own features and cut.
+    """Every model scores every pair with its own features and cut, in one pass over the pairs.
 
-    ``test_scores`` (held-out rows with score and label per model) moves each model's
-    cut to the best recall at the target precision; otherwise its own threshold holds.
+    ``models`` are trained ones or their flat form. ``test_scores`` (held-out rows with score and
+    label per model) moves each model's cut to the best recall at the target precision;
+    otherwise its own threshold holds.
     """
-    parts = []
-    for tag, m in models.items():
-        s = m.score(rows).select(
-            "wallet", MARKET, F.lit(tag).alias("model"), F.col("pred_prob").alias("score"), F.col("pred_prob_raw").alias("raw"),
-            F.lit(m.spec.threshold).alias("threshold"),
-        )
-        if test_scores and tag in test_scores:
-            cut = tune_threshold(test_scores[tag].withColumn("label", F.col(D.LABEL)), target).select(F.col("threshold").alias("_t"))
-            s = with_scalars(s, cut).withColumn("threshold", F.coalesce("_t", "threshold")).drop("_t")
-        parts.append(s)
-    out = D.union_ragged(*parts).withColumn("flagged", F.col("score") >= F.col("threshold"))
+    spark = rows.sparkSession
+    zoo = {tag: m if isinstance(m, FlatModel) else flatten(spark, m) for tag, m in models.items()}
+    s = materialize(score_zoo(rows, zoo).drop("flagged"))
+    if test_scores:
+        held = D.union_ragged(*[t.select("score", F.col(D.LABEL).alias("label"), F.lit(tag).alias("model")) for tag, t in test_scores.items()])
+        cuts = tune_threshold(held, target, by=["model"]).select("model", F.col("threshold").alias("_t"))
+        s = s.join(F.broadcast(cuts), "model", "left").withColumn("threshold", F.coalesce("_t", "threshold")).drop("_t")  # one row per model
+    out = s.withColumn("flagged", F.col("score") >= F.col("threshold"))
     return out.join(R.flag_counts(out, ["wallet", MARKET]), ["wallet", MARKET])
 
 
