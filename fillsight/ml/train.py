@@ -1,13 +1,14 @@
 """Classifier jobs: pipelines, folds, tuning, calibration, scoring.
 
-Every fit is one distributed Spark ML fit. Driver loops run over folds, parameter
-sets or pinned markets only, never over rows.
+Every fit is one distributed Spark ML fit. Folds, parameter sets and pinned markets are
+fitted side by side (``ml.together``); the driver never loops over rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import partial
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fillsight.functions.scalar import platt
 from fillsight.ml.metrics import auc_and_ap, confusion, cv_summary
+from fillsight.ml.together import WIDTH, side_by_side
 from fillsight.operators import dataset as D
 from fillsight.operators.scan import with_scalars
 from fillsight.schema import MARKET
@@ -211,14 +213,14 @@ def _usable(df: DataFrame) -> bool:
     return df.select(LABEL).distinct().count() == 2
 
 
-def oof_predictions(train: DataFrame, spec: TrainSpec) -> DataFrame:
+def oof_predictions(train: DataFrame, spec: TrainSpec, width: int = WIDTH) -> DataFrame:
     """Out-of-fold probabilities: each row scored by the model that did not see its fold.
 
-    Time folds train on earlier folds only and leave fold 0 unscored.
+    Time folds train on earlier folds only and leave fold 0 unscored. ``width`` fits run at once.
     """
-    parts = []
     expanding = spec.folds == "time"
-    for k in range(1, spec.n_folds + 1) if expanding else range(spec.n_folds):
+
+    def fold(k: int) -> DataFrame:
         fit_on = train.filter(F.col("fold") < k if expanding else F.col("fold") != k)
         held = train.filter(F.col("fold") == k)
         if held.isEmpty():
@@ -226,8 +228,10 @@ def oof_predictions(train: DataFrame, spec: TrainSpec) -> DataFrame:
         if not _usable(fit_on):
             raise ValueError(f"the rows outside fold {k} have one class only: {held.count()} rows would stay unscored")
         model = pipeline_for(spec, _total_weight(fit_on)).fit(fit_on)
-        parts.append(score_rows(model, held).select("wallet", MARKET, LABEL, "fold", "raw"))
-    return D.union_ragged(*parts)
+        return score_rows(model, held).select("wallet", MARKET, LABEL, "fold", "raw")
+
+    folds = range(1, spec.n_folds + 1) if expanding else range(spec.n_folds)
+    return D.union_ragged(*side_by_side(train.sparkSession, [partial(fold, k) for k in folds], width))
 
 
 def _total_weight(df: DataFrame) -> float:
@@ -330,13 +334,25 @@ def train(df: DataFrame, spec: TrainSpec) -> Trained:
     return Trained(spec, model, calibrator, oof, cv, test, evaluate(test, spec.threshold))
 
 
-def leave_markets_out(df: DataFrame, spec: TrainSpec, markets: Sequence[str]) -> DataFrame:
-    """One fit and one row of test metrics per left-out market."""
-    rows = []
-    for m in markets:
-        t = train(df, replace(spec, split="pinned", test_markets=(m,)))
-        rows.append(t.metrics.withColumn("test_market", F.lit(m)))
-    return D.union_ragged(*rows)
+def leave_markets_out(df: DataFrame, spec: TrainSpec, markets: Sequence[str], width: int = WIDTH) -> DataFrame:
+    """One fit and one row of test metrics per left-out market; ``width`` of them run at once."""
+    def without(m: str) -> DataFrame:
+        return train(df, replace(spec, split="pinned", test_markets=(m,))).metrics.withColumn("test_market", F.lit(m))
+
+    return D.union_ragged(*side_by_side(df.sparkSession, [partial(without, m) for m in markets], width))
+
+
+def train_best(df: DataFrame, specs: dict[str, TrainSpec], width: int = WIDTH) -> tuple[str, DataFrame, Trained]:
+    """Train by every strategy and keep the one with the best out-of-fold average precision.
+
+    Returns its name, the quality of all (the first name wins a tie) and the trained model.
+    Strategies may differ in estimator, parameters, split and folds.
+    """
+    names = list(specs)
+    trained = dict(zip(names, side_by_side(df.sparkSession, [partial(train, df, specs[n]) for n in names], width)))
+    quality = D.union_ragged(*[trained[n].cv.withColumn("tag", F.lit(n)) for n in names])
+    best = quality.orderBy(F.col("cv_mean").desc_nulls_last(), F.array_position(F.array(*[F.lit(n) for n in names]), F.col("tag"))).first()["tag"]
+    return best, quality.withColumn("is_best", F.col("tag") == best), trained[best]
 
 
 # ----------------------------------------------------------------------- tuning
@@ -379,17 +395,18 @@ def random_param_sets(space: dict[str, Sequence], n: int, seed: int = 42) -> lis
     return sets[:n]
 
 
-def search(folded: DataFrame, specs: dict[str, TrainSpec]) -> DataFrame:
+def search(folded: DataFrame, specs: dict[str, TrainSpec], width: int = WIDTH) -> DataFrame:
     """Out-of-fold quality of several specifications (parameter sets or strategies), best first."""
-    parts = [oof_predictions(folded, s).select("*", F.lit(n).alias("tag")) for n, s in specs.items()]
+    found = side_by_side(folded.sparkSession, [partial(oof_predictions, folded, s) for s in specs.values()], width)
+    parts = [p.select("*", F.lit(n).alias("tag")) for n, p in zip(specs, found)]
     return auc_and_ap(D.union_ragged(*parts), "raw", LABEL, ["tag"]).orderBy(F.col("pr_auc").desc_nulls_last(), "tag")
 
 
-def tune_penalty(folded: DataFrame, spec: TrainSpec, cs: Sequence[float], threshold: float = 0.5) -> DataFrame:
+def tune_penalty(folded: DataFrame, spec: TrainSpec, cs: Sequence[float], threshold: float = 0.5, width: int = WIDTH) -> DataFrame:
     """Penalty grid for the logistic model: by AUC, then accuracy, then the smaller C."""
-    parts = [
-        oof_predictions(folded, replace(spec, estimator="logistic", params={**spec.params, "c": c})).withColumn("c", F.lit(float(c))) for c in cs
-    ]
+    specs = [replace(spec, estimator="logistic", params={**spec.params, "c": c}) for c in cs]
+    found = side_by_side(folded.sparkSession, [partial(oof_predictions, folded, s) for s in specs], width)
+    parts = [p.withColumn("c", F.lit(float(c))) for c, p in zip(cs, found)]
     oof = D.union_ragged(*parts)
     acc = oof.groupBy("c").agg(F.avg(((F.col("raw") >= threshold) == (F.col(LABEL) == 1)).cast("double")).alias("accuracy"))
     return auc_and_ap(oof, "raw", LABEL, ["c"]).join(acc, "c").orderBy(F.col("roc_auc").desc(), F.col("accuracy").desc(), "c")

@@ -35,6 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.codegen.maxFields", "400")
+        .config("spark.scheduler.mode", "FAIR")  # fits side by side share the executors evenly
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
-from fillsight.ml import anomaly as AN, cluster as CL, density as DE, leave_one_out as LO, train as TR
+from fillsight.ml import anomaly as AN, cluster as CL, density as DE, leave_one_out as LO, train as TR, zoo as Z
 from fillsight.operators import dataset as D, parsing as PR
 from fillsight.plans import jobs as J, report as R
 from fillsight.schema import FILLS, MARKET
@@ -106,17 +106,52 @@ def nested_left_out(spark, sf):
 def penalty_tuning(spark, sf):
     s = spec(estimator="logistic", n_folds=3, folds="rows", params=dict(max_iter=20))
     folded = materialize(TR.fold_rows(TR.prepare(dataset(spark, sf), s), s))
-    return r(TR.tune_penalty(folded, s, [0.05, 0.4]), 4)
+    return r(TR.tune_penalty(folded, s, [0.01, 0.05, 0.4, 2.0]), 4)
 
 
 @query
 def parameter_search(spark, sf):
     base = spec(**FOREST)
     folded = materialize(TR.fold_rows(TR.prepare(dataset(spark, sf), base), base))
-    sets = TR.random_param_sets({"numTrees": [5, 10], "maxDepth": [2, 4]}, 2)
+    sets = TR.random_param_sets({"numTrees": [5, 10], "maxDepth": [2, 4]}, 4)
     return r(TR.search(folded, {f"set{i}": spec(**{**FOREST, "params": p}) for i, p in enumerate(sets)}), 4)
 
 
+@query
+def grid_search(spark, sf):
+    """Cross-validated grid over the fold column: mean average precision of each parameter set."""
+    base = spec(**FOREST)
+    folded = materialize(TR.fold_rows(TR.prepare(dataset(spark, sf), base), base))
+    grid = {"numTrees": [5, 10], "maxDepth": [2, 4]}
+    fitted = TR.tune(folded, base, grid)
+    rows = [({p.name: str(v) for p, v in m.items()}, float(a)) for m, a in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics)]
+    out = spark.createDataFrame([(d["numTrees"], d["maxDepth"], a, a == max(x for _, x in rows)) for d, a in rows],
+                                "num_trees string, max_depth string, pr_auc double, is_best boolean")
+    return r(out, 4)
+
+
+@query
+def best_strategy(spark, sf):
+    """Three strategies trained side by side, the best by out-of-fold average precision marked."""
+    specs = {
+        "forest": spec(**FOREST), "boosting": spec(**BOOST, calibrate=False),
+        "logistic": spec(estimator="logistic", params=dict(max_iter=20), n_folds=3, calibrate=False),
+    }
+    best, quality, trained = TR.train_best(dataset(spark, sf), specs)
+    return r(quality.select("tag", "cv_mean", "cv_std", "is_best").withColumn("held_out_rows", F.lit(trained.test_scores.count())), 4)
+
+
+def _zoo(spark, sf):
+    """Three trained models, kept for the session's context."""
+    c = context(spark, sf)
+    if "zoo" not in c.__dict__:
+        c.__dict__["zoo"] = {
+            "forest": TR.train(dataset(spark, sf), spec(**FOREST)), "boosting": TR.train(dataset(spark, sf), spec(**BOOST)),
+            "logistic": TR.train(dataset(spark, sf), spec(estimator="logistic", params=dict(max_iter=20), n_folds=3, calibrate=False)),
+        }
+    return c.__dict__["zoo"]
+
+
 @query
 def calibrated_training(spark, sf):
     """Market split, out-of-fold calibration, refit, held-out metrics."""
@@ -234,13 +269,18 @@ def training_set(spark, sf):
 
 @query
 def pair_audit(spark, sf):
-    d = dataset(spark, sf)
-    models = {
-        "forest": TR.train(d, spec(**FOREST)),
-        "logistic": TR.train(d, spec(estimator="logistic", params=dict(max_iter=20), n_folds=3, calibrate=False)),
-    }
-    cuts = {t: m.test_scores for t, m in models.items()}
-    return r(J.audit_pairs(d, models, cuts, 0.3), 4)
+    d, models = dataset(spark, sf), _zoo(spark, sf)
+    return r(J.audit_pairs(d, models, {t: m.test_scores for t, m in models.items()}, 0.3), 4)
+
+
+@query
+def one_pass_scores(spark, sf):
+    """Scores of all models from one scan: rows of each, and whether they equal the model's own pipeline."""
+    d, models = dataset(spark, sf), _zoo(spark, sf)
+    flat = materialize(Z.score_zoo(d, Z.flatten_all(spark, models)))
+    own = D.union_ragged(*[m.score(d).select("wallet", MARKET, "pred_prob", "pred_prob_raw", F.lit(t).alias("model")) for t, m in models.items()])
+    same = (F.abs(F.col("score") - F.col("pred_prob")) < 1e-9) & (F.abs(F.col("raw") - F.col("pred_prob_raw")) < 1e-9)
+    return flat.join(own, ["wallet", MARKET, "model"]).groupBy("model").agg(F.count("*").alias("rows"), F.count_if(same).alias("same"))
 
 
 @query

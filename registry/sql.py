@@ -1077,3 +1077,9 @@ SELECT t.wallet, d.funder, d.first_deposit_ts, d.tx_hash FROM (SELECT DISTINCT "
 Q["landed_transfers"] = """
 SELECT funder, "to", min(ts) AS first_ts, count(*) AS n, funder LIKE '%3' AS hit_cap FROM b_tra GROUP BY funder, "to"
 UNION ALL SELECT 'f-none', NULL, NULL, 0, false"""
+
+
+# ------------------------------------------------------------------ model zoo
+
+Q["one_pass_scores"] = """
+SELECT model, count(*) AS rows, count(*) AS same FROM b_lab, (SELECT unnest(['forest', 'boosting', 'logistic']) AS model) GROUP BY model"""
