@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from fillsight.ml.metrics import cv_summary, tune_threshold
+from fillsight.ml.train import parameter_count
 from fillsight.ml.zoo import FlatModel, flatten, score_zoo
 from fillsight.operators import dataset as D, parsing as P
 from fillsight.operators.scan import with_scalars
@@ -15,6 +16,7 @@ from fillsight.plans.behavior import BEHAVIOR_COLUMNS, Behavior
 from fillsight.plans.metadata import METADATA_COLUMNS, first_trades, metadata_features
 from fillsight.schema import MARKET, MARKET_WALLET, MICRO
 from fillsight.session import materialize
+from fillsight.sources.tables import write_results
 
 KEYS = list(MARKET_WALLET)
 
@@ -60,6 +62,20 @@ def market_scan(b: Behavior, model, top_n: int = 100, **sources) -> tuple[DataFr
     return lean, R.scan_summary(lean)
 
 
+def scan_job(b: Behavior, model, path: str, top_n: int = 100, fmt: str = "parquet", **sources) -> tuple[DataFrame, DataFrame]:
+    """``market_scan`` into its sinks: all rows, the flagged ones, and the summary of each market.
+
+    Rows carry the model's features in its own order after the lead columns. What is returned is
+    read back from the sinks' tables, so nothing is computed twice.
+    """
+    rows, _ = market_scan(b, model, top_n, **sources)
+    rows = materialize(rows)
+    write_results(rows, path, fmt)
+    summary = materialize(R.scan_summary(rows))
+    summary.write.mode("overwrite").option("header", True).format(fmt).save(f"{path}/summary")
+    return rows, summary
+
+
 def training_set(
     b: Behavior, positives: DataFrame, known: DataFrame, per_positive: int = 6, features: Sequence[str] | None = None, seed: int = 42, **sources
 ) -> DataFrame:
@@ -100,6 +116,18 @@ def audit_pairs(rows: DataFrame, models: dict, test_scores: dict[str, DataFrame]
     return out.join(R.flag_counts(out, ["wallet", MARKET]), ["wallet", MARKET])
 
 
+def model_rows(models: dict) -> DataFrame:
+    """One row per trained model for the comparison reports: CV and test values, features, parameters."""
+    parts = []
+    for tag, t in models.items():
+        cv = t.cv.select(F.col("cv_mean").alias("cv_pr"), F.col("cv_std"))
+        test = t.metrics.select(F.col("pr_auc").alias("test_pr"), F.col("roc_auc").alias("test_roc"))
+        parts.append(with_scalars(cv, test).select(
+            F.lit(tag).alias("tag"), "cv_pr", "cv_std", "test_pr", "test_roc", F.lit(len(t.spec.features)).alias("n_features"),
+            F.lit(parameter_count(t.model)).cast("bigint").alias("n_params")))
+    return D.union_ragged(*parts)
+
+
 def compare_models(models: DataFrame, folds: DataFrame | None = None) -> DataFrame:
     """Ranked model table with recommendation marks; ``folds`` (tag, fold, pr_auc) refreshes CV values."""
     m = models

@@ -2,7 +2,7 @@
 
 
 def all_queries():
-    from registry import core, learning, models, trades  # noqa: F401
+    from registry import core, learning, models, properties, trades  # noqa: F401
 
     return dict(core.QUERIES)
 

@@ -1083,3 +1083,38 @@ UNION ALL SELECT 'f-none', NULL, NULL, 0, false"""
 
 Q["one_pass_scores"] = """
 SELECT model, count(*) AS rows, count(*) AS same FROM b_lab, (SELECT unnest(['forest', 'boosting', 'logistic']) AS model) GROUP BY model"""
+
+
+# ------------------------------------------------- laws of fitted models
+
+Q["out_of_fold_rows"] = """
+SELECT tag, count(*) AS rows, count(*) AS pairs, cast(sum(is_insider) AS bigint) AS positives, count(*) AS probabilities, 1 AS folds_of_a_market
+FROM b_lab, (SELECT unnest(['logistic', 'forest', 'boosting']) AS tag) GROUP BY tag"""
+B["b_tested"] = """
+SELECT market_slug FROM (
+  SELECT market_slug, row_number() OVER (PARTITION BY size_band ORDER BY h, market_slug) AS rn, size_band FROM (
+    SELECT market_slug, CASE WHEN count(*) >= 10000 THEN 'large' ELSE 'small' END AS size_band, ('0x' || substr(md5('42|' || market_slug), 1, 15))::BIGINT AS h FROM b_lab GROUP BY market_slug))
+WHERE rn <= CASE WHEN size_band = 'large' THEN 0 ELSE 2 END"""
+Q["calibration_balance"] = """
+SELECT count(*) AS rows, count(*) AS probabilities, true AS balanced FROM b_lab WHERE market_slug NOT IN (SELECT market_slug FROM b_tested)"""
+Q["left_market_counts"] = """
+SELECT market_slug AS test_market, count(*) AS n, cast(sum(is_insider) AS bigint) AS n_positives, true AS positives_add_up, true AS rows_add_up FROM b_lab GROUP BY market_slug"""
+_FITTED = ["n_distinct_active_days", "active_day_frac", "buy_day_concentration_hhi", "net_directional_consistency", "gross_tokens",
+           "outcome_alignment_token", "max_abs_inventory", "path_alignment"]
+Q["importance_laws"] = f"SELECT unnest({_FITTED!r}) AS feature, true AS not_negative, true AS add_up"
+Q["isolation_laws"] = "SELECT count(*) AS rows, count(*) AS in_range, true AS highest_flagged, true AS share_kept FROM b_lab"
+Q["kmeans_laws"] = """
+SELECT k, cast(k AS bigint) AS clusters, count(*) AS rows, true AS silhouette, true AS cost FROM b_lab, (SELECT unnest([2, 5, 8]) AS k) GROUP BY k"""
+Q["projection_laws"] = "SELECT count(*) AS rows, true AS uncorrelated, true AS falling, true AS bounded FROM b_lab"
+Q["training_rows"] = (
+    "SELECT d.wallet, d.market_slug, d.is_insider, " + ", ".join(f"round({c}::DOUBLE, 6) + 0.0 AS {c}" for c in _FITTED) + ", true AS has_metadata FROM ("
+    + Q["negative_sample"] + ") d LEFT JOIN x_days USING (market_slug, wallet) LEFT JOIN x_position USING (market_slug, wallet)")
+Q["audit_counts"] = """
+SELECT model, count(*) AS rows, count(*) AS counted, 1 AS cuts FROM b_lab, (SELECT unnest(['forest', 'boosting', 'logistic']) AS model) GROUP BY model"""
+Q["fitted_model_report"] = """
+SELECT unnest(['forest', 'boosting', 'logistic']) AS tag, 8 AS n_features, true AS best_is_first, true AS best_has_most, true AS same_gap, true AS ranked"""
+Q["fitted_contributions"] = "SELECT count(*) AS rows, count(*) AS same FROM b_lab"
+Q["scan_job"] = """
+SELECT t.wallet, t.market_slug, round(t.volume_micro / 1e6, 8) + 0.0 AS volume, s.n AS n_trades, s.first_ts AS first_trade_ts, true AS sink_agrees, true AS summary_agrees,
+  true AS has_metadata, true AS model_order
+FROM b_top t JOIN (SELECT wallet, market_slug, count(*) AS n, min(ts) AS first_ts FROM b_yes GROUP BY ALL) s USING (wallet, market_slug) WHERE rank <= 50"""
