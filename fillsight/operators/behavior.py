@@ -107,17 +107,15 @@ PATH = (
 )
 
 
-def position_features(
-    ledger: DataFrame, facts: DataFrame, cells: Cells | None = None, early_frac: float = 0.5, heavy: DataFrame | None = None
-) -> DataFrame:
-    """Holding totals, outcome alignment and the shape of the inventory path."""
+def with_previous_sign(ledger: DataFrame, cells: Cells | None = None) -> DataFrame:
+    """Add ``prev_sign``: the sign of the last non-zero inventory before each trade."""
+    inv = F.col("inventory")
+    return scan(ledger, KEYS, TRADE_ORDER, previous={"prev_sign": F.when(inv != 0, F.signum(inv.cast("double")))}, cells=cells)
+
+
+def position_aggs(early_frac: float = 0.5) -> dict[str, Column]:
+    """Holding totals, outcome alignment and the shape of the inventory path, from trades with ``prev_sign`` and market facts."""
     inv = F.col("inventory")
-    cols = [*KEYS, *TRADE_ORDER, "is_buy", "token_micro", "inventory", *[c for c in ("_cell",) if c in ledger.columns]]
-    df = scan(
-        ledger.select(*cols), KEYS, TRADE_ORDER,
-        previous={"prev_sign": F.when(inv != 0, F.signum(inv.cast("double")))}, cells=cells,
-    )
-    df = join_dimension(df, facts.select(MARKET, "outcome", "start_ts", "end_ts"), MARKET, F.col("wallet"), heavy)
     sign = F.when(F.col("outcome") == 1, 1).when(F.col("outcome").isNotNull(), -1)
     s = F.max(sign)
     early = F.col("ts") <= F.col("start_ts") + early_frac * (F.col("end_ts") - F.col("start_ts"))
@@ -128,22 +126,29 @@ def position_features(
     known = F.max("outcome").isNotNull()
     abs_sum = F.sum(F.abs(inv))
     early_abs = F.sum(F.when(early, F.abs(inv)))
-    return df.groupBy(*KEYS).agg(
-        _frac(net, gross).alias("net_directional_consistency"),
-        (buy / MICRO).alias("buy_tokens_total"), (sell / MICRO).alias("sell_tokens_total"),
-        (net / MICRO).alias("net_tokens"), (gross / MICRO).alias("gross_tokens"),
-        (F.max(inv) / MICRO).alias("max_inventory"), (F.min(inv) / MICRO).alias("min_inventory"),
-        (F.max(F.abs(inv)) / MICRO).alias("max_abs_inventory"),
-        (F.signum(net.cast("double")) * s).alias("outcome_alignment"),
-        _frac(net * s, gross).alias("outcome_alignment_token"),
-        F.when(known, _frac(F.sum(inv) * s, abs_sum)).alias("path_alignment"),
-        F.when(known, _frac(F.sum(F.when(early, inv)) * s, early_abs)).alias("early_path_alignment"),
-        F.when(known, ratio(abs_sum, F.count("*")) / MICRO).alias("avg_abs_position_tokens"),
-        F.when(known, F.max(F.abs(inv)) / MICRO).alias("max_abs_position_tokens"),
-        F.when(known, F.max_by("inventory", F.struct(*TRADE_ORDER)) / MICRO).alias("final_position_tokens"),
-        F.when(known, F.when(nonzero >= 2, flips.cast("double")).otherwise(0.0)).alias("position_flips"),
-        F.when(known, F.when(nonzero >= 2, ratio(flips, nonzero - 1)).otherwise(0.0)).alias("position_flip_rate"),
-    )
+    return {
+        "net_directional_consistency": _frac(net, gross),
+        "buy_tokens_total": buy / MICRO, "sell_tokens_total": sell / MICRO, "net_tokens": net / MICRO, "gross_tokens": gross / MICRO,
+        "max_inventory": F.max(inv) / MICRO, "min_inventory": F.min(inv) / MICRO, "max_abs_inventory": F.max(F.abs(inv)) / MICRO,
+        "outcome_alignment": F.signum(net.cast("double")) * s, "outcome_alignment_token": _frac(net * s, gross),
+        "path_alignment": F.when(known, _frac(F.sum(inv) * s, abs_sum)),
+        "early_path_alignment": F.when(known, _frac(F.sum(F.when(early, inv)) * s, early_abs)),
+        "avg_abs_position_tokens": F.when(known, ratio(abs_sum, F.count("*")) / MICRO),
+        "max_abs_position_tokens": F.when(known, F.max(F.abs(inv)) / MICRO),
+        "final_position_tokens": F.when(known, F.max_by("inventory", F.struct(*TRADE_ORDER)) / MICRO),
+        "position_flips": F.when(known, F.when(nonzero >= 2, flips.cast("double")).otherwise(0.0)),
+        "position_flip_rate": F.when(known, F.when(nonzero >= 2, ratio(flips, nonzero - 1)).otherwise(0.0)),
+    }
+
+
+def position_features(
+    ledger: DataFrame, facts: DataFrame, cells: Cells | None = None, early_frac: float = 0.5, heavy: DataFrame | None = None
+) -> DataFrame:
+    """``position_aggs`` of every (market, wallet)."""
+    df = ledger if "prev_sign" in ledger.columns else with_previous_sign(ledger, cells)
+    df = df.select(*KEYS, *TRADE_ORDER, "is_buy", "token_micro", "inventory", "prev_sign")
+    df = join_dimension(df, facts.select(MARKET, "outcome", "start_ts", "end_ts"), MARKET, F.col("wallet"), heavy)
+    return aggregate_family(df, position_aggs(early_frac))
 
 
 # -------------------------------------------------------------------- markouts
@@ -178,49 +183,69 @@ def grid_tags(fracs: Sequence[float] = GRID_FRACS) -> list[str]:
     return [grid_tag(h, lb) for h in fracs for lb in fracs]
 
 
-def markout_features(
-    trades: DataFrame, fracs: Sequence[float] = GRID_FRACS, tags: set[str] | None = None, split: bool = False
-) -> DataFrame:
-    """Adjusted markouts: mean, median and gross-weighted, per side and grid point."""
-    df = with_scores(trades, fracs, tags)
-    wanted = [t for t in grid_tags(fracs) if tags is None or t in tags]
+def markout_aggs(fracs: Sequence[float] = GRID_FRACS, tags: set[str] | None = None) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Means and gross-weighted means of the scores per side and grid point, and the values whose medians are wanted."""
     usable = F.max((F.col("h_rows") >= 2) & (F.col("life") > 0))
     gross = F.sum("token_micro")
-    aggs, med = [], {}
-    for tag in wanted:
+    aggs, med = {}, {}
+    for tag in grid_tags(fracs):
+        if tags is not None and tag not in tags:
+            continue
         s = F.col(f"score_{tag}")
         for side, cond in (("buy", _buy()), ("sell", _sell())):
             value = F.when(cond, s)
-            aggs.append(F.avg(value).alias(f"{side}_markout_adj_mean_{tag}"))
+            aggs[f"{side}_markout_adj_mean_{tag}"] = F.avg(value)
             weighted = F.coalesce(ratio(F.sum(value * F.col("token_micro")), gross), F.lit(0.0))
-            aggs.append(F.when(usable, weighted).alias(f"{side}_markout_adj_grosswt_{tag}"))
+            aggs[f"{side}_markout_adj_grosswt_{tag}"] = F.when(usable, weighted)
             med[f"{side}_markout_adj_median_{tag}"] = value
-    return _with_medians(df, aggs, med, split)
+    return aggs, med
 
 
-def fixed_markout_features(trades: DataFrame, horizons: Sequence[int] = FIXED_HORIZONS, split: bool = False) -> DataFrame:
-    """Plain markouts at fixed horizons: mean and median per side."""
-    aggs, med = [], {}
+def fixed_markout_aggs(horizons: Sequence[int] = FIXED_HORIZONS) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Means of plain markouts per side and horizon, and the values whose medians are wanted."""
+    aggs, med = {}, {}
     for h in horizons:
         move = F.col(f"fix{h}") - F.col("norm_price")
         for side, value in (("buy", F.when(_buy(), move)), ("sell", F.when(_sell(), -move))):
-            aggs.append(F.avg(value).alias(f"{side}_markout_mean_{h}s"))
+            aggs[f"{side}_markout_mean_{h}s"] = F.avg(value)
             med[f"{side}_markout_median_{h}s"] = value
-    return _with_medians(trades, aggs, med, split)
+    return aggs, med
+
+
+def markout_features(
+    trades: DataFrame, fracs: Sequence[float] = GRID_FRACS, tags: set[str] | None = None, split: bool = False
+) -> DataFrame:
+    """Adjusted markouts: mean, median and gross-weighted, per side and grid point."""
+    return with_medians(with_scores(trades, fracs, tags), *markout_aggs(fracs, tags), split)
+
+
+def fixed_markout_features(trades: DataFrame, horizons: Sequence[int] = FIXED_HORIZONS, split: bool = False) -> DataFrame:
+    """Plain markouts at fixed horizons: mean and median per side."""
+    return with_medians(trades, *fixed_markout_aggs(horizons), split)
+
+
+def _middle(values: Column) -> Column:
+    """Median of a sorted array, NULL if it is empty."""
+    n = F.size(values)
+    at = lambda i: F.get(values, F.floor(i).cast("int"))
+    return F.when(n > 0, (at((n - 1) / 2) + at(n / 2)) / 2)
 
 
-def _with_medians(df: DataFrame, aggs: list[Column], med: dict[str, Column], split: bool) -> DataFrame:
+def with_medians(df: DataFrame, aggs: dict[str, Column], med: dict[str, Column], split: bool) -> DataFrame:
+    """One row per (market, wallet) with ``aggs`` and the exact medians of ``med``."""
+    plain = [c.alias(n) for n, c in aggs.items()]
     if not split:
-        # rows are narrower than partial median buffers, so they move before aggregation
+        # no group holds more rows than a task may: its values are sorted as they are
         df = df.repartition(*KEYS)
-        return df.groupBy(*KEYS).agg(*aggs, *[F.median(v).alias(n) for n, v in med.items()])
+        lists = df.groupBy(*KEYS).agg(*plain, *[F.sort_array(F.collect_list(v)).alias(n) for n, v in med.items()])
+        return lists.select(*KEYS, *aggs, *[_middle(F.col(n)).alias(n) for n in med])
     # over-full groups: one row per (wallet, measure, value), exact ranks by counting
     long = df.select(
         *KEYS, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in med.items()]))
     ).filter(F.col("value").isNotNull())
     m = percentiles(long, [*KEYS, "name"], "value", {"m": 0.5}, split=True)
     wide = m.groupBy(*KEYS).agg(*[F.max(F.when(F.col("name") == n, F.col("m"))).alias(n) for n in med])
-    return df.groupBy(*KEYS).agg(*aggs).join(wide, KEYS, "left")
+    return df.groupBy(*KEYS).agg(*plain).join(wide, KEYS, "left")
 
 
 # --------------------------------------------------------- contrarian and extreme

@@ -12,7 +12,7 @@ from fillsight.functions.scalar import final_outcome, grid_tag
 from fillsight.operators import behavior as B, history as H, ledger as L, parsing as P
 from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS
 from fillsight.operators.scan import MAX_GROUP_ROWS, Cells, heavy_keys, join_dimension
-from fillsight.schema import MARKET, MARKET_WALLET
+from fillsight.schema import MARKET, MARKET_WALLET, TRADE_ORDER
 from fillsight.session import materialize
 
 KEYS = list(MARKET_WALLET)
@@ -80,6 +80,8 @@ LOOKUP_NEEDS = {
     "entry": frozenset({"trail"}), "grid": frozenset({"grid"}), "fixed": frozenset({"fixed"}),
     "contrarian": frozenset({"trail"}), "adaptive": frozenset({"grid"}),
 }
+# Families that one aggregation of the priced ledger gives together.
+POOLED = ("holding", "path", "grid", "fixed", "contrarian", "extreme")
 BEHAVIOR_COLUMNS = tuple(c for cols in FAMILIES.values() for c in cols)
 
 
@@ -139,7 +141,7 @@ class Behavior:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return self._keep(L.build_ledger(self.trades, self.wallet_cells))
+        return self._keep(B.with_previous_sign(L.build_ledger(self.trades, self.wallet_cells), self.wallet_cells))
 
     @cached_property
     def series(self) -> DataFrame:
@@ -198,8 +200,10 @@ class Behavior:
 
     def priced(self, needs: frozenset[str]) -> DataFrame:
         """Ledger rows with the needed lookups of their second and their market's facts."""
-        t = self.ledger.select(*KEYS, "ts", "is_buy", "token_micro", "cash_micro", "norm_price", "inventory_before")
-        f = self.dims.select(MARKET, "life", "h_rows", "p10", "p25", "p75", "p90")
+        t = self.ledger.select(
+            *KEYS, *TRADE_ORDER, "is_buy", "token_micro", "cash_micro", "norm_price", "inventory", "inventory_before", "prev_sign"
+        )
+        f = self.dims.select(MARKET, "outcome", "start_ts", "end_ts", "life", "h_rows", "p10", "p25", "p75", "p90")
         if needs:
             t = t.join(self.lookups_with(needs), [MARKET, "ts"])
         return join_dimension(t, f, MARKET, F.col("wallet"), self.heavy)
@@ -220,8 +224,7 @@ class Behavior:
             both = B.position_features(self.ledger, self.dims, self.wallet_cells, self.early_frac, self.heavy)
             return both.select(*KEYS, *FAMILIES[name])
         if name == "grid":
-            tags = None if wanted is None else {t for t in B.grid_tags() if any(w.endswith(t) for w in wanted & set(GRID))}
-            return B.markout_features(self.priced(needs), tags=tags, split=self.split)
+            return B.markout_features(self.priced(needs), tags=self._tags(wanted), split=self.split)
         if name == "fixed":
             return B.fixed_markout_features(self.priced(needs), split=self.split)
         if name == "realized":
@@ -236,31 +239,45 @@ class Behavior:
             return B.adaptive_features(self.lots, self.segments, self.lookups_with(needs), self.facts, heavy=self.heavy)
         raise KeyError(name)
 
+    def pooled(self, names: list[str], want: set[str] | None, needs: frozenset[str]) -> DataFrame:
+        """Several families of the priced ledger in one aggregation."""
+        t, aggs, med = self.priced(needs), {}, {}
+        if "grid" in names:
+            tags = self._tags(want)
+            t = B.with_scores(t, tags=tags)
+            found = B.markout_aggs(tags=tags)
+            aggs, med = aggs | found[0], med | found[1]
+        if "fixed" in names:
+            found = B.fixed_markout_aggs()
+            aggs, med = aggs | found[0], med | found[1]
+        for name, of in (("contrarian", B.contrarian_aggs), ("extreme", B.extreme_aggs)):
+            aggs |= of() if name in names else {}
+        position = B.position_aggs(self.early_frac) if {"holding", "path"} & set(names) else {}
+        aggs |= {n: c for n, c in position.items() if any(n in FAMILIES[f] for f in names)}
+        return B.with_medians(t, aggs, med, self.split) if med else B.aggregate_family(t, aggs)
+
+    @staticmethod
+    def _tags(want: set[str] | None) -> set[str] | None:
+        return None if want is None else {t for t in B.grid_tags() if any(w.endswith(t) for w in want & set(GRID))}
+
     def features(self, wanted: Iterable[str] | None = None) -> DataFrame:
         """All features, or only the families holding a requested one.
 
         Families not asked for are never planned: their lookups, segments and
-        aggregations do not run.
+        aggregations do not run. Those of the priced ledger share one aggregation.
         """
         want = set(wanted) if wanted is not None else None
         names = [n for n, cols in FAMILIES.items() if want is None or want & set(cols)]
         needs = frozenset().union(*[LOOKUP_NEEDS.get(n, frozenset()) for n in names])
-        out = self.ledger.select(*KEYS).distinct()
-        cols: list[str] = []
-        position = [n for n in names if n in ("holding", "path")]
-        for name in names:
-            if name in position[1:]:
-                cols += FAMILIES[name]
-                continue
-            if name in position:
-                df = B.position_features(self.ledger, self.dims, self.wallet_cells, self.early_frac, self.heavy)
-            else:
-                df = self.family(name, want, needs)
-            out = out.join(df, [MARKET] if name == "major" else KEYS, "left")
-            cols += [c for c in FAMILIES[name] if c in df.columns]
-        if want is not None:
-            cols = [c for c in cols if c in want]
-        return out.select(*KEYS, *cols)
+        pool = [n for n in names if n in POOLED]
+        frames = [(pool, self.pooled(pool, want, frozenset().union(*[needs if n in LOOKUP_NEEDS else frozenset() for n in pool])))] if pool else []
+        frames += [([n], self.family(n, want, needs)) for n in names if n not in POOLED]
+        out, cols = None if pool else self.ledger.select(*KEYS).distinct(), []
+        for members, df in frames:
+            out = df if out is None else out.join(df, [MARKET] if members == ["major"] else KEYS, "left")
+            cols += [c for n in members for c in FAMILIES[n] if c in df.columns]
+        order = [c for n in names for c in FAMILIES[n] if c in set(cols) and (want is None or c in want)]
+        return out.select(*KEYS, *order)
 
 
 def behavior_features(fills: DataFrame, markets: DataFrame, wanted: Iterable[str] | None = None, **kw) -> DataFrame:

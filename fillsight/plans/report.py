@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fillsight.functions.scalar import marker_size
 from fillsight.ml.metrics import auc_and_ap
 from fillsight.operators.history import map_trades_to_history
+from fillsight.operators.parsing import in_time_range
 from fillsight.operators.scan import Cells, numbered, with_scalars
 from fillsight.schema import MARKET, ratio
 
@@ -215,6 +216,11 @@ def plot_trades(trades: DataFrame, history: DataFrame, ranked: DataFrame | None
     return mapped.withColumn("marker_size", marker_size(F.col("token_amount")))
 
 
+def plot_window(history: DataFrame, mapped: DataFrame | None, start: int | None = None, end: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The curve and the trades on it from ``start`` to ``end``, both inclusive; a bound that is None is open."""
+    return in_time_range(history, start, end), None if mapped is None else in_time_range(mapped, start, end)
+
+
 def y_limits(history: DataFrame, mapped: DataFrame, pad: float = 0.05, by: Sequence[str] = (MARKET,)) -> DataFrame:
     """Padded price limits over the curve and the trades."""
     prices = history.select(*by, F.col("yes_price").alias("p")).unionByName(mapped.select(*by, F.col("history_yes_price").alias("p")))

@@ -544,7 +544,9 @@ Q["market_volume"] = """
 SELECT market_slug, ts, round(cash / 1e6, 8) + 0.0 AS cash_amount, round(token / 1e6, 8) + 0.0 AS token_amount, CASE WHEN is_no THEN 'NO' ELSE 'YES' END AS outcome,
   round(CASE WHEN token > 0 THEN CASE WHEN is_no THEN 1 - cash / token ELSE cash / token END END, 8) + 0.0 AS yes_price FROM b_ev4"""
 Q["wallet_ledger"] = "SELECT market_slug, wallet, trade_id, role, seq, inventory, inventory_before FROM b_ledger"
-Q["plot_window"] = "SELECT market_slug, ts, round(yes_price, 8) + 0.0 AS yes_price FROM b_hist WHERE ts BETWEEN 1704400000 AND 1704800000"
+Q["plot_window"] = """
+SELECT 'curve' AS part, market_slug, ts, NULL AS wallet, round(yes_price, 8) + 0.0 AS yes_price FROM b_hist WHERE ts BETWEEN 1704400000 AND 1704800000
+UNION ALL SELECT 'trade', market_slug, ts, wallet, round(h_p, 8) + 0.0 FROM b_ynear WHERE ts BETWEEN 1704400000 AND 1704800000"""
 B["b_top"] = "SELECT *, row_number() OVER (PARTITION BY market_slug ORDER BY volume_micro DESC, wallet) AS rank FROM b_vol"
 Q["top_volume_report"] = """
 SELECT market_slug, wallet, round(volume_micro / 1e6, 8) + 0.0 AS volume, n_trades, rank FROM b_top WHERE rank <= 20 AND volume_micro > 100 * 1000000"""

@@ -11,7 +11,7 @@ from fillsight.functions import scalar as S
 from fillsight.operators import asof as A, behavior as B, dataset as D, history as H, ledger as L, parsing as P
 from fillsight.plans import report as R
 from fillsight.schema import MARKET, MICRO
-from fillsight.session import ensure_checkpoint_dir
+from fillsight.session import materialize, shared_folder
 from fillsight.sources import documents as SD, fills as SF, markets as SM, tables as ST, wallets as SW
 from registry.core import context, query, r
 
@@ -221,8 +221,7 @@ def result_slices(spark, sf):
 
 def _folder(spark, name):
     """A new folder in the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 @query
@@ -336,8 +335,11 @@ def wallet_ledger(spark, sf):
 
 @query
 def plot_window(spark, sf):
-    h = P.in_time_range(context(spark, sf).history, 1_704_400_000, 1_704_800_000)
-    return r(h.select(MARKET, "ts", "yes_price"))
+    """The price curve and the trades on it within a time range."""
+    c, bounds = context(spark, sf), (1_704_400_000, 1_704_800_000)
+    curve, trades = R.plot_window(c.history, R.plot_trades(c.trades, c.history, cells=c.market_cells), *bounds)
+    return r(curve.select(F.lit("curve").alias("part"), MARKET, "ts", F.lit(None).cast("string").alias("wallet"), "yes_price").unionByName(
+        trades.select(F.lit("trade").alias("part"), MARKET, "ts", "wallet", F.col("history_yes_price").alias("yes_price"))))
 
 
 @query
@@ -384,7 +386,7 @@ def binary_summary(spark, sf):
 @query
 def wallet_rankings(spark, sf):
     """All seven rankings, ten wallets per market each."""
-    s = P.wallet_summary(context(spark, sf).trades).persist()
+    s = materialize(P.wallet_summary(context(spark, sf).trades))
     both = s.join(P.binary_summary(s).drop("n_trades"), [MARKET, "wallet"])
     out = None
     for name in P.RANKINGS:
