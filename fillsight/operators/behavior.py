@@ -56,7 +56,8 @@ def herfindahl(df: DataFrame, keys: Sequence[str], group: Column, value: str, ou
 # ----------------------------------------------------------------------- entry
 
 def entry_features(
-    ledger: DataFrame, lookups: DataFrame, facts: DataFrame, history: DataFrame, bin_sec: int = 3600, max_rows: int | None = None
+    ledger: DataFrame, lookups: DataFrame, facts: DataFrame, history: DataFrame, bin_sec: int = 3600, max_rows: int | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """When and how the wallet first bought; one row per wallet that bought at all.
 
@@ -81,8 +82,8 @@ def entry_features(
     # an average of equal prices may miss them by rounding, hence the 1e-12
     e = e.withColumn("_probe", F.col("avg_price") + 1e-12)
     # one row per pair: written once, the split plan and the lookup both read it
-    e = price_percentile(materialize(e), history, "_probe", "entry_price_percentile", max_rows)
-    e = e.join(facts.select(MARKET, "start_ts", "end_ts", "major_move_time"), MARKET)
+    e = price_percentile(materialize(e), history, "_probe", "entry_price_percentile", max_rows, heavy)
+    e = join_dimension(e, facts.select(MARKET, "start_ts", "end_ts", "major_move_time"), MARKET, F.col("wallet"), heavy)
     a, b = F.col("start_ts"), F.col("end_ts")
     return e.select(
         *KEYS, "entry_price_percentile",
@@ -302,7 +303,7 @@ def aggregate_family(trades: DataFrame, aggs: dict[str, Column]) -> DataFrame:
     return trades.groupBy(*KEYS).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def day_features(ledger: DataFrame, facts: DataFrame) -> DataFrame:
+def day_features(ledger: DataFrame, facts: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """Active UTC days per side, cash concentration over days, share of market days active."""
     days = ledger.groupBy(*KEYS, F.expr("ts div 86400").alias("day")).agg(
         F.count_if(_buy()).alias("nb"), F.count_if(_sell()).alias("ns"),
@@ -319,7 +320,7 @@ def day_features(ledger: DataFrame, facts: DataFrame) -> DataFrame:
         hhi(F.col("cb") + F.col("cs")).alias("active_day_concentration_hhi"),
     )
     span = facts.select(MARKET, F.expr("h_end div 86400 - h_start div 86400 + 1").alias("_days"))
-    return d.join(span, MARKET).withColumn(
+    return join_dimension(d, span, MARKET, F.col("wallet"), heavy).withColumn(
         "active_day_frac", ratio(F.col("n_distinct_active_days"), F.greatest(F.col("_days"), F.lit(1)))
     ).drop("_days")
 

@@ -51,7 +51,9 @@ def sums_index(history: DataFrame, cells: Cells | None = None) -> DataFrame:
     from the previous row.
     """
     origin = history.groupBy(MARKET).agg(F.min("ts").alias("t0"))
-    h = history.select(MARKET, "ts", "trade_id", "yes_price").join(origin, MARKET)
+    h = history.select(MARKET, "ts", "trade_id", "yes_price")
+    # without over-full groups every market fits a task, which the scans below rely on as well
+    h = join_dimension(h, origin, MARKET, F.col("ts")) if cells is not None and cells.split else h.join(origin, MARKET)
     x = (F.col("ts") - F.col("t0")).cast("decimal(20,0)")
     y = F.round(F.col("yes_price") * PRICE_SCALE).cast("bigint")
     h = h.select("*", x.alias("x"), y.cast("decimal(20,0)").alias("y"))
@@ -265,7 +267,9 @@ def map_trades_to_history(
     )
 
 
-def price_percentile(points: DataFrame, history: DataFrame, price: str, out: str, max_rows: int | None = None) -> DataFrame:
+def price_percentile(
+    points: DataFrame, history: DataFrame, price: str, out: str, max_rows: int | None = None, heavy: DataFrame | None = None
+) -> DataFrame:
     """Share of the market's history rows priced at or below ``price``.
 
     An as-of lookup on the price axis against cumulative row counts.
@@ -278,7 +282,7 @@ def price_percentile(points: DataFrame, history: DataFrame, price: str, out: str
     totals = counts.groupBy(MARKET).agg(F.sum("_k").alias("_rows"))
     got = asof_join(points, ranked.select(MARKET, "h_price", "_upto"), [MARKET], price, "h_price", ["_upto"], cells=cells)
     share = F.when(F.col(price).isNotNull(), F.coalesce(F.col("_upto"), F.lit(0)) / F.col("_rows"))
-    return got.join(totals, MARKET).withColumn(out, share).drop("_upto", "_rows")
+    return join_dimension(got, totals, MARKET, F.col(price), heavy).withColumn(out, share).drop("_upto", "_rows")
 
 
 def step_series(history: DataFrame, cells: Cells | None = None) -> DataFrame:

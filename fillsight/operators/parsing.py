@@ -176,7 +176,7 @@ def price_history(
     """
     f = dedupe_fills(fills) if drop_duplicates else fills
     dim = markets.select(F.col("slug").alias(MARKET), "yes_token_id", "no_token_id")
-    f = f.join(dim, MARKET)
+    f = join_dimension(f, dim, MARKET, F.col("id"))
     outcome_token = lambda c: (F.col(c) == F.col("yes_token_id")) | (F.col(c) == F.col("no_token_id"))
     maker_pays = (F.col("makerAssetId") == CASH_ASSET) & outcome_token("takerAssetId")
     taker_pays = (F.col("takerAssetId") == CASH_ASSET) & outcome_token("makerAssetId")
@@ -232,7 +232,7 @@ def market_volume(fills: DataFrame, markets: DataFrame, cash_assets: Sequence[st
     require(fills, ["timestamp", "makerAssetId", "takerAssetId", "makerAmountFilled", "takerAmountFilled"])
     dim = markets.select(F.col("slug").alias(MARKET), "yes_token_id", "no_token_id")
     f = fills.withColumn("_m", number("makerAmountFilled", "bigint")).withColumn("_t", number("takerAmountFilled", "bigint"))
-    f = f.dropna(subset=["timestamp", "_m", "_t"]).join(dim, MARKET)
+    f = join_dimension(f.dropna(subset=["timestamp", "_m", "_t"]), dim, MARKET, F.col("id"))
     token = lambda c: F.coalesce(F.col(c).isin(F.col("yes_token_id"), F.col("no_token_id")), F.lit(False))
     cash = (lambda c: F.col(c).isin(*cash_assets)) if cash_assets is not None else (lambda c: ~token(c))
     gives = token("makerAssetId") & cash("takerAssetId")

@@ -217,7 +217,7 @@ class Behavior:
         if name == "major":
             return H.with_move_position(self.moves, self.markets).select(MARKET, *MAJOR)
         if name == "entry":
-            return B.entry_features(self.ledger, self.lookups_with(needs), self.facts, self.history, max_rows=self.max_group_rows)
+            return B.entry_features(self.ledger, self.lookups_with(needs), self.facts, self.history, max_rows=self.max_group_rows, heavy=self.heavy)
         if name == "unrealized":
             return L.unrealized_features(self.segments, self.dims, self.heavy)
         if name in ("holding", "path"):
@@ -234,7 +234,7 @@ class Behavior:
         if name == "extreme":
             return B.aggregate_family(self.priced(frozenset()), B.extreme_aggs())
         if name == "days":
-            return B.day_features(self.ledger, self.dims)
+            return B.day_features(self.ledger, self.dims, self.heavy)
         if name == "adaptive":
             return B.adaptive_features(self.lots, self.segments, self.lookups_with(needs), self.facts, heavy=self.heavy)
         raise KeyError(name)
