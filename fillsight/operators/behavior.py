@@ -18,7 +18,7 @@ from fillsight.functions.scalar import (
 )
 from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS, price_percentile
 from fillsight.operators.ledger import DERISK_THRESHOLDS, derisk_name
-from fillsight.operators.scan import Cells, join_dimension, percentiles, scan
+from fillsight.operators.scan import COUNT, Cells, join_dimension, percentiles, scan
 from fillsight.schema import MARKET, MARKET_WALLET, MICRO, TRADE_ORDER, ratio
 from fillsight.session import materialize
 
@@ -57,7 +57,7 @@ def herfindahl(df: DataFrame, keys: Sequence[str], group: Column, value: str, ou
 
 def entry_features(
     ledger: DataFrame, lookups: DataFrame, facts: DataFrame, history: DataFrame, bin_sec: int = 3600, max_rows: int | None = None,
-    heavy: DataFrame | None = None,
+    heavy: DataFrame | None | object = COUNT,
 ) -> DataFrame:
     """When and how the wallet first bought; one row per wallet that bought at all.
 
@@ -143,7 +143,7 @@ def position_aggs(early_frac: float = 0.5) -> dict[str, Column]:
 
 
 def position_features(
-    ledger: DataFrame, facts: DataFrame, cells: Cells | None = None, early_frac: float = 0.5, heavy: DataFrame | None = None
+    ledger: DataFrame, facts: DataFrame, cells: Cells | None = None, early_frac: float = 0.5, heavy: DataFrame | None | object = COUNT
 ) -> DataFrame:
     """``position_aggs`` of every (market, wallet)."""
     df = ledger if "prev_sign" in ledger.columns else with_previous_sign(ledger, cells)
@@ -303,7 +303,7 @@ def aggregate_family(trades: DataFrame, aggs: dict[str, Column]) -> DataFrame:
     return trades.groupBy(*KEYS).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def day_features(ledger: DataFrame, facts: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def day_features(ledger: DataFrame, facts: DataFrame, heavy: DataFrame | None | object = COUNT) -> DataFrame:
     """Active UTC days per side, cash concentration over days, share of market days active."""
     days = ledger.groupBy(*KEYS, F.expr("ts div 86400").alias("day")).agg(
         F.count_if(_buy()).alias("nb"), F.count_if(_sell()).alias("ns"),
@@ -328,7 +328,7 @@ def day_features(ledger: DataFrame, facts: DataFrame, heavy: DataFrame | None =
 # -------------------------------------------------------------------- adaptive
 
 def lot_markouts(
-    lots: DataFrame, lookups: DataFrame, facts: DataFrame, fracs: Sequence[float] = GRID_FRACS, heavy: DataFrame | None = None
+    lots: DataFrame, lookups: DataFrame, facts: DataFrame, fracs: Sequence[float] = GRID_FRACS, heavy: DataFrame | None | object = COUNT
 ) -> DataFrame:
     """Range-normalized markout of each lot with open units, per horizon (``mv0``…).
 
@@ -368,7 +368,7 @@ def lot_markouts(
 def adaptive_features(
     lots: DataFrame, segments: DataFrame, lookups: DataFrame, facts: DataFrame,
     fracs: Sequence[float] = GRID_FRACS, thresholds: Sequence[float] = DERISK_THRESHOLDS, spike_lambda: float = 1.0,
-    heavy: DataFrame | None = None,
+    heavy: DataFrame | None | object = COUNT,
 ) -> DataFrame:
     """Lot-level markouts, realized edge and closing times per (market, wallet).
 

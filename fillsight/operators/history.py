@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fillsight.functions.scalar import time_position, time_remaining
 from fillsight.operators.asof import asof_join, backward, build_index, forward, lookup, nearest
-from fillsight.operators.scan import PRICE_WIDTHS, TIME_WIDTHS, Cells, heavy_keys, join_dimension, percentiles, plan_cells, scan
+from fillsight.operators.scan import COUNT, PRICE_WIDTHS, TIME_WIDTHS, Cells, heavy_keys, join_dimension, percentiles, plan_cells, scan
 from fillsight.schema import MARKET, ratio
 
 GRID_FRACS = (0.01, 0.03, 0.07, 0.15, 0.20)
@@ -268,7 +268,7 @@ def map_trades_to_history(
 
 
 def price_percentile(
-    points: DataFrame, history: DataFrame, price: str, out: str, max_rows: int | None = None, heavy: DataFrame | None = None
+    points: DataFrame, history: DataFrame, price: str, out: str, max_rows: int | None = None, heavy: DataFrame | None | object = COUNT
 ) -> DataFrame:
     """Share of the market's history rows priced at or below ``price``.
 

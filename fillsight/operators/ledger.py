@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fillsight.operators.scan import TIME_WIDTHS, UNIT_WIDTHS, Cells, join_dimension, plan_cells, scan
+from fillsight.operators.scan import COUNT, TIME_WIDTHS, UNIT_WIDTHS, Cells, join_dimension, plan_cells, scan
 from fillsight.schema import MARKET_WALLET, MICRO, TRADE_ORDER, ratio
 
 KEYS = list(MARKET_WALLET)
@@ -219,7 +219,7 @@ def _early(ts: Column, start: Column, end: Column, frac: float) -> Column:
     return ts <= start + frac * (end - start)
 
 
-def realized_features(segments: DataFrame, markets: DataFrame, early_frac: float = 0.5, heavy: DataFrame | None = None) -> DataFrame:
+def realized_features(segments: DataFrame, markets: DataFrame, early_frac: float = 0.5, heavy: DataFrame | None | object = COUNT) -> DataFrame:
     """Realized profit per (market, wallet): totals, rates per closing trade and early copies."""
     piece = F.col("qty_micro") * F.col("pnl_per_token")
     per_trade = segments.filter("matched").groupBy(*KEYS, F.col("exit.seq").alias("seq"), F.col("exit.ts").alias("ts")).agg(
@@ -244,7 +244,7 @@ def realized_features(segments: DataFrame, markets: DataFrame, early_frac: float
     return t.groupBy(*KEYS).agg(*cols)
 
 
-def unrealized_features(segments: DataFrame, market_facts: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def unrealized_features(segments: DataFrame, market_facts: DataFrame, heavy: DataFrame | None | object = COUNT) -> DataFrame:
     """Edge of the open units against settlement, per gross token ever traded.
 
     ``market_facts`` carries outcome, price_min and price_max per market. Gross

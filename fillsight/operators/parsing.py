@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fillsight.operators.scan import join_dimension
+from fillsight.operators.scan import COUNT, heavy_keys, join_dimension
 from fillsight.schema import MARKET, MARKET_WALLET, MICRO, TRADE_ORDER, number, ratio, require
 
 CASH_ASSET = "0"
@@ -33,14 +33,15 @@ def order_fills(fills: DataFrame) -> DataFrame:
     return fills.orderBy(*FILL_ORDER)
 
 
-def _with_market(fills: DataFrame, markets: DataFrame) -> DataFrame:
-    dim = markets.select(F.col("slug").alias(MARKET), "token_ids", "outcomes")
-    return join_dimension(fills, dim, MARKET, F.col("id"))
+def heavy_markets(fills: DataFrame, rows_per_fill: int = 2) -> DataFrame | None:
+    """Markets whose fills (two trades each) are dealt over several tasks where they meet their market's row."""
+    return heavy_keys(fills.groupBy(MARKET).agg((rows_per_fill * F.count("*")).alias("n")), [MARKET])
 
 
-def classify_fills(fills: DataFrame, markets: DataFrame) -> DataFrame:
+def classify_fills(fills: DataFrame, markets: DataFrame, heavy: DataFrame | None | object = COUNT) -> DataFrame:
     """Give every fill its traded token and maker side; fills of unknown tokens drop out."""
-    f = _with_market(fills, markets)
+    dim = markets.select(F.col("slug").alias(MARKET), "token_ids", "outcomes")
+    f = join_dimension(fills, dim, MARKET, F.col("id"), heavy)
     maker_known = F.array_position("token_ids", F.col("makerAssetId"))
     taker_known = F.array_position("token_ids", F.col("takerAssetId"))
     f = f.withColumn("_mi", maker_known).withColumn("_ti", taker_known)
@@ -66,9 +67,9 @@ def classify_fills(fills: DataFrame, markets: DataFrame) -> DataFrame:
     )
 
 
-def parse_trades(fills: DataFrame, markets: DataFrame) -> DataFrame:
+def parse_trades(fills: DataFrame, markets: DataFrame, heavy: DataFrame | None | object = COUNT) -> DataFrame:
     """Two trade rows per fill, one for the maker and one for the taker."""
-    c = classify_fills(fills, markets)
+    c = classify_fills(fills, markets, heavy)
     side = lambda buys: F.when(buys, F.lit("BUY")).otherwise(F.lit("SELL"))
     legs = F.array(
         F.struct(
@@ -168,6 +169,7 @@ def price_history(
     same_timestamp: str | None = "last",
     convert_no_to_yes: bool = True,
     drop_duplicates: bool = True,
+    heavy: DataFrame | None | object = COUNT,
 ) -> DataFrame:
     """YES-price series per market from cash-for-token fills.
 
@@ -176,7 +178,7 @@ def price_history(
     """
     f = dedupe_fills(fills) if drop_duplicates else fills
     dim = markets.select(F.col("slug").alias(MARKET), "yes_token_id", "no_token_id")
-    f = join_dimension(f, dim, MARKET, F.col("id"))
+    f = join_dimension(f, dim, MARKET, F.col("id"), heavy)
     outcome_token = lambda c: (F.col(c) == F.col("yes_token_id")) | (F.col(c) == F.col("no_token_id"))
     maker_pays = (F.col("makerAssetId") == CASH_ASSET) & outcome_token("takerAssetId")
     taker_pays = (F.col("takerAssetId") == CASH_ASSET) & outcome_token("makerAssetId")

@@ -232,15 +232,19 @@ def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_s", values).select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in row.columns])
 
 
-def join_dimension(df: DataFrame, dim: DataFrame, key: str, spread: Column, heavy: DataFrame | None = None) -> DataFrame:
+# Tells ``join_dimension`` to count the keys itself.
+COUNT = object()
+
+
+def join_dimension(df: DataFrame, dim: DataFrame, key: str, spread: Column, heavy: DataFrame | None | object = COUNT) -> DataFrame:
     """Inner join with one row per ``key`` that keeps no hot key in one task.
 
     Where the dimension is too large to be broadcast, a plain join leaves all rows of a key
     in one task, and later aggregations by (key, more) would stay there. The rows of a heavy
-    key are dealt over as many salts as its rows need. ``heavy`` (see ``heavy_keys``) spares the
-    count of the keys where several joins share it.
+    key are dealt over as many salts as its rows need. ``heavy`` (the result of ``heavy_keys``)
+    spares the count of the keys where several joins share it.
     """
-    if heavy is None:
+    if heavy is COUNT:
         heavy = heavy_keys(df.groupBy(key).agg(F.count("*").alias("n")), [key])
     return _salted_join(df, dim, [key], heavy, spread)
 
@@ -250,16 +254,17 @@ JOIN_ROWS = 200_000
 MANY_KEYS = 50_000
 
 
-def heavy_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and ``_salts`` of the keys with more rows (``n``) than a task should get at once.
+def heavy_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """keys and ``_salts`` of the keys with more rows (``n``) than a task should get at once; None without any.
 
     What counts as many grows with the table, so at most ``MANY_KEYS`` keys are heavy and the
     result may be broadcast at any size of the table.
     """
-    counts = materialize(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    bound = max(JOIN_ROWS, total // MANY_KEYS)
-    return counts.where(F.col("n") > bound).select(*keys, (F.floor(F.col("n") / bound) + 1).cast("int").alias("_salts"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    bound = max(JOIN_ROWS, (total or 0) // MANY_KEYS)
+    if (most or 0) <= bound:
+        return None
+    return materialize(counts.where(F.col("n") > bound).select(*keys, (F.floor(F.col("n") / bound) + 1).cast("int").alias("_salts")))
 
 
 def join_counted(df: DataFrame, dim: DataFrame, keys: Sequence[str], counts: DataFrame, spread: Column) -> DataFrame:
@@ -271,7 +276,9 @@ def join_counted(df: DataFrame, dim: DataFrame, keys: Sequence[str], counts: Dat
     return _salted_join(df, dim, list(keys), heavy_keys(counts, keys), spread)
 
 
-def _salted_join(df: DataFrame, dim: DataFrame, keys: list[str], heavy: DataFrame, spread: Column) -> DataFrame:
+def _salted_join(df: DataFrame, dim: DataFrame, keys: list[str], heavy: DataFrame | None, spread: Column) -> DataFrame:
+    if heavy is None:
+        return df.join(dim, keys)
     salts = F.coalesce("_salts", F.lit(1))
     heavy = F.broadcast(heavy)
     dealt = df.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from fillsight.functions.scalar import final_outcome, grid_tag
 from fillsight.operators import behavior as B, history as H, ledger as L, parsing as P
 from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS
-from fillsight.operators.scan import MAX_GROUP_ROWS, Cells, heavy_keys, join_dimension
+from fillsight.operators.scan import MAX_GROUP_ROWS, Cells, join_dimension
 from fillsight.schema import MARKET, MARKET_WALLET, TRADE_ORDER
 from fillsight.session import materialize
 
@@ -111,12 +111,12 @@ class Behavior:
 
     @cached_property
     def trades(self) -> DataFrame:
-        return self._keep(P.normalize_trades(P.parse_trades(self.clean, self.markets)))
+        return self._keep(P.normalize_trades(P.parse_trades(self.clean, self.markets, self.heavy)))
 
     @cached_property
-    def heavy(self) -> DataFrame:
+    def heavy(self) -> DataFrame | None:
         """Markets whose trades are dealt over several tasks where they meet their market's facts."""
-        return self._keep(heavy_keys(self.trades.groupBy(MARKET).agg(F.count("*").alias("n")), [MARKET]))
+        return P.heavy_markets(self.fills)
 
     @cached_property
     def wallet_cells(self) -> Cells:
@@ -137,7 +137,7 @@ class Behavior:
 
     @cached_property
     def history(self) -> DataFrame:
-        return self._keep(P.price_history(self.clean, self.markets, self.same_timestamp, drop_duplicates=False))
+        return self._keep(P.price_history(self.clean, self.markets, self.same_timestamp, drop_duplicates=False, heavy=self.heavy))
 
     @cached_property
     def ledger(self) -> DataFrame:
