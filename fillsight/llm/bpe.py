@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -28,9 +27,11 @@ from fillsight.llm.common import map_texts
 
 CHUNK_CHARS = 500_000
 MEMORY_PIECES = 150_000
+# The pattern of the public encoder, a fixed value; ``piece_bounds`` finds its matches by array operations.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
-# between two words a cut never changes the pieces
-_SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+# where a run of letters of any script ends a piece ends, and the pattern never looks back
+_SAFE_CUT = regex.compile(r"(?<=\p{L})(?=\P{L})")
 
 
 def load_ranks(path: str) -> bytes:

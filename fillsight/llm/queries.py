@@ -75,8 +75,10 @@ FROM dw LEFT JOIN cover USING (k) LEFT JOIN item USING (k)
 def rank_file() -> bytes:
     import public_tokenizers
 
-    from fillsight.llm.bpe import load_ranks
+    from fillsight.llm.bpe import PATTERN, load_ranks
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the tokenizer's pattern is not the one the pieces are cut by")
     return load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -230,6 +230,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.col("doc_id").isNull(), key.alias("k"), F.col("_h").alias("h"))).alias("s"))
         .select(F.col("s.k").alias("_simhash_key"), F.col("s.h").alias("_simhash_text"))
     )
-    marked = docs.withColumns({"_simhash_key": key, "_simhash_text": text})
     names = ["_simhash_key", "_simhash_text"]
-    return marked.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
+    # whole rows travel in one column, so no column of theirs can clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias(names[0]), text.alias(names[1]))
+    return packed.join(kept, names, "left_semi").dropDuplicates(names).select("row.*")

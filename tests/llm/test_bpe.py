@@ -82,3 +82,17 @@ def test_query_columns(docs, edge_rows, vocab, reference):
     back = bpe.decoded(made, FILE).collect()
     assert sorted(map(tuple, back), key=repr) == sorted(((d, t or "") for d, t in edge_rows), key=repr)
     assert bpe.digests(docs([]), FILE).collect() == []
+
+
+def test_long_texts_of_any_script_are_cut(vocab, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 500)
+    r = random.Random(4)
+    scripts = ["абвгдеж", "αβγδε", "中文字，。", "אבגד", "한국어 ", "don't we'll "]
+    texts = ["".join(r.choice(s) for _ in range(3_000)) if " " in s or "，" in s else " ".join("".join(r.choice(s) for _ in range(r.randint(1, 9))) for _ in range(600)) for s in scripts]
+    for t in texts:
+        parts = list(bpe._segments(t))
+        assert "".join(parts) == t and len(parts) > 3 and max(map(len, parts)) < 700
+    got = {}
+    for i, ids in bpe.encode_texts(vocab, texts):
+        got.setdefault(i, []).extend(ids)
+    assert [got[i] for i in range(len(texts))] == [reference.encode_ordinary(t) for t in texts]

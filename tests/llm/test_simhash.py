@@ -85,3 +85,10 @@ def test_one_row_of_each_group_stays(docs, edge_rows):
     long = edge_rows[4][1]
     assert got.count((5, long)) == 1
     assert sum(t is None or not t.split() for _, t in got) == 1  # all empty texts share the zero fingerprint
+
+
+def test_kept_rows_keep_all_their_columns(spark):
+    rows = [(1, "a b c d", "x", 5), (2, "a b c d", "y", 6), (3, "other words here now", None, 7)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _simhash_key string, row int")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
