@@ -67,6 +67,8 @@ class IdentityIndex:
             self._write(every, target, target.replace(self.ids.path, self.filters.path))
 
         self.ids.merge(runs, merge)
+        if runs:
+            self.filters.retire(batch - 2)
 
     def _write(self, ids: DataFrame, ids_path: str, filters_path: str) -> None:
         """The filters are written first: a run counts once its ids are there."""
@@ -83,12 +85,12 @@ class IdentityIndex:
 
     def candidates(self, ids: DataFrame, before: int) -> DataFrame:
         """(run, part, id): files of the index whose filter says yes to an id of the batch."""
-        runs = [r.path for r in self.ids.runs(before)]
+        runs = self.ids.runs(before)
         if not runs:
             return self.spark.createDataFrame([], "run int, part bigint, id string")
         filters = None
-        for i, path in enumerate(runs):
-            one = self.spark.read.schema(_FILTERS).parquet(path.replace(self.ids.path, self.filters.path)).withColumn("run", F.lit(i))
+        for i, run in enumerate(runs):
+            one = self.spark.read.schema(_FILTERS).parquet(f"{self.filters.path}/{run.name}").withColumn("run", F.lit(i))
             filters = one if filters is None else filters.unionByName(one)
         # the depth of a run follows from its largest part; one row per run
         sizes = filters.groupBy("run").agg(F.sum("n").alias("n")).collect()

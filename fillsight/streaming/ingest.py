@@ -76,14 +76,22 @@ def ingest_fills(fills: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def merge_fills(spark: SparkSession, out: str, before: int) -> None:
-    """Merge the small folders of landed fills of batches below ``before``, in place."""
+    """Merge the small folders of landed fills of batches below ``before``, in place.
+
+    The folders of batches stay for the streams that have yet to read them (``retire_fills``).
+    """
     table = Runs(spark, f"{out}/fills")
 
     def write(paths: list[str], target: str) -> None:
         rows = read_folders(spark, paths, LANDED).hint("rebalance", *PLACE)
         rows.write.mode("overwrite").partitionBy(*PLACE).parquet(target)
 
-    table.merge(table.due(before), write)
+    table.merge(table.due(before), write, keep=None)
+
+
+def retire_fills(spark: SparkSession, out: str, last: int) -> None:
+    """Delete merged folders of batches up to ``last``, which every stream over them has read."""
+    Runs(spark, f"{out}/fills").retire(last)
 
 
 def landed_fills(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:

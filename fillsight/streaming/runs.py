@@ -26,6 +26,7 @@ class Run:
     last: int
     path: str
     size: int
+    name: str  # below the table: new/batch=3 or merged/0-7
 
 
 def read_folders(spark: SparkSession, paths: list[str], schema: T.StructType | str | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ class Runs:
             marker = self._folder(f"{path}/_SUCCESS")[1]
             if status.isDirectory() and fs.exists(marker):
                 first, last = name.split("-") if below == "merged" else [name.removeprefix("batch=")] * 2
-                out.append(Run(int(first), int(last), path, fs.getContentSummary(status.getPath()).getLength()))
+                out.append(Run(int(first), int(last), path, fs.getContentSummary(status.getPath()).getLength(), f"{below}/{name}"))
         return out
 
     def runs(self, before: int | None = None) -> list[Run]:
@@ -101,14 +102,19 @@ class Runs:
             total += r.size
         return take
 
-    def merge(self, runs: list[Run], write: Callable[[list[str], str], None], keep: int = 2) -> None:
-        """``write(paths, target)`` makes one folder of several; folders covered long ago go."""
+    def merge(self, runs: list[Run], write: Callable[[list[str], str], None], keep: int | None = 2) -> None:
+        """``write(paths, target)`` makes one folder of several. Covered folders go once ``keep``
+        later batches exist, or stay for ``retire`` where that is None."""
         if len(runs) < 2:
             return
         write([r.path for r in runs], f"{self.path}/merged/{runs[0].first}-{runs[-1].last}")
-        newest = max(r.last for r in self._finished("new"))
-        seen = self.runs()
+        if keep is not None:
+            self.retire(max(r.last for r in self._finished("new")) - keep)
+
+    def retire(self, last: int) -> None:
+        """Delete covered folders of batches up to ``last``."""
+        seen = {r.name for r in self.runs()}
         for r in self._finished("merged") + self._finished("new"):
-            if r not in seen and r.last + keep <= newest:
+            if r.name not in seen and r.last <= last:
                 fs, place = self._folder(r.path)
                 fs.delete(place, True)

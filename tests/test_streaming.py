@@ -45,6 +45,13 @@ def test_merges_change_no_result_and_survive_a_retry(spark, sf, tmp_path, monkey
     out = S.ingested(spark, f"{tmp_path}/out")
     assert rows(out) == rows(f)
     assert rows(S.tracked(spark, view, f"{tmp_path}/vol")) == rows(view.add_up(view.rows(f)))
+    # a stream that comes late still finds every batch; what all have read may go
+    S.track(S.ingested_stream(spark, f"{tmp_path}/out"), view, f"{tmp_path}/late", f"{tmp_path}/ck-late").awaitTermination()
+    assert rows(S.tracked(spark, view, f"{tmp_path}/late")) == rows(view.add_up(view.rows(f)))
+    folders = lambda: len(list((tmp_path / "out/fills/new").glob("batch=*")))
+    assert folders() == 8
+    S.retire_fills(spark, f"{tmp_path}/out", 3)
+    assert folders() < 8 and rows(S.ingested(spark, f"{tmp_path}/out")) == rows(f)
     # what a retry of the last batch knows: everything but its own fills
     last = max(r.last for r in table.runs())
     index = I.IdentityIndex(spark, f"{tmp_path}/out/index")
