@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fillsight.operators.scan import COUNT, heavy_keys, join_dimension
-from fillsight.schema import MARKET, MARKET_WALLET, MICRO, TRADE_ORDER, number, ratio, require
+from fillsight.schema import MARKET, MARKET_WALLET, MICRO, number, ratio, require
 
 CASH_ASSET = "0"
 

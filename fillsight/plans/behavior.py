@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from fillsight.functions.scalar import final_outcome, grid_tag
+from fillsight.ml.together import side_by_side
 from fillsight.operators import behavior as B, history as H, ledger as L, parsing as P
 from fillsight.operators.history import FIXED_HORIZONS, GRID_FRACS
 from fillsight.operators.scan import MAX_GROUP_ROWS, Cells, join_dimension
@@ -198,6 +199,25 @@ class Behavior:
     def lots(self) -> DataFrame:
         return L.build_lots(self.segments)
 
+    def _stage(self, names: Iterable[str], needs: frozenset[str]) -> None:
+        """Write the shared frames these families read, independent ones side by side."""
+        if not self.stage:
+            return
+        names, spark = set(names), self.fills.sparkSession
+        self.heavy, self.clean  # both chains below read them
+        side_by_side(spark, [lambda: self.history, lambda: self.ledger])
+        after = []
+        if needs or "entry" in names or "adaptive" in names:
+            self.series  # both of the next read it
+        if needs:
+            self.market_cells
+            after.append(lambda: self.lookups_with(needs))
+        if names & {"unrealized", "realized", "adaptive"}:
+            after.append(lambda: self.segments)
+        if names & {"entry", "adaptive"}:
+            after.append(lambda: self.facts)
+        side_by_side(spark, after)
+
     def priced(self, needs: frozenset[str]) -> DataFrame:
         """Ledger rows with the needed lookups of their second and their market's facts."""
         t = self.ledger.select(
@@ -213,7 +233,10 @@ class Behavior:
 
         ``needs`` lets several families share one set of lookups.
         """
-        needs = LOOKUP_NEEDS.get(name, frozenset()) if needs is None else needs
+        if needs is None:
+            needs = LOOKUP_NEEDS.get(name, frozenset())
+            if name != "major":
+                self._stage([name], needs)
         if name == "major":
             return H.with_move_position(self.moves, self.markets).select(MARKET, *MAJOR)
         if name == "entry":
@@ -269,6 +292,7 @@ class Behavior:
         want = set(wanted) if wanted is not None else None
         names = [n for n, cols in FAMILIES.items() if want is None or want & set(cols)]
         needs = frozenset().union(*[LOOKUP_NEEDS.get(n, frozenset()) for n in names])
+        self._stage(names, needs)
         pool = [n for n in names if n in POOLED]
         frames = [(pool, self.pooled(pool, want, frozenset().union(*[needs if n in LOOKUP_NEEDS else frozenset() for n in pool])))] if pool else []
         frames += [([n], self.family(n, want, needs)) for n in names if n not in POOLED]
