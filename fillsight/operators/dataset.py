@@ -277,11 +277,12 @@ def loo_folds(df: DataFrame, keys: Sequence[str] = KEYS, seed: int = 42, max_row
 
 
 def fold_breakdown(df: DataFrame) -> DataFrame:
-    """Number of markets, rows and positives of each fold."""
-    m = fold_markets(df)
-    return m.groupBy("fold").agg(F.count("*").alias("n_markets"), F.sum("n_rows").alias("n_rows"), F.sum("n_pos").alias("n_pos")).withColumn(
-        "positive_rate", ratio(F.col("n_pos"), F.col("n_rows"))
-    )
+    """Markets, rows and positives of each fold; its markets are counted and listed by name."""
+    # rows are counted per market first, so the list takes each market once and the shuffle one row of it
+    return fold_markets(df).groupBy("fold").agg(
+        F.count(MARKET).alias("n_markets"), F.sum("n_rows").alias("n_rows"), F.sum("n_pos").alias("n_pos"),
+        F.array_join(F.sort_array(F.collect_list(MARKET)), ",").alias("markets"),
+    ).withColumn("positive_rate", ratio(F.col("n_pos"), F.col("n_rows")))
 
 
 def fold_markets(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
 from fillsight.ml import anomaly as AN, train as TR
+from fillsight.operators import dataset as D
 from fillsight.plans import metadata as PM
 from fillsight.schema import ACTIVITY, FILLS
 from fillsight.sources.wallets import read_transfers
@@ -89,3 +90,10 @@ def test_nested_folds_score_every_row_once(spark):
     d = spark.createDataFrame(rows, "wallet string, market_slug string, x double, is_insider int")
     got = TR.nested_cv(d, TR.TrainSpec(("x",), estimator="logistic", n_folds=2, folds="rows", params=dict(max_iter=5)), [0.1, 1.0], 2)
     assert got.count() == got.select("wallet").distinct().count() == 60
+
+
+def test_fold_breakdown_lists_the_markets_of_each_fold(spark):
+    rows = [(0, "m2", 1), (0, "m10", 0), (0, "m2", 0), (0, None, 1), (1, "m3", 0)]
+    d = spark.createDataFrame(rows, "fold int, market_slug string, is_insider int")
+    got = {x.fold: (x.n_markets, x.n_rows, x.n_pos, x.markets, x.positive_rate) for x in D.fold_breakdown(d).collect()}
+    assert got == {0: (2, 4, 2, "m10,m2", 0.5), 1: (1, 1, 0, "m3", 0.0)}
