@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
 from fillsight.ml import metrics as M
-from fillsight.operators import asof as A, history as H, ledger as L
+from fillsight.operators import asof as A, behavior as B, history as H, ledger as L
 from fillsight.operators.scan import percentiles, plan_cells, scan
 from fillsight.plans import metadata as PM
 from fillsight.plans.behavior import FAMILIES, Behavior
@@ -45,6 +45,25 @@ def test_families(both, family):
     assert rows(plain.family(family)) == rows(split.family(family))
 
 
+def test_ledger_carries_only_what_is_read(both):
+    assert not {"transactionHash", "orderHash", "counterparty", "token_id", "fee"} & set(both[0].ledger.columns)
+
+
+def test_tasks_of_medians_grow_with_the_trades(spark, sf, monkeypatch):
+    """No task collects the values of more rows than its share, whatever the engine coalesces."""
+    small = Behavior(X.fills(spark, sf), X.markets(spark, sf))
+    monkeypatch.setattr(B, "MEDIAN_TASK_ROWS", 20)
+    n = small.trades.count()
+    assert small.median_plan == {"split": False, "tasks": -(-n // 20)}
+    t = small.trades.select("market_slug", "wallet", F.col("price").alias("v"))
+    got = B.with_medians(t, {"n": F.count("*")}, {"m": F.col("v")}, **small.median_plan)
+    assert got.rdd.getNumPartitions() == -(-n // 20)
+    assert rows(got) == rows(t.groupBy("market_slug", "wallet").agg(F.count("*").alias("n"), F.median("v").alias("m")))
+    monkeypatch.setattr(B, "MEDIAN_GROUP_ROWS", 1)
+    del small.__dict__["median_plan"]
+    assert small.median_plan["split"]
+
+
 def test_pnl_timeline(both):
     plain, split = both
     a = L.pnl_timeline(plain.ledger, plain.segments)
