@@ -14,14 +14,16 @@ to look at lies in the 5 x 5 cells around it.
   the smallest key among those of its core neighbours.
 
 Percentiles of the k-th neighbour distance follow from the same counts: a point's distance is
-at most r where the point is a core point at radius r.
+at most r where the point is a core point at radius r. Cell counts alone bracket a percentile,
+core points at a few radii narrow the bracket to a factor of two, and only the points
+undecided there are looked at again, with all radii of a round from one list of questions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fillsight.operators.components import components
 from fillsight.operators.scan import join_counted
@@ -30,9 +32,13 @@ from fillsight.session import materialize
 MIN_POINTS = 5
 # Boxes are split this often along each axis.
 SPLIT = 4
-# Radii tried at once, and how far the bracket of a percentile is narrowed, relative to its end.
+# Radii tried at once where ids repeat.
 RADII = 12
+# Parts a bracket of a percentile is cut into at once, and how far it is narrowed, relative to its end.
+PARTS = 4096
 TOLERANCE = 1e-7
+# Sides of cells relative to eps: a hair shorter than its half diagonal, so rounding never breaks a cell's promise.
+SIDE = 0.5**0.5 * (1 - 1e-9)
 _CELL = ["cx", "cy"]
 
 
@@ -41,8 +47,8 @@ def _square(dx: Column, dy: Column) -> Column:
 
 
 def with_cells(points: DataFrame, eps: Column) -> DataFrame:
-    """cx, cy: the cell of each point; sides are a hair shorter, so rounding never breaks a cell's promise."""
-    side = eps * (0.5**0.5 * (1 - 1e-9))
+    """cx, cy: the cell of each point."""
+    side = eps * SIDE
     return points.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
 
 
@@ -51,13 +57,25 @@ def _around(reach: int = 2) -> Column:
     return F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j")) for i in steps for j in steps])
 
 
+def _reached(eps: Column) -> Column:
+    """The steps to those of the cells around a point that reach within ``eps`` of it."""
+    side, slack = eps * SIDE, 1e-14 * (F.abs("x") + F.abs("y"))
+
+    def gap(at, cell, step):
+        low = (F.col(cell) + step) * side
+        return F.greatest(low - F.col(at), F.col(at) - low - side, F.lit(0.0))
+
+    far = eps * (1 + 1e-6) + slack
+    return F.filter(_around(), lambda o: _square(gap("x", "cx", o["i"]), gap("y", "cy", o["j"])) <= far * far)
+
+
 def _ask(points: DataFrame, sparse: DataFrame, counts: DataFrame, keys: Sequence[str], eps: Column) -> DataFrame:
     """``points`` with ``q``: each sparse point that is a neighbour of theirs, one row each.
 
     ``counts`` has the rows of each cell of ``points``, ``keys`` the columns beside the cell.
     """
     asked = (
-        sparse.select(*keys, "cx", "cy", F.struct("id", "x", "y").alias("q"), F.explode(_around()).alias("o"))
+        sparse.select(*keys, "cx", "cy", F.struct("id", "x", "y").alias("q"), F.explode(_reached(eps)).alias("o"))
         .groupBy(*keys, (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
         .agg(F.collect_list("q").alias("qs"))
     )
@@ -87,16 +105,33 @@ def core_counts(points: DataFrame, radii: Sequence[float], min_points: int = MIN
     return out
 
 
-def distance_percentiles(points: DataFrame, at: Sequence[float], k: int = MIN_POINTS) -> dict[float, float]:
-    """The distance to the k-th neighbour (the point itself is the first) that a share of the points stays within.
+def _undecided(points: DataFrame, radius: float, k: int) -> tuple[int, DataFrame]:
+    """(number of points with ``k`` neighbours, themselves included, within the radius; the points with fewer)."""
+    eps = F.lit(float(radius))
+    counts, sparse, found = _core(with_cells(points, eps), [], k, eps)
+    more = materialize(found.where(F.col("n") >= k).select("id"))
+    dense = counts.agg(F.sum(F.when(F.col("n") >= k, F.col("n")))).first()[0] or 0
+    return dense + more.count(), sparse.select("id", "x", "y").join(more, "id", "left_anti")
 
-    The smallest distance d such that at least the share has its k-th neighbour within d, to
-    ``TOLERANCE``; a bracket is cut by ``RADII`` radii at a time. NaN where fewer than k points exist.
+
+def _part_of(points: DataFrame, few: DataFrame, lo: float, hi: float, k: int) -> DataFrame:
+    """``few`` (points with fewer than ``k`` neighbours within ``lo``) with ``part``: in which of
+    ``PARTS`` equal parts of (lo, hi] the distance to the k-th neighbour lies. Farther ones drop out.
     """
-    lo_x, hi_x, lo_y, hi_y, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
-    if n < k:
-        return dict.fromkeys(at, float("nan"))
-    top = max(((hi_x - lo_x) ** 2 + (hi_y - lo_y) ** 2) ** 0.5, 1e-9)
+    eps = F.lit(float(hi))
+    placed = with_cells(points, eps)
+    counts = placed.groupBy(*_CELL).agg(F.count("*").alias("n"))
+    met = _ask(placed, with_cells(few, eps), counts, [], eps)
+    far = F.sqrt(_square(F.col("q.x") - F.col("x"), F.col("q.y") - F.col("y")))
+    part = F.greatest(F.ceil((far - lo) / ((hi - lo) / PARTS)), F.lit(0))
+    n = met.groupBy(F.col("q").alias("q"), F.least(part, F.lit(PARTS)).alias("part")).agg(F.count("*").alias("n"))
+    w = W.partitionBy("q").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    upto = n.select("q", "part", F.sum("n").over(w).alias("upto")).where(F.col("upto") >= k)
+    return upto.groupBy("q").agg(F.greatest(F.min("part"), F.lit(1)).alias("part")).select("q.*", "part")
+
+
+def _by_counts(points: DataFrame, at: Sequence[float], k: int, n: int, top: float) -> dict[float, float]:
+    """The percentiles from counts of core points alone, ``RADII`` radii of each bracket at a time."""
     smallest = top * 1e-7
     brackets = dict.fromkeys(at, (0.0, top))
     while True:
@@ -116,6 +151,68 @@ def distance_percentiles(points: DataFrame, at: Sequence[float], k: int = MIN_PO
             brackets[p] = (max(short, default=lo), min(enough, default=hi))
 
 
+def distance_percentiles(points: DataFrame, at: Sequence[float], k: int = MIN_POINTS) -> dict[float, float]:
+    """The distance to the k-th neighbour (the point itself is the first) that a share of the points stays within.
+
+    The smallest distance d such that at least the share has its k-th neighbour within d, to
+    ``TOLERANCE``. NaN where fewer than k points exist. Where an ``id`` repeats, its rows cannot be
+    told apart in the answers and the bracket is narrowed by counts of core points alone.
+    """
+    lo_x, hi_x, lo_y, hi_y, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    if n < k:
+        return dict.fromkeys(at, float("nan"))
+    top = max(((hi_x - lo_x) ** 2 + (hi_y - lo_y) ** 2) ** 0.5, 1e-9)
+    points = points.select("id", "x", "y")
+    least = top * 5e-8  # smaller distances count as this
+    if not points.groupBy("id").count().where("count > 1").isEmpty():
+        return _by_counts(points, at, k, n, top)
+    filled, cores, parts = {}, {}, {}
+
+    def in_full_cells(level):
+        # all points of a cell with k of them have their k-th neighbour within its diagonal
+        if level not in filled:
+            cells = with_cells(points, F.lit(least * 2.0**level)).groupBy(*_CELL).agg(F.count("*").alias("n"))
+            filled[level] = cells.agg(F.sum(F.when(F.col("n") >= k, F.col("n")))).first()[0] or 0
+        return filled[level]
+
+    def core(radius):
+        if radius not in cores:
+            c, few = _undecided(points, radius, k)
+            cores[radius] = (c, materialize(few))
+        return cores[radius]
+
+    def place(few, lo, hi):
+        if (lo, hi) not in parts:
+            placed = materialize(_part_of(points, few, lo, hi, k))
+            sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most PARTS rows
+            parts[lo, hi] = placed, sizes
+        return parts[lo, hi]
+
+    def percentile(p):
+        low, high = 0, 26
+        while low < high:  # the first level whose full cells hold the share
+            middle = (low + high) // 2
+            low, high = (low, middle) if in_full_cells(middle) >= p * n else (middle + 1, high)
+        hi = least * 2.0**low
+        while hi > least and core(hi / 2)[0] >= p * n:
+            hi /= 2
+        if hi <= least:
+            return least
+        lo = hi / 2
+        below, few = core(lo)
+        while hi - lo > TOLERANCE * hi:
+            placed, sizes = place(few, lo, hi)
+            part = next((j for j in sorted(sizes) if below + sum(c for i, c in sizes.items() if i <= j) >= p * n), None)
+            if part is None:  # lost to rounding at the end of the bracket
+                return hi
+            below += sum(c for i, c in sizes.items() if i < part)
+            width = (hi - lo) / PARTS
+            lo, hi, few = lo + (part - 1) * width, lo + part * width, placed.where(F.col("part") == part).select("id", "x", "y")
+        return hi * (1 + 1e-12)
+
+    return {p: percentile(p) for p in at}
+
+
 def _gap(side: str) -> Column:
     """Distance of two boxes along an axis, 0 where they overlap."""
     return F.greatest(F.col(f"b_lo_{side}") - F.col(f"a_hi_{side}"), F.col(f"a_lo_{side}") - F.col(f"b_hi_{side}"), F.lit(0.0))

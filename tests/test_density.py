@@ -94,6 +94,16 @@ def test_distance_percentiles(spark):
     assert math.isnan(DE.distance_percentiles(frame.limit(3), (0.5,))[0.5])
 
 
+def test_percentiles_ask_few_questions(spark, monkeypatch):
+    """A percentile puts each point's question a few times, not once for each radius of each round."""
+    asked, ask = [], DE._ask
+    monkeypatch.setattr(DE, "_ask", lambda points, sparse, *more: asked.append(sparse.count()) or ask(points, sparse, *more))
+    points = scattered(8, 600)
+    frame = DE.materialize(spark.createDataFrame(points, "id bigint, x double, y double"))
+    DE.distance_percentiles(frame, (0.75,))
+    assert 0 < sum(asked) <= 6 * len(points)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 120)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(50)] + [(500, i) for i in range(501, 700)]
