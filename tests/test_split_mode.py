@@ -168,3 +168,20 @@ def test_wallet_aggregation_does_not_stay_on_the_market_partition(spark, sf, mon
     assert any("_salt" in line for line in dealt)
     assert any("market_slug" in line and "wallet" in line for line in dealt)
     assert got == rows(P.cash_volume(P.normalize_trades(P.parse_trades(fills, markets))))
+
+
+def test_medians_of_all_measures_travel_as_one_list(spark):
+    """NULLs are skipped, NaN is largest, a NULL wallet is a group; values of a row are collected once, not once per measure."""
+    nan = float("nan")
+    data = [("m1", "a", 1.0, None), ("m1", "a", 4.0, None), ("m1", "a", None, None), ("m1", None, nan, 2.0),
+            ("m1", None, 7.0, -3.0), ("m1", None, 5.0, 0.5), ("m2", "a", 9.0, 1.0), ("m2", "b", None, None)]
+    t = spark.createDataFrame(data, "market_slug string, wallet string, v double, w double")
+    med = {"mv": F.col("v"), "mw": F.when(F.col("w") > -1, F.col("w")), "half": F.col("v") / 2}
+    got = B.with_medians(t, {"n": F.count("*")}, med, split=False, tasks=3)
+    assert got.columns == ["market_slug", "wallet", "n", *med]
+    expect = {("m1", "a"): (3, 2.5, None, 1.25), ("m1", None): (3, 7.0, 1.25, 3.5), ("m2", "a"): (1, 9.0, 1.0, 4.5), ("m2", "b"): (1, None, None, None)}
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in got.collect()} == expect
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+    none = B.with_medians(t.limit(0), {"n": F.count("*")}, med, split=False)
+    assert none.collect() == []
