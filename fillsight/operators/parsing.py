@@ -69,7 +69,11 @@ def classify_fills(fills: DataFrame, markets: DataFrame, heavy: DataFrame | None
 
 def parse_trades(fills: DataFrame, markets: DataFrame, heavy: DataFrame | None | object = COUNT) -> DataFrame:
     """Two trade rows per fill, one for the maker and one for the taker."""
-    c = classify_fills(fills, markets, heavy)
+    return trade_legs(classify_fills(fills, markets, heavy))
+
+
+def trade_legs(c: DataFrame) -> DataFrame:
+    """The trades of maker and taker of every classified fill."""
     side = lambda buys: F.when(buys, F.lit("BUY")).otherwise(F.lit("SELL"))
     legs = F.array(
         F.struct(
