@@ -36,11 +36,12 @@ def candidate_features(
     candidates before any per-wallet family runs.
     """
     behavior, metadata = wanted_families(features)
-    top = P.top_wallets(b.trades, top_n).select(
+    # read by the cut of the trades, their split plan and the result: counted once
+    top = b._keep(P.top_wallets(b.trades, top_n).select(
         *KEYS, (F.col("volume_micro") / MICRO).alias("volume"), "n_trades", "first_trade_ts"
-    )
+    ))
     picked = Behavior(b.fills, b.markets, b.same_timestamp, b.max_group_rows, b.early_frac, b.threshold, b.stage)
-    picked.__dict__["history"] = b.history
+    picked.__dict__["history"], picked.__dict__["heavy"] = b.history, b.heavy
     picked.__dict__["trades"] = b.trades.join(top.select(*KEYS), KEYS, "left_semi") if top_n else b.trades
     out = top.join(picked.features(behavior), KEYS, "left") if behavior else top
     if metadata:

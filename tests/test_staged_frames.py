@@ -1,11 +1,12 @@
-"""What the behavioural jobs write: one row per fill, a ledger of what cannot be derived."""
+"""What the behavioural jobs write: one row per fill, a ledger of what cannot be derived, top wallets once."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
-from fillsight.plans import behavior as PB
+from fillsight.plans import behavior as PB, jobs as J
 from fillsight.plans.behavior import Behavior
+from fillsight.schema import MARKET
 from tests.conftest import rows
 
 
@@ -53,3 +54,11 @@ def test_ledger_and_trades_are_written_slim(spark, kept, max_rows):
     assert classified.count() == 400 and staged.trades.count() == 800
     derived = {"role", "norm_side", "signed_micro", "inventory", "inventory_before", "unit_hi", "open_from", "opened"}
     assert not derived & set(ledger.columns) and derived <= set(staged.ledger.columns)
+
+
+def test_top_wallets_are_counted_once(spark, kept):
+    fills, markets = sources(spark)
+    b = Behavior(fills, markets)
+    got = J.candidate_features(b, ["gross_tokens", "n_distinct_active_days"], 3)
+    assert got.count() == 24 and got.groupBy(MARKET).count().filter("count <> 3").isEmpty()
+    assert [d.count() for d in kept if "volume" in d.columns] == [24]
