@@ -342,6 +342,11 @@ def leave_markets_out(df: DataFrame, spec: TrainSpec, markets: Sequence[str], wi
     return D.union_ragged(*side_by_side(df.sparkSession, [partial(without, m) for m in markets], width))
 
 
+def train_all(df: DataFrame, specs: dict[str, TrainSpec], width: int = WIDTH) -> dict[str, Trained]:
+    """Every specification trained on the same rows; ``width`` of them run at once."""
+    return dict(zip(specs, side_by_side(df.sparkSession, [partial(train, df, s) for s in specs.values()], width)))
+
+
 def train_best(df: DataFrame, specs: dict[str, TrainSpec], width: int = WIDTH) -> tuple[str, DataFrame, Trained]:
     """Train by every strategy and keep the one with the best out-of-fold average precision.
 
@@ -349,7 +354,7 @@ def train_best(df: DataFrame, specs: dict[str, TrainSpec], width: int = WIDTH) -
     Strategies may differ in estimator, parameters, split and folds.
     """
     names = list(specs)
-    trained = dict(zip(names, side_by_side(df.sparkSession, [partial(train, df, specs[n]) for n in names], width)))
+    trained = train_all(df, specs, width)
     quality = D.union_ragged(*[trained[n].cv.withColumn("tag", F.lit(n)) for n in names])
     best = quality.orderBy(F.col("cv_mean").desc_nulls_last(), F.array_position(F.array(*[F.lit(n) for n in names]), F.col("tag"))).first()["tag"]
     return best, quality.withColumn("is_best", F.col("tag") == best), trained[best]

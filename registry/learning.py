@@ -145,10 +145,9 @@ def _zoo(spark, sf):
     """Three trained models, kept for the session's context."""
     c = context(spark, sf)
     if "zoo" not in c.__dict__:
-        c.__dict__["zoo"] = {
-            "forest": TR.train(dataset(spark, sf), spec(**FOREST)), "boosting": TR.train(dataset(spark, sf), spec(**BOOST)),
-            "logistic": TR.train(dataset(spark, sf), spec(estimator="logistic", params=dict(max_iter=20), n_folds=3, calibrate=False)),
-        }
+        d = dataset(spark, sf)
+        specs = {"forest": spec(**FOREST), "boosting": spec(**BOOST), "logistic": spec(estimator="logistic", params=dict(max_iter=20), n_folds=3, calibrate=False)}
+        c.__dict__["zoo"] = TR.train_all(d, specs)
     return c.__dict__["zoo"]
 
 

@@ -1,9 +1,12 @@
-"""What the behavioural jobs write: one row per fill, a ledger of what cannot be derived, top wallets once."""
+"""What the behavioural jobs write: one row per fill, a ledger of what cannot be derived, top wallets once; models side by side."""
+
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from fillsight import fixtures as X
+from fillsight.ml import train as TR
 from fillsight.plans import behavior as PB, jobs as J
 from fillsight.plans.behavior import Behavior
 from fillsight.schema import MARKET
@@ -62,3 +65,16 @@ def test_top_wallets_are_counted_once(spark, kept):
     got = J.candidate_features(b, ["gross_tokens", "n_distinct_active_days"], 3)
     assert got.count() == 24 and got.groupBy(MARKET).count().filter("count <> 3").isEmpty()
     assert [d.count() for d in kept if "volume" in d.columns] == [24]
+
+
+def test_models_are_trained_side_by_side(spark, monkeypatch):
+    seen, together = [], threading.Barrier(3, timeout=60)
+
+    def train(df, spec):
+        together.wait()  # breaks unless all three run at once
+        seen.append(threading.get_ident())
+        return spec.estimator
+
+    monkeypatch.setattr(TR, "train", train)
+    specs = {n: TR.TrainSpec(("x",), estimator=n) for n in ("forest", "boosting", "logistic")}
+    assert TR.train_all(spark.range(1), specs) == {n: n for n in specs} and len(set(seen)) == 3
