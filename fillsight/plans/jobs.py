@@ -41,7 +41,8 @@ def candidate_features(
         *KEYS, (F.col("volume_micro") / MICRO).alias("volume"), "n_trades", "first_trade_ts"
     ))
     picked = Behavior(b.fills, b.markets, b.same_timestamp, b.max_group_rows, b.early_frac, b.threshold, b.stage)
-    picked.__dict__["history"], picked.__dict__["heavy"] = b.history, b.heavy
+    for shared in ("history", "heavy", "few_markets"):
+        picked.__dict__[shared] = getattr(b, shared)
     picked.__dict__["trades"] = b.trades.join(top.select(*KEYS), KEYS, "left_semi") if top_n else b.trades
     out = top.join(picked.features(behavior), KEYS, "left") if behavior else top
     if metadata:
